@@ -100,7 +100,7 @@ k AS (SELECT *, 3.0 * ss / w AS ratio, sum(ss) OVER () AS total FROM s),
 c AS (SELECT *, coalesce(sum(3 * ss) OVER (ORDER BY ratio, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
              sum(w) OVER (ORDER BY ratio, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w FROM k),
 l AS (SELECT *, (total - capped) / rest_w::DOUBLE AS level FROM c),
-z AS (SELECT min(level) FILTER (WHERE level <= ratio) AS level FROM l),
+z AS (SELECT arg_min(level, ratio) FILTER (WHERE level <= ratio) AS level FROM l),
 t AS (SELECT l.source, l.ss, CASE WHEN l.w * z.level > 3 * l.ss THEN 3.0::DOUBLE * l.ss ELSE l.w * z.level END AS target FROM l, z),
 q AS (SELECT *, cast(round_even(target, 0) AS BIGINT) AS words FROM t),
 r AS (SELECT d.doc_id, d.size, q.ss AS source_size, q.target, q.words,
