@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmere.plans import registry, retrieval, search_queries, store_queries, text_queries  # noqa: F401  they register their queries
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Hybrid retrieval for five questions at once: search, fuse, expand, re-rank, score, filter."""
+    x = search_queries.inputs(spark, sf_dir)
+    best = retrieval.passing(retrieval.retrieve(x["units"], x["subjects"], x["contents"], x["mentions"], x["queries"], search_queries.N_QUERIES))
+    return best.select("id", "type", "name", "role", "vector_score", "rerank_score", "final_score", "source_sub_queries", "provenance")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
