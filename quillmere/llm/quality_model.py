@@ -41,6 +41,7 @@ LABELLERS = [
 SYMBOLS = b"#*$%&|<>"
 SENTENCE_ENDS = tuple(x.encode() for x in (".", "!", "?", ":", ";", "…", '"', "'", "»", ")"))
 DIMENSIONS = 1 << 14
+MOST_FALSE_ALARMS = 0.005
 
 
 def parsed(text: str) -> tuple[bytes, np.ndarray, list[str], np.ndarray]:
@@ -114,7 +115,9 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     Latent classes: good, and bad for the reason that labeller k looks for, as defects seldom come together and
     a model with one bad class would take a lone bad vote for an error. ``odds[c, k]`` holds how often labeller k
     calls bad and calls good in class c where it votes (abstaining says nothing): its accuracy. The start gives a
-    document to the classes of its bad votes in equal parts, or to the good one. Counts are smoothed by one.
+    document to the classes of its bad votes in equal parts, or to the good one. Counts are smoothed by one. A
+    labeller's false alarms among good documents are held below MOST_FALSE_ALARMS, as thresholds are set for that;
+    else a small class of bad documents may end in the good one.
     """
     m = len(LABELLERS)
     fired = (patterns.reshape(-1, m) == BAD).astype(np.float64)
@@ -125,6 +128,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
             for v in (BAD, GOOD):
                 odds[:, k, v] = 1 + (counts[:, None] * post * (patterns[:, k] == v)[:, None]).sum(axis=0)
         odds[:, :, BAD:] /= odds[:, :, BAD:].sum(axis=2, keepdims=True)
+        odds[0, :, BAD] = np.minimum(odds[0, :, BAD], MOST_FALSE_ALARMS)
+        odds[0, :, GOOD] = 1 - odds[0, :, BAD]
         share = 1 + (counts[:, None] * post).sum(axis=0)
         share /= share.sum()
         logs = np.log(share)[None, :] + sum(np.log(odds[:, k, :])[:, patterns[:, k]].T for k in range(m))
