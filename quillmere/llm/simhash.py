@@ -107,7 +107,8 @@ def _links(radius: int, ratio: float, n_words: int):
             yield fields[0][s:e], fields[1][s:e], [x[s:e].view(np.uint64) for x in fields[2:]]
 
     def compare(same: bool, x: tuple, y: tuple) -> tuple[np.ndarray, np.ndarray]:
-        (node, size, words), (node2, size2, words2) = x, y
+        # a tile met with itself comes twice, maybe in another order, as the two lists are collected separately
+        (node, size, words), (node2, size2, words2) = x, x if same else y
         apart = np.bitwise_count(words[0][:, None] ^ words2[0][None, :])
         for a, b in zip(words[1:], words2[1:], strict=True):
             apart = apart + np.bitwise_count(a[:, None] ^ b[None, :]).astype(np.uint16)
