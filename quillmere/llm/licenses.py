@@ -8,6 +8,7 @@ lines. Short notices come from templates over a list of licence names, so the ta
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -80,7 +81,7 @@ RULES = [
 WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 SPLIT = re.compile(r"[^\n]+")
 HARD = re.compile(r"[.;:!?][\"')\]]*(?=\s|$)")
-MAX_LINES = 12
+MAX_LINES = 60
 
 
 def normalised(sentence: str) -> str:
@@ -103,7 +104,8 @@ def tables() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
 
 
 KNOWN, ORDERED = tables()
-LONGEST = max(len(k) for k in KNOWN)
+KEYS = sorted(KNOWN)
+LONGEST = max(map(len, KEYS))
 TRIGGER = re.compile("|".join(["licen[sc]e", "permission", "redistribut", "copyright", "warrant", "free software", "unencumbered", "public license", *(re.escape(n) for n in ("CC BY", "CC-BY", "CC0", "GPL", "MPL"))]), re.I)
 
 
@@ -132,7 +134,11 @@ def sentences(text: str) -> list[tuple[str, int, int]]:
             s, e = parts[k][0], parts[j][1]
             if e - s > 4 * LONGEST:
                 break
-            if key := KNOWN.get(normalised(text[s:e])):
+            words = normalised(text[s:e])
+            place = bisect_left(KEYS, words)
+            if place == len(KEYS) or not KEYS[place].startswith(words):
+                break
+            if key := KNOWN.get(words):
                 best = (key, s + len(text[s:e]) - len(text[s:e].lstrip()), e, j)
         if best:
             out.append(best[:3])

@@ -9,8 +9,8 @@ documents, whose size is bounded by ``train_rows``, and scores every document.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,28 +44,47 @@ DIMENSIONS = 1 << 14
 MOST_FALSE_ALARMS = 0.005
 
 
-def parsed(text: str) -> tuple[bytes, np.ndarray, list[str], np.ndarray]:
-    """The text in UTF-8, its words as indexes, the distinct words, and how often each occurs; words hold no ASCII white space."""
+def hashed(kind: bytes, value: bytes) -> int:
+    return zlib.crc32(value, zlib.crc32(kind)) % DIMENSIONS
+
+
+LOWER_SHAPE, TITLE_SHAPE = hashed(b"s", b"a"), hashed(b"s", b"Aa")
+
+
+def word_facts(raw: bytes) -> tuple[int, int, int, int, int]:
+    """Of a distinct word: hashed word, hashed shape, and whether it is in upper case, a bar, and without a letter."""
+    if raw.isalpha():  # letters of ASCII, the common case
+        if raw.islower():
+            return hashed(b"w", raw), LOWER_SHAPE, 0, 0, 0
+        if raw[1:].islower():
+            return hashed(b"w", raw.lower()), TITLE_SHAPE, 0, 0, 0
+    w = raw.decode("utf-8", "replace")
+    return hashed(b"w", w.lower().encode()), hashed(b"s", shape(w).encode()), w.isupper() and len(w) > 1, w == "|", w.isascii() and not any(map(str.isalpha, w))
+
+
+def parsed(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The text in UTF-8, its words as indexes, facts of the distinct words, and how often each occurs; words hold no ASCII white space."""
     raw = text.encode("utf-8", "surrogatepass")
     ids, distinct = numbered(raw.split())
-    return raw, ids, [w.decode("utf-8", "replace") for w in distinct], np.bincount(ids, minlength=len(distinct))
+    facts = np.array([word_facts(w) for w in distinct], np.int64).reshape(-1, 5)
+    return raw, ids, facts, np.bincount(ids, minlength=len(distinct))
 
 
-def measures(raw: bytes, ids: np.ndarray, distinct: list[str], counts: np.ndarray) -> np.ndarray:
+def measures(raw: bytes, ids: np.ndarray, facts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The value that each labeller looks at."""
     n = max(1, len(ids))
     lines = [x.rstrip() for x in raw.split(b"\n") if x.strip()]
-    of = lambda test: sum(c for w, c in zip(distinct, counts.tolist(), strict=True) if test(w))
+    upper, bars, bare = (counts @ facts[:, 2:] / n).tolist()
     return np.array([
         sum(raw.count(bytes([c])) for c in SYMBOLS) / n,
-        of(lambda w: w.isupper() and len(w) > 1) / n,
-        repeat_words(ids, len(distinct)) / n,
+        upper,
+        repeat_words(ids, len(facts)) / n,
         (len(lines) - len(set(lines))) / max(1, len(lines)),
-        of(lambda w: w == "|") / n,
+        bars,
         raw.count(b"!") / n,
         float((ids[1:] == ids[:-1]).sum()) / n,
         float(counts.max(initial=0)) / n,
-        of(lambda w: w.isascii() and not any(map(str.isalpha, w))) / n,
+        bare,
         sum(not x.endswith(SENTENCE_ENDS) for x in lines) / max(1, len(lines)),
     ])
 
@@ -81,32 +100,29 @@ def votes(values: np.ndarray, n_words: int) -> np.ndarray:
 POWERS = 3 ** np.arange(len(LABELLERS))
 
 
-@lru_cache(1 << 16)
+LETTERS, CAPITALS, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"\d+")
+
+
 def shape(word: str) -> str:
-    """Letters become a or A and digits 0, runs of one kind once; other characters stay, up to three in a row."""
-    out: list[str] = []
-    for c in word[:64]:
-        k = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != k or (k not in "aA0" and out[-3:] != [k] * 3):
-            out.append(k)
-    return "".join(out)
+    """Runs of letters become a, Aa or A and runs of digits 0; other characters stay. Only the first 64 characters count."""
+    kind = lambda m: "a" if not CAPITALS.search(m[0]) else "Aa" if m[0][1:].islower() else "A"
+    return DIGITS.sub("0", LETTERS.sub(kind, word[:64]))
+
+
+@lru_cache(1 << 12)
+def named(name: str) -> int:
+    return zlib.crc32(name.encode()) % DIMENSIONS
 
 
 def features(text: str) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
-    """Votes, number of words, and hashed features: index and weight. Whole texts count, however long."""
-    raw, ids, distinct, counts = parsed(text)
-    values = measures(raw, ids, distinct, counts)
-    n = max(1, len(ids))
-    weights: Counter = Counter()
-    for w, c in zip(distinct, counts.tolist(), strict=True):
-        weights[zlib.crc32(b"w" + w.lower().encode("utf-8", "surrogatepass")) % DIMENSIONS] += 0.3 * c / n
-        weights[zlib.crc32(b"s" + shape(w).encode("utf-8", "surrogatepass")) % DIMENSIONS] += c / n
-    for k, x in enumerate(values):
-        weights[zlib.crc32(f"m{k}:{int(min(x, 4) * 20)}".encode()) % DIMENSIONS] += 0.5
-        weights[zlib.crc32(f"t{k}".encode()) % DIMENSIONS] += float(min(x, 1.0))
-    weights[zlib.crc32(f"n{len(ids).bit_length()}".encode()) % DIMENSIONS] += 0.3
-    index = np.fromiter(weights, np.int32, len(weights))
-    return votes(values, len(ids)), len(ids), index, np.fromiter((weights[i] for i in index.tolist()), np.float32, len(weights))
+    """Votes, number of words, and hashed features: index (repeats add up) and weight. Whole texts count, however long."""
+    raw, ids, facts, counts = parsed(text)
+    values = measures(raw, ids, facts, counts)
+    share = counts / max(1, len(ids))
+    extra = [named(f"m{k}:{int(min(x, 4) * 20)}") for k, x in enumerate(values)] + [named(f"t{k}") for k in range(len(values))] + [named(f"n{len(ids).bit_length()}")]
+    index = np.concatenate([facts[:, 0], facts[:, 1], extra]).astype(np.int32)
+    weight = np.concatenate([0.3 * share, share, np.full(len(values), 0.5), np.minimum(values, 1.0), [0.3]]).astype(np.float32)
+    return votes(values, len(ids)), len(ids), index, weight
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> dict:

@@ -34,11 +34,14 @@ def repeat_words(ids: np.ndarray, distinct: int, run: int = 5) -> int:
     n = len(ids) - run + 1
     if n < 2 or distinct == len(ids):
         return 0
-    key = ids[:n]
-    for k in range(1, run):
-        _, key = np.unique(key * distinct + ids[k : k + n], return_inverse=True)  # below n * n, so it never overflows
-    twice = np.nonzero(np.bincount(key)[key] > 1)[0]
-    edge = np.bincount(twice, minlength=len(ids) + 1) - np.bincount(twice + run, minlength=len(ids) + 1)
+    at, key = np.arange(n), ids[:n]
+    for k in range(1, run):  # only places whose shorter window repeats can have a longer one that does
+        _, key, counts = np.unique(key * distinct + ids[at + k], return_inverse=True, return_counts=True)  # below n * n, so it never overflows
+        again = counts[key] > 1
+        at, key = at[again], key[again]
+        if not len(at):
+            return 0
+    edge = np.bincount(at, minlength=len(ids) + 1) - np.bincount(at + run, minlength=len(ids) + 1)
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 

@@ -118,7 +118,7 @@ def test_warc_round_trip_over_small_ranges(spark, small):
     big = "<p>" + "same " * 400
     odd = [(None, None, None), (5000, "u v", ""), (5001, "x", "\x1f short"), (6001, "a", big), (6003, "b", big), (6002, "c", big), (6003, "b", big), (None, "d", big)]
     pages = pages.unionByName(spark.createDataFrame(odd, pages.schema)).withColumn("digest", F.lit("clash"))
-    archives = warc.write_warc(warc.plan_records(pages.repartition(3)), scratch_path(spark, "warc"), roll=40_000)
+    archives = warc.write_warc(warc.plan_records(pages.repartition(3)), scratch_path(spark, "warc"), roll=10_000)
     assert archives.count() > 3
     records = warc.read_warc(archives, range_bytes=3001).collect()
     page_of = lambda x: int(x.rsplit(":", 1)[1]) if x and x.rsplit(":", 1)[1] else None
