@@ -129,6 +129,40 @@ FROM d LEFT JOIN hit ON d.r = hit.r LEFT JOIN it ON d.r = it.r
 """
 
 
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+f AS (SELECT r, 'email' AS kind, 1 AS o, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+' AS p, text FROM d WHERE contains(text, '@')
+  UNION ALL SELECT r, 'ip', 2, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)', text FROM d UNION ALL SELECT r, 'card', 3, '[0-9](?:[\x20-]?[0-9])+', text FROM d
+  UNION ALL SELECT r, 'phone', 4, '\+[0-9][\x20().0-9-]+[0-9]', text FROM d WHERE contains(text, '+')),
+x AS (SELECT r, kind, o, regexp_extract_all(text, p) AS m, string_split_regex(text, p) AS g FROM f),
+e AS (SELECT r, kind, o, m, g, unnest(m) AS v, unnest(range(1, len(m) + 1)) AS i FROM x WHERE len(m) > 0),
+s AS (SELECT r, kind, o, v, regexp_replace(v, '[^0-9]', '', 'g') AS dg,
+        cast(list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda y: length(y))), 0) AS BIGINT) AS a FROM e),
+b AS (SELECT r, kind, o, v, dg, a, a + length(v) AS z FROM s WHERE kind = 'email'
+  OR kind = 'ip' AND list_bool_and(list_transform(string_split(v, '.'), lambda y: length(ltrim(y, '0')) <= 3 AND coalesce(try_cast(y AS HUGEINT), 999) <= 255))
+  OR kind = 'phone' AND length(dg) BETWEEN 8 AND 15
+  OR kind = 'card' AND length(dg) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, cast(length(dg) AS BIGINT) + 1), lambda y:
+       CASE WHEN y % 2 = 1 THEN cast(dg[length(dg) - y + 1] AS INTEGER) ELSE cast(dg[length(dg) - y + 1] AS INTEGER) * 2 - CASE WHEN dg[length(dg) - y + 1] > '4' THEN 9 ELSE 0 END END)) % 10 = 0),
+c AS (SELECT d.text, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN dg ELSE lower(v) END AS entity,
+        list_filter(string_split_regex(lower(d.text[greatest(0, a - 120) + 1 : a]), '[^\p{L}]+'), lambda y: length(y) >= 3) AS lft,
+        list_filter(string_split_regex(lower(d.text[z + 1 : z + 120]), '[^\p{L}]+'), lambda y: length(y) >= 3) AS rgt FROM b JOIN d ON d.r = b.r),
+ce AS (SELECT entity, count(DISTINCT text) AS c_e FROM c GROUP BY entity),
+ct AS (SELECT entity, term, count(DISTINCT text) AS c_te FROM (SELECT entity, text, unnest(list_concat(lft[greatest(1, len(lft) - 2) :], rgt[1:3])) AS term FROM c) GROUP BY 1, 2 HAVING count(DISTINCT text) >= 3),
+w AS (SELECT text, unnest(list_distinct(string_split_regex(lower(text), '[^\p{L}]+'))) AS term FROM (SELECT DISTINCT text FROM d)),
+tt AS (SELECT term, count(*) AS c_t FROM w WHERE term IN (SELECT term FROM ct) GROUP BY term),
+t AS (SELECT DISTINCT ct.term FROM ct JOIN ce ON ce.entity = ct.entity JOIN tt ON tt.term = ct.term, (SELECT count(DISTINCT text) AS n FROM d)
+      WHERE c_te >= 0.8 * c_t AND log2(c_te * n / (c_t * c_e)::DOUBLE) >= 5),
+lx AS (SELECT r, regexp_extract_all(text, '\p{L}+') AS m, string_split_regex(text, '\p{L}+') AS g FROM d WHERE text IN (SELECT text FROM w WHERE term IN (SELECT term FROM t))),
+le AS (SELECT r, m, g, unnest(m) AS v, unnest(range(1, len(m) + 1)) AS i FROM lx),
+ls AS (SELECT r, v, cast(list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda y: length(y))), 0) AS BIGINT) AS a FROM le WHERE lower(v) IN (SELECT term FROM t)),
+lo AS (SELECT r, 'term' AS kind, 5 AS o, a, a + length(v) AS z FROM ls WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = ls.r AND b.a < ls.a + length(ls.v) AND ls.a < b.z)),
+al AS (SELECT r, kind, o, a, z FROM b UNION ALL SELECT r, kind, o, a, z FROM lo),
+n AS (SELECT r, count(*) FILTER (WHERE o = 1) AS e, count(*) FILTER (WHERE o = 2) AS i, count(*) FILTER (WHERE o = 3) AS c, count(*) FILTER (WHERE o = 4) AS p,
+        string_agg(kind || ':' || a || ':' || z, ',' ORDER BY o, a) FILTER (WHERE o < 5) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY o, a) AS spans FROM al GROUP BY r)
+SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN n ON n.r = d.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others have brute-force tests in tests/llm."""
-    return {"op3_warc": OP3_SQL, "op5_mixing": OP5_SQL, "op9_decontamination": OP9_SQL}
+    return {"op3_warc": OP3_SQL, "op5_mixing": OP5_SQL, "op9_decontamination": OP9_SQL, "op10_pii": OP10_SQL}

@@ -37,11 +37,10 @@ def rows(df):
 
 
 def test_quality_removes_just_what_the_classifier_rejects(spark, small, docs):
-    gone = {(r.id.__getitem__("doc_id"), r.id.__getitem__("text")) for r in quality_model.quality_scores(docs.withColumn("key", F.struct("doc_id", "text")), id_col="key").where("NOT kept").collect()}
     out = rows(STAGES["quality"](spark, docs, small))
-    assert sum(out.values()) > 0.7 * docs.count()
-    by_doc_id = {r.id for r in quality_model.quality_scores(docs).where("NOT kept").collect()}
-    assert len({g[0] for g in gone} ^ by_doc_id) <= 1  # the sample is drawn by another hash
+    marked = docs.withColumn("__id", F.struct(F.xxhash64("doc_id", "text").alias("__k"), F.hash("text", "doc_id").alias("__k2")))
+    kept = quality_model.quality_scores(marked, id_col="__id").where("kept").count()
+    assert sum(out.values()) == kept > 0.7 * docs.count() and not set(out) - set(rows(docs))
 
 
 def shingle_set(t):
