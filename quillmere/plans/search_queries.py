@@ -35,10 +35,10 @@ def topk_bm25(spark, d):
     return search.bm25(fx.units(spark, d), fx.sub_queries(spark), N_QUERIES).select("sub_query_index", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("postings_stats", "SELECT term, count(*) AS df, cast(sum(tf) AS BIGINT) AS cf FROM po GROUP BY term HAVING count(*) >= 20", search=True)
+@query("postings_stats", "SELECT term, count(*) AS df, cast(sum(tf) AS BIGINT) AS cf FROM po GROUP BY term", search=True)
 def postings_stats(spark, d):
     _, postings = search.index(fx.units(spark, d))
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 20")
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("topk_vector", "SELECT sub_query_index, id, cast(rank AS INTEGER) AS rank, round(score, 6) AS score FROM subj", search=True)
@@ -62,10 +62,10 @@ def candidate_merge(spark, d):
 
 
 @query("rank_before_after_exclusion", """SELECT id, label, cast(row_number() OVER (PARTITION BY label ORDER BY first DESC, id) AS INTEGER) AS after, cast(before AS INTEGER) AS before FROM (
-SELECT vec_id AS id, label, embedding[1]::DOUBLE AS first, row_number() OVER (PARTITION BY label ORDER BY embedding[1]::DOUBLE DESC, vec_id) AS before FROM embeddings) WHERE id % 5 <> 0""")
+SELECT vec_id AS id, label, embedding[1]::DOUBLE AS first, row_number() OVER (PARTITION BY label ORDER BY embedding[1]::DOUBLE DESC, vec_id) AS before, embedding[2] AS second FROM embeddings) WHERE second <= 0""")
 def rank_before_after_exclusion(spark, d):
-    rows = fx.vectors(spark, d).select(F.col("doc_id").alias("id"), "label", F.element_at("vec", 1).cast("double").alias("score"))
-    seen = rows.where("id % 5 = 0").select("id")
+    rows = fx.vectors(spark, d).select(F.col("doc_id").alias("id"), "label", F.element_at("vec", 1).cast("double").alias("score"), F.element_at("vec", 2).alias("second"))
+    seen = rows.where("second > 0").select("id")
     before = windows.rank_before_exclusion(rows, seen, "label").select("id", F.col("rank").alias("before"))
     return windows.rank_after_exclusion(rows, seen, "label").join(before, "id").select("id", "label", F.col("rank").alias("after"), "before")
 
@@ -112,20 +112,18 @@ def fallback_only(spark, d):
     return retrieval.passing(spark.createDataFrame(rows, "id string, rerank_score double, final_score double")).select("id", "rerank_score")
 
 
-@query("cap_seed_first", "SELECT id FROM (SELECT id, doc_id % 10 = 0 AS is_seed, doc_id % 97 AS s FROM u ORDER BY is_seed DESC, s DESC, id LIMIT 50)", units=True)
+@query("cap_seed_first", "SELECT id FROM (SELECT id, parent_unit_id IS NULL AS is_seed, length(content) AS s FROM u ORDER BY is_seed DESC, s DESC, id LIMIT 50)", units=True)
 def cap_seed_first(spark, d):
-    u = fx.units(spark, d).select("id", (F.col("doc_id") % 10 == 0).alias("seed"), (F.col("doc_id") % 97).alias("s"))
+    u = fx.units(spark, d).select("id", F.col("parent_unit_id").isNull().alias("seed"), F.length("content").alias("s"))
     return u.orderBy(F.desc("seed"), F.desc("s"), "id").limit(50).select("id")
 
 
-@query("concept_cooccurrence", """WITH s AS (SELECT id, cast(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS rank FROM u WHERE doc_id % 100 = 3 AND doc_id < 500),
+@query("concept_cooccurrence", """WITH s AS (SELECT id, source_order + 1 AS rank FROM u WHERE page = 1),
 c AS (SELECT term, min(rank) AS best FROM m JOIN s ON s.id = m.unit_id GROUP BY term ORDER BY best, term LIMIT 5)
 SELECT term, unit_id FROM (SELECT term, unit_id, row_number() OVER (PARTITION BY term ORDER BY unit_id) AS n FROM (SELECT DISTINCT term, unit_id FROM m WHERE unit_id NOT IN (SELECT id FROM s)) WHERE term IN (SELECT term FROM c)) WHERE n <= 3""", units=True)
 def concept_cooccurrence(spark, d):
-    from pyspark.sql.window import Window
-
     u = fx.units(spark, d)
-    seeds = u.where("doc_id % 100 = 3 AND doc_id < 500").select("id", F.row_number().over(Window.orderBy("doc_id")).alias("rank"))  # five seeds
+    seeds = u.where("page = 1").select("id", (F.col("source_order") + 1).alias("rank"))  # a page's units as the seeds of a question
     return concepts.cooccurring(seeds, fx.mentions(u))
 
 

@@ -14,10 +14,10 @@ from quillmere.sources import readers
 L = F.lit
 
 
-@query("scan_by_keys", "WITH k AS (SELECT id FROM u WHERE doc_id % 7 = 0) SELECT id, page, type FROM u WHERE id IN (SELECT id FROM k)", units=True)
+@query("scan_by_keys", "SELECT id, page, type FROM u WHERE id IN (SELECT parent_unit_id FROM u WHERE status = 'done')", units=True)
 def scan_by_keys(spark, d):
     u = fx.units(spark, d)
-    ids = u.where("doc_id % 7 = 0").select("id")
+    ids = u.where("status = 'done' AND parent_unit_id IS NOT NULL").select(F.col("parent_unit_id").alias("id"))
     return u.join(ids, "id", "left_semi").select("id", "page", "type")
 
 
@@ -68,11 +68,10 @@ def page_range_parse(spark, d):
     return readers.pages_wanted(spark, "3, 1,5-10,7 - 8,x,9-2,0,12")
 
 
-@query("skip_unchanged_upload", "SELECT 'pages/doc/' || page_id || '.png' AS path FROM pages WHERE page_id % 3 <> 0")
+@query("skip_unchanged_upload", "SELECT 'pages/doc/' || page_id || '.png' AS path FROM pages WHERE url NOT LIKE 'https%'")
 def skip_unchanged_upload(spark, d):
-    files = table(spark, d, "pages").select(F.concat(L("pages/doc/"), F.col("page_id").cast("string"), L(".png")).alias("path"), F.sha2("html", 256).alias("content_hash"))
-    page = F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long")
-    stored = files.withColumn("content_hash", F.when(page % 3 == 0, F.col("content_hash")).otherwise("old"))
+    files = table(spark, d, "pages").select(F.concat(L("pages/doc/"), F.col("page_id").cast("string"), L(".png")).alias("path"), F.sha2("html", 256).alias("content_hash"), "url")
+    stored = files.withColumn("content_hash", F.when(F.col("url").startswith("https"), F.col("content_hash")).otherwise("old"))
     return readers.changed_only(files, stored).select("path")
 
 
@@ -92,30 +91,30 @@ def upsert_keep_latest(spark, d):
     return store.keep_latest(e.withColumn("seq", F.col("event_id")), ["user_id"], "seq").select("user_id", "event_type", "value", "event_id")
 
 
-@query("upsert_document", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE source END AS source, lang FROM documents UNION ALL SELECT doc_id + 1000000, 'new', 'xx' FROM documents WHERE doc_id % 50 = 0")
+@query("upsert_document", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'new' ELSE source END AS source, lang FROM documents UNION ALL SELECT doc_id + 1000000, 'new', 'xx' FROM documents WHERE lang = 'es'")
 def upsert_document(spark, d):
     cur = table(spark, d, "documents").select("doc_id", "source", "lang")
-    new = cur.where("doc_id % 2 = 0").select("doc_id", L("new").alias("source"), L("zz").alias("lang"))
-    more = cur.where("doc_id % 50 = 0").select((F.col("doc_id") + 1000000).alias("doc_id"), L("new").alias("source"), L("xx").alias("lang"))
+    new = cur.where("lang = 'en'").select("doc_id", L("new").alias("source"), L("zz").alias("lang"))
+    more = cur.where("lang = 'es'").select((F.col("doc_id") + 1000000).alias("doc_id"), L("new").alias("source"), L("xx").alias("lang"))
     return store.upsert(cur, new.unionByName(more), ["doc_id"], keep=("lang",))
 
 
-@query("insert_ignore", "SELECT term, unit_id FROM m WHERE mention_type = 'defines' UNION SELECT term, unit_id FROM m WHERE doc_id % 2 = 0", units=True)
+@query("insert_ignore", "SELECT term, unit_id FROM m WHERE mention_type = 'defines' UNION SELECT term, unit_id FROM m", units=True)
 def insert_ignore(spark, d):
     m = fx.mentions(fx.units(spark, d))
-    return store.insert_ignore(m.where("mention_type = 'defines'").select("term", "unit_id"), m.where("doc_id % 2 = 0").select("term", "unit_id"), ["term", "unit_id"])
+    return store.insert_ignore(m.where("mention_type = 'defines'").select("term", "unit_id"), m.select("term", "unit_id"), ["term", "unit_id"])
 
 
-@query("partial_update", "SELECT id, CASE WHEN doc_id % 3 = 0 THEN 'edited' ELSE name END AS name, status FROM u", units=True)
+@query("partial_update", "SELECT id, CASE WHEN type = 'Image' THEN 'edited' ELSE name END AS name, status FROM u", units=True)
 def partial_update(spark, d):
     u = fx.units(spark, d)
-    return store.partial_update(u.select("id", "name", "status"), u.where("doc_id % 3 = 0").select("id", L("edited").alias("name"), L(None).cast("string").alias("status")), "id", ["name", "status"])
+    return store.partial_update(u.select("id", "name", "status"), u.where("type = 'Image'").select("id", L("edited").alias("name"), L(None).cast("string").alias("status")), "id", ["name", "status"])
 
 
-@query("cascade_delete", "SELECT 'units' AS name, count(*) AS n FROM u WHERE page % 2 = 1 UNION ALL SELECT 'concept_mentions', count(*) FROM m JOIN u ON u.id = m.unit_id WHERE page % 2 = 1 AND term NOT IN ('tion', 'thre')"
+@query("cascade_delete", "SELECT 'units' AS name, count(*) AS n FROM u WHERE section[2] = 'en' UNION ALL SELECT 'concept_mentions', count(*) FROM m JOIN u ON u.id = m.unit_id WHERE section[2] = 'en' AND term NOT IN ('tion', 'thre')"
        " UNION ALL SELECT 'concepts', cast(8 AS BIGINT) UNION ALL SELECT 'concept_aliases', cast(8 AS BIGINT)", units=True)
 def cascade_delete(spark, d):
-    u = fx.units(spark, d).withColumn("document_id", F.when(F.col("page") % 2 == 1, "a").otherwise("b"))
+    u = fx.units(spark, d).withColumn("document_id", F.when(F.element_at("section", 2) == "en", "a").otherwise("b"))
     names = spark.createDataFrame([(v, "b" if v in ("tion", "thre") else "a") for v in fx.VOCABULARY], "id string, document_id string")
     out = store.cascade_delete({"units": u, "concepts": names, "concept_aliases": names.select(F.col("id").alias("concept_id")), "concept_mentions": fx.mentions(u).select(F.col("term").alias("concept_id"), "unit_id")}, "b")
     parts = [t.agg(F.count("*").alias("n")).select(L(k).alias("name"), "n") for k, t in out.items()]
@@ -185,16 +184,17 @@ def concept_mention_units(spark, d):
     return fx.mentions(u).where("term = 'tion' AND mention_type = 'defines'").join(u.select(F.col("id").alias("unit_id"), "type", "page"), "unit_id").select("term", "unit_id", "type", "page")
 
 
-@query("orphan_concepts_anti", "SELECT DISTINCT term FROM m WHERE doc_id < 5 AND term NOT IN (SELECT term FROM m WHERE doc_id BETWEEN 5 AND 8)", units=True)
+@query("orphan_concepts_anti", "SELECT DISTINCT term FROM m JOIN u ON u.id = m.unit_id WHERE section[2] = 'en' AND term NOT IN (SELECT term FROM m JOIN u ON u.id = m.unit_id WHERE section[2] = 'fr')", units=True)
 def orphan_concepts_anti(spark, d):
-    m = fx.mentions(fx.units(spark, d))
-    return m.where("doc_id < 5").select("term").distinct().join(m.where("doc_id BETWEEN 5 AND 8"), "term", "left_anti")
+    u = fx.units(spark, d)
+    m = fx.mentions(u).join(u.select(F.col("id").alias("unit_id"), F.element_at("section", 2).alias("lang")), "unit_id")
+    return m.where("lang = 'en'").select("term").distinct().join(m.where("lang = 'fr'"), "term", "left_anti")
 
 
-@query("delete_semi", "SELECT unit_id, term FROM m WHERE unit_id NOT IN (SELECT id FROM u WHERE page % 4 = 0)", units=True)
+@query("delete_semi", "SELECT unit_id, term FROM m WHERE unit_id NOT IN (SELECT id FROM u WHERE type = 'Image')", units=True)
 def delete_semi(spark, d):
     u = fx.units(spark, d)
-    return store.delete(fx.mentions(u).select("unit_id", "term"), u.where("page % 4 = 0").select(F.col("id").alias("unit_id")), ["unit_id"])
+    return store.delete(fx.mentions(u).select("unit_id", "term"), u.where("type = 'Image'").select(F.col("id").alias("unit_id")), ["unit_id"])
 
 
 @query("distinct_defined_concepts", "SELECT DISTINCT page, term FROM m JOIN u ON u.id = m.unit_id WHERE mention_type = 'defines'", units=True)
@@ -208,15 +208,15 @@ def status_counts(spark, d):
     return fx.units(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("term_group_defines", "SELECT doc_id % 100 AS k, term, CASE WHEN bool_or(mention_type = 'defines') THEN 'defines' ELSE 'mentions' END AS mention_type, count(*) AS n FROM m GROUP BY 1, 2", units=True)
+@query("term_group_defines", "SELECT doc_id // 10 AS k, term, CASE WHEN bool_or(mention_type = 'defines') THEN 'defines' ELSE 'mentions' END AS mention_type, count(*) AS n FROM m GROUP BY 1, 2", units=True)
 def term_group_defines(spark, d):
-    m = fx.mentions(fx.units(spark, d)).withColumn("k", F.col("doc_id") % 100)
+    m = fx.mentions(fx.units(spark, d)).withColumn("k", F.floor(F.col("doc_id") / 10))
     return m.groupBy("k", "term").agg(F.when(F.bool_or(F.col("mention_type") == "defines"), "defines").otherwise("mentions").alias("mention_type"), F.count("*").alias("n"))
 
 
-@query("string_agg_context", "SELECT page, string_agg(substr(content, 1, 40), chr(10) || '---' || chr(10) ORDER BY source_order) AS context FROM u GROUP BY page", units=True)
+@query("string_agg_context", "SELECT page, string_agg(content, chr(10) || '---' || chr(10) ORDER BY source_order) AS context FROM u GROUP BY page", units=True)
 def string_agg_context(spark, d):
-    u = fx.units(spark, d).select("page", F.struct("source_order", F.substring("content", 1, 40).alias("part")).alias("x"))
+    u = fx.units(spark, d).select("page", F.struct("source_order", F.col("content").alias("part")).alias("x"))
     return u.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["part"]), "\n---\n").alias("context"))
 
 
@@ -275,28 +275,28 @@ def cursor_page(spark, d):
     return fx.units(spark, d).select("id").orderBy("id").offset(50).limit(25)
 
 
-@query("union_ranked", "SELECT source, doc_id FROM (SELECT 'a' AS source, doc_id FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'b', doc_id FROM documents WHERE doc_id % 5 = 0)")
+@query("union_ranked", "SELECT source, doc_id FROM (SELECT 'a' AS source, doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT 'b', doc_id FROM documents WHERE n_chars > 1000)")
 def union_ranked(spark, d):
-    t = table(spark, d, "documents").select("doc_id")
-    return t.where("doc_id % 3 = 0").select(L("a").alias("source"), "doc_id").unionByName(t.where("doc_id % 5 = 0").select(L("b").alias("source"), "doc_id"))
+    t = table(spark, d, "documents")
+    return t.where("lang = 'en'").select(L("a").alias("source"), "doc_id").unionByName(t.where("n_chars > 1000").select(L("b").alias("source"), "doc_id"))
 
 
-@query("except_seen", "SELECT id FROM u WHERE doc_id % 3 = 0 EXCEPT SELECT id FROM u WHERE doc_id % 5 = 0", units=True)
+@query("except_seen", "SELECT id FROM u WHERE type <> 'Image' EXCEPT SELECT id FROM u WHERE status = 'done'", units=True)
 def except_seen(spark, d):
     u = fx.units(spark, d)
-    return u.where("doc_id % 3 = 0").select("id").join(u.where("doc_id % 5 = 0").select("id"), "id", "left_anti")
+    return u.where("type <> 'Image'").select("id").join(u.where("status = 'done'").select("id"), "id", "left_anti")
 
 
-@query("intersect_citations", "SELECT id FROM u WHERE doc_id % 3 = 0 INTERSECT SELECT id FROM u WHERE doc_id % 5 = 0", units=True)
+@query("intersect_citations", "SELECT id FROM u WHERE type <> 'Image' INTERSECT SELECT id FROM u WHERE status = 'done'", units=True)
 def intersect_citations(spark, d):
     u = fx.units(spark, d)
-    return u.where("doc_id % 3 = 0").select("id").intersect(u.where("doc_id % 5 = 0").select("id"))
+    return u.where("type <> 'Image'").select("id").intersect(u.where("status = 'done'").select("id"))
 
 
-@query("ordered_union", "SELECT id, min(p) AS priority FROM (SELECT id, cast(0 AS INTEGER) AS p FROM u WHERE doc_id % 9 = 0 UNION ALL SELECT id, 1 FROM u WHERE doc_id % 3 = 0) GROUP BY id", units=True)
+@query("ordered_union", "SELECT id, min(p) AS priority FROM (SELECT id, cast(0 AS INTEGER) AS p FROM u WHERE type = 'Image' UNION ALL SELECT id, 1 FROM u) GROUP BY id", units=True)
 def ordered_union(spark, d):
     u = fx.units(spark, d)
-    both = u.where("doc_id % 9 = 0").select("id", L(0).alias("priority")).unionByName(u.where("doc_id % 3 = 0").select("id", L(1).alias("priority")))
+    both = u.where("type = 'Image'").select("id", L(0).alias("priority")).unionByName(u.select("id", L(1).alias("priority")))
     return both.groupBy("id").agg(F.min("priority").alias("priority"))
 
 

@@ -15,15 +15,15 @@ from quillmere.streaming import events as ev
 L = F.lit
 
 
-@query("normalize_terms", r"SELECT conv_id, turn, regexp_replace(lower(nfc_normalize(regexp_replace(trim(substr(text, 1, 60)), '^\s+|\s+$', '', 'g'))), '\s+', ' ', 'g') AS term FROM conversations")
+@query("normalize_terms", r"SELECT conv_id, turn, regexp_replace(lower(nfc_normalize(regexp_replace(trim(text), '^\s+|\s+$', '', 'g'))), '\s+', ' ', 'g') AS term FROM conversations")
 def normalize_terms(spark, d):
     prepare(spark)
-    return table(spark, d, "conversations").select("conv_id", "turn", X.normalize_term(F.substring("text", 1, 60)).alias("term"))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.normalize_term(F.col("text")).alias("term"))
 
 
-@query("lexical_sanitise", """SELECT conv_id, turn, trim(regexp_replace(substr(text, 1, 80), '["''*:]', ' ', 'g')) AS q FROM conversations""")
+@query("lexical_sanitise", """SELECT conv_id, turn, trim(regexp_replace(text, '["''*:]', ' ', 'g')) AS q FROM conversations""")
 def lexical_sanitise(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", X.lexical_query(F.substring("text", 1, 80)).alias("q"))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.lexical_query(F.col("text")).alias("q"))
 
 
 @query("text_columns", "SELECT id, array_to_string(list_concat(defines, mentions), ' ') AS metadata_terms_text, array_to_string(section, ' > ') AS section_path_text, array_to_string(aliases, ', ') AS aliases_text FROM u", units=True)
@@ -157,13 +157,13 @@ def siblings(spark, d):
     return u.where("type = 'DataTableRow'").select("id", "parent_unit_id").join(b, "parent_unit_id").where("id <> sibling").select("id", "sibling")
 
 
-@query("children_parent_expand", """WITH s AS (SELECT * FROM u WHERE doc_id % 7 = 0 AND type NOT IN ('Rule', 'Image')), sd AS (SELECT id FROM u WHERE doc_id % 7 = 0),
+@query("children_parent_expand", """WITH s AS (SELECT * FROM u WHERE status = 'done' AND type NOT IN ('Rule', 'Image')), sd AS (SELECT id FROM u WHERE status = 'done'),
 x AS (SELECT u.id, 0 AS o, 'parent' AS role FROM s JOIN u ON u.id = s.parent_unit_id UNION ALL SELECT u.id, 1, 'sibling' FROM s JOIN u ON u.parent_unit_id = s.parent_unit_id AND u.id <> s.id WHERE s.type = 'DataTableRow'
   UNION ALL SELECT u.id, 2, 'child' FROM s JOIN u ON u.parent_unit_id = s.id WHERE s.type <> 'DataTableRow')
 SELECT id, arg_min(role, o) AS role FROM x WHERE id NOT IN (SELECT id FROM sd) GROUP BY id""", units=True)
 def children_parent_expand(spark, d):
     u = fx.units(spark, d)
-    return hierarchy.expand(u.where("doc_id % 7 = 0"), u).select("id", "role")
+    return hierarchy.expand(u.where("status = 'done'"), u).select("id", "role")
 
 
 def _named(u):
