@@ -160,7 +160,7 @@ def link_forest(nodes: DataFrame, n_words: int, radius: int, ratio: float = 0.0,
     members = nodes.withColumn("cell", code(axes))
     cells = members.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks"))
     tiles = (
-        members.join(cells, "cell")
+        members.join(F.broadcast(cells), "cell")  # at most 17 ** 4 cells with four lanes, a few hundred with one
         .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         .groupBy("cell", "chunk")
         .agg(F.collect_list(F.struct("node", "n", *(f"w{k}" for k in range(n_words)))).alias("members"))
