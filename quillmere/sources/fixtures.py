@@ -34,7 +34,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     parent_doc = (F.col("page") - 1) * 10 + above
     parent = F.when(above >= 0, X.unit_id(pick(UNIT_TYPES, parent_doc % 6), F.lit("doc"), F.col("page"), above))
     name = F.array_join(F.slice(F.split("content", " "), 1, 3), " ")
-    has = lambda t: F.filter(F.array(*map(F.lit, VOCABULARY)), lambda v: F.array_contains(t, v))
+    has = lambda t: F.array_intersect(F.array(*map(F.lit, VOCABULARY)), t)
     in_name, in_text = has(X.tokens(name)), has(X.tokens(F.col("content")))
     return base.select(
         "doc_id",
