@@ -34,13 +34,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by SimHash over five-word shingles, at an agreement of 0.8 or more, the smallest doc_id stays.
+    """Of each group linked by a Jaccard similarity of 0.8 or more of five-word shingle sets, the smallest doc_id stays.
 
-    256 bits with at most 51 that differ, and shingle counts in a ratio of 0.8 or more, which a Jaccard similarity
-    of 0.8 implies. Rows without any word form one group. Of rows that repeat, id and text alike, one stays.
+    Candidates are 256-bit SimHash fingerprints with at most 72 bits that differ, and shingle counts in a ratio of
+    0.8 or more, which that similarity implies; the sets themselves decide. Rows without any word form one group. Of rows that repeat, id and text alike, one stays.
     """
     rows = _marked(docs).withColumn("__id", F.struct("doc_id", "__k", "__k2"))
-    groups = simhash.simhash_groups(rows, id_col="__id", words=5, bits=256, radius=51, distinct=True, ratio=0.8, link_empty=False)
+    groups = simhash.simhash_groups(rows, id_col="__id", words=5, bits=256, radius=72, distinct=True, ratio=0.8, link_empty=False, jaccard=0.8)
     gone = store(groups.where("id <> component_id").select(F.col("id.__k").alias("k"), F.col("id.__k2").alias("k2")).distinct(), "copies")
     left = _without(docs, gone)
     repeated = store(_marked(left).groupBy("__k", "__k2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("__k").alias("k"), F.col("__k2").alias("k2")), "repeated")

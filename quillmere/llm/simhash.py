@@ -4,6 +4,9 @@ Fingerprints are gathered into tiles whose members have the same population coun
 if asked, about the same number of shingles). Two tiles meet only if their counts leave room for a pair within
 the radius; a pair of tiles that meets is compared in full with numpy exclusive-or and bit counts. Of the links
 found in a pair of tiles only a spanning forest is kept, as components need no more.
+
+Where a Jaccard similarity is asked for, these components are candidates only: within each, all pairs of shingle
+sets are compared exactly, in pairs of chunks, and only pairs that reach it link.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ from quillmere.session import prepare, store
 LOWER_AZ = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SHINGLES_AT_ONCE = 1 << 16
 TILE = 1024
+#: Shingle sets, and shingles, of about this number go into a chunk of the exact comparison.
+CHUNK_SETS, CHUNK_SHINGLES = 256, 1 << 20
+BROADCAST_ROWS = 1_000_000
 
 
 def shingles(text: str | None, words: int) -> list[bytes]:
@@ -50,32 +56,107 @@ def _digests(parts: list[bytes], bits: int) -> np.ndarray:
     return np.hstack([np.frombuffer(b"".join([h(x, 42 + k) for x in parts]), np.uint8).reshape(-1, 16) for k in range(bits // 128)])
 
 
-def fingerprint(parts: list[bytes], bits: int = 64) -> np.ndarray:
-    """The big-endian 64-bit words of a fingerprint; a bit is 1 if it is set in over half of the shingle hashes."""
+def bit_counts(parts: list[bytes], bits: int) -> np.ndarray:
+    """In how many of the shingle hashes each bit is set."""
     ones = np.zeros(bits, np.int64)
     for k in range(0, len(parts), SHINGLES_AT_ONCE):
         ones += np.unpackbits(_digests(parts[k : k + SHINGLES_AT_ONCE], bits), axis=1).sum(axis=0, dtype=np.uint32)
-    return np.packbits(ones * 2 > len(parts)).view(">u8").astype(np.uint64)
+    return ones
+
+
+def fingerprint(ones: np.ndarray, n: int) -> np.ndarray:
+    """The big-endian 64-bit words of a fingerprint; a bit is 1 if it is set in over half of the ``n`` shingle hashes."""
+    return np.packbits(ones * 2 > n).view(">u8").astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3, bits: int = 64, distinct: bool = False) -> DataFrame:
-    """(id, n_shingles, w0 ... w[bits/64 - 1]) for each row. A text without words, or null, has no shingles and zeros."""
+    """(id, t, t2, n_shingles, s, w0 ... w[bits/64 - 1]) for each row. A text without words, or null, has no shingles and zeros.
+
+    t and t2 are hashes of the text, s is one of the shingles, whatever their order.
+    """
     n = bits // 64
-    names = ["id", "n_shingles", *(f"w{k}" for k in range(n))]
+    names = ["id", "t", "t2", "n_shingles", "s", *(f"w{k}" for k in range(n))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts, made = [], np.zeros((b.num_rows, n), np.uint64)
-            for k, t in enumerate(b.column(1).to_pylist()):
+            counts, sums, made = [], np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, n), np.uint64)
+            for k, t in enumerate(b.column(3).to_pylist()):
                 parts = shingles(t, words)
                 parts = list(dict.fromkeys(parts)) if distinct else parts
                 counts.append(len(parts))
                 if parts:
-                    made[k] = fingerprint(parts, bits)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), *(pa.array(made[:, k].view(np.int64)) for k in range(n))], names)
+                    ones = bit_counts(parts, bits)
+                    made[k], sums[k] = fingerprint(ones, len(parts)), xxhash.xxh64_intdigest(ones.tobytes(), 7)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(counts, pa.int64()), pa.array(sums.view(np.int64)), *(pa.array(made[:, k].view(np.int64)) for k in range(n))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join([f"id {kind}", *(f"{x} long" for x in names[1:])]))
+    marked = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.hash(text_col).alias("t2"), F.col(text_col).alias("text"))
+    return marked.mapInArrow(run, ", ".join([f"id {kind}", "t long", "t2 int", *(f"{x} long" for x in names[3:])]))
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``texts`` (node, text) to (node, hashes): the hashes of a text's different shingles, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 32):  # so that the hashes of many long texts are not held at once
+                part = b.slice(k, 32)
+                sets = [np.unique(_digests(shingles(t, words), 64).view(np.int64).ravel()) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "hashes"])
+
+    return texts.mapInArrow(run, "node long, hashes array<long>")
+
+
+def similar(sets: list[np.ndarray], jaccard: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of sets whose Jaccard similarity is ``jaccard`` or more."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    if not sizes.sum():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(place, kind="stable")]
+    ends = np.cumsum(np.bincount(place))
+    starts = np.concatenate([[0], ends[:-1]])
+    left, right, at = [], [], 0
+    for i, n in enumerate(sizes):
+        mine = place[at : at + n]
+        at += n
+        shared = np.zeros(len(sets), np.int64)
+        long = ends[mine] - starts[mine]
+        for k in range(0, n, 4096):
+            some, count = starts[mine[k : k + 4096]], long[k : k + 4096]
+            held = np.repeat(some - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            shared += np.bincount(owner[held], minlength=len(sets))
+        j = np.nonzero(shared[i + 1 :] / np.maximum(1, n + sizes[i + 1 :] - shared[i + 1 :]) >= jaccard)[0] + i + 1
+        left.append(np.full(len(j), i))
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def confirmed(candidates: DataFrame, texts: DataFrame, words: int, jaccard: float) -> DataFrame:
+    """(u, v): links that connect what pairs of similar shingle sets connect, among nodes with the same root.
+
+    ``candidates``: node, n, t, t2, root; ``texts``: t, t2, text. The nodes of a root are dealt to chunks, and each
+    pair of chunks is compared in full, so that a task holds two chunks at once however many nodes a root has.
+    """
+    few = candidates.count() <= BROADCAST_ROWS
+    wanted = candidates.select("t", "t2", "node")
+    one = texts.join(F.broadcast(wanted) if few else wanted, ["t", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
+    sets = store(shingle_sets(one.select("node", "text"), words), "sets")
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
+    sizes = candidates.groupBy("root").agg(chunks.alias("chunks"))
+    dealt = candidates.join(sizes, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pairs = met.select("node", "root", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
+
+    def compare(found: pa.Table) -> pa.Table:
+        nodes = found["node"].to_numpy()
+        i, j = similar([x.values.to_numpy() for x in found["hashes"]], jaccard)
+        label = _forest(i, j, len(nodes))
+        hung = np.nonzero(label != np.arange(len(nodes)))[0]
+        return pa.table({"u": pa.array(nodes[hung], pa.int64()), "v": pa.array(nodes[label[hung]], pa.int64())})
+
+    return pairs.join(sets, "node").groupBy("root", "a", "b").applyInArrow(compare, "u long, v long")
 
 
 def _steps(lanes: int, quantum: int, radius: int, by_size: bool) -> list[tuple[int, ...]]:
@@ -196,27 +277,37 @@ def simhash_groups(
     ratio: float = 0.0,
     tile: int = TILE,
     link_empty: bool = True,
+    jaccard: float = 0.0,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, w0 ..., component_id (the smallest id reachable over links).
 
     Links join fingerprints at ``radius`` or fewer differing bits and, if ``ratio`` is given, with shingle counts
-    in that proportion or closer. Null and empty texts have fingerprint zero; with ``link_empty`` false they link
-    with each other only. Rows with a null id take part; a group of only such rows has a null component_id.
+    in that proportion or closer. With ``jaccard``, such pairs are candidates: only sets of shingles of that Jaccard
+    similarity or more link, compared exactly. Null and empty texts have fingerprint zero; with ``link_empty`` false,
+    or with ``jaccard``, they link with each other only. Rows with a null id take part; a group of only such rows has a null component_id.
     Repeated rows all come back. An empty table gives an empty table. Only ``id_col`` and ``text_col`` are read.
     """
     prepare(docs.sparkSession)
     n = bits // 64
     ws = [f"w{k}" for k in range(n)]
-    keys = ws + (["n_shingles"] if ratio or not link_empty else [])
-    prints = store(fingerprints(docs, id_col, text_col, words, bits, distinct), "prints")
+    keys = ws + (["n_shingles"] if ratio or jaccard or not link_empty else []) + (["s"] if jaccard else [])
+    prints = store(fingerprints(docs, id_col, text_col, words, bits, distinct or jaccard > 0), "prints")
     node = F.col("w0") if keys == ["w0"] else F.xxhash64(*keys)
     size = F.col("n_shingles") if "n_shingles" in keys else F.lit(0).cast("long")
-    nodes = store(prints.groupBy(*keys).agg(F.min("id").alias("least_id")).select(node.alias("node"), size.alias("n"), *ws, "least_id"), "nodes")
-    compared = nodes if link_empty else nodes.where("n > 0")
-    linked = connected_components(link_forest(compared.drop("least_id"), n, radius, ratio, tile))
+    nodes = store(prints.groupBy(*keys).agg(F.min("id").alias("least_id"), F.min(F.struct("t", "t2")).alias("one")).select(node.alias("node"), size.alias("n"), *keys, "least_id", "one"), "nodes")
+    compared = nodes
+    if jaccard:  # unlike sets reach it only from this size on
+        compared = nodes.where(F.col("n") / (F.col("n") + 1) >= jaccard)
+    elif not link_empty:
+        compared = nodes.where("n > 0")
+    linked = connected_components(link_forest(compared.select("node", "n", *ws), n, radius, ratio, tile))
+    if jaccard:
+        rooted = compared.select("node", "n", "one.t", "one.t2").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = linked.select("root").distinct()
+        candidates = store(rooted.join(several, "root", "left_semi"), "candidates")
+        texts = docs.select(F.xxhash64(text_col).alias("t"), F.hash(text_col).alias("t2"), F.col(text_col).alias("text"))
+        linked = connected_components(confirmed(candidates, texts, words, jaccard))
     rooted = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select(*ws, *(["n"] if len(keys) > n else []), "component_id")
-    if len(keys) > n:
-        named = named.withColumnRenamed("n", "n_shingles")
+    named = rooted.join(least, "root").select(*keys, "component_id")
     return prints.join(named, keys, "left").select("id", "n_shingles", *ws, "component_id")

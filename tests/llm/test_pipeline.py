@@ -65,6 +65,19 @@ def test_near_duplicates_leave_one_of_each_group(spark, small, docs):
             assert max(len(s & t) / len(s | t) for t in every if t != s and t) >= 0.5
 
 
+def test_near_duplicates_link_at_a_jaccard_of_just_0_8(spark, small):
+    made, want, k = [], set(), 0
+    for n, shared in [(4, 4), (60, 54), (200, 178), (200, 182), (203, 176), (300, 264), (300, 270)] * 12:  # pairs of n shingles with so many in common
+        words = [f"w{k}x{i}" for i in range(n + 4)]
+        tail = words[: shared + 4] + [f"v{k}x{i}" for i in range(n - shared or 1)]
+        a, b = shingle_set(" ".join(words)), shingle_set(" ".join(tail))
+        made += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(tail))]
+        want |= {2 * k} if len(a & b) >= 0.8 * len(a | b) else {2 * k, 2 * k + 1}
+        k += 1
+    left = STAGES["near_duplicates"](spark, spark.createDataFrame(made, "doc_id long, text string"), small)
+    assert {r.doc_id for r in left.collect()} == want and k < len(want) < 2 * k
+
+
 def test_decontamination_and_personal_data(spark, small, docs):
     clean = STAGES["decontamination"](spark, docs, small)
     gone = docs.count() - clean.count()
