@@ -256,8 +256,8 @@ def main_slots(places: list[tuple[str, ...]], constant: list[bool], link_share:
     """Which slots of one skeleton hold the article.
 
     Slots below an aside are out, but a heading in a header within an article is in. If any slot lies in an
-    article or main element, only such slots are in. Else slots mostly made of links are out. Template text, which
-    all pages of the host share in a slot, is out if some other slot remains.
+    article or main element, only such slots are in, whatever they hold. Else slots mostly made of links are out, and
+    template text, which all pages of the host share in a slot, is out if some other slot remains.
     """
     roles = [[role(x) for x in p] for p in places]
     inside = ["main" in r for r in roles]
@@ -270,9 +270,8 @@ def main_slots(places: list[tuple[str, ...]], constant: list[bool], link_share:
 
     keep = [not aside(p, r) for p, r in zip(places, roles, strict=True)]
     if any(k and i for k, i in zip(keep, inside, strict=True)):
-        keep = [k and i for k, i in zip(keep, inside, strict=True)]
-    else:
-        keep = [k and x <= 0.6 for k, x in zip(keep, link_share, strict=True)]
+        return [k and i for k, i in zip(keep, inside, strict=True)]
+    keep = [k and x <= 0.6 for k, x in zip(keep, link_share, strict=True)]
     if any(k and not c for k, c in zip(keep, constant, strict=True)):
         keep = [k and not c for k, c in zip(keep, constant, strict=True)]
     return keep
@@ -343,7 +342,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
     All pages of a host are evidence for its wrapper. A slot counts as template text if it held the same text on
-    all of its pages, ``evidence`` or more. Null or empty html gives an empty text. Pages without a host in their
+    all of its pages, ``evidence`` or more that differ in their texts or their structure. Null or empty html gives an empty text. Pages without a host in their
     url form a host of their own. Equal rows get equal texts; an empty table gives an empty table.
     """
     prepare(pages.sparkSession)
@@ -353,13 +352,15 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     seen = store(observe(rows, blocks=False), "skeletons")
     kinds = seen.groupBy("host", "mark").agg(F.first("skeleton").alias("skeleton"))
     _, maps = wrappers(kinds.select("host", "skeleton"))
-    maps = store(maps.join(kinds, ["host", "skeleton"]), "maps")
+    texts = F.xxhash64(F.transform("slots", lambda x: x["hash"]))  # copies of a page are no evidence of a template
+    differing = seen.select("host", "mark", texts.alias("texts")).distinct().groupBy("host", "mark").agg(F.count("*").alias("n"))
+    maps = store(maps.join(kinds, ["host", "skeleton"]).join(differing, ["host", "mark"]), "maps")
     sums = (
         seen.select("host", "mark", F.posexplode("slots").alias("k", "s"))
         .groupBy("host", "mark", "k")
-        .agg(F.count("*").alias("n"), F.min("s.hash").alias("low"), F.max("s.hash").alias("high"), F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links"))
+        .agg(F.min("s.hash").alias("low"), F.max("s.hash").alias("high"), F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links"))
     )
-    placed = sums.join(maps.select("host", "mark", "map"), ["host", "mark"]).select("host", F.expr("map[k]").alias("slot"), "n", "low", "high", "chars", "links")
+    placed = sums.join(maps.select("host", "mark", "map", "n"), ["host", "mark"]).select("host", F.expr("map[k]").alias("slot"), "n", "low", "high", "chars", "links")
     slots = placed.groupBy("host", "slot").agg(*(f(c).alias(c) for f, c in ((F.sum, "n"), (F.min, "low"), (F.max, "high"), (F.sum, "chars"), (F.sum, "links"))))
     # a repeated group or an optional part merges several slots, so constant means constant in all of them
     facts = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "n", (F.col("low") == F.col("high")).alias("same"), "chars", "links")).alias("slots"))

@@ -224,6 +224,17 @@ def test_wrappers_drop_what_surrounds_an_article(spark):
         assert got[k].split("\n\n") == [f"Title {k}", f"First bold{k}", f"Second {k}", f"a{k}", "b", *quote, f"1{k}", "2"]
 
 
+def test_copies_and_headings_within_an_article_are_no_template(spark):
+    own = "<div><p>Long story</p><p>of one page</p><blockquote>Only here</blockquote></div>"
+    rows = [(k, "https://a.example/same", own) for k in range(6)] + [(10 + k, f"https://a.example/{k}", f"<div><p>Story {k}</p><p>part {k}</p></div>") for k in range(6)]
+    rows += [(20 + k, f"https://b.example/{k}", f"<article><h2>Ingredients</h2><p>Flour {k}</p></article>") for k in range(6)]
+    rows += [(30 + k, f"https://c.example/{k}", f"<div><p>Text {k}</p><blockquote>Same below each</blockquote></div>") for k in range(6)]
+    got = {r.page_id: r.text for r in html_wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(6):
+        assert got[k] == "Long story\n\nof one page\n\nOnly here" and got[10 + k] == f"Story {k}\n\npart {k}"
+        assert got[20 + k] == f"Ingredients\n\nFlour {k}" and got[30 + k] == f"Text {k}"
+
+
 def test_wrapper_inference_finds_optional_and_repeated_groups():
     trees = [html_wrappers.written(html_wrappers.parse(x)[0]) for x in ("<h1>a</h1><p>b<p>c", "<h1>a</h1><ul><li>x<li>y</ul><p>b")]
     wrapper, maps = html_wrappers.infer(trees)
