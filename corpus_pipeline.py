@@ -65,9 +65,17 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each time that a document is taken, with its shard and its place in the shard."""
-    mixed = mixing.mix_sources(docs, keep=("lang",))
-    return mixing.mixture(mixed).select("doc_id", "source", "lang", "size", "target", "epoch", "shard", "words", "place")
+    """The mix: a row for each time that a document is taken, with its text, its shard and its place in the shard.
+
+    Where the rest of a source ends inside a document, the text is cut after its first ``words`` words. Draws are made on
+    rows without texts; each document's text then joins them once.
+    """
+    key = ["__k", "__k2"]
+    mixed = mixing.mix_sources(_marked(docs), keep=("lang", *key)).where("size(draws) > 0")
+    texts = _marked(docs).groupBy(*key).agg(F.first("text").alias("text"))
+    taken = mixing.mixture(mixed.join(texts, key))
+    text = F.when(F.col("words") < F.col("size"), mixing.first_words("text", "words")).otherwise(F.col("text"))
+    return taken.select("doc_id", "source", "lang", "size", "target", "epoch", "shard", "words", "place", text.alias("text"))
 
 
 STAGES = [

@@ -143,3 +143,8 @@ def mixture(mixed: DataFrame, seed: int = 42) -> DataFrame:
     rows = mixed.select("*", draw)
     place = F.xxhash64(F.col("doc_id"), F.col("draw.epoch"), F.lit(seed))
     return rows.select(*(c for c in mixed.columns if c != "draws"), "draw.epoch", "draw.shard", "draw.words", place.alias("place"))
+
+
+def first_words(text: str, n: str) -> Column:
+    """A text up to the end of its first ``n`` words, white space between them and in front included."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*+{WORD}+"), F.lit(0)), F.lit(1), F.col(n).cast("int")), "")

@@ -87,6 +87,16 @@ def test_decontamination_and_personal_data(spark, small, docs):
     assert all(not r.pii_spans for r in pii.find_pii(out).collect())
 
 
+def test_the_mix_holds_the_texts_it_takes(spark, small, docs):
+    texts = {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
+    out = STAGES["mixing"](spark, docs, small).collect()
+    cut = [r for r in out if r.words < r["size"]]
+    for r in out:
+        assert r.words == len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+        assert any(i == r.doc_id and t is not None and (t.startswith(r.text) if r.words < r["size"] else t == r.text) for i, t in texts)
+    assert cut and sum(r.words for r in out) == pytest.approx(sum(len((t or "").split()) for t in (r.text for r in docs.collect())), rel=0.05)
+
+
 def test_run_gives_the_mix_twice(spark, small):
     a, b = corpus_pipeline.run(spark, small), corpus_pipeline.run(spark, small)
     assert rows(a) == rows(b) and a.count() > 50
