@@ -81,7 +81,6 @@ RULES = [
 WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 SPLIT = re.compile(r"[^\n]+")
 HARD = re.compile(r"[.;:!?][\"')\]]*(?=\s|$)")
-MAX_LINES = 60
 
 
 def normalised(sentence: str) -> str:
@@ -105,8 +104,22 @@ def tables() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
 
 KNOWN, ORDERED = tables()
 KEYS = sorted(KNOWN)
-LONGEST = max(map(len, KEYS))
-TRIGGER = re.compile("|".join(["licen[sc]e", "permission", "redistribut", "copyright", "warrant", "free software", "unencumbered", "public license", *(re.escape(n) for n in ("CC BY", "CC-BY", "CC0", "GPL", "MPL"))]), re.I)
+#: Parts of words that most known sentences hold.
+COMMON = ["license", "licence", "permission", "redistribution", "copyright", "warranty", "unencumbered"]
+
+
+def trigger() -> re.Pattern:
+    """A cheap test of a text in lower case that every known sentence passes, wherever its lines break: it looks at single words only."""
+    left = [k for k in KEYS if not any(c in k for c in COMMON)]
+    named = {normalised(name).split()[0] for licence, names in NAMES.items() for name in [*names, licence]}
+    words = sorted({w for k in left for w in k.split() if w in named} - {"new"})
+    found = re.compile("|".join(COMMON) + "|(?<![a-z0-9])(?:" + "|".join(map(re.escape, words)) + ")(?![a-z0-9])")
+    if missed := [k for k in KEYS if not any(found.search(w) for w in k.split())]:
+        raise ValueError(f"the screen loses known sentences: {missed}")
+    return found
+
+
+TRIGGER = trigger()
 
 
 def pieces(text: str) -> list[tuple[int, int]]:
@@ -124,25 +137,30 @@ def pieces(text: str) -> list[tuple[int, int]]:
 
 
 def sentences(text: str) -> list[tuple[str, int, int]]:
-    """(identifier, start, end) of the known sentences; a sentence may join up to MAX_LINES pieces, the longest wins."""
-    if not TRIGGER.search(text):
+    """(identifier, start, end) of the known sentences; a sentence may join any number of pieces, the longest wins."""
+    if not TRIGGER.search(text.lower()):
         return []
-    parts, out, k = pieces(text), [], 0
+    parts, out, k, free = pieces(text), [], 0, 0
     while k < len(parts):
-        best = None
-        for j in range(k, min(len(parts), k + MAX_LINES)):
-            s, e = parts[k][0], parts[j][1]
-            if e - s > 4 * LONGEST:
+        best, words = None, ""
+        for j in range(k, len(parts)):
+            s, e = parts[j]
+            more = " ".join(WORD.findall(text[s:e].lower())) if words else normalised(text[s:e])
+            if not words and not more:  # a piece without words opens no sentence; the next that does takes it along
                 break
-            words = normalised(text[s:e])
+            words = f"{words} {more}".strip()
             place = bisect_left(KEYS, words)
             if place == len(KEYS) or not KEYS[place].startswith(words):
                 break
             if key := KNOWN.get(words):
-                best = (key, s + len(text[s:e]) - len(text[s:e].lstrip()), e, j)
+                best = (key, e, j)
         if best:
-            out.append(best[:3])
-            k = best[3] + 1
+            first = k
+            while first > free and not normalised(text[slice(*parts[first - 1])]):
+                first -= 1
+            s, e = parts[first]
+            out.append((best[0], s + len(text[s:e]) - len(text[s:e].lstrip()), best[1]))
+            k = free = best[2] + 1
         else:
             k += 1
     return out

@@ -167,6 +167,15 @@ def test_license_sentences_may_be_wrapped_and_rules_take_the_longest_run():
     assert licenses.sentences("the licence fee was paid") == []
 
 
+def test_every_known_license_sentence_is_found_alone_and_a_word_a_line():
+    for name, key in [("MIT", "MIT"), ("the Apache-2.0", "Apache-2.0"), ("the BSD-3-Clause", "BSD-3-Clause"), ("CC BY 4.0", "CC-BY-4.0")]:
+        assert [x[0] for x in licenses.match_rules(licenses.sentences(f"Text.\nReleased under {name}.\nMore"))] == [key]
+    for words, key in licenses.KNOWN.items():
+        assert [x[0] for x in licenses.sentences(words)] == [key]
+        assert [x[0] for x in licenses.sentences(words.replace(" ", "\n"))] == [key]
+    assert licenses.sentences("-\n" * 100_000 + "MIT")[1:] == []
+
+
 def test_mixing_meets_its_targets(spark, docs, texts):
     rows = mixing.mix_sources(docs, shards=5).collect()
     assert len(rows) == len(texts)
