@@ -2,16 +2,20 @@
 
 A page becomes a stream of block-level tags and text; runs of like siblings fold into repeated groups. The distinct
 streams of a host are aligned one after another: where they agree they match, where one has more the surplus
-becomes optional or joins a repeated group, and text becomes a slot. What each slot holds on all pages of the host
-(always the same text or not) and where it lies tells template from article.
+becomes optional or joins a repeated group, and text becomes a slot. What each slot of a host's wrapper holds on all
+pages of the host (always the same text or not, links or not) and where it lies tells template from article; a page's
+text is what stands in the wrapper's article slots.
+
+Pages may nest as deep, and be as broken, as they like: trees are walked without recursion, and a page is read in time
+in proportion to its length.
 """
 
 from __future__ import annotations
 
 import html as entities
-import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Generator, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from quillmere.session import prepare, store
 
 #: Elements whose content is no text, elements inside a block, and elements that hold no content.
-RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|canvas|audio|video"
+RAW = frozenset("script style noscript template svg math iframe object textarea canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends an open element of these kinds beside it.
@@ -44,13 +48,48 @@ ASIDE_WORDS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_TAGS = frozenset(["article", "main"])
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|<(/?)([a-z][a-z0-9:-]*+)[^>]*+>|<[!?/][^>]*+>",
-    re.S | re.I,
-)
+#: A tag; a quote counts only where a value may begin. Then the same where such a reading finds no end.
+TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+)>", re.I)
+BARE_TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*+)([^>]*+)>", re.I)
+RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*+>?", re.I) for x in RAW}
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it closes, attributes) of tags, in order; what has no text has an empty name.
+
+    A comment, or an element without text, that does not end reaches to the end of the page. Where no > follows, no tag
+    does. Each character is looked at a bounded number of times: once a tag whose quotes do not end has been met, quotes
+    no longer count on the page.
+    """
+    at, last, quotes = 0, page.rfind(">"), True
+    while 0 <= (start := page.find("<", at)):
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 2)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        if start > last:
+            return
+        found = TAG.match(page, start) if quotes else None
+        if found is None and page[start + 1 : start + 2].isascii() and (found := BARE_TAG.match(page, start)):
+            quotes = False
+        if found is None:
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                at = page.find(">", start) + 1
+                yield start, at, "", False, ""
+            continue
+        at, name = found.end(), found[2].lower()
+        if name in RAW and not found[1]:
+            if not found[3].endswith("/"):
+                end = RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
+            yield start, at, "br", False, ""
+        else:
+            yield start, at, name, bool(found[1]), found[3]
+
+
 class Node:
     """An element, or with label # a text slot; ``repeated`` and ``optional`` say how often it comes."""
 
@@ -62,6 +101,8 @@ class Node:
     def real(self) -> Node:
         node = self
         while node.alias is not None:
+            if node.alias.alias is not None:
+                node.alias = node.alias.alias
             node = node.alias
         return node
 
@@ -79,84 +120,145 @@ def label_of(name: str, attributes: str) -> str:
     return ".".join([name, *sorted(w for w in words if w)])
 
 
-def absorb(into: Node, node: Node) -> None:
-    """Align the children of ``node`` with those of ``into`` and merge them there; what one side lacks becomes optional."""
+def _walk(work: Generator) -> None:
+    """Run a generator that yields others to be run before it goes on: recursion without the stack."""
+    stack = [work]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def _absorb(into: Node, node: Node) -> Generator:
     into.repeated |= node.repeated
     into.optional |= node.optional
-    at, matched = 0, set()
-    for child in node.children:
-        k = next((k for k in range(at, len(into.children)) if into.children[k].label == child.label), None)
-        if k is None:
-            child.optional = True
-            into.children.insert(at, child)
-            matched.add(id(child))
-            at += 1
-        else:
-            absorb(into.children[k], child)
-            matched.add(id(into.children[k]))
-            at = k + 1
-    for child in into.children:
-        child.optional |= id(child) not in matched
     node.alias = into
-    fold(into)
+    old = into.children
+    if node.children or old:
+        places: dict[str, list[int]] = {}
+        for k, child in enumerate(old):
+            places.setdefault(child.label, []).append(k)
+        out: list[Node] = []
+        at, fresh = 0, []
+
+        def surplus(upto: int) -> None:
+            mine = old[at:upto]
+            for x in (*mine, *fresh):
+                x.optional = True
+            # neither side tells which comes first, so the labels decide, lest two pages put the same parts in two orders
+            out.extend(fresh + mine if not mine or (fresh and fresh[0].label < mine[0].label) else mine + fresh)
+            fresh.clear()
+
+        for child in node.children:
+            known = places.get(child.label, ())
+            k = bisect_left(known, at)
+            if k == len(known):
+                fresh.append(child)
+                continue
+            surplus(known[k])
+            same, at = old[known[k]], known[k] + 1
+            if child.children or same.children:
+                yield _absorb(same, child)
+            else:
+                child.alias, same.repeated, same.optional = same, same.repeated | child.repeated, same.optional | child.optional
+            out.append(same)
+        surplus(len(old))
+        into.children = out
+        yield _fold(into)
 
 
-def fold(node: Node) -> None:
-    """Merge adjoining like children into one repeated group."""
+def _fold(node: Node) -> Generator:
     out: list[Node] = []
     for child in node.children:
         if out and out[-1].label == child.label:
-            absorb(out[-1], child)
+            yield _absorb(out[-1], child)
             out[-1].repeated = True
         else:
             out.append(child)
     node.children = out
 
 
+def absorb(into: Node, node: Node) -> None:
+    """Align the children of ``node`` with those of ``into`` and merge them there; what one side lacks becomes optional."""
+    _walk(_absorb(into, node))
+
+
+def fold(node: Node) -> None:
+    """Merge adjoining like children into one repeated group."""
+    if len(node.children) > 1:
+        _walk(_fold(node))
+
+
+class Open:
+    """The open elements of a page: nodes, and for each name where it stands in the stack."""
+
+    def __init__(self) -> None:
+        self.root = Node("")
+        self.stack, self.names, self.at = [self.root], [""], {}
+
+    def push(self, name: str, node: Node) -> None:
+        self.stack[-1].children.append(node)
+        self.at.setdefault(name, []).append(len(self.stack))
+        self.stack.append(node)
+        self.names.append(name)
+
+    def close(self, down: int) -> None:
+        while len(self.stack) > down:
+            fold(self.stack.pop())
+            if name := self.names.pop():
+                self.at[name].pop()
+
+    def last(self, names) -> int:
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=0)
+
+    def make_room(self, name: str) -> None:
+        """Close what the opening tag ``name`` ends: a paragraph, and items, cells and rows beside it."""
+        if self.names[-1] == "p":
+            self.close(len(self.stack) - 1)
+        if name not in ENDS:
+            return
+        stop = self.last(BOUNDARY.get(name, "table").split())
+        if name == "tr":  # a cell and the row around it
+            first = [x[k] for x in (self.at.get(n, []) for n in ENDS[name]) if (k := bisect_right(x, stop)) < len(x)]
+            if first:
+                self.close(min(first))
+        elif (k := self.last(ENDS[name])) > stop:
+            self.close(k)
+
+
 def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
     """The tree of a page and its blocks in page order: text slot, text, and how many of its characters are in links."""
-    root = Node("")
-    stack, names = [root], [""]
+    held = Open()
     blocks: list[tuple[Node, str, int]] = []
     parts: list[str] = []
-    linked = in_link = 0
+    linked = in_link = last = 0
+
+    def text(piece: str) -> None:
+        nonlocal linked
+        piece = entities.unescape(piece) if "&" in piece else piece
+        parts.append(piece)
+        if in_link:
+            linked += len(piece)
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join("".join(parts).split())
+            whole = " ".join("".join(parts).split())
             parts.clear()
-            if text:
-                top = stack[-1]
+            if whole:
+                top = held.stack[-1]
                 if not top.children or top.children[-1].label != "#":
                     top.children.append(Node("#"))
-                blocks.append((top.children[-1], text, linked))
+                blocks.append((top.children[-1], whole, linked))
             linked = 0
 
-    def close(down: int) -> None:
-        while len(stack) > down:
-            fold(stack.pop())
-            names.pop()
-
-    def text(piece: str) -> None:
-        nonlocal linked
-        piece = entities.unescape(piece) if "&" in piece else piece
-        parts.append(piece)
-        if in_link:
-            linked += len(piece)
-
-    last = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > last:
-            text(page[last : m.start()])
-        last = m.end()
-        name = m[3] or m[6]
-        if not name:
-            if m[1]:
-                parts.append(" ")
-            continue
-        name, ending = name.lower(), m[2] or m[5]
-        if name in INLINE:
+    for start, end, name, ending, attributes in tokens(page):
+        if start > last:
+            text(page[last:start])
+        last = end
+        if name in INLINE or not name:
             if name == "a":
                 in_link = 0 if ending else 1
             continue
@@ -166,62 +268,48 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
         flush()
         in_link = 0
         if ending:
-            if name in names:
-                close(len(names) - 1 - names[::-1].index(name))
-            continue
-        if name in VOID:
-            continue
-        if names[-1] == "p":
-            close(len(stack) - 1)
-        if name in ENDS:
-            stop = BOUNDARY.get(name, "table").split()
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] in ENDS[name]:
-                    close(k)
-                    if name != "tr":
-                        break
-                elif names[k] in stop:
-                    break
-        node = Node(label_of(name, m[4] or ""))
-        stack[-1].children.append(node)
-        stack.append(node)
-        names.append(name)
+            if held.at.get(name):
+                held.close(held.at[name][-1])
+        elif name not in VOID:
+            held.make_room(name)
+            held.push(name, Node(label_of(name, attributes)))
     if last < len(page):
         text(page[last:])
     flush()
-    close(0)
-    return root, [(n.real(), t, k) for n, t, k in blocks]
+    held.close(0)
+    return held.root, [(n.real(), t, k) for n, t, k in blocks]
 
 
-def render(node: Node) -> list:
-    """A tree as nested lists: label, marks (+ for a repeated and ? for an optional group), children."""
-    return [node.label, "+" * node.repeated + "?" * node.optional, [render(x) for x in node.children]]
+def in_order(root: Node) -> Iterator[Node]:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo.extend(reversed(node.children))
 
 
 def written(root: Node) -> str:
-    return json.dumps(render(root), ensure_ascii=False, separators=(",", ":"))
+    """A tree as text: for each node in order its label, its marks (+ for a repeated and ? for an optional group) and how many children it has."""
+    return " ".join(f"{n.label or '/'} {'+' * n.repeated}{'?' * n.optional}{len(n.children)}" for n in in_order(root))
 
 
 def read(skeleton: str) -> tuple[Node, list[Node]]:
     """The tree that :func:`written` wrote, and its text slots in order."""
+    words = skeleton.split(" ")
+    top = Node("above")
     slots: list[Node] = []
-
-    def build(x: list) -> Node:
-        node = Node(x[0])
-        node.repeated, node.optional = "+" in x[1], "?" in x[1]
-        node.children = [build(y) for y in x[2]]
-        if node.label == "#":
+    todo = [[top, 1]]
+    for label, marks in zip(words[::2], words[1::2], strict=True):
+        while not todo[-1][1]:
+            todo.pop()
+        todo[-1][1] -= 1
+        node = Node("" if label == "/" else label)
+        node.repeated, node.optional = "+" in marks, "?" in marks
+        todo[-1][0].children.append(node)
+        if label == "#":
             slots.append(node)
-        return node
-
-    return build(json.loads(skeleton)), slots
-
-
-def slots_of(node: Node, above: tuple[str, ...] = ()) -> list[tuple[Node, tuple[str, ...]]]:
-    """Text slots in order, each with the labels above it."""
-    if node.label == "#":
-        return [(node, above)]
-    return [x for child in node.children for x in slots_of(child, (*above, node.label))]
+        todo.append([node, int(marks.lstrip("+?"))])
+    return top.children[0], slots
 
 
 def infer(skeletons: list[str]) -> tuple[str, list[list[int]]]:
@@ -232,7 +320,7 @@ def infer(skeletons: list[str]) -> tuple[str, list[list[int]]]:
         tree, more = read(x)
         absorb(wrapper, tree)
         seen.append(more)
-    order = {id(n): k for k, (n, _) in enumerate(slots_of(wrapper))}
+    order = {id(n): k for k, n in enumerate(x for x in in_order(wrapper) if x.label == "#")}
     return written(wrapper), [[order[id(n.real())] for n in each] for each in seen]
 
 
@@ -252,29 +340,40 @@ def role(label: str) -> str:
     return "aside" if name == "header" else ""
 
 
-def main_slots(places: list[tuple[str, ...]], constant: list[bool], link_share: list[float], chars: list[float]) -> list[bool]:
-    """Which slots of one skeleton hold the article.
+def places(wrapper: Node) -> list[tuple[bool, bool]]:
+    """For each text slot in order: whether it lies beside the article (below an aside), and whether in an article or main element.
 
-    Slots below an aside are out, but a heading in a header within an article is in. If any slot lies in an
-    article or main element, only such slots are in, whatever they hold. Else slots mostly made of links are out, and
-    template text, which all pages of the host share in a slot, is out if some other slot remains.
+    A heading in a header within an article is no aside.
     """
-    roles = [[role(x) for x in p] for p in places]
-    inside = ["main" in r for r in roles]
+    out: list[tuple[bool, bool]] = []
+    todo = [(wrapper, False, False, False)]  # node, below an aside, below a header of an article, below an article
+    while todo:
+        node, aside, header, main = todo.pop()
+        if node.label == "#":
+            out.append((aside or header, main))
+            continue
+        name, kind = node.label.split(".")[0], role(node.label)
+        if kind == "aside" and name == "header" and main:
+            header = True
+        elif kind == "aside":
+            aside = True
+        todo += [(x, aside, header and not (x.label == "#" and name in HEADINGS), main or kind == "main") for x in reversed(node.children)]
+    return out
 
-    def aside(p: tuple[str, ...], r: list[str]) -> bool:
-        for k, (x, y) in enumerate(zip(p, r, strict=True)):
-            if y == "aside" and not (x.split(".")[0] == "header" and "main" in r[:k] and p[-1].split(".")[0] in HEADINGS):
-                return True
-        return False
 
-    keep = [not aside(p, r) for p, r in zip(places, roles, strict=True)]
-    if any(k and i for k, i in zip(keep, inside, strict=True)):
-        return [k and i for k, i in zip(keep, inside, strict=True)]
-    keep = [k and x <= 0.6 for k, x in zip(keep, link_share, strict=True)]
-    if any(k and not c for k, c in zip(keep, constant, strict=True)):
-        keep = [k and not c for k, c in zip(keep, constant, strict=True)]
-    return keep
+def article(slots: list[dict], evidence: int) -> list[bool]:
+    """Which of a page's slots hold the article, from what the wrapper knows of each: aside, main, links and chars, n and same.
+
+    Slots beside the article are out. If any slot lies in an article or main element, only such slots are in, whatever
+    they hold. Else slots mostly made of links are out, and template text (the same on all of ``evidence`` or more
+    differing pages) is out if some other slot remains.
+    """
+    keep = [not x["aside"] for x in slots]
+    if any(k and x["main"] for k, x in zip(keep, slots, strict=True)):
+        return [k and x["main"] for k, x in zip(keep, slots, strict=True)]
+    keep = [k and x["links"] <= 0.6 * max(1, x["chars"]) for k, x in zip(keep, slots, strict=True)]
+    own = [k and not (x["same"] and x["n"] >= evidence) for k, x in zip(keep, slots, strict=True)]
+    return own if any(own) else keep
 
 
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
@@ -282,105 +381,109 @@ FOLD_AT_ONCE = 500
 BROADCAST_BYTES = 16 << 20
 
 
-def wrappers(observed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (host, skeleton) pairs, each once: (host, wrapper), and (host, skeleton, map, wrapper).
+def wrappers(observed: DataFrame, fold_at_once: int = FOLD_AT_ONCE) -> tuple[DataFrame, DataFrame]:
+    """From (host, skeleton) pairs, each once: (host, wrapper), and (host, skeleton, map): a skeleton's slots as the wrapper's.
 
-    A host with many distinct skeletons is folded in groups of about FOLD_AT_ONCE and then once more.
+    A host's skeletons are folded in groups of about ``fold_at_once``, the groups' wrappers again, and so on until one
+    is left, so that no task aligns more than about that many, however many structures a host has.
     """
-    sizes = observed.groupBy("host").agg(F.ceil(F.count("*") / FOLD_AT_ONCE).cast("int").alias("groups"))
-    parts = observed.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("skeleton"), F.col("groups")).cast("int")).select("host", "part", "skeleton")
 
-    def first(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = sorted(rows["skeleton"])
-        wrapper, maps = infer(found)
-        return pd.DataFrame({"host": key[0], "part": key[1], "skeleton": found, "map": maps, "partial": wrapper})
-
-    def second(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["part"])
-        wrapper, maps = infer(list(rows["partial"]))
-        return pd.DataFrame({"host": key[0], "part": list(rows["part"]), "map2": maps, "wrapper": wrapper})
-
-    low = store(parts.groupBy("host", "part").applyInPandas(first, "host string, part int, skeleton string, map array<int>, partial string"), "wrappers")
-    high = low.select("host", "part", "partial").distinct().groupBy("host").applyInPandas(second, "host string, part int, map2 array<int>, wrapper string")
-    both = low.join(high, ["host", "part"]).select("host", "skeleton", F.expr("transform(map, x -> map2[x])").alias("map"), "wrapper")
-    return both.select("host", "wrapper").distinct(), both
-
-
-def observe(pages: DataFrame, blocks: bool) -> DataFrame:
-    """Parse (page_id, url, host, html) rows: with ``blocks`` the texts, else a hash, size and link size of each slot."""
+    def align(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(size=-rows["skeleton"].str.len()).sort_values(["size", "skeleton", "part"], kind="stable")  # the fullest first, as it shows the order of parts
+        wrapper, maps = infer(list(rows["skeleton"]))
+        return pd.DataFrame({"host": key[0], "whole": key[1], "part": list(rows["part"]), "step": maps, "wrapper": wrapper})
+
+    schema = "host string, whole long, part long, step array<int>, wrapper string"
+    level = observed.select("host", F.xxhash64("skeleton").alias("part"), "skeleton")
+    maps = observed.select("host", "skeleton", F.xxhash64("skeleton").alias("part"), F.lit(None).cast("array<int>").alias("map"))
+    while True:
+        sizes = level.groupBy("host").agg(F.ceil(F.count("*") / fold_at_once).cast("int").alias("groups"))
+        dealt = level.join(sizes, "host").withColumn("whole", F.pmod(F.xxhash64("part"), F.col("groups")).cast("long")).select("host", "whole", "part", "skeleton")
+        done = store(dealt.groupBy("host", "whole").applyInPandas(align, schema), "wrappers")
+        maps = maps.join(done.select("host", "part", "whole", "step"), ["host", "part"])
+        maps = store(maps.select("host", "skeleton", F.col("whole").alias("part"), F.coalesce(F.expr("transform(map, x -> step[x])"), "step").alias("map")), "maps")
+        level = done.select("host", F.col("whole").alias("part"), F.col("wrapper").alias("skeleton")).distinct()
+        if not level.groupBy("host").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+            return level.select("host", F.col("skeleton").alias("wrapper")), maps.drop("part")
+
+
+def observe(pages: DataFrame) -> DataFrame:
+    """Parse (page_id, url, host, html) rows: skeleton and its mark, a hash, size and link size of each slot, and the texts."""
+    slot = pa.list_(pa.struct([("hash", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())]))
+    block = pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string())]))
+    names = ["page_id", "url", "host", "mark", "skeleton", "slots", "blocks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, trees, held = b.column(2).to_pylist(), [], []
+            trees, facts, texts = [], [], []
             for page in b.column(3).to_pylist():
                 root, found = parse(page or "")
-                order = {id(n): k for k, (n, _) in enumerate(slots_of(root))}
+                order = {id(n): k for k, n in enumerate(x for x in in_order(root) if x.label == "#")}
+                hashes, chars, links = [xxhash.xxh64(seed=1) for _ in order], [0] * len(order), [0] * len(order)
+                for n, t, k in found:
+                    x = order[id(n)]
+                    hashes[x].update(t.encode("utf-8", "surrogatepass") + b"\n")
+                    chars[x] += len(t)
+                    links[x] += k
                 trees.append(written(root))
-                if blocks:
-                    held.append([{"slot": order[id(n)], "text": t} for n, t, _ in found])
-                else:
-                    hashes, chars, links = [xxhash.xxh64(seed=1) for _ in order], [0] * len(order), [0] * len(order)
-                    for n, t, k in found:
-                        x = order[id(n)]
-                        hashes[x].update(t.encode("utf-8", "surrogatepass") + b"\n")
-                        chars[x] += len(t)
-                        links[x] += k
-                    held.append([{"hash": h.intdigest() - (1 << 63), "chars": c, "links": k} for h, c, k in zip(hashes, chars, links, strict=True)])
-            kind = pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string())] if blocks else [("hash", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())]))
+                facts.append([{"hash": h.intdigest() - (1 << 63), "chars": c, "links": k} for h, c, k in zip(hashes, chars, links, strict=True)])
+                texts.append([{"slot": order[id(n)], "text": t} for n, t, _ in found])
             marks = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 5) - (1 << 63) for x in trees]
-            if blocks:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(marks, pa.int64()), pa.array(held, kind)], ["page_id", "url", "host", "mark", "blocks"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(marks, pa.int64()), pa.array(trees), pa.array(held, kind)], ["host", "mark", "skeleton", "slots"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(marks, pa.int64()), pa.array(trees, pa.string()), pa.array(facts, slot), pa.array(texts, block)], names)
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, host string, mark long, blocks array<struct<slot:int,text:string>>" if blocks else "host string, mark long, skeleton string, slots array<struct<hash:long,chars:long,links:long>>"
-    return pages.select("page_id", "url", "host", "html").mapInArrow(run, schema)
+    return pages.select("page_id", "url", "host", "html").mapInArrow(
+        run, f"page_id {kind}, url string, host string, mark long, skeleton string, slots array<struct<hash:long,chars:long,links:long>>, blocks array<struct<slot:int,text:string>>"
+    )
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", evidence: int = 5) -> DataFrame:
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", evidence: int = 5, fold_at_once: int = FOLD_AT_ONCE) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
-    All pages of a host are evidence for its wrapper. A slot counts as template text if it held the same text on
-    all of its pages, ``evidence`` or more that differ in their texts or their structure. Null or empty html gives an empty text. Pages without a host in their
-    url form a host of their own. Equal rows get equal texts; an empty table gives an empty table.
+    All pages of a host are evidence for its wrapper. A slot of the wrapper counts as template text if it held the same
+    text on all of its pages, ``evidence`` or more that differ in their texts or their structure. Null or empty html gives
+    an empty text. Pages without a host in their url form a host of their own. Equal rows get equal texts; an empty table
+    gives an empty table. Other columns are not read. Each page is parsed once; what it holds is stored by slot.
     """
     prepare(pages.sparkSession)
     rows = pages.select(
-        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), HOST, 1)).alias("host"), F.col(html_col).alias("html")
+        F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), HOST, 1)).alias("host"), F.col(html_col).alias("html")
     )
-    seen = store(observe(rows, blocks=False), "skeletons")
+    seen = store(observe(rows), "parsed")
     kinds = seen.groupBy("host", "mark").agg(F.first("skeleton").alias("skeleton"))
-    _, maps = wrappers(kinds.select("host", "skeleton"))
+    wrapper, maps = wrappers(kinds.select("host", "skeleton"), fold_at_once)
     texts = F.xxhash64(F.transform("slots", lambda x: x["hash"]))  # copies of a page are no evidence of a template
     differing = seen.select("host", "mark", texts.alias("texts")).distinct().groupBy("host", "mark").agg(F.count("*").alias("n"))
-    maps = store(maps.join(kinds, ["host", "skeleton"]).join(differing, ["host", "mark"]), "maps")
+    maps = store(maps.join(kinds, ["host", "skeleton"]).join(differing, ["host", "mark"]).select("host", "mark", "map", "n"), "maps")
     sums = (
         seen.select("host", "mark", F.posexplode("slots").alias("k", "s"))
         .groupBy("host", "mark", "k")
         .agg(F.min("s.hash").alias("low"), F.max("s.hash").alias("high"), F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links"))
     )
-    placed = sums.join(maps.select("host", "mark", "map", "n"), ["host", "mark"]).select("host", F.expr("map[k]").alias("slot"), "n", "low", "high", "chars", "links")
+    placed = sums.join(maps, ["host", "mark"]).select("host", F.expr("map[k]").alias("slot"), "n", "low", "high", "chars", "links")
     slots = placed.groupBy("host", "slot").agg(*(f(c).alias(c) for f, c in ((F.sum, "n"), (F.min, "low"), (F.max, "high"), (F.sum, "chars"), (F.sum, "links"))))
     # a repeated group or an optional part merges several slots, so constant means constant in all of them
-    facts = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "n", (F.col("low") == F.col("high")).alias("same"), "chars", "links")).alias("slots"))
+    facts = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "n", (F.col("low") == F.col("high")).alias("same"), "chars", "links")).alias("slots"))  # as many as the wrapper has
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(64)
+        def of(host: str, tree: str) -> list[tuple[bool, bool]]:
+            return places(read(tree)[0])
+
         for b in batches:
             masks = []
-            for skeleton, indexes, known in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                places = [p for _, p in slots_of(read(skeleton)[0])]
-                of = {x["slot"]: x for x in known or []}
-                held = [of[i] for i in indexes]
-                masks.append(main_slots(places, [x["same"] and x["n"] >= evidence for x in held], [x["links"] / max(1, x["chars"]) for x in held], [x["chars"] for x in held]))
+            for host, tree, indexes, known in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                where, found = of(host, tree), {x["slot"]: x for x in known or []}
+                masks.append(article([found[i] | {"aside": where[i][0], "main": where[i][1]} for i in indexes], evidence))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(masks, pa.list_(pa.bool_()))], ["host", "mark", "keep"])
 
-    keep = store(maps.join(facts, "host", "left").select("host", "mark", "skeleton", "map", "slots").mapInArrow(decide, "host string, mark long, keep array<boolean>"), "masks")
+    known = maps.join(wrapper, "host").join(facts, "host", "left").select("host", "mark", "wrapper", "map", "slots")
+    keep = store(known.mapInArrow(decide, "host string, mark long, keep array<boolean>"), "masks")
     size = keep.agg(F.sum(F.octet_length("host") + F.size("keep") + 32)).first()[0] or 0
     kept = F.transform(F.filter("blocks", lambda x: F.get("keep", x.slot)), lambda x: x.text)
     text = F.coalesce(F.array_join(kept, "\n\n"), F.lit(""))
     return (
-        observe(rows, blocks=True)
+        seen.select("page_id", "url", "host", "mark", "blocks")
         .join(F.broadcast(keep) if size <= BROADCAST_BYTES else keep, ["host", "mark"], "left")
         .select("page_id", "url", text.alias("text"))
         .withColumn("n_chars", F.length("text").cast("long"))

@@ -247,8 +247,60 @@ def test_copies_and_headings_within_an_article_are_no_template(spark):
 def test_wrapper_inference_finds_optional_and_repeated_groups():
     trees = [html_wrappers.written(html_wrappers.parse(x)[0]) for x in ("<h1>a</h1><p>b<p>c", "<h1>a</h1><ul><li>x<li>y</ul><p>b")]
     wrapper, maps = html_wrappers.infer(trees)
-    assert wrapper == '["","",[["h1","",[["#","",[]]]],["ul","?",[["li","+",[["#","",[]]]]]],["p","+",[["#","",[]]]]]]'
+    assert wrapper == "/ 3 h1 1 # 0 ul ?1 li +1 # 0 p +1 # 0"
     assert maps == [[0, 2], [0, 1, 2]]
+    assert html_wrappers.written(html_wrappers.read(wrapper)[0]) == wrapper
+
+
+def made_page(rng, host, tagged):
+    """A page of a site and its article's blocks, known from how it was made. Sites name no parts; only wrappers tell them."""
+    say = lambda n: " ".join(f"w{rng.integers(10**6)}" for _ in range(n))
+    blocks, parts = [], []
+    for _ in range(rng.integers(1, 7)):
+        kind = ["p", "h2", "ul", "table", "blockquote", "pre"][rng.integers(6)]
+        if kind == "ul":
+            items = [say(3) for _ in range(rng.integers(1, 4))]
+            parts.append("<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>")
+            blocks += items
+        elif kind == "table":
+            cells = [say(2) for _ in range(4)]
+            parts.append("<table><tr><td>{}<td>{}<tr><td>{}<td>{}</table>".format(*cells))
+            blocks += cells
+        else:
+            words = say(rng.integers(1, 9)).split()
+            parts.append(f"<{kind}>" + " \n".join(f"<b>{w}</b>" if rng.integers(4) == 0 else w for w in words) + f"</{kind}>")
+            blocks.append(" ".join(words))
+    inner = "".join(parts)
+    inner = f"<article>{inner}</article>" if tagged else f"<div><div>{inner}</div></div>"
+    links = "".join(f'<li><a href="/{k}">{say(2)}</a></li>' for k in range(4))
+    before = [f"<section><h5>{host} daily</h5><h6>all rights</h6></section>", f"<ol>{links}</ol>"]
+    after = [f"<dl><dt>Find {host} here<dd>Street 1</dl>", "<script>x('<p>no</p>')</script>", "<form>Your name <input></form>"]
+    return "<html><head><title>t</title></head><body>" + "".join(before) + inner + "".join(x for x in after if rng.integers(4)) + "</body>", blocks
+
+
+def test_html_text_of_made_pages_comes_from_the_wrappers(spark):
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for k in range(240):
+        page, blocks = made_page(rng, f"h{k % 6}", k % 6 < 2)
+        rows.append((k, f"https://h{k % 6}.example/{k}", page))
+        want[k] = "\n\n".join(blocks)
+    rows += [(1000 + i, u, p) for i, u, p in rows[:30]]  # repeated pages
+    want |= {1000 + k: want[k] for k in range(30)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "slots": F.lit(2), "mark": F.lit(3)})
+    texts = lambda **o: {r.page_id: r.text for r in html_wrappers.extract_main_text(pages, **o).collect()}
+    assert texts() == want
+    assert texts(fold_at_once=8) == want  # however the skeletons of a host are grouped
+    off = texts(evidence=10**9)  # without what the wrappers know, template text stays on all pages without an article element
+    assert {k for k in want if off[k] != want[k]} == {k for k in want if k % 1000 % 6 >= 2}
+
+
+def test_deep_broken_and_very_long_pages_take_linear_time(spark):
+    n = 100_000
+    odd = ["<div>" * n + "deep" + "</div>" * n, "<div>x" * n, "<a " * 330_000, '<a =">"' * 150_000, "<p>kept" + "<script " * n, "<ul>" + "<li><p>a<b>x</b>" * 50_000, "<div>" * 50_000 + "<dt>a</dt>" * 50_000, "&" * 10**6, "<!--" * n, "a" * 3 * 10**6]
+    rows = [(k, f"http://odd.example/{k}", p) for k, p in enumerate(odd)]
+    got = {r.page_id: r.text for r in html_wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "deep" and got[1].count("x") == n and got[4].startswith("kept") and got[5].count("ax") == 50_000 and got[6].count("a") == 50_000
+    assert got[7] == odd[7] and got[8] == "" and got[9] == odd[9]
 
 
 def brute_statistics(t):
