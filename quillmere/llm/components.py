@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from quillmere.session import discard, store
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v: long) to (node, root), root being the smallest node reachable; nodes without edges are absent.
 
     Each round does a large star (every neighbour above a node is hung on the smallest neighbour) and a small
     star (every neighbour below, likewise), both as a group-by and an equi-join that adaptive execution can
-    split where a star is large. Rounds grow with the logarithm of a component's diameter. Null ends and self
-    loops are ignored; an empty table gives an empty table.
+    split where a star is large. Rounds go on until nothing changes; they grow with the logarithm of a component's
+    diameter. Null ends and self loops are ignored; an empty table gives an empty table.
     """
     both_ends = F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))
     ordered = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
     now = store(edges.where(both_ends).select(*ordered).distinct(), "cc")
     last = None
-    for _ in range(max_rounds):
+    while True:
         mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (mark.n, mark.x) == last:
             break
