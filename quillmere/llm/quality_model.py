@@ -104,9 +104,9 @@ LETTERS, CAPITALS, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"[A-ZÀ-ÖØ-
 
 
 def shape(word: str) -> str:
-    """Runs of letters become a, Aa or A and runs of digits 0; other characters stay. Only the first 64 characters count."""
+    """Runs of letters become a, Aa or A and runs of digits 0; other characters stay."""
     kind = lambda m: "a" if not CAPITALS.search(m[0]) else "Aa" if m[0][1:].islower() else "A"
-    return DIGITS.sub("0", LETTERS.sub(kind, word[:64]))
+    return DIGITS.sub("0", LETTERS.sub(kind, word))
 
 
 @lru_cache(1 << 12)
@@ -114,15 +114,22 @@ def named(name: str) -> int:
     return zlib.crc32(name.encode()) % DIMENSIONS
 
 
-def features(text: str) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
-    """Votes, number of words, and hashed features: index (repeats add up) and weight. Whole texts count, however long."""
+def facts_of(text: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of words, votes, hashed words and shapes with how often each occurs, and the measures. Whole texts count, however long."""
     raw, ids, facts, counts = parsed(text)
     values = measures(raw, ids, facts, counts)
-    share = counts / max(1, len(ids))
-    extra = [named(f"m{k}:{int(min(x, 4) * 20)}") for k, x in enumerate(values)] + [named(f"t{k}") for k in range(len(values))] + [named(f"n{len(ids).bit_length()}")]
-    index = np.concatenate([facts[:, 0], facts[:, 1], extra]).astype(np.int32)
-    weight = np.concatenate([0.3 * share, share, np.full(len(values), 0.5), np.minimum(values, 1.0), [0.3]]).astype(np.float32)
-    return votes(values, len(ids)), len(ids), index, weight
+    both = np.concatenate([facts[:, 0], facts[:, 1] + DIMENSIONS])  # shapes after words
+    index, place = np.unique(both, return_inverse=True)
+    return len(ids), votes(values, len(ids)), index.astype(np.uint16), np.bincount(place, np.concatenate([counts, counts]), len(index)).astype(np.int32), values
+
+
+def features(n: int, index: np.ndarray, counts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features from :func:`facts_of`: index (repeats add up) and weight."""
+    share = counts / max(1, n)
+    word = index < DIMENSIONS
+    extra = [named(f"m{k}:{int(min(x, 4) * 20)}") for k, x in enumerate(values)] + [named(f"t{k}") for k in range(len(values))] + [named(f"n{n.bit_length()}")]
+    at = np.concatenate([np.where(word, index, index - DIMENSIONS), extra]).astype(np.int32)
+    return at, np.concatenate([np.where(word, 0.3, 1.0) * share, np.full(len(values), 0.5), np.minimum(values, 1.0), [0.3]])
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> dict:
@@ -160,7 +167,7 @@ def train_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
     if not len(rows):
         return w, -1.0
     index = np.concatenate([i for i, _ in rows])
-    value = np.concatenate([v for _, v in rows]).astype(np.float64)
+    value = np.concatenate([v for _, v in rows])
     row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
     m, v = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     for t in range(1, rounds + 1):
@@ -173,75 +180,62 @@ def train_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
     return w, float(bias)
 
 
-def vote_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_words, pattern, mark) of each row: votes as one number in base three, and a hash for sampling."""
+def document_facts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, mark, n_words, pattern, n_bad_votes, i, c, v) of each row: a hash for sampling, votes as one number in base three, and :func:`facts_of` as bytes."""
+    names = ["id", "mark", "n_words", "pattern", "n_bad_votes", "i", "c", "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ns, codes = [], []
+            out: list[list] = [[] for _ in names[2:]]
             for t in b.column(1).to_pylist():
-                found = parsed(t or "")
-                ns.append(len(found[1]))
-                codes.append(int(votes(measures(*found), len(found[1])) @ POWERS))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(codes, pa.int64()), b.column(2)], ["id", "n_words", "pattern", "mark"])
+                n, cast, index, counts, values = facts_of(t or "")
+                for x, y in zip(out, (n, int(cast @ POWERS), int((cast == BAD).sum()), index.tobytes(), counts.tobytes(), values.tobytes()), strict=True):
+                    x.append(y)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("mark")).mapInArrow(
-        run, f"id {kind}, n_words long, pattern long, mark long"
+        run, f"id {kind}, mark long, n_words long, pattern long, n_bad_votes long, i binary, c binary, v binary"
     )
 
 
+def unpacked(n: int, i: bytes, c: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return features(n, np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(c, np.int32), np.frombuffer(v, np.float64))
+
+
 def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 6000, threshold: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_bad_votes, posterior and score (both: probability of bad), kept, mark.
 
-    ``train_rows`` bounds the training sample in expectation: documents whose hash of id and text is below a
-    threshold, drawn alike at every size. The labellers, their accuracies and the scores cover all rows. A null
-    text counts as empty: all labellers abstain. Equal rows get equal results; an empty table gives an empty table.
+    Texts are parsed once and what the labellers and the scorer look at is stored. ``train_rows`` bounds the training
+    sample in expectation: documents whose hash of id and text is below a threshold, drawn alike at every size. The
+    labellers, their accuracies and the scores cover all rows and whole texts. A null text counts as empty: all labellers
+    abstain. Equal rows get equal results; an empty table gives an empty table. Other columns are not read.
     """
     spark = prepare(docs.sparkSession)
-    table = store(vote_table(docs, id_col, text_col), "votes")
-    found = table.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** len(LABELLERS) rows
+    facts = store(document_facts(docs, id_col, text_col), "facts")
+    found = facts.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** len(LABELLERS) rows
     codes = np.array([r["pattern"] for r in found], np.int64)
     counts = np.array([r["count"] for r in found], np.float64)
     patterns = codes[:, None] // POWERS[None, :] % 3
     posterior = dict(zip(codes.tolist(), expectation_maximisation(patterns, counts)["posterior"].tolist(), strict=True))
 
     share = min(1.0, train_rows / max(1.0, counts.sum()))
-    mark = F.xxhash64(F.col(id_col), F.col(text_col))
-    sample = docs.where(mark < F.lit(int((share - 0.5) * 2**64) if share < 1 else 2**63 - 1).cast("long"))
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[], [], [], []]
-            for m, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                cast, _, index, value = features(t or "")
-                for x, y in zip(out, (m, int(cast @ POWERS), index.tobytes(), value.tobytes()), strict=True):
-                    x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["mark", "pattern", "i", "v"])
-
-    rows = sample.select(mark.alias("mark"), F.col(text_col).alias("text")).mapInArrow(sketch, "mark long, pattern long, i binary, v binary").collect()
-    rows.sort(key=lambda r: (r.mark, r.pattern, bytes(r.i)))
-    weights, bias = train_scorer(
-        [(np.frombuffer(r.i, np.int32), np.frombuffer(r.v, np.float32)) for r in rows], np.array([posterior.get(r.pattern, 0.5) for r in rows])
-    )
+    rows = facts.where(F.col("mark") < F.lit(int((share - 0.5) * 2**64) if share < 1 else 2**63 - 1).cast("long")).select("mark", "pattern", "n_words", "i", "c", "v").collect()
+    rows.sort(key=lambda r: (r.mark, r.pattern, bytes(r.i), bytes(r.c)))
+    weights, bias = train_scorer([unpacked(r.n_words, r.i, r.c, r.v) for r in rows], np.array([posterior.get(r.pattern, 0.5) for r in rows]))
     shared = spark.sparkContext.broadcast((weights, bias, posterior))  # DIMENSIONS weights, and one number per vote pattern
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b0, beliefs = shared.value
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for t in b.column(1).to_pylist():
-                cast, n, index, value = features(t or "")
-                z = float(w[index] @ value.astype(np.float64)) + b0
-                for x, y in zip(out, (n, int((cast == BAD).sum()), beliefs.get(int(cast @ POWERS), 0.5), 1 / (1 + np.exp(-max(-40.0, min(40.0, z))))), strict=True):
-                    x.append(y)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())],
-                ["id", "mark", "n_words", "n_bad_votes", "posterior", "score"],
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), mark.alias("mark")).mapInArrow(
-        score, f"id {kind}, mark long, n_words long, n_bad_votes long, posterior double, score double"
-    )
+            known, scores = [], []
+            for code, n, i, c, v in zip(*(b.column(k).to_pylist() for k in ("pattern", "n_words", "i", "c", "v")), strict=True):
+                index, value = unpacked(n, i, c, v)
+                known.append(beliefs.get(code, 0.5))
+                scores.append(1 / (1 + np.exp(-max(-40.0, min(40.0, float(w[index] @ value) + b0)))))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("id", "mark", "n_words", "n_bad_votes")), pa.array(known, pa.float64()), pa.array(scores, pa.float64())], ["id", "mark", "n_words", "n_bad_votes", "posterior", "score"])
+
+    kind = facts.schema["id"].dataType.simpleString()
+    scored = facts.mapInArrow(score, f"id {kind}, mark long, n_words long, n_bad_votes long, posterior double, score double")
     return scored.withColumn("kept", F.col("score") < threshold)
