@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillmere.session import prepare
+from quillmere.session import prepare, store
 
 #: Fixed value: the published split pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK = 1024
+BLOCK = 128
 
 _encoders: dict[str, object] = {}
 
@@ -33,7 +33,7 @@ def encoder(path: str):
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str, text_col: str = "text", ship: bool = False) -> DataFrame:
-    """(n_tokens) of each row; null is an empty text. ``vocabulary``: a file that executors can open too, or ``ship`` it."""
+    """(n_tokens) of each row; null is an empty text. Whole texts are encoded, however long. ``vocabulary``: a file that executors can open too, or ``ship`` it."""
     spark = prepare(docs.sparkSession)
     name = vocabulary.rsplit("/", 1)[-1]
     if ship:
@@ -52,10 +52,11 @@ def length_report(lengths: DataFrame) -> DataFrame:
 
     n_docs (of just that length), docs_longer (above L), tokens_kept (each document truncated to L), tokens_lost,
     and share_within (documents of at most L tokens, as a share: the quantile that L is). The histogram has one row
-    per distinct length. Suffix sums run within blocks of lengths and then over the blocks, so no task holds them all.
+    per distinct length and is stored, so that texts are encoded once. Suffix sums run within blocks of lengths and then
+    over the blocks, so no task holds them all.
     """
     block = F.floor(F.col("n_tokens") / BLOCK)
-    hist = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", block)
+    hist = store(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", block), "lengths")
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
@@ -84,6 +85,9 @@ def length_report(lengths: DataFrame) -> DataFrame:
     )
 
 
-def token_counts(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
-    """The report of :func:`length_report` over whole texts. An empty table gives an empty report."""
-    return length_report(encoded_lengths(docs, vocabulary, text_col))
+def token_counts(docs: DataFrame, vocabulary: str, text_col: str = "text", ship: bool = False) -> DataFrame:
+    """The report of :func:`length_report` over whole texts, each row counted, repeats included.
+
+    A null text counts as one of no tokens. An empty table gives an empty report. Other columns are not read.
+    """
+    return length_report(encoded_lengths(docs, vocabulary, text_col, ship))
