@@ -25,6 +25,8 @@ from quillmere.session import prepare, store
 MAGIC = b"\x1f\x8b\x08"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = 1 << 18
+#: Digests that repeat, of some 100 bytes each, are broadcast up to this number.
+BROADCAST_ROWS = 500_000
 RECORD_FIELDS = "path string, offset long, record_type string, record_id string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -51,15 +53,21 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """(page_id, url, payload, digest, leader): leader is the page that a revisit refers to, null for a response.
 
     Payloads of at least ``least`` bytes that are equal: the largest page_id is the response (each of its rows, if
-    rows repeat), the others, and rows without an id, revisit it. Only digests that occur twice join back.
+    rows repeat), the others, and rows without an id, revisit it. Null html is an empty payload, a null url stays null;
+    a page without an id is never referred to. Payloads are shuffled only where more digests repeat than a broadcast
+    holds, and then only those of at least ``least`` bytes. Other columns are not read; an empty table gives no records.
     """
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload")
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload")
     ).withColumn("digest", F.sha1("payload"))
-    large = rows.where(F.octet_length("payload") >= least)
-    leaders = large.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL")
-    leader = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("first_id")), F.col("first_id"))
-    return rows.join(leaders.drop("n"), "digest", "left").select("page_id", "url", "payload", "digest", leader.alias("leader"))
+    large = F.octet_length("payload") >= least
+    found = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL")
+    leaders = store(found.drop("n"), "leaders")
+    leader = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("first_id")), F.col("first_id")).alias("leader")
+    cols = ["page_id", "url", "payload", "digest"]
+    if leaders.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(leaders), large & (rows["digest"] == leaders["digest"]), "left").select(*(rows[c] for c in cols), leader)
+    return rows.where(large).join(leaders, "digest", "left").select(*cols, leader).unionByName(rows.where(~large).select(*cols, F.lit(None).cast("long").alias("leader")))
 
 
 def write_warc(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", roll: int = 256 << 20) -> DataFrame:
@@ -210,7 +218,10 @@ def read_warc(archives: DataFrame, range_bytes: int = 8 << 20, payloads: bool =
                             rows, held = [], 0
         yield batch()
 
-    return ranges.repartition(F.col("path"), F.col("start")).select("path", "bytes", "start").mapInArrow(run, RECORD_FIELDS)
+    ranges = store(ranges.select("path", "bytes", "start"), "ranges")
+    # a number of our own, lest the few bytes that name the ranges be merged into one task, which would read them all
+    tasks = min(max(1, ranges.count()), max(64, 4 * archives.sparkSession.sparkContext.defaultParallelism))
+    return ranges.repartition(tasks).mapInArrow(run, RECORD_FIELDS)
 
 
 def page_id_of(column: str):
