@@ -2,8 +2,8 @@
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers: the protected entities. Over the whole corpus,
 a term that stands next to an entity in several different texts is weighed by how much it tells: the share of the
-texts with the term that hold the entity, and the bits it adds over the entity's own frequency. Terms above both
-thresholds disclose the entity even where it is removed, so each of their occurrences is generalised too.
+texts with the term that hold the entity anywhere, and the bits it adds over the entity's own frequency. Terms above
+both thresholds disclose the entity even where it is removed, so each of their occurrences is generalised too.
 """
 
 from __future__ import annotations
@@ -60,18 +60,36 @@ SCREENS: dict[str, Callable[[Column], Column]] = {
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; named within a lambda as it stands, it would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Matches that are counted up together: a step copies what its block has so far, so that blocks keep the work linear.
+MATCHES = 128
+
+
 def located(text: Column, pattern: Column, kind: str) -> Column:
     """All leftmost non-overlapping matches as spans, positions in code points: pieces between matches give the offsets."""
-    found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    pairs = F.arrays_zip(found.alias("value"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("left"))
+    length = lambda x: F.length(x["left"]) + F.length(x["value"])
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["left"])
+        end = start + F.length(x["value"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(between, i))
-        value = F.get(found, i)
-        end = start + F.length(value)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), value.alias("value")))).alias("out"))
+    def block(z: Column, base: Column, k: Column) -> Column:
+        first = F.struct(F.aggregate(F.slice(base, F.lit(1), k), F.lit(0), lambda n, x: n + x).alias("at"), F.array().cast(SPAN).alias("out"))
+        return F.aggregate(F.slice(z, k * MATCHES + 1, F.lit(MATCHES)), first, step)["out"]
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step)["out"])
+    def spans(z: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(z) - 1) / MATCHES).cast("int"))
+        totals = F.transform(blocks, lambda k: F.aggregate(F.slice(z, k * MATCHES + 1, F.lit(MATCHES)), F.lit(0), lambda n, x: n + length(x)))
+        return bound(totals, lambda base: F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / MATCHES).cast("int")), lambda k: block(z, base, k))))
+
+    return bound(pairs, lambda z: F.when(F.size(z) > 0, spans(z)))
 
 
 def base_spans(text: str) -> Column:
@@ -90,31 +108,56 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def disclosing_terms(keyed: DataFrame, support: int, share: float, bits: float, near: int, reach: int = 120) -> DataFrame:
+def mentions_of(text: str, near: int) -> Column:
+    """(entity, terms) of each base span: ``near`` words on either side are its context, up to the next match of the same kind.
+
+    Whole words count, whatever their number of characters; words are runs of two letters or more in lower case.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    filled = lambda a: F.filter(F.split(F.lower(a), LETTERS, -1), lambda x: F.length(x) >= 2)
+
+    def of(kind: str) -> Column:
+        pattern = F.lit(PATTERNS[kind])
+        values, between = F.regexp_extract_all(t, pattern, F.lit(0)), F.split(t, pattern, -1)
+        sides = F.arrays_zip(values.alias("value"), F.slice(between, F.lit(1), F.size(values)).alias("left"), F.slice(between, F.lit(2), F.size(values)).alias("right"))
+
+        def mention(s: Column) -> Column:
+            left, right = filled(s["left"]), filled(s["right"])
+            context = F.concat(F.slice(left, F.greatest(F.lit(1), F.size(left) - near + 1), F.lit(near)), F.slice(right, 1, near))
+            name = digits_of(s["value"]) if kind in ("card", "phone") else F.lower(s["value"])
+            return F.struct(F.concat_ws(":", F.lit(kind), name).alias("entity"), F.array_distinct(context).alias("terms"))
+
+        found = F.transform(F.filter(sides, lambda s: CHECKS[kind](s["value"])), mention)
+        return F.when(SCREENS[kind](t) & (F.size(values) > 0), found).otherwise(F.array().cast("array<struct<entity:string,terms:array<string>>>"))
+
+    return F.concat(*(of(k) for k in KINDS))
+
+
+def words_of(keyed: DataFrame) -> DataFrame:
+    """(k, k2, term) of each word of each text, repeats included."""
+    return keyed.select("k", "k2", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), LETTERS, -1)).alias("term"))
+
+
+def disclosing_terms(keyed: DataFrame, support: int, share: float, bits: float, near: int) -> DataFrame:
     """(term): terms that reveal an entity. ``keyed``: text and its key (k, k2).
 
-    ``near`` words on either side of a mention are its context (within ``reach`` characters). Different texts count,
-    so copies are no evidence. A term needs ``support`` texts with it beside the entity, which must be at least
-    ``share`` of all texts with the term, and must raise the entity's probability by ``bits`` bits.
+    Different texts count, so copies are no evidence. A term is weighed if it stands beside the entity in ``support``
+    texts; the texts that hold both anywhere must then be at least ``share`` of all texts with the term, and the term
+    must raise the entity's probability by ``bits`` bits.
     """
-    spans = keyed.withColumn("spans", base_spans("text")).where("size(spans) > 0")
-    each = spans.select("k", "k2", "text", F.explode("spans").alias("s"))
-    value = F.when(F.col("s.kind").isin("card", "phone"), digits_of(F.col("s.value"))).otherwise(F.lower("s.value"))
-    low = F.greatest(F.lit(0), F.col("s.start") - reach)
-    before = F.split(F.lower(F.substring(F.col("text"), low + 1, F.col("s.start") - low)), LETTERS, -1)
-    after = F.split(F.lower(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(reach))), LETTERS, -1)
-    filled = lambda a: F.filter(a, lambda x: F.length(x) >= 3)
-    left, right = filled(before), filled(after)
-    terms = F.array_distinct(F.concat(F.slice(left, F.greatest(F.lit(1), F.size(left) - near + 1), F.lit(near)), F.slice(right, 1, near)))
-    mentions = store(each.select("k", "k2", F.concat_ws(":", "s.kind", value).alias("entity"), terms.alias("terms")), "mentions")
-    of_entity = mentions.select("entity", "k", "k2").distinct().groupBy("entity").agg(F.count("*").alias("c_e"))
-    beside = mentions.select("entity", "k", "k2", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("c_te")).where(F.col("c_te") >= support)
-    beside = store(beside.join(of_entity, "entity"), "beside")
-    words = keyed.select("k", "k2", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), LETTERS, -1)).alias("term"))
-    of_term = words.join(beside.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("c_t"))
+    each = keyed.select("k", "k2", F.explode(mentions_of("text", near)).alias("m"))
+    mentions = store(each.select("k", "k2", "m.entity", "m.terms"), "mentions")
+    held = mentions.select("entity", "k", "k2").distinct()
+    of_entity = held.groupBy("entity").agg(F.count("*").alias("c_e"))
+    beside = mentions.select("entity", "k", "k2", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("near")).where(F.col("near") >= support)
+    beside = store(beside.join(of_entity, "entity").select("entity", "term", "c_e"), "beside")
+    terms = beside.select("term").distinct()
+    texts = store(words_of(keyed).join(F.broadcast(terms) if beside.count() <= BROADCAST_ROWS else terms, "term", "left_semi").distinct(), "texts")
+    of_term = texts.groupBy("term").agg(F.count("*").alias("c_t"))
+    both = held.join(beside.select("entity", "term"), "entity").join(texts, ["k", "k2", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("c_te"))
     total = keyed.select("k", "k2").distinct().agg(F.count("*").alias("n"))
     told = F.log2(F.col("c_te") * F.col("n") / (F.col("c_t") * F.col("c_e")))
-    weighed = beside.join(of_term, "term").join(F.broadcast(total))  # one row
+    weighed = beside.join(both, ["entity", "term"]).join(of_term, "term").join(F.broadcast(total))  # one row
     return weighed.where((F.col("c_te") >= share * F.col("c_t")) & (told >= bits)).select("term").distinct()
 
 
@@ -127,8 +170,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     """
     keyed = docs.select(F.col(text_col).alias("text")).select("text", F.xxhash64("text").alias("k"), F.hash("text").alias("k2"))
     found = store(disclosing_terms(keyed, support, share, bits, near), "disclosing")
-    words = keyed.select("k", "k2", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), LETTERS, -1)).alias("term"))
-    by_text = words.join(found, "term", "left_semi").distinct().groupBy("k", "k2").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("__pii_terms"))
+    by_text = words_of(keyed).join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, "term", "left_semi").distinct().groupBy("k", "k2").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("__pii_terms"))
     by_text = store(by_text, "termed")
     n = by_text.count()
     by_text = by_text.select(F.col("k").alias("__pii_k"), F.col("k2").alias("__pii_k2"), "__pii_terms")

@@ -48,7 +48,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY, ship=True)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ FROM p LEFT JOIN m ON p.dg = m.dg
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(cast(doc_id AS VARCHAR), 'null') || ':42') AS mark FROM documents),
+         md5(coalesce(cast(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) || ':42') AS mark FROM documents),
 s AS (SELECT source, cast(sum(size) AS BIGINT) AS ss,
              1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS w FROM d GROUP BY source),
 k AS (SELECT *, 3.0 * ss / w AS ratio, sum(ss) OVER () AS total FROM s),
@@ -136,20 +136,21 @@ f AS (SELECT r, 'email' AS kind, 1 AS o, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A
   UNION ALL SELECT r, 'phone', 4, '\+[0-9][\x20().0-9-]+[0-9]', text FROM d WHERE contains(text, '+')),
 x AS (SELECT r, kind, o, regexp_extract_all(text, p) AS m, string_split_regex(text, p) AS g FROM f),
 e AS (SELECT r, kind, o, m, g, unnest(m) AS v, unnest(range(1, len(m) + 1)) AS i FROM x WHERE len(m) > 0),
-s AS (SELECT r, kind, o, v, regexp_replace(v, '[^0-9]', '', 'g') AS dg,
+s AS (SELECT r, kind, o, v, g[i] AS g0, g[i + 1] AS g1, regexp_replace(v, '[^0-9]', '', 'g') AS dg,
         cast(list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda y: length(y))), 0) AS BIGINT) AS a FROM e),
-b AS (SELECT r, kind, o, v, dg, a, a + length(v) AS z FROM s WHERE kind = 'email'
+b AS (SELECT r, kind, o, v, g0, g1, dg, a, a + length(v) AS z FROM s WHERE kind = 'email'
   OR kind = 'ip' AND list_bool_and(list_transform(string_split(v, '.'), lambda y: length(ltrim(y, '0')) <= 3 AND coalesce(try_cast(y AS HUGEINT), 999) <= 255))
   OR kind = 'phone' AND length(dg) BETWEEN 8 AND 15
   OR kind = 'card' AND length(dg) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, cast(length(dg) AS BIGINT) + 1), lambda y:
        CASE WHEN y % 2 = 1 THEN cast(dg[length(dg) - y + 1] AS INTEGER) ELSE cast(dg[length(dg) - y + 1] AS INTEGER) * 2 - CASE WHEN dg[length(dg) - y + 1] > '4' THEN 9 ELSE 0 END END)) % 10 = 0),
 c AS (SELECT d.text, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN dg ELSE lower(v) END AS entity,
-        list_filter(string_split_regex(lower(d.text[greatest(0, a - 120) + 1 : a]), '[^\p{L}]+'), lambda y: length(y) >= 3) AS lft,
-        list_filter(string_split_regex(lower(d.text[z + 1 : z + 120]), '[^\p{L}]+'), lambda y: length(y) >= 3) AS rgt FROM b JOIN d ON d.r = b.r),
+        list_filter(string_split_regex(lower(g0), '[^\p{L}]+'), lambda y: length(y) >= 2) AS lft,
+        list_filter(string_split_regex(lower(g1), '[^\p{L}]+'), lambda y: length(y) >= 2) AS rgt FROM b JOIN d ON d.r = b.r),
 ce AS (SELECT entity, count(DISTINCT text) AS c_e FROM c GROUP BY entity),
-ct AS (SELECT entity, term, count(DISTINCT text) AS c_te FROM (SELECT entity, text, unnest(list_concat(lft[greatest(1, len(lft) - 2) :], rgt[1:3])) AS term FROM c) GROUP BY 1, 2 HAVING count(DISTINCT text) >= 3),
+cn AS (SELECT entity, term FROM (SELECT entity, text, unnest(list_concat(lft[greatest(1, len(lft) - 2) :], rgt[1:3])) AS term FROM c) GROUP BY 1, 2 HAVING count(DISTINCT text) >= 3),
 w AS (SELECT text, unnest(list_distinct(string_split_regex(lower(text), '[^\p{L}]+'))) AS term FROM (SELECT DISTINCT text FROM d)),
-tt AS (SELECT term, count(*) AS c_t FROM w WHERE term IN (SELECT term FROM ct) GROUP BY term),
+tt AS (SELECT term, count(*) AS c_t FROM w WHERE term IN (SELECT term FROM cn) GROUP BY term),
+ct AS (SELECT cn.entity, cn.term, count(*) AS c_te FROM cn JOIN (SELECT DISTINCT entity, text FROM c) h ON h.entity = cn.entity JOIN w ON w.text = h.text AND w.term = cn.term GROUP BY 1, 2),
 t AS (SELECT DISTINCT ct.term FROM ct JOIN ce ON ce.entity = ct.entity JOIN tt ON tt.term = ct.term, (SELECT count(DISTINCT text) AS n FROM d)
       WHERE c_te >= 0.8 * c_t AND log2(c_te * n / (c_t * c_e)::DOUBLE) >= 5),
 lx AS (SELECT r, regexp_extract_all(text, '\p{L}+') AS m, string_split_regex(text, '\p{L}+') AS g FROM d WHERE text IN (SELECT text FROM w WHERE term IN (SELECT term FROM t))),
