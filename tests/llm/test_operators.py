@@ -51,6 +51,14 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_a_chain_that_once_took_more_rounds_than_allowed(spark):
+    rng = np.random.default_rng(2)
+    names = rng.permutation(3000).tolist()
+    edges = list(zip(names, names[1:]))
+    found = {r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {0}
+
+
 def brute_fingerprint(text, words=3):
     w = WORD.findall((text or "").translate(AZ))
     parts = [" ".join(w[k : k + words]) for k in range(len(w) - words + 1)] if len(w) > words else [" ".join(w)] if w else []
@@ -105,6 +113,88 @@ def test_quality_classifier_on_held_out_labels(spark):
     assert good.kept.mean() >= 0.98 and (~bad.kept).mean() >= 0.9  # labels are not used in training
 
 
+def brute_vote(t):
+    """The ten labellers in plain Python, word by word: (bad votes, good votes)."""
+    t = t or ""
+    w = WORD.findall(t)
+    n = max(1, len(w))
+    lines = [x.rstrip(" \t\n\v\f\r") for x in t.split("\n") if WORD.search(x)]
+    runs = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    inside = {p for k in range(len(w) - 4) if runs[tuple(w[k : k + 5])] > 1 for p in range(k, k + 5)}
+    values = [
+        sum(t.count(c) for c in "#*$%&|<>") / n, sum(x.isupper() and len(x) > 1 for x in w) / n, len(inside) / n, (len(lines) - len(set(lines))) / max(1, len(lines)),
+        sum(x == "|" for x in w) / n, t.count("!") / n, sum(a == b for a, b in zip(w, w[1:])) / n, max(Counter(w).values(), default=0) / n,
+        sum(x.isascii() and not any(c.isalpha() for c in x) for x in w) / n, sum(not x.endswith((".", "!", "?", ":", ";", "…", '"', "'", "»", ")")) for x in lines) / max(1, len(lines)),
+    ]
+    cast = [None if len(w) < least else "bad" if v > bad else "good" if v < good else None for v, (_, bad, good, least) in zip(values, quality_model.LABELLERS, strict=True)]
+    return cast, values, w
+
+
+def test_labellers_posteriors_and_scores_are_those_of_a_row_by_row_version(spark, small):
+    d = table(spark, small, "documents")
+    got = {r.id: r for r in quality_model.quality_scores(d).collect()}
+    texts = {r.doc_id: r.text for r in d.collect()}
+    cast = {i: brute_vote(t)[0] for i, t in texts.items()}
+    for i in texts:
+        assert got[i].n_bad_votes == cast[i].count("bad") and got[i].n_words == len(WORD.findall(texts[i] or ""))
+    # expectation-maximisation over documents instead of patterns, in plain loops
+    m = len(quality_model.LABELLERS)
+    post = {i: ([0.0] + [(v == "bad") / c.count("bad") for v in c]) if c.count("bad") else [1.0] + [0.0] * m for i, c in cast.items()}
+    for _ in range(50):
+        odds = [[[1 + sum(post[i][c] for i in texts if cast[i][k] == v) for v in ("bad", "good")] for k in range(m)] for c in range(m + 1)]
+        odds = [[[b / (b + g), g / (b + g)] for b, g in row] for row in odds]
+        odds[0] = [[min(b, 0.005), 1 - min(b, 0.005)] for b, _ in odds[0]]
+        share = [1 + sum(p[c] for p in post.values()) for c in range(m + 1)]
+        share = [x / sum(share) for x in share]
+        for i, votes in cast.items():
+            like = [share[c] * np.prod([odds[c][k][0 if v == "bad" else 1] for k, v in enumerate(votes) if v]) for c in range(m + 1)]
+            post[i] = [x / sum(like) for x in like]
+    for i in texts:
+        assert got[i].posterior == pytest.approx(1 - post[i][0], abs=1e-9)
+    # the scorer again: all rows are its sample here, so training on the same soft labels gives the same scores
+    rows = []
+    for i, t in texts.items():
+        _, values, w = brute_vote(t)
+        n = max(1, len(w))
+        x = Counter()
+        for word, c in Counter(w).items():
+            x[quality_model.hashed(b"w", word.lower().encode())] += 0.3 * c / n
+            x[quality_model.hashed(b"s", quality_model.shape(word).encode())] += c / n
+        for k, v in enumerate(values):
+            x[quality_model.named(f"m{k}:{int(min(v, 4) * 20)}")] += 0.5
+            x[quality_model.named(f"t{k}")] += min(v, 1.0)
+        x[quality_model.named(f"n{len(w).bit_length()}")] += 0.3
+        rows.append((i, np.array(list(x)), np.array(list(x.values()))))
+    weights, bias = quality_model.train_scorer([(a, b) for _, a, b in rows], np.array([1 - post[i][0] for i, _, _ in rows]))
+    for i, a, b in rows:
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(weights[a] @ b + bias))), abs=1e-4)
+        assert got[i].kept == (got[i].score < 0.5)
+
+
+def test_known_labeller_accuracies_are_recovered():
+    rng = np.random.default_rng(11)
+    m, n = len(quality_model.LABELLERS), 40_000
+    reason = np.where(rng.random(n) < 0.8, -1, rng.integers(0, m, n))  # good, or bad for what labeller k looks for
+    right = np.linspace(0.7, 0.97, m)
+    cast = np.where(rng.random((n, m)) < 0.002, quality_model.BAD, quality_model.GOOD)
+    for k in range(m):
+        cast[reason == k, k] = np.where(rng.random((reason == k).sum()) < right[k], quality_model.BAD, quality_model.GOOD)
+    cast[rng.random((n, m)) < 0.2] = quality_model.ABSTAIN
+    patterns, counts = np.unique(cast, axis=0, return_counts=True)
+    found = quality_model.expectation_maximisation(patterns, counts.astype(float))
+    assert found["share"][0] == pytest.approx(0.8, abs=0.08)
+    assert [found["odds"][1 + k, k, quality_model.BAD] for k in range(m)] == pytest.approx(right.tolist(), abs=0.3)
+    assert (found["odds"][0, :, quality_model.BAD] <= 0.005 + 1e-9).all()
+    sure = found["posterior"][[(p == quality_model.BAD).any() for p in patterns]]
+    assert sure.min() > 0.5
+
+
+def test_words_that_differ_after_64_characters_have_their_own_shapes():
+    assert quality_model.shape("a" * 64 + "-" + "b" * 9) == "a-a" != quality_model.shape("a" * 64 + "_9")
+    n, cast, index, counts, _ = quality_model.facts_of("x" * 10**6 + " y")
+    assert n == 2 and counts.sum() == 4
+
+
 def test_quality_classifier_takes_odd_rows(docs, texts):
     once = quality_model.quality_scores(docs).collect()
     assert len(once) == len(texts) and all(0 <= r.score <= 1 for r in once)
@@ -113,7 +203,7 @@ def test_quality_classifier_takes_odd_rows(docs, texts):
     assert quality_model.quality_scores(empty(docs)).count() == 0
 
 
-def test_warc_round_trip_over_small_ranges(spark, small):
+def test_warc_round_trip_over_small_ranges(spark, small, monkeypatch):
     pages = table(spark, small, "pages")
     big = "<p>" + "same " * 400
     odd = [(None, None, None), (5000, "u v", ""), (5001, "x", "\x1f short"), (6001, "a", big), (6003, "b", big), (6002, "c", big), (6003, "b", big), (None, "d", big)]
@@ -136,6 +226,13 @@ def test_warc_round_trip_over_small_ranges(spark, small):
         want[(r.page_id, "revisit" if again else "response", leader if again else None, len(body), hashlib.sha1(body).hexdigest(), None if again else body)] += 1
     assert got == want
     assert warc.read_warc(warc.write_warc(warc.plan_records(empty(pages)), scratch_path(spark, "warc"))).count() == 0
+    tasks = warc.read_warc(archives, range_bytes=3001).groupBy(F.spark_partition_id()).count().count()
+    assert tasks > 8  # ranges are read by many tasks
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    key = lambda df: Counter((r.page_id, r.url, bytes(r.payload), r.leader) for r in df.collect())
+    shuffled = warc.plan_records(pages)
+    monkeypatch.undo()
+    assert key(shuffled) == key(warc.plan_records(pages))
 
 
 def test_warc_reader_skips_what_is_no_record():
@@ -194,13 +291,64 @@ def test_mixing_meets_its_targets(spark, docs, texts):
     assert mixing.mix_sources(empty(docs)).count() == 0 and mixing.mixture(mixing.mix_sources(docs)).count() > 0
 
 
-def test_targets_and_quotas():
-    assert mixing.targets([100, 100, 100], [1, 2, 3]) == pytest.approx([50, 100, 150])
-    assert mixing.targets([1, 100, 400], [1, 2, 3]) == pytest.approx([3, 199.2, 298.8])
-    assert mixing.targets([0, 0], [1, 2]) == [0, 0] and mixing.targets([], []) == []
+def brute_targets(sizes, weights, cap=3.0):
+    out, open_ = [0.0] * len(sizes), set(range(len(sizes)))
+    while open_:
+        left = sum(sizes) - sum(out[k] for k in range(len(sizes)) if k not in open_)
+        level = left / sum(weights[k] for k in open_)
+        over = [k for k in open_ if level * weights[k] > cap * sizes[k]]
+        if not over:
+            for k in open_:
+                out[k] = level * weights[k]
+            break
+        for k in over:
+            out[k] = cap * sizes[k]
+            open_.discard(k)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [1, 100, 400], [0, 0], [5], [3, 0, 9, 1000, 2, 2, 7], list(range(40)), [10**12, 1, 5 * 10**11]])
+def test_targets_are_those_of_refilling_by_hand(spark, sizes):
+    rows = spark.createDataFrame([(None if k == len(sizes) - 1 else f"s{k:03d}", 1, n) for k, n in enumerate(sizes)], "source string, n long, size long").repartition(3)
+    got = {r.source: r for r in mixing.source_targets(rows, (1, 2, 3), 3.0).collect()}
+    want = brute_targets(sizes, [1 + k % 3 for k in range(len(sizes))])
+    for k, n in enumerate(sizes):
+        r = got[None if k == len(sizes) - 1 else f"s{k:03d}"]
+        assert (r.place, r["size"]) == (k, n) and r.target == pytest.approx(want[k])
+    assert mixing.source_targets(rows.limit(0), (1, 2, 3), 3.0).count() == 0
+
+
+def test_quotas_are_dealt_exactly_in_groups_too(spark, monkeypatch):
     q = mixing.split_quotas([1000, 10, 0, 333], 7, 3)
     assert q.sum(axis=0).tolist() == [1000, 10, 0, 333] and q.sum(axis=1).max() - q.sum(axis=1).min() <= 3
     assert (q == mixing.split_quotas([1000, 10, 0, 333], 7, 3)).all()
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    quotas = [(f"s{k}", k, (k * 37) % 101) for k in range(30)]
+    dealt = {r.key: np.diff([0, *r.shard_ends]) for r in mixing.shard_shares(spark.createDataFrame(quotas, "key string, place long, quota long"), 5, 9).collect()}
+    assert {k: x.sum() for k, x in dealt.items()} == {k: n for k, _, n in quotas} and all((x >= 0).all() for x in dealt.values())
+    per_shard = sum(dealt.values())
+    assert per_shard.max() - per_shard.min() <= 3
+
+
+def test_mixing_many_sources_small_blocks_null_ids_and_clashing_names(spark, monkeypatch, tmp_path):
+    rows = [(None if k % 3 == 0 else k, f"w{k} " * (k % 17), None if k % 50 == 0 else f"src{k % 50}", k) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").withColumns({"key": F.lit("x"), "mark": F.lit(1), "draws": F.lit(2)})
+    monkeypatch.setattr(mixing, "GROUP", 8)
+    found = mixing.mix_sources(docs, block_docs=4, keep=("size", "key")).collect()
+    per = defaultdict(int)
+    for r in found:
+        per[r.source] += sum(d.words for d in r.draws)
+        assert r.kept_size % 50 == (0 if r.source is None else int(r.source[3:])) and r.key == "x"
+    names = sorted({r.source for r in found} - {None}) + [None]
+    sizes = [sum(r["size"] for r in found if r.source == s) for s in names]
+    for s, aim in zip(names, brute_targets(sizes, [1 + k % 3 for k in range(len(names))]), strict=True):
+        assert abs(per[s] - aim) <= 0.5
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 30)  # blocks grow instead of a draw beyond what numpy can
+    assert sum(d.words for r in mixing.mix_sources(docs).collect() for d in r.draws) == pytest.approx(sum(per.values()), rel=0.01)
+    mixed = mixing.mixture(mixing.mix_sources(docs))
+    mixing.write_shards(mixed, f"{tmp_path}/shards")
+    again = spark.read.parquet(f"{tmp_path}/shards")
+    assert again.count() == mixed.count() and again.agg(F.sum("words")).first()[0] == mixed.agg(F.sum("words")).first()[0]
 
 
 def plain_article(page):
@@ -327,6 +475,18 @@ def test_quality_rules(spark, small, docs, texts):
     assert quality_rules.quality_rules(empty(docs), labels).count() == 0
 
 
+def test_quality_rules_reject_bad_rows_whose_labels_they_have_not_seen(spark):
+    d = "/root/testdata/sf0.01"
+    labels = table(spark, d, "labels")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    rows = quality_rules.quality_rules(table(spark, d, "documents"), labels.where(half)).collect()
+    unseen = {r.doc_id: r.quality for r in labels.where(~half).collect()}
+    good, bad = [r for r in rows if unseen.get(r.id) == 1], [r for r in rows if unseen.get(r.id) == 0]
+    judged = [r for r in bad if not r.base_failed]
+    assert sum(r.kept for r in good) >= 0.97 * len(good) and len(bad) > 20
+    assert sum(not r.kept for r in bad) >= 0.9 * len(bad) and sum(not r.kept for r in judged) >= 0.8 * len(judged)
+
+
 def test_isolation_forest_scores_a_lone_row_high():
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(size=(500, 2)), [[12, 12]]])
@@ -347,6 +507,18 @@ def test_token_counts(docs, texts):
     assert token_counts.token_counts(empty(docs), queries.VOCABULARY).count() == 0
 
 
+def test_length_report_equals_its_sql(spark, duck):
+    rng = np.random.default_rng(3)
+    n = [int(x) for x in rng.geometric(0.002, 4000)] + [0] * 7 + [10**6] * 2 + [500] * 3000  # a third of all rows are of one length
+    got = token_counts.length_report(spark.createDataFrame([(x,) for x in n], "n_tokens long")).toPandas()
+    duck.execute("CREATE OR REPLACE TEMP TABLE lengths AS SELECT unnest(?::BIGINT[]) AS n", [n])
+    want = duck.execute("""WITH h AS (SELECT n, count(*) AS c FROM lengths GROUP BY n)
+      SELECT n AS context_limit, c AS n_docs, cast((SELECT coalesce(sum(c), 0) FROM h b WHERE b.n > a.n) AS BIGINT) AS docs_longer,
+             cast((SELECT sum(c * least(b.n, a.n)) FROM h b) AS BIGINT) AS tokens_kept, cast((SELECT sum(c * greatest(b.n - a.n, 0)) FROM h b) AS BIGINT) AS tokens_lost,
+             (SELECT sum(c) FROM h b WHERE b.n <= a.n) / (SELECT sum(c) FROM h)::DOUBLE AS share_within FROM h a""").df()
+    assert rows_of(got) == rows_of(want)
+
+
 def test_decontamination(spark, small, docs, texts):
     items = table(spark, small, "benchmark")
     short = next(t for i, t in texts if i == 3).split()[5]
@@ -420,6 +592,22 @@ def test_terms_that_reveal_an_entity_are_found_everywhere(spark):
     assert [s.kind for s in found[10]] == ["email"] and not found[25]
 
 
+def test_terms_far_away_and_beyond_120_characters_count_as_holding_the_entity(spark):
+    far = "plain " + "word " * 60
+    rows = [(k, f"{'q' * 200} Zorblax {'r' * 200} zed@x.org and {k} more") for k in range(4)] + [(4, f"Zorblax {far} zed@x.org"), (5, f"zed@x.org {far} Zorblax {far}")]
+    rows += [(20 + k, f"other {far} words {k}") for k in range(200)]
+    rows += [(300 + k, f"写信给 李雷 li@y.cn 谢谢{k}") for k in range(4)]
+    found = {r.doc_id: r.pii_spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(6):
+        assert "Zorblax" in [s.value for s in found[k] if s.kind == "term"]
+    assert "李雷" in [s.value for s in found[300] if s.kind == "term"] and not found[25]
+
+
+def test_mention_contexts_are_linear_in_long_texts(spark):
+    t = spark.createDataFrame([(1, "10.0.0.1 " * 60_000), (2, "word " * 200_000 + "a@b.cd"), (3, "1234567 +1 555 123 4567 " * 20_000)], "doc_id long, text string")
+    assert [len([s for s in r.pii_spans if s.kind != "term"]) for r in pii.find_pii(t).orderBy("doc_id").collect()] == [60_000, 1, 20_000]
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, duck, small, name):
     ours = queries.queries()[name](spark, small).toPandas()
