@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from quillmere.session import discard, store
 
+#: Least neighbours, of 16 bytes each, are broadcast for up to this number of edges.
+BROADCAST_EDGES = 500_000
+
+
+def _joined(rows: DataFrame, least: DataFrame, n: int, tag: str) -> DataFrame:
+    """``rows`` with the least neighbour of their u: broadcast, or joined as a stored table, so that adaptive execution can split a large star."""
+    return rows.join(F.broadcast(least) if n <= BROADCAST_EDGES else store(least, tag), "u")
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v: long) to (node, root), root being the smallest node reachable; nodes without edges are absent.
@@ -30,14 +38,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         around = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.min("v").alias("m"))
         large = (
-            around.join(least, "u")
+            _joined(around, least, mark.n, "least")
             .where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
             .distinct()
         )
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(below, "u")
+            _joined(large, below, mark.n, "below")
             .where(F.col("v") != F.col("m"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(below.select("u", F.col("m").alias("v")))

@@ -307,7 +307,9 @@ def simhash_groups(
         candidates = store(rooted.join(several, "root", "left_semi"), "candidates")
         texts = docs.select(F.xxhash64(text_col).alias("t"), F.hash(text_col).alias("t2"), F.col(text_col).alias("text"))
         linked = connected_components(confirmed(candidates, texts, words, jaccard))
-    rooted = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select(*keys, "component_id")
+    # stored one after another, so that the joins are between plain tables and adaptive execution can split a large group
+    linked = store(linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()), "linked")  # roots hang on themselves
+    least = store(nodes.select("node", "least_id").join(linked, "node").groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
+    component = store(linked.join(least, "root").select("node", "component_id"), "components")
+    named = store(nodes.join(component, "node", "left").select(*keys, F.coalesce("component_id", "least_id").alias("component_id")), "named")
     return prints.join(named, keys, "left").select("id", "n_shingles", *ws, "component_id")

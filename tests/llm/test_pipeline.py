@@ -13,13 +13,15 @@ from quillmere.llm import pii, quality_model
 from quillmere.session import store, table
 
 STAGES = dict(corpus_pipeline.STAGES)
+#: Columns with names that stages and operators use themselves.
+CLASHING = {c: k for k, c in enumerate(["size", "id", "key", "key2", "c0", "c1", "k", "k2", "__k", "__k2", "__id", "pii_spans", "__pii_k", "__pii_terms", "draws", "mark", "n_hit", "words", "target", "component_id"])}
 
 
 @pytest.fixture(scope="module")
 def docs(spark, small):
     d = table(spark, small, "documents")
     odd = [(9001, None, None, None, None), (None, None, None, None, None), (9002, "", "", "", 0), (None, "a b c", "en", "src1", 5), (9003, "w " * 50_000, "en", "src0", 100_000)]
-    return store(d.unionByName(spark.createDataFrame(odd, d.schema)).unionByName(d.where("doc_id < 6")).withColumn("size", F.lit(7)), "docs")
+    return store(d.unionByName(spark.createDataFrame(odd, d.schema)).unionByName(d.where("doc_id < 6")).withColumns({c: F.lit(k) for c, k in CLASHING.items()}), "docs")
 
 
 def test_stages_are_in_order():
@@ -32,14 +34,30 @@ def test_stages_take_empty_tables(spark, small, docs, name):
     assert out.count() == 0 and (name == "mixing" or out.columns == docs.columns)
 
 
+@pytest.mark.parametrize("name", list(STAGES))
+def test_other_columns_come_through_and_reruns_agree(spark, small, docs, name):
+    out = STAGES[name](spark, docs, small)
+    if name != "mixing":
+        assert out.columns == docs.columns and {tuple(r) for r in out.select(*CLASHING).distinct().collect()} == {tuple(range(len(CLASHING)))}
+    assert rows(out) == rows(STAGES[name](spark, docs.repartition(5), small))
+
+
+def test_of_rows_that_repeat_the_same_one_stays(spark, small):
+    made = [(1, "one two three four five six", s, x) for s in ("a", "b", None) for x in (1, 2)] + [(2, None, "c", 3), (2, None, "d", 3), (None, "other words are here too", "e", 1)]
+    d = spark.createDataFrame(made, "doc_id long, text string, source string, x int")
+    left = [rows(STAGES["near_duplicates"](spark, d.repartition(k), small)) for k in (1, 2, 5)]
+    assert left[0] == left[1] == left[2] and sum(left[0].values()) == 3
+    assert sum(rows(STAGES["mixing"](spark, d.select("doc_id", "text"), small)).values()) > 0
+
+
 def rows(df):
     return Counter(tuple(r) for r in df.collect())
 
 
 def test_quality_removes_just_what_the_classifier_rejects(spark, small, docs):
     out = rows(STAGES["quality"](spark, docs, small))
-    marked = docs.withColumn("__id", F.struct(F.xxhash64("doc_id", "text").alias("__k"), F.hash("text", "doc_id").alias("__k2")))
-    kept = quality_model.quality_scores(marked, id_col="__id").where("kept").count()
+    marked = docs.select("text", F.struct(F.xxhash64("doc_id", "text").alias("key"), F.hash("text", "doc_id").alias("key2")).alias("id"))
+    kept = quality_model.quality_scores(marked, id_col="id").where("kept").count()
     assert sum(out.values()) == kept > 0.7 * docs.count() and not set(out) - set(rows(docs))
 
 
