@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from quillmere.config import DEFAULT, Config
 from quillmere.functions import text as X
-from quillmere.operators.search import top_k
+from quillmere.operators.search import few, top_k
+from quillmere.session import discard, store
 
 
 def raw_mentions(units: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def similar_text(a: Column, b: Column, least: float = 0.8) -> Column:
     return (1 - F.levenshtein(a, b) / most) >= least
 
 
-def resolve(terms: DataFrame, aliases: DataFrame, vectors: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def resolve(terms: DataFrame, aliases: DataFrame, vectors: DataFrame, cfg: Config = DEFAULT, block: int = 1024) -> DataFrame:
     """(term, concept_term, method, confidence) for each distinct term.
 
     ``terms``: term, first (a sortable place). ``aliases``: normalized_alias, concept_term. ``vectors``: term, vec.
@@ -48,26 +49,36 @@ def resolve(terms: DataFrame, aliases: DataFrame, vectors: DataFrame, cfg: Confi
     """
     every = terms.groupBy("term").agg(F.min("first").alias("first"))
     known = every.join(aliases.select(F.col("normalized_alias").alias("term"), "concept_term").distinct(), "term").select("term", "concept_term", F.lit("exact_alias").alias("method"), F.lit(1.0).alias("confidence"))
-    open_ = every.join(known.select("term"), "term", "left_anti").join(vectors, "term")
-    a, b = open_.alias("a"), open_.alias("b")
-    near = (
-        a.join(b, F.col("b.first") < F.col("a.first"))
-        .select(F.col("a.term").alias("term"), F.col("b.term").alias("id"), X.cosine(F.col("a.vec"), F.col("b.vec")).alias("score"))
-        .where(F.col("score") > cfg.concept_threshold)
-    )
+    open_ = store(every.join(known.select("term"), "term", "left_anti").join(vectors, "term"), "terms")
+    near = earlier_neighbours(open_, block).where(F.col("score") > cfg.concept_threshold)
     best = top_k(near, cfg.concept_top_k, key="term").where(similar_text(F.col("term"), F.col("id")))
-    link = best.groupBy("term").agg(F.min_by("id", "rank").alias("up"), F.max_by("score", -F.col("rank")).alias("confidence"))
-    now = every.join(known.select("term"), "term", "left_anti").join(link, "term", "left").select("term", F.col("up").alias("concept_term"), "up", "confidence")
+    link = store(best.groupBy("term").agg(F.min_by("id", "rank").alias("up"), F.max_by("score", -F.col("rank")).alias("confidence")), "links")
+    now = store(every.join(known.select("term"), "term", "left_anti").join(link, "term", "left").select("term", F.col("up").alias("concept_term"), "up", "confidence"), "chains")
     edges = link.select(F.col("term").alias("e_term"), F.col("up").alias("e_up"))
-    for _ in range(30):
+    while now.where("up IS NOT NULL").limit(1).count():  # a term's concept is earlier than the term, so chains end
         step = now.join(edges, now["up"] == edges["e_term"], "left")
-        if step.where("e_up IS NOT NULL").isEmpty():
-            break
-        now = step.select("term", F.coalesce("e_up", "concept_term").alias("concept_term"), F.col("e_up").alias("up"), "confidence")
+        after = store(step.select("term", F.coalesce("e_up", "concept_term").alias("concept_term"), F.col("e_up").alias("up"), "confidence"), "chains")
+        discard(now)
+        now = after
     fresh = now.select("term", F.coalesce("concept_term", "term").alias("concept_term"), F.when(F.col("concept_term").isNull(), "manual").otherwise("embedding").alias("method"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
     return known.unionByName(fresh)
 
 
+def earlier_neighbours(terms: DataFrame, block: int) -> DataFrame:
+    """(term, id, score): each term with every earlier one, block against block, an equi-join on block numbers.
+
+    ``terms``: term, first, vec. A block holds about ``block`` terms; a task compares one pair of blocks. A vocabulary
+    that has to be resolved is compared whole, as every term is a query against all earlier ones.
+    """
+    n = max(1, -(-terms.count() // block))
+    of = terms.select("term", "first", "vec", F.pmod(F.xxhash64("term"), F.lit(n)).cast("int").alias("a"))
+    other = of.select(F.col("term").alias("id"), F.col("first").alias("first2"), F.col("vec").alias("vec2"), F.col("a").alias("b"))
+    left = of.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    right = other.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    met = left.join(right, ["a", "b"]).where("first2 < first")
+    return met.select("term", "id", X.cosine(F.col("vec"), F.col("vec2")).alias("score"))
+
+
 def contexts(mentions: DataFrame, units: DataFrame, most: int = 3, chars: int = 500, total: int = 2000) -> DataFrame:
     """(term, context): contents of the first units that define a term (or else mention it), joined and cut."""
     kind = F.when(F.col("mention_type") == "defines", 0).otherwise(1)
@@ -79,14 +90,20 @@ def contexts(mentions: DataFrame, units: DataFrame, most: int = 3, chars: int =
     return few.groupBy("term").agg(F.substring(F.array_join(parts, "\n---\n"), 1, total).alias("context"))
 
 
-def cooccurring(seeds: DataFrame, mentions: DataFrame, concepts: int = DEFAULT.concepts_expanded, per_concept: int = DEFAULT.units_per_concept) -> DataFrame:
-    """(term, unit_id): units that share a concept with a seed, seeds left out.
+def cooccurring(seeds: DataFrame, n_seeds: int, mentions: DataFrame, concepts: int = DEFAULT.concepts_expanded, per_concept: int = DEFAULT.units_per_concept) -> tuple[DataFrame, DataFrame]:
+    """(question_id, term, best) of the chosen concepts, and (question_id, term, unit_id) of the units that share one with a seed.
 
-    ``seeds``: id, rank. The concepts of the best-ranked seeds come first, ``concepts`` of them; for each the first
-    ``per_concept`` other units by id.
+    ``seeds``: question_id, id, rank. The concepts of a question's best-ranked seeds come first, ``concepts`` of them; for
+    each the first ``per_concept`` other units by id, the question's seeds left out. Of a concept only as many units are
+    looked at as its seeds could hide, so that a concept that very many units mention costs no more than others.
     """
-    of_seeds = mentions.join(F.broadcast(seeds.select(F.col("id").alias("unit_id"), "rank")), "unit_id")
-    chosen = of_seeds.groupBy("term").agg(F.min("rank").alias("best")).orderBy("best", "term").limit(concepts)
-    other = mentions.select("unit_id", "term").distinct().join(F.broadcast(chosen), "term").join(F.broadcast(seeds.select(F.col("id").alias("unit_id"))), "unit_id", "left_anti")
-    n = F.row_number().over(Window.partitionBy("term").orderBy("unit_id"))
-    return other.withColumn("n", n).where(F.col("n") <= per_concept).select("term", "unit_id")
+    s = few(seeds.select("question_id", F.col("id").alias("unit_id"), "rank"), n_seeds)
+    held = mentions.select("unit_id", "term").distinct()
+    by_rank = Window.partitionBy("question_id").orderBy("best", "term")
+    chosen = held.join(s, "unit_id").groupBy("question_id", "term").agg(F.min("rank").alias("best")).withColumn("n", F.row_number().over(by_rank)).where(F.col("n") <= concepts).drop("n")
+    most = seeds.groupBy("question_id").count().agg(F.max("count")).first()[0] or 0
+    head = held.join(few(chosen.select("term").distinct(), n_seeds), "term", "left_semi")
+    head = head.withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy("unit_id"))).where(F.col("n") <= most + per_concept).drop("n")
+    other = head.join(chosen.select("question_id", "term"), "term").join(s.select("question_id", "unit_id"), ["question_id", "unit_id"], "left_anti")
+    n = F.row_number().over(Window.partitionBy("question_id", "term").orderBy("unit_id"))
+    return chosen, other.withColumn("n", n).where(F.col("n") <= per_concept).select("question_id", "term", "unit_id")

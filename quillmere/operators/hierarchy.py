@@ -6,51 +6,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.schemas import TABLE_TYPES
+from quillmere.session import discard, store
 
-MAX_DEPTH = 100
 
-
-def parent_chains(units: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def parent_chains(units: DataFrame) -> DataFrame:
     """(id, depth, parents): names from the root to the parent, with a guard against cycles.
 
-    One self-join per level of the deepest tree; it ends when no chain grows.
+    One self-join per level of the deepest tree, however deep; each level is stored, so that none is computed twice. A
+    missing parent ends a chain, and so does one that is in it already.
     """
     edges = units.select(F.col("id").alias("p_id"), F.col("name").alias("p_name"), F.col("parent_unit_id").alias("p_up"))
-    now = units.select("id", F.col("parent_unit_id").alias("up"), F.array().cast("array<string>").alias("parents"), F.array("id").alias("seen"), F.lit(0).alias("depth"))
-    for _ in range(max_depth):
-        if now.where("up IS NOT NULL").isEmpty():
-            break
+    now = store(units.select("id", F.col("parent_unit_id").alias("up"), F.array().cast("array<string>").alias("parents"), F.array("id").alias("seen"), F.lit(0).alias("depth")), "chains")
+    while now.where("up IS NOT NULL").limit(1).count():
         met = now.join(edges, (now["up"] == edges["p_id"]) & ~F.array_contains("seen", F.col("p_id")), "left")
         named = F.when(F.col("p_name").isNotNull() & (F.col("p_name") != ""), F.concat(F.array("p_name"), F.col("parents"))).otherwise(F.col("parents"))
         on = F.col("p_id").isNotNull()
-        now = met.select("id", F.when(on, F.col("p_up")).alias("up"), named.alias("parents"), F.when(on, F.array_append("seen", F.col("p_id"))).otherwise(F.col("seen")).alias("seen"), (F.col("depth") + on.cast("int")).alias("depth"))
+        after = store(met.select("id", F.when(on, F.col("p_up")).alias("up"), named.alias("parents"), F.when(on, F.array_append("seen", F.col("p_id"))).otherwise(F.col("seen")).alias("seen"), (F.col("depth") + on.cast("int")).alias("depth")), "chains")
+        discard(now)
+        now = after
     return now.select("id", "depth", "parents")
 
 
 def parent_chains_sql(view: str) -> str:
-    """The same as a recursive query over a view of units."""
+    """The same as a recursive query over a view of units; ids on the way guard against cycles."""
     return f"""
-    WITH RECURSIVE up(id, at, path, depth) AS (
-      SELECT id, parent_unit_id, cast(array() AS array<string>), 0 FROM {view}
+    WITH RECURSIVE up(id, at, path, seen, depth) AS (
+      SELECT id, parent_unit_id, cast(array() AS array<string>), array(id), 0 FROM {view}
       UNION ALL
-      SELECT up.id, p.parent_unit_id, concat(array(p.name), up.path), up.depth + 1 FROM up JOIN {view} p ON up.at = p.id WHERE up.depth < {MAX_DEPTH - 1})
-    SELECT id, depth, path FROM up WHERE at IS NULL
+      SELECT up.id, p.parent_unit_id, concat(array(p.name), up.path), concat(up.seen, array(p.id)), up.depth + 1
+      FROM up JOIN {view} p ON up.at = p.id WHERE NOT array_contains(up.seen, p.id))
+    SELECT id, max(depth) AS depth, max_by(path, depth) AS path FROM up GROUP BY id
     """
 
 
-def expand(seeds: DataFrame, units: DataFrame) -> DataFrame:
-    """(id, role, parent_unit_id) of the units that the seeds of table types bring along, seeds left out, each once.
+def expand(seeds: DataFrame, units: DataFrame, key: tuple[str, ...] = (), n_seeds: int | None = None) -> DataFrame:
+    """(key, id, role, parent_unit_id, from_seeds) of the units that the seeds of table types bring along, seeds left out, each once.
 
-    Every table type brings its parent; a row its siblings; a header, a list and a list item their children.
+    Every table type brings its parent; a row its siblings; a header, a list and a list item their children. ``key``
+    names columns of ``seeds`` that tell questions apart. Seeds are broadcast only where the caller has counted them.
     """
-    s = seeds.where(F.col("type").isin(TABLE_TYPES)).select(F.col("id").alias("s_id"), F.col("parent_unit_id").alias("s_parent"), F.col("type").alias("s_type"))
+    few = F.broadcast if n_seeds is not None and n_seeds <= 200_000 else (lambda df: df)
+    s = few(seeds.where(F.col("type").isin(TABLE_TYPES)).select(*key, F.col("id").alias("s_id"), F.col("parent_unit_id").alias("s_parent"), F.col("type").alias("s_type")))
     u = units.select("id", F.col("parent_unit_id").alias("up"))
-    parent = s.join(u, s["s_parent"] == u["id"]).select("id", F.lit("parent").alias("role"), F.col("s_parent").alias("parent_unit_id"))
-    sibling = s.where("s_type = 'DataTableRow'").join(u, s["s_parent"] == u["up"]).where("id <> s_id").select("id", F.lit("sibling").alias("role"), F.col("s_parent").alias("parent_unit_id"))
-    child = s.where("s_type <> 'DataTableRow'").join(u, s["s_id"] == u["up"]).select("id", F.lit("child").alias("role"), F.col("s_id").alias("parent_unit_id"))
-    found = parent.unionByName(sibling).unionByName(child).join(seeds.select("id"), "id", "left_anti")
+    named = lambda role, up: [*key, "id", F.lit(role).alias("role"), F.col(up).alias("parent_unit_id"), "s_id"]
+    parent = u.join(s, s["s_parent"] == u["id"]).select(*named("parent", "s_parent"))
+    sibling = u.join(s, (s["s_parent"] == u["up"]) & (s["s_type"] == "DataTableRow")).where("id <> s_id").select(*named("sibling", "s_parent"))
+    child = u.join(s, (s["s_id"] == u["up"]) & (s["s_type"] != "DataTableRow")).select(*named("child", "s_id"))
+    found = parent.unionByName(sibling).unionByName(child).join(few(seeds.select(*key, "id")), [*key, "id"], "left_anti")
     first = F.when(F.col("role") == "parent", 0).when(F.col("role") == "sibling", 1).otherwise(2)
-    return found.groupBy("id").agg(F.min_by(F.struct("role", "parent_unit_id"), F.struct(first, "parent_unit_id")).alias("x")).select("id", "x.role", "x.parent_unit_id")
+    one = found.groupBy(*key, "id").agg(F.min_by(F.struct("role", "parent_unit_id"), F.struct(first, "parent_unit_id")).alias("x"), F.collect_set("s_id").alias("from_seeds"))
+    return one.select(*key, "id", "x.role", "x.parent_unit_id", "from_seeds")
 
 
 def asof_parent(units: DataFrame, scope: list[str], order: str) -> DataFrame:
@@ -70,14 +75,19 @@ def asof_parent(units: DataFrame, scope: list[str], order: str) -> DataFrame:
     return units.join(found, "id", "left").withColumn("parent_id", F.when(~F.coalesce(own, F.lit(False)), F.col("parent_id")))
 
 
-def inherit_sections(units: DataFrame, rounds: int = MAX_DEPTH) -> DataFrame:
-    """Units whose section is empty take that of the nearest ancestor that has one."""
-    now = units.select("id", "section", F.col("parent_unit_id").alias("up"))
+def inherit_sections(units: DataFrame) -> DataFrame:
+    """Units whose section is empty take that of the nearest ancestor that has one; a cycle of empty sections stays empty."""
     edges = units.select(F.col("id").alias("p_id"), F.col("section").alias("p_section"), F.col("parent_unit_id").alias("p_up"))
-    for _ in range(rounds):
-        open_ = (F.size("section") == 0) & F.col("up").isNotNull()
-        if now.where(open_).isEmpty():
-            break
-        met = now.join(edges, F.when(open_, F.col("up")) == F.col("p_id"), "left")
-        now = met.select("id", F.when(open_ & F.col("p_id").isNotNull(), F.col("p_section")).otherwise(F.col("section")).alias("section"), F.when(open_, F.col("p_up")).otherwise(F.col("up")).alias("up"))
+    now = store(units.select("id", "section", F.col("parent_unit_id").alias("up"), F.array("id").alias("seen")), "sections")
+    open_ = (F.size("section") == 0) & F.col("up").isNotNull()
+    while now.where(open_).limit(1).count():
+        met = now.join(edges, (F.when(open_, F.col("up")) == F.col("p_id")) & ~F.array_contains("seen", F.col("p_id")), "left")
+        on = F.col("p_id").isNotNull()
+        after = met.select(
+            "id", F.when(open_ & on, F.col("p_section")).otherwise(F.col("section")).alias("section"), F.when(on, F.col("p_up")).alias("up"),
+            F.when(on, F.array_append("seen", F.col("p_id"))).otherwise(F.col("seen")).alias("seen"),
+        )
+        after = store(after, "sections")
+        discard(now)
+        now = after
     return units.drop("section").join(now.select("id", "section"), "id")

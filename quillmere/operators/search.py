@@ -1,15 +1,31 @@
-"""Postings, BM25, exact vector top-k and reciprocal-rank fusion, for any number of queries at once."""
+"""Stored postings, BM25, exact vector top-k and reciprocal-rank fusion, for any number of questions at once.
+
+Questions are rows: every list, rank and score is keyed by (question_id, sub_query_index).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmere.config import DEFAULT, Config
 from quillmere.functions import text as X
+from quillmere.session import scratch_path
 
+#: Sub-queries that are broadcast at once; more are taken in blocks of this number.
 BROADCAST_QUERIES = 10_000
+#: Rows that are broadcast where they were counted.
+BROADCAST_ROWS = 200_000
+KEY = ["question_id", "sub_query_index"]
+BUCKETS = 64
+
+
+def few(df: DataFrame, n: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a side whose rows the caller has counted, if they are few enough; else it is shuffled."""
+    return F.broadcast(df) if n <= most else df
 
 
 def search_text() -> Column:
@@ -17,64 +33,104 @@ def search_text() -> Column:
     return F.concat_ws(" ", "name", "summary", "content", X.section_path(F.col("section")), X.metadata_terms(F.col("metadata.defines"), F.col("metadata.mentions")), X.aliases_text(F.col("metadata.aliases")))
 
 
-def index(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, len) of each unit, and postings (term, id, tf)."""
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+@dataclass
+class TextIndex:
+    """A stored index: (id, len), and postings (term, id, tf) in a folder per bucket of terms."""
+
+    spark: SparkSession
+    path: str
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.spark.read.schema("id string, len long").parquet(f"{self.path}/lengths")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.schema("term string, id string, tf long, bucket int").parquet(f"{self.path}/postings")
+
+
+def written(lengths: DataFrame, postings: DataFrame, path: str) -> TextIndex:
+    lengths.write.parquet(f"{path}/lengths")
+    postings.select("term", "id", "tf", bucket(F.col("term")).alias("bucket")).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).write.partitionBy("bucket").parquet(f"{path}/postings")
+    return TextIndex(lengths.sparkSession, path)
+
+
+def index_rows(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, len) of each unit, and its postings (term, id, tf)."""
     words = units.select("id", X.tokens(search_text()).alias("words"))
-    return words.select("id", F.size("words").alias("len")), words.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    return words.select("id", F.size("words").cast("long").alias("len")), words.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+
+
+def build_index(units: DataFrame, path: str | None = None) -> TextIndex:
+    """Index all ``units`` below ``path``."""
+    return written(*index_rows(units), path or scratch_path(units.sparkSession, "index"))
 
 
-def few(df: DataFrame, n: int) -> DataFrame:
-    """Broadcast a side with a row per query where the caller knows there are few queries."""
-    return F.broadcast(df) if n <= BROADCAST_QUERIES else df
+def update_index(index: TextIndex, gone: DataFrame, fresh: DataFrame, path: str | None = None) -> TextIndex:
+    """The index with the units of ``gone`` (id) and the old rows of ``fresh`` left out, and the units of ``fresh`` put in."""
+    old = gone.select("id").unionByName(fresh.select("id")).distinct()
+    lengths, postings = index_rows(fresh)
+    kept = index.postings.select("term", "id", "tf").join(old, "id", "left_anti")
+    return written(index.lengths.join(old, "id", "left_anti").unionByName(lengths), kept.unionByName(postings), path or scratch_path(fresh.sparkSession, "index"))
 
 
-def bm25(units: DataFrame, queries: DataFrame, n_queries: int, k: int = DEFAULT.lexical_top_k, cfg: Config = DEFAULT) -> DataFrame:
-    """(sub_query_index, id, rank, score): the best ``k`` units that hold all tokens of a query.
+def bm25(index: TextIndex, queries: DataFrame, n_queries: int, k: int = DEFAULT.lexical_top_k, cfg: Config = DEFAULT) -> DataFrame:
+    """(question_id, sub_query_index, id, rank, score): the best ``k`` units that hold all tokens of a query.
 
-    A query without tokens has no hits. Ties go to the smaller id.
+    A query without tokens has no hits. Ties go to the smaller id. Only the buckets of asked terms are read.
     """
-    lengths, _ = index(units)
-    asked = queries.select("sub_query_index", F.explode(F.array_distinct(X.tokens(X.lexical_query(F.col("query"))))).alias("term"))
-    n_terms = asked.groupBy("sub_query_index").agg(F.count("*").alias("wanted"))
-    # only postings of asked terms are built: the semi join comes before the aggregation
-    words = units.select("id", F.explode(X.tokens(search_text())).alias("term")).join(few(asked.select("term").distinct(), n_queries), "term", "left_semi")
-    hits = words.groupBy("term", "id").agg(F.count("*").alias("tf"))
-    stats = lengths.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avgdl"))
+    asked = queries.select(*KEY, F.explode(F.array_distinct(X.tokens(X.lexical_query(F.col("query"))))).alias("term"))
+    n_terms = asked.groupBy(*KEY).agg(F.count("*").alias("wanted"))
+    terms = asked.select("term").distinct().withColumn("bucket", bucket(F.col("term")))
+    read = [r.bucket for r in terms.select("bucket").distinct().collect()]  # at most BUCKETS numbers; only these folders are read
+    hits = index.postings.where(F.col("bucket").isin(read)).join(few(terms, n_queries, BROADCAST_QUERIES), ["bucket", "term"]).drop("bucket")
+    stats = index.lengths.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avgdl"))
     df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(cfg.bm25_least_idf))
     norm = F.col("tf") + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("len") / F.col("avgdl"))
     scored = (
-        hits.join(few(asked, n_queries), "term")
-        .join(few(df, n_queries), "term")
-        .join(lengths, "id")
+        hits.join(index.lengths, "id")
+        .join(few(df, n_queries, BROADCAST_QUERIES), "term")
         .crossJoin(F.broadcast(stats))  # one row
-        .groupBy("sub_query_index", "id")
-        .agg(F.sum(idf * F.col("tf") * (cfg.bm25_k1 + 1) / norm).alias("score"), F.count("*").alias("matched"))
-        .join(few(n_terms, n_queries), "sub_query_index")
+        .select("term", "id", (idf * F.col("tf") * (cfg.bm25_k1 + 1) / norm).alias("part"))
+        .join(few(asked, n_queries, BROADCAST_QUERIES), "term")
+        .groupBy(*KEY, "id")
+        .agg(F.sum("part").alias("score"), F.count("*").alias("matched"))
+        .join(few(n_terms, n_queries, BROADCAST_QUERIES), KEY)
         .where("matched = wanted")
     )
-    return top_k(scored, k).select("sub_query_index", "id", "rank", "score")
+    return top_k(scored, k).select(*KEY, "id", "rank", "score")
 
 
-def top_k(scored: DataFrame, k: int, by: str = "score", key: str = "sub_query_index", tie: str = "id") -> DataFrame:
+def top_k(scored: DataFrame, k: int, by: str = "score", key: str | list[str] = KEY, tie: str = "id") -> DataFrame:
     """The ``k`` best rows of each query with their rank; planned as a group limit before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round(by, 9)), tie))
+    rank = F.row_number().over(Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(F.desc(F.round(by, 9)), tie))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "sub_query_index") -> DataFrame:
-    """(key, id, rank, score): exact cosine top-k. ``vectors``: id, vec. ``queries``: key, query_vec, few enough to broadcast.
+def vector_top_k(vectors: DataFrame, queries: DataFrame, n_queries: int, k: int, key: list[str] = KEY) -> DataFrame:
+    """(key, id, rank, score): exact cosine top-k. ``vectors``: id, vec. ``queries``: key, query_vec.
 
-    Every stored vector is compared with the stated set of queries in one pass over the vectors; the partial top-k
-    of each partition is taken before anything is shuffled.
+    Every stored vector is compared with the stated set of queries, in blocks that can be broadcast, in one pass over
+    the vectors for each block; the partial top-k of each partition is taken before anything is shuffled.
     """
-    met = vectors.crossJoin(F.broadcast(queries.select(key, "query_vec")))
-    return top_k(met.withColumn("score", X.cosine(F.col("vec"), F.col("query_vec"))), k, key=key).select(key, "id", "rank", "score")
+    blocks = -(-max(1, n_queries) // BROADCAST_QUERIES)
+    out = None
+    for b in range(blocks):
+        some = queries.select(*key, "query_vec").where(F.pmod(F.xxhash64(*key), F.lit(blocks)) == b)
+        met = vectors.crossJoin(F.broadcast(some)).withColumn("score", X.cosine(F.col("vec"), F.col("query_vec")))
+        best = top_k(met, k, key=key).select(*key, "id", "rank", "score")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def rrf(ranked: DataFrame, k: int = DEFAULT.rrf_k) -> DataFrame:
-    """(sub_query_index, id, score, sources, provenance) from (sub_query_index, source, id, rank, score)."""
+    """(question_id, sub_query_index, id, fused, sources, provenance) from (question_id, sub_query_index, source, id, rank, score)."""
     found = F.struct(F.col("source").alias("type"), F.col("rank").cast("int").alias("rank"), F.col("score").cast("double").alias("score"), F.col("sub_query_index").cast("int").alias("sub_query_index"))
-    return ranked.groupBy("sub_query_index", "id").agg(
+    return ranked.groupBy(*KEY, "id").agg(
         F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("fused"), F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_list(found)).alias("provenance")
     )

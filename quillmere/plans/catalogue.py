@@ -10,10 +10,9 @@ from quillmere.plans import registry, retrieval, search_queries, store_queries,
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid retrieval for five questions at once: search, fuse, expand, re-rank, score, filter."""
-    x = search_queries.inputs(spark, sf_dir)
-    best = retrieval.passing(retrieval.retrieve(x["units"], x["subjects"], x["contents"], x["mentions"], x["queries"], search_queries.N_QUERIES))
-    return best.select("id", "type", "name", "role", "vector_score", "rerank_score", "final_score", "source_sub_queries", "provenance")
+    """Hybrid retrieval for several questions at once: search, fuse, expand, re-rank, score, filter."""
+    best = retrieval.passing(search_queries.pool(spark, sf_dir))
+    return best.select("question_id", "position", "id", "type", "name", "role", "vector_score", "rerank_score", "final_score", "source_sub_queries", "provenance")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

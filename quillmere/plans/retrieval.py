@@ -1,50 +1,73 @@
-"""Retrieval: hybrid search, fusion, expansion, re-ranking, scoring, evidence, and the loop around them."""
+"""Retrieval: hybrid search, fusion, expansion, re-ranking, scoring, evidence, and the loop around them.
+
+Many questions are answered at once: every table is keyed by question_id, and a round of the loop is one plan for all
+questions that are still open.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmere.config import DEFAULT, Config
 from quillmere.functions import text as X
 from quillmere.operators import concepts, evidence, hierarchy, search
+from quillmere.operators.search import few
 from quillmere.plans.provider import Offline
 from quillmere.session import store
 
+Q = "question_id"
+QUERIES = "question_id long, sub_query_index int, query string, query_vec array<float>"
+
+
+@dataclass
+class Library:
+    """What ingestion leaves behind, as stored tables: units, their text index, two vector indexes, concept mentions."""
 
-def ranked_lists(units: DataFrame, subjects: DataFrame, contents: DataFrame, queries: DataFrame, n_queries: int, seen: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """(sub_query_index, source, id, rank, score): the three ranked lists of all sub-queries in one table.
+    units: DataFrame
+    index: search.TextIndex
+    subjects: DataFrame
+    contents: DataFrame
+    mentions: DataFrame
 
-    Vector hits among known ids go before they are ranked, lexical ones after. ``queries``: sub_query_index, query, query_vec.
+
+def ranked_lists(lib: Library, queries: DataFrame, n_queries: int, seen: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
+    """(question_id, sub_query_index, source, id, rank, score): the three ranked lists of all sub-queries in one table.
+
+    ``seen`` (question_id, id): vector hits among known ids go before they are ranked, lexical ones after.
+    ``queries``: question_id, sub_query_index, query, query_vec.
     """
     lists = []
-    for name, vectors, k in (("vector_subject", subjects, cfg.subject_top_k), ("vector_content", contents, cfg.content_top_k)):
-        hits = search.vector_top_k(vectors, queries, k)
+    for name, vectors, k in (("vector_subject", lib.subjects, cfg.subject_top_k), ("vector_content", lib.contents, cfg.content_top_k)):
+        hits = search.vector_top_k(vectors, queries, n_queries, k)
         if seen is not None:
-            hits = hits.join(F.broadcast(seen), "id", "left_anti").drop("rank")
-            hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("sub_query_index").orderBy(F.desc(F.round("score", 9)), "id")))
-        lists.append(hits.select("sub_query_index", F.lit(name).alias("source"), "id", F.col("rank").cast("int").alias("rank"), "score"))
-    words = search.bm25(units, queries, n_queries, cfg.lexical_top_k, cfg)
+            rank = F.row_number().over(Window.partitionBy(*search.KEY).orderBy(F.desc(F.round("score", 9)), "id"))
+            hits = hits.join(seen, [Q, "id"], "left_anti").drop("rank").withColumn("rank", rank)
+        lists.append(hits.select(*search.KEY, F.lit(name).alias("source"), "id", F.col("rank").cast("int").alias("rank"), "score"))
+    words = search.bm25(lib.index, queries, n_queries, cfg.lexical_top_k, cfg)
     if seen is not None:
-        words = words.join(F.broadcast(seen), "id", "left_anti")
-    lists.append(words.select("sub_query_index", F.lit("lexical").alias("source"), "id", F.col("rank").cast("int").alias("rank"), "score"))
+        words = words.join(seen, [Q, "id"], "left_anti")
+    lists.append(words.select(*search.KEY, F.lit("lexical").alias("source"), "id", F.col("rank").cast("int").alias("rank"), "score"))
     return lists[0].unionByName(lists[1]).unionByName(lists[2])
 
 
 def merge_sub_queries(fused: DataFrame) -> DataFrame:
-    """(id, vector_score, source_sub_queries, provenance): one row per unit; the first sub-query's fused score stays."""
-    return fused.groupBy("id").agg(
+    """(question_id, id, vector_score, source_sub_queries, provenance): one row per unit; the first sub-query's fused score stays."""
+    return fused.groupBy(Q, "id").agg(
         F.min_by("fused", "sub_query_index").alias("vector_score"),
         F.array_sort(F.collect_set("sub_query_index")).alias("source_sub_queries"),
         F.array_sort(F.flatten(F.collect_list("provenance"))).alias("provenance"),
     )
 
 
-def final_score(pool: DataFrame, n_sub_queries: int, cfg: Config = DEFAULT) -> DataFrame:
-    """``pool`` (rerank_score, source_sub_queries, provenance) with coverage, direct, diversity and final_score."""
+def final_score(pool: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """``pool`` (rerank_score, source_sub_queries, provenance, n_sub_queries) with coverage, direct, diversity and final_score."""
     kinds = F.array_distinct(F.transform("provenance", lambda p: p["type"]))
-    coverage = F.size("source_sub_queries") / n_sub_queries if n_sub_queries else F.lit(0.0)
+    coverage = F.when(F.col("n_sub_queries") > 0, F.size("source_sub_queries") / F.col("n_sub_queries")).otherwise(0.0)
     direct = F.exists("provenance", lambda p: p["type"].isin(sorted(evidence.DIRECT)))
     scored = pool.withColumn("coverage", coverage).withColumn("direct", direct).withColumn("diversity", F.size(kinds) / cfg.source_types)
     total = cfg.weight_rerank * F.coalesce("rerank_score", F.lit(0.0)) + cfg.weight_coverage * F.col("coverage") + cfg.weight_direct * F.col("direct").cast("double") + cfg.weight_diversity * F.col("diversity")
@@ -52,80 +75,133 @@ def final_score(pool: DataFrame, n_sub_queries: int, cfg: Config = DEFAULT) -> D
 
 
 def passing(scored: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """At most ``max_results`` rows at or above the threshold by final score; if none, the best few by rerank score."""
+    """Of each question at most ``max_results`` rows at or above the threshold by final score; if none, the best few by rerank score."""
     rerank = F.coalesce("rerank_score", F.lit(0.0))
-    pool = scored.orderBy(F.desc(rerank >= cfg.rerank_threshold), F.desc(F.round("final_score", 9)), "id")
-    # the pool is capped before this, so one small partition holds it
-    best = pool.withColumn("passes", rerank >= cfg.rerank_threshold)
-    every = Window.partitionBy()
-    ranked = best.withColumn("n_pass", F.sum(F.col("passes").cast("int")).over(every)).withColumn("by_rerank", F.row_number().over(Window.orderBy(F.desc(F.round(rerank, 9)), "id")))
+    every, by_rerank = Window.partitionBy(Q), Window.partitionBy(Q).orderBy(F.desc(F.round(rerank, 9)), "id")  # the pool of a question is capped
+    ranked = scored.withColumn("passes", rerank >= cfg.rerank_threshold).withColumn("n_pass", F.sum(F.col("passes").cast("int")).over(every)).withColumn("by_rerank", F.row_number().over(by_rerank))
     kept = ranked.where((F.col("passes")) | ((F.col("n_pass") == 0) & (F.col("by_rerank") <= cfg.fallback_results)))
-    return kept.orderBy(F.desc(F.round("final_score", 9)), "id").limit(cfg.max_results).drop("passes", "n_pass", "by_rerank")
+    place = F.row_number().over(Window.partitionBy(Q).orderBy(F.desc(F.round("final_score", 9)), "id"))
+    return kept.withColumn("position", place).where(F.col("position") <= cfg.max_results).drop("passes", "n_pass", "by_rerank")
+
 
+def source_of(kind: Column) -> Column:
+    """A provenance entry of a unit that no search found."""
+    return F.array(F.struct(kind.alias("type"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("sub_query_index")))
 
-def retrieve(units: DataFrame, subjects: DataFrame, contents: DataFrame, mentions: DataFrame, queries: DataFrame, n_queries: int, seen: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """Candidates for all sub-queries, capped, re-ranked and scored: id, type, name, scores, source_sub_queries, provenance, role."""
-    fused = search.rrf(ranked_lists(units, subjects, contents, queries, n_queries, seen, cfg), cfg.rrf_k)
-    seeds = store(merge_sub_queries(fused).join(units.select("id", "type", "parent_unit_id"), "id"), "seeds")
-    by_score = Window.orderBy(F.desc(F.round("vector_score", 9)), "id")  # at most top-k times three rows for each of a few sub-queries
-    ranked = seeds.select("id", F.row_number().over(by_score).alias("rank"))
-    shared = concepts.cooccurring(ranked, mentions, cfg.concepts_expanded, cfg.units_per_concept)
-    known = seeds.select("id")
+
+def capped(pool: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The ``pool_cap`` first candidates of each question: seeds, by score, then the others."""
+    place = F.row_number().over(Window.partitionBy(Q).orderBy(F.desc(F.col("role") == "seed"), F.desc(F.round(F.coalesce("vector_score", F.lit(0.0)), 9)), "id"))
+    return pool.withColumn("__place", place).where(F.col("__place") <= cfg.pool_cap).drop("__place")
+
+
+def retrieve(lib: Library, queries: DataFrame, n_queries: int, seen: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
+    """Candidates of all questions, capped, re-ranked and scored: question_id, id, type, name, scores, source_sub_queries, provenance, role.
+
+    Concept expansion comes first: units that share a concept with a seed join the seeds, and if there is any new one,
+    every candidate that mentions a chosen concept gains its provenance. Then table types bring their neighbours.
+    Expanded units have no sub-query, so they are not re-ranked, unless the configuration lets them inherit their seeds'.
+    """
+    fused = search.rrf(ranked_lists(lib, queries, n_queries, seen, cfg), cfg.rrf_k)
+    n_sub = queries.groupBy(Q).agg(F.count("*").alias("n_sub_queries"))
+    merged = store(merge_sub_queries(fused), "merged")
+    n_seeds = merged.count()
+    seeds = store(lib.units.select("id", "type", "parent_unit_id").join(few(merged, n_seeds), "id"), "seeds")
+    ranked = seeds.select(Q, "id", F.row_number().over(Window.partitionBy(Q).orderBy(F.desc(F.round("vector_score", 9)), "id")).alias("rank"))
+    chosen, shared = concepts.cooccurring(ranked, n_seeds, lib.mentions, cfg.concepts_expanded, cfg.units_per_concept)
+    chosen = store(chosen, "chosen")
+    if seen is not None:
+        shared = shared.join(seen.withColumnRenamed("id", "unit_id"), [Q, "unit_id"], "left_anti")
+    new = store(shared.groupBy(Q, F.col("unit_id").alias("id")).agg(F.collect_set("term").alias("terms")), "expanded")
+    candidates = seeds.select(Q, "id").unionByName(new.select(Q, "id"))
+    n_candidates = candidates.count()
+    told = lib.mentions.select("unit_id", "term").distinct().join(few(candidates.withColumnRenamed("id", "unit_id"), n_candidates), "unit_id").join(few(chosen.select(Q, "term"), n_seeds), [Q, "term"])
+    told = store(told.join(new.select(Q).distinct(), Q, "left_semi").select(Q, F.col("unit_id").alias("id")).distinct(), "told")
+    around = hierarchy.expand(seeds, lib.units, (Q,), n_seeds).join(new.select(Q, "id"), [Q, "id"], "left_anti")
     if seen is not None:
-        known = known.unionByName(seen)
-        shared = shared.join(F.broadcast(seen), shared["unit_id"] == seen["id"], "left_anti")
-    source = lambda kind: F.array(F.struct(F.lit(kind).alias("type"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("sub_query_index")))
-    none = F.array().cast("array<int>")
-    by_concept = shared.select(F.col("unit_id").alias("id")).distinct().select("id", F.lit("concept").alias("role"), source("concept").alias("provenance"))
-    around = hierarchy.expand(seeds, units).join(known, "id", "left_anti").join(by_concept, "id", "left_anti")
-    near = around.select("id", "role", source("parent").alias("parent"), source("sibling").alias("sibling"), source("child").alias("child"))
-    by_place = near.select("id", "role", F.when(F.col("role") == "parent", F.col("parent")).when(F.col("role") == "sibling", F.col("sibling")).otherwise(F.col("child")).alias("provenance"))
-    more = by_concept.unionByName(by_place).select("id", F.lit(None).cast("double").alias("vector_score"), none.alias("source_sub_queries"), "provenance", "role")
-    pool = seeds.select("id", "vector_score", "source_sub_queries", "provenance", F.lit("seed").alias("role")).unionByName(more)
-    capped = pool.orderBy(F.desc(F.col("role") == "seed"), F.desc(F.round(F.coalesce("vector_score", F.lit(0.0)), 9)), "id").limit(cfg.pool_cap)
-    full = capped.join(units.select("id", "type", "name", "parent_unit_id", "content_hash", "summary", "section", "content", "metadata"), "id")
-    document = X.rerank_document(F.col("section"), F.col("name"), F.col("summary"), X.aliases_text(F.col("metadata.aliases")), F.col("content"))
-    asked = full.select("id", document.alias("document"), F.explode("source_sub_queries").alias("sub_query_index")).join(F.broadcast(queries.select("sub_query_index", "query")), "sub_query_index")
-    reranked = asked.groupBy("id").agg(F.max(Offline().score(F.col("query"), F.col("document"))).alias("rerank_score"))
-    return final_score(full.join(reranked, "id", "left"), n_queries, cfg)
-
-
-def run_query(spark: SparkSession, question: str, units: DataFrame, subjects: DataFrame, contents: DataFrame, mentions: DataFrame, embed, provider: Offline | None = None, cfg: Config = DEFAULT, max_iterations: int | None = None) -> dict:
-    """Route, decompose, retrieve until the sub-queries are covered, select evidence, answer.
-
-    ``embed`` maps a list of texts to vectors. Only the few results of each round come to the driver; rounds are
-    bounded by the configuration.
+        around = around.join(seen, [Q, "id"], "left_anti")
+
+    subs = F.array().cast("array<int>")
+    near, far = around.withColumn("subs", subs), new.withColumn("subs", subs)
+    if cfg.expansion_inherits_subquery:
+        held = seeds.select(Q, F.col("id").alias("seed"), "source_sub_queries")
+        merged_subs = F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_sub_queries")))).alias("subs")
+        by_seed = around.select(Q, "id", F.explode("from_seeds").alias("seed")).join(held, [Q, "seed"]).groupBy(Q, "id").agg(merged_subs)
+        of_term = lib.mentions.select(F.col("unit_id").alias("seed"), "term").distinct().join(held, "seed").groupBy(Q, "term").agg(merged_subs).withColumnRenamed("subs", "source_sub_queries")
+        by_term = new.select(Q, "id", F.explode("terms").alias("term")).join(of_term, [Q, "term"]).groupBy(Q, "id").agg(merged_subs)
+        near, far = around.join(by_seed, [Q, "id"]), new.join(by_term, [Q, "id"])
+    nothing, score = F.array().cast(seeds.schema["provenance"].dataType), F.lit(None).cast("double").alias("vector_score")
+    pool = (
+        seeds.select(Q, "id", "vector_score", "source_sub_queries", "provenance", F.lit("seed").alias("role"), F.lit(None).cast("string").alias("via"))
+        .unionByName(far.select(Q, "id", score, F.col("subs").alias("source_sub_queries"), nothing.alias("provenance"), F.lit("seed").alias("role"), F.lit("concept_expansion").alias("via")))
+        .unionByName(near.select(Q, "id", score, F.col("subs").alias("source_sub_queries"), source_of(F.col("role")).alias("provenance"), "role", F.lit("hierarchy_expansion").alias("via")))
+    )
+    best = store(capped(pool, cfg).join(told.withColumn("told", F.lit(True)), [Q, "id"], "left"), "pool")
+    best = best.withColumn("provenance", F.when(F.col("told"), F.concat("provenance", source_of(F.lit("concept")))).otherwise(F.col("provenance"))).drop("told")
+    n_best = best.count()
+    full = lib.units.select("id", "type", "name", "parent_unit_id", "content_hash", "summary", "section", "content", "metadata").join(few(best, n_best), "id")
+    document = X.tokens(X.rerank_document(F.col("section"), F.col("name"), F.col("summary"), X.aliases_text(F.col("metadata.aliases")), F.col("content")))
+    asked = queries.select(Q, "sub_query_index", X.tokens(F.col("query")).alias("words"))
+    each = full.select(Q, "id", document.alias("document"), "source_sub_queries").withColumn("sub_query_index", F.explode("source_sub_queries")).join(few(asked, n_queries), search.KEY)
+    reranked = each.groupBy(Q, "id").agg(F.max(X.overlap_score(F.col("words"), F.col("document"))).alias("rerank_score"))
+    return final_score(full.join(reranked, [Q, "id"], "left").join(few(n_sub, n_queries), Q), cfg)
+
+
+def run_queries(spark: SparkSession, questions: list[str], lib: Library, embed, provider: Offline | None = None, cfg: Config = DEFAULT, max_iterations: int | None = None, is_list: bool | None = None) -> list[dict]:
+    """Route, decompose, retrieve until the sub-queries are covered, select evidence, answer; for all ``questions`` together.
+
+    ``embed`` maps a list of texts to vectors. A round is one plan for all questions that are still open; at most
+    ``max_results`` results of each question and round come to the driver, and rounds are bounded by the configuration.
     """
     provider = provider or Offline()
-    route = provider.route(question)
-    if not route["rag"]:
-        return {"answer": "Hello.", "citations": [], "evidence": [], "iterations": 0}
-    asked = provider.decompose(route["query"])
-    limit = max_iterations or (cfg.max_iterations_complex if len(asked) > 2 else cfg.max_iterations)
-    found: dict[str, dict] = {}
-    trail = []
-    for k in range(limit):
-        rows = [(i, q, v) for i, (q, v) in enumerate(zip(asked, embed(asked), strict=True))]
-        queries = spark.createDataFrame(rows, "sub_query_index int, query string, query_vec array<float>")
-        seen = spark.createDataFrame([(i,) for i in found], "id string") if found else None
-        best = [r.asDict(recursive=True) for r in passing(retrieve(units, subjects, contents, mentions, queries, len(asked), seen, cfg), cfg).collect()]
-        counts: dict[int, int] = {}
-        for r in best:
-            found.setdefault(r["id"], r | {"iteration": k})
+    out: list[dict] = []
+    open_: dict[int, list[str]] = {}
+    for i, question in enumerate(questions):
+        route = provider.route(question)
+        plan = provider.plan(route["query"]) if route["rag"] else None
+        out.append({"question": question, "found": {}, "trail": [], "plan": plan, "answer": None if plan else provider.chat(question, route["language"]), "citations": [], "evidence": [], "iterations": 0})
+        if plan:
+            open_[i] = plan["sub_queries"]
+    limit = {i: max_iterations or (cfg.max_iterations_complex if out[i]["plan"]["complex"] else cfg.max_iterations) for i in open_}
+    k = 0
+    while open_:
+        flat = [(i, s, q) for i, asked in open_.items() for s, q in enumerate(asked)]
+        vectors = embed([q for _, _, q in flat])
+        queries = spark.createDataFrame([(i, s, q, v) for (i, s, q), v in zip(flat, vectors, strict=True)], QUERIES)
+        known = [(i, x) for i in open_ for x in out[i]["found"]]
+        seen = spark.createDataFrame(known, "question_id long, id string") if known else None
+        counts: dict[int, dict[int, int]] = {i: {} for i in open_}
+        n_best = dict.fromkeys(open_, 0)
+        for r in (r.asDict(recursive=True) for r in passing(retrieve(lib, queries, len(flat), seen, cfg), cfg).drop("content").collect()):
+            i = r[Q]
+            n_best[i] += 1
+            out[i]["found"].setdefault(r["id"], r | {"iteration": k})
             for s in r["source_sub_queries"]:
-                counts[s] = counts.get(s, 0) + 1
-        follow = provider.sufficient(counts, asked)
-        trail.append({"iteration": k, "sub_queries": asked, "found": len(best), "follow_ups": follow})
-        if not follow or k == limit - 1:
-            break
-        asked = follow[: cfg.max_sub_queries]
-    pool = [
-        evidence.Candidate(r["id"], r["parent_unit_id"], r["content_hash"], r["name"], r["final_score"], r["direct"], frozenset(r["source_sub_queries"] if r["iteration"] == 0 else ()), r["metadata"]["mentions"], r["metadata"]["aliases"])
-        for r in sorted(found.values(), key=lambda r: (-r["final_score"], r["id"]))
-    ]
-    chosen = evidence.select_evidence(pool, len(trail[0]["sub_queries"]), False, cfg)
-    text = provider.answer(question, [found[c.id] for c in chosen])
-    import re
-
-    cited = list(dict.fromkeys(x for x in re.findall(cfg.citation_pattern, text) if x in found))
-    return {"answer": text, "citations": cited, "evidence": [c.id for c in chosen], "iterations": len(trail), "trail": trail}
+                counts[i][s] = counts[i].get(s, 0) + 1
+        left: dict[int, list[str]] = {}
+        for i, asked in open_.items():
+            last = k == limit[i] - 1
+            follow = [] if last else provider.sufficient(counts[i], asked)
+            out[i]["trail"].append({"iteration": k, "sub_queries": asked, "found": n_best[i], "follow_ups": follow})
+            if follow:
+                left[i] = follow[: cfg.max_sub_queries]
+        open_, k = left, k + 1
+    for x in out:
+        if not x["plan"]:
+            continue
+        found = x["found"]
+        pool = [
+            evidence.Candidate(r["id"], r["parent_unit_id"], r["content_hash"], r["name"], r["final_score"], r["direct"], frozenset(r["source_sub_queries"] if r["iteration"] == 0 else ()), r["metadata"]["mentions"], r["metadata"]["aliases"])
+            for r in sorted(found.values(), key=lambda r: (-r["final_score"], r["id"]))
+        ]
+        wants_all = x["plan"]["is_list"] if is_list is None else is_list
+        chosen = evidence.select_evidence(pool, len(x["trail"][0]["sub_queries"]), wants_all, cfg)
+        text = provider.answer(x["question"], [found[c.id] for c in chosen])
+        cited = list(dict.fromkeys(c for c in re.findall(cfg.citation_pattern, text) if c in found))
+        x.update(answer=text, citations=cited, evidence=[c.id for c in chosen], iterations=len(x["trail"]))
+    return out
+
+
+def run_query(spark: SparkSession, question: str, lib: Library, embed, **options) -> dict:
+    """:func:`run_queries` for one question."""
+    return run_queries(spark, [question], lib, embed, **options)[0]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.functions import text as X
+from quillmere.config import DEFAULT
 from quillmere.operators import concepts, evidence, search, windows
 from quillmere.plans import retrieval
 from quillmere.plans.registry import query
@@ -15,50 +17,47 @@ from quillmere.streaming import events as ev
 from quillmere.streaming import pages as pg
 
 L = F.lit
-N_QUERIES = len(fx.SUB_QUERIES)
-
-
-def inputs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Units, subject and content vectors (the content index is the subjects' shifted by one), mentions, questions."""
-    u = fx.units(spark, d)
-    v = fx.vectors(spark, d)
-    n = v.agg(F.count("*").alias("n"))
-    ids = u.select("id", "doc_id")
-    shifted = v.crossJoin(F.broadcast(n)).select(((F.col("doc_id") + F.col("n") - 1) % F.col("n")).alias("doc_id"), "vec")  # one row of n
-    q = fx.sub_queries(spark)
-    qv = q.join(v.select(F.col("doc_id").alias("query_doc"), F.col("vec").alias("query_vec")), "query_doc").select("sub_query_index", "query", "query_vec")
-    return {"units": u, "subjects": ids.join(v, "doc_id").select("id", "vec"), "contents": ids.join(shifted, "doc_id").select("id", "vec"), "mentions": fx.mentions(u), "queries": qv}
 
 
-@query("topk_bm25", "SELECT sub_query_index, id, cast(rank AS INTEGER) AS rank, round(score, 6) AS score FROM lex", search=True)
+@query("topk_bm25", "SELECT question_id, lex.sub_query_index, id, cast(rank AS INTEGER) AS rank, round(score, 6) AS score FROM lex JOIN qs ON qs.sub_query_index = lex.sub_query_index", search=True)
 def topk_bm25(spark, d):
-    return search.bm25(fx.units(spark, d), fx.sub_queries(spark), N_QUERIES).select("sub_query_index", "id", "rank", F.round("score", 6).alias("score"))
+    return search.bm25(fx.library(spark, d).index, fx.sub_queries(spark), fx.N_QUERIES).select("question_id", "sub_query_index", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("postings_stats", "SELECT term, count(*) AS df, cast(sum(tf) AS BIGINT) AS cf FROM po GROUP BY term", search=True)
 def postings_stats(spark, d):
-    _, postings = search.index(fx.units(spark, d))
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return fx.library(spark, d).index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-@query("topk_vector", "SELECT sub_query_index, id, cast(rank AS INTEGER) AS rank, round(score, 6) AS score FROM subj", search=True)
+@query("index_update", """SELECT term, count(*) AS df, cast(sum(tf) AS BIGINT) AS cf FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(words) AS term FROM sx WHERE id NOT IN (SELECT id FROM u WHERE type = 'Image' OR type = 'Rule')
+UNION ALL SELECT id, unnest(string_split('new words words', ' ')) FROM u WHERE type = 'Rule') GROUP BY 1, 2) GROUP BY term""", search=True)
+def index_update(spark, d):
+    lib = fx.library(spark, d)
+    rules = lib.units.where("type = 'Rule'").select("id", *(L(x).alias(c) for c, x in (("name", "new"), ("summary", "words"), ("content", "words"))), F.array().cast("array<string>").alias("section"), L(None).cast(lib.units.schema["metadata"].dataType).alias("metadata"))
+    after = search.update_index(lib.index, lib.units.where("type = 'Image'"), rules)
+    return after.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query("topk_vector", "SELECT question_id, subj.sub_query_index, id, cast(rank AS INTEGER) AS rank, round(score, 6) AS score FROM subj JOIN qs ON qs.sub_query_index = subj.sub_query_index", search=True)
 def topk_vector(spark, d):
-    x = inputs(spark, d)
-    return search.vector_top_k(x["subjects"], x["queries"], 15).select("sub_query_index", "id", "rank", F.round("score", 6).alias("score"))
+    return search.vector_top_k(fx.library(spark, d).subjects, fx.questions(spark, d), fx.N_QUERIES, 15).select("question_id", "sub_query_index", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def lists(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.ranked_lists(fx.library(spark, d), fx.questions(spark, d), fx.N_QUERIES)
 
 
-@query("rrf_fusion", "SELECT sub_query_index, id, round(fused, 9) AS fused, array_to_string(sources, ',') AS sources FROM fu", search=True)
+@query("rrf_fusion", "SELECT question_id, fu.sub_query_index, id, round(fused, 9) AS fused, array_to_string(sources, ',') AS sources FROM fu JOIN qs ON qs.sub_query_index = fu.sub_query_index", search=True)
 def rrf_fusion(spark, d):
-    x = inputs(spark, d)
-    lists = retrieval.ranked_lists(x["units"], x["subjects"], x["contents"], x["queries"], N_QUERIES)
-    return search.rrf(lists).select("sub_query_index", "id", F.round("fused", 9).alias("fused"), F.array_join("sources", ",").alias("sources"))
+    return search.rrf(lists(spark, d)).select("question_id", "sub_query_index", "id", F.round("fused", 9).alias("fused"), F.array_join("sources", ",").alias("sources"))
 
 
-@query("candidate_merge", "SELECT id, round(vector_score, 9) AS vector_score, array_to_string(sq, ',') AS subs FROM se", search=True)
+@query("candidate_merge", """SELECT se.question_id, id, round(vector_score, 9) AS vector_score, array_to_string(sq, ',') AS subs, provenance FROM se JOIN (
+  SELECT question_id, id, string_agg(source || '@' || rl.sub_query_index || '#' || rank, ' ' ORDER BY source, rank, rl.sub_query_index) AS provenance FROM rl JOIN qs ON qs.sub_query_index = rl.sub_query_index GROUP BY 1, 2) p USING (question_id, id)""", search=True)
 def candidate_merge(spark, d):
-    x = inputs(spark, d)
-    fused = search.rrf(retrieval.ranked_lists(x["units"], x["subjects"], x["contents"], x["queries"], N_QUERIES))
-    return retrieval.merge_sub_queries(fused).select("id", F.round("vector_score", 9).alias("vector_score"), F.array_join(F.transform("source_sub_queries", lambda s: s.cast("string")), ",").alias("subs"))
+    text = F.transform(F.array_sort(F.transform("provenance", lambda p: F.struct(p["type"].alias("type"), p["rank"].alias("rank"), p["sub_query_index"].alias("s")))), lambda p: F.concat(p["type"], L("@"), p["s"].cast("string"), L("#"), p["rank"].cast("string")))
+    subs = F.array_join(F.transform("source_sub_queries", lambda s: s.cast("string")), ",")
+    return retrieval.merge_sub_queries(search.rrf(lists(spark, d))).select("question_id", "id", F.round("vector_score", 9).alias("vector_score"), subs.alias("subs"), F.array_join(text, " ").alias("provenance"))
 
 
 @query("rank_before_after_exclusion", """SELECT id, label, cast(row_number() OVER (PARTITION BY label ORDER BY first DESC, id) AS INTEGER) AS after, cast(before AS INTEGER) AS before FROM (
@@ -70,73 +69,63 @@ def rank_before_after_exclusion(spark, d):
     return windows.rank_after_exclusion(rows, seen, "label").join(before, "id").select("id", "label", F.col("rank").alias("after"), "before")
 
 
-SCORES = r"""dt AS (SELECT id, list_distinct(regexp_split_to_array(lower('Section: ' || array_to_string(section, ' > ') || ' Name: ' || name || ' Summary: ' || summary || ' Aliases: ' || aliases[1] || ' Content: ' || content), '[^\p{L}\p{N}]+')) AS toks FROM u),
-rr AS (SELECT s.id, max(len(list_filter(string_split(q.query, ' '), lambda t: list_contains(toks, t))) / len(string_split(q.query, ' '))::DOUBLE) AS rerank FROM (SELECT id, unnest(sq) AS k FROM se) s JOIN q ON q.sub_query_index = s.k JOIN dt ON dt.id = s.id GROUP BY s.id),
-pv AS (SELECT id, list(DISTINCT source) AS kinds FROM rl GROUP BY id),
-fs AS (SELECT se.id, vector_score, sq, rerank, 0.7::DOUBLE * rerank + 0.15::DOUBLE * (len(sq) / 5.0::DOUBLE) + 0.1::DOUBLE + 0.05::DOUBLE * (len(kinds) / 6.0::DOUBLE) AS final FROM se JOIN rr ON rr.id = se.id JOIN pv ON pv.id = se.id)"""
+def pool(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.retrieve(fx.library(spark, d), fx.questions(spark, d), fx.N_QUERIES)
 
 
-def seeds_scored(spark: SparkSession, d: str) -> DataFrame:
-    x = inputs(spark, d)
-    fused = search.rrf(retrieval.ranked_lists(x["units"], x["subjects"], x["contents"], x["queries"], N_QUERIES))
-    pool = retrieval.merge_sub_queries(fused).join(x["units"], "id")
-    doc = X.rerank_document(F.col("section"), F.col("name"), F.col("summary"), X.aliases_text(F.col("metadata.aliases")), F.col("content"))
-    asked = pool.select("id", doc.alias("document"), F.explode("source_sub_queries").alias("sub_query_index")).join(F.broadcast(x["queries"].select("sub_query_index", "query")), "sub_query_index")
-    best = asked.groupBy("id").agg(F.max(retrieval.Offline().score(F.col("query"), F.col("document"))).alias("rerank_score"))
-    return retrieval.final_score(pool.join(best, "id", "left"), N_QUERIES)
-
-
-@query("max_over_subqueries", f"WITH {SCORES} SELECT id, round(rerank, 6) AS rerank FROM rr", search=True)
+@query("max_over_subqueries", "SELECT question_id, id, round(rerank, 6) AS rerank FROM fs", pool=True)
 def max_over_subqueries(spark, d):
-    return seeds_scored(spark, d).select("id", F.round("rerank_score", 6).alias("rerank"))
+    return pool(spark, d).select("question_id", "id", F.round(F.coalesce("rerank_score", L(0.0)), 6).alias("rerank"))
 
 
-@query("final_score", f"WITH {SCORES} SELECT id, round(final, 6) AS final FROM fs", search=True)
+@query("final_score", "SELECT question_id, id, role, via, round(final, 6) AS final FROM fs", pool=True)
 def final_score(spark, d):
-    return seeds_scored(spark, d).select("id", F.round("final_score", 6).alias("final"))
+    return pool(spark, d).select("question_id", "id", "role", F.coalesce("via", L("")).alias("via"), F.round("final_score", 6).alias("final"))
 
 
-@query("diversity_coverage", f"WITH {SCORES} SELECT fs.id, round(len(sq) / 5.0::DOUBLE, 6) AS coverage, round(len(kinds) / 6.0::DOUBLE, 6) AS diversity FROM fs JOIN pv ON pv.id = fs.id", search=True)
+@query("diversity_coverage", "SELECT question_id, id, round(coverage, 6) AS coverage, round(diversity, 6) AS diversity FROM fs", pool=True)
 def diversity_coverage(spark, d):
-    return seeds_scored(spark, d).select("id", F.round("coverage", 6).alias("coverage"), F.round("diversity", 6).alias("diversity"))
+    return pool(spark, d).select("question_id", "id", F.round("coverage", 6).alias("coverage"), F.round("diversity", 6).alias("diversity"))
 
 
-@query("threshold_or_fallback", f"WITH {SCORES}, p AS (SELECT *, count(*) FILTER (WHERE rerank >= 0.4) OVER () AS n, row_number() OVER (ORDER BY round(rerank, 9) DESC, id) AS r FROM fs) SELECT id, round(final, 6) AS final FROM p WHERE rerank >= 0.4 OR (n = 0 AND r <= 3) ORDER BY round(final, 9) DESC, id LIMIT 12", search=True)
+@query("threshold_or_fallback", """WITH x AS (SELECT *, count(*) FILTER (WHERE rerank >= 0.4 AND question_id <> 2) OVER (PARTITION BY question_id) AS k, row_number() OVER (PARTITION BY question_id ORDER BY round(CASE WHEN question_id = 2 THEN rerank * 0.3 ELSE rerank END, 9) DESC, id) AS by_rerank FROM fs)
+SELECT question_id, id, round(final, 6) AS final FROM x WHERE (k > 0 AND rerank >= 0.4) OR (k = 0 AND by_rerank <= 3) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(final, 9) DESC, id) <= 12""", pool=True)
 def threshold_or_fallback(spark, d):
-    return retrieval.passing(seeds_scored(spark, d)).select("id", F.round("final_score", 6).alias("final"))
+    weak = pool(spark, d).withColumn("rerank_score", F.when(F.col("question_id") == 2, F.col("rerank_score") * 0.3).otherwise(F.col("rerank_score")))  # one question that nothing answers well
+    return retrieval.passing(weak).select("question_id", "id", F.round("final_score", 6).alias("final"))
 
 
 @query("fallback_only", "SELECT id, cast(rerank_score AS DOUBLE) AS rerank_score FROM (VALUES ('b', 0.39), ('a', 0.3), ('d', 0.2)) t(id, rerank_score)")
 def fallback_only(spark, d):
-    rows = [(i, s, s) for i, s in (("a", 0.3), ("b", 0.39), ("c", 0.1), ("d", 0.2))]
-    return retrieval.passing(spark.createDataFrame(rows, "id string, rerank_score double, final_score double")).select("id", "rerank_score")
+    rows = [(0, i, s, s) for i, s in (("a", 0.3), ("b", 0.39), ("c", 0.1), ("d", 0.2))]
+    return retrieval.passing(spark.createDataFrame(rows, "question_id long, id string, rerank_score double, final_score double")).select("id", "rerank_score")
 
 
-@query("cap_seed_first", "SELECT id FROM (SELECT id, parent_unit_id IS NULL AS is_seed, length(content) AS s FROM u ORDER BY is_seed DESC, s DESC, id LIMIT 50)", units=True)
+@query("cap_seed_first", "SELECT page AS question_id, id FROM (SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY parent_unit_id IS NULL DESC, length(content) / 7.0::DOUBLE DESC, id) AS n FROM u) WHERE n <= 5", units=True)
 def cap_seed_first(spark, d):
-    u = fx.units(spark, d).select("id", F.col("parent_unit_id").isNull().alias("seed"), F.length("content").alias("s"))
-    return u.orderBy(F.desc("seed"), F.desc("s"), "id").limit(50).select("id")
+    u = fx.units(spark, d)
+    rows = u.select(F.col("page").alias("question_id"), "id", F.when(F.col("parent_unit_id").isNull(), "seed").otherwise("child").alias("role"), (F.length("content") / 7.0).alias("vector_score"))
+    return retrieval.capped(rows, dataclasses.replace(DEFAULT, pool_cap=5)).select("question_id", "id")
 
 
-@query("concept_cooccurrence", """WITH s AS (SELECT id, source_order + 1 AS rank FROM u WHERE page = 1),
-c AS (SELECT term, min(rank) AS best FROM m JOIN s ON s.id = m.unit_id GROUP BY term ORDER BY best, term LIMIT 5)
-SELECT term, unit_id FROM (SELECT term, unit_id, row_number() OVER (PARTITION BY term ORDER BY unit_id) AS n FROM (SELECT DISTINCT term, unit_id FROM m WHERE unit_id NOT IN (SELECT id FROM s)) WHERE term IN (SELECT term FROM c)) WHERE n <= 3""", units=True)
+@query("concept_cooccurrence", """WITH s AS (SELECT page AS q, id, source_order + 1 AS rank FROM u),
+c AS (SELECT q, term FROM (SELECT q, term, row_number() OVER (PARTITION BY q ORDER BY min(rank), term) AS n FROM m JOIN s ON s.id = m.unit_id GROUP BY 1, 2) WHERE n <= 5)
+SELECT q AS question_id, term, unit_id FROM (SELECT c.q, c.term, x.unit_id, row_number() OVER (PARTITION BY c.q, c.term ORDER BY x.unit_id) AS n FROM c JOIN (SELECT DISTINCT term, unit_id FROM m) x ON x.term = c.term
+  JOIN u ON u.id = x.unit_id WHERE u.page <> c.q) WHERE n <= 3""", units=True)
 def concept_cooccurrence(spark, d):
-    u = fx.units(spark, d)
-    seeds = u.where("page = 1").select("id", (F.col("source_order") + 1).alias("rank"))  # a page's units as the seeds of a question
-    return concepts.cooccurring(seeds, fx.mentions(u))
+    lib = fx.library(spark, d)
+    seeds = lib.units.select(F.col("page").alias("question_id"), "id", (F.col("source_order") + 1).alias("rank"))  # each page's units as the seeds of a question
+    return concepts.cooccurring(seeds, seeds.count(), lib.mentions)[1]
 
 
-@query("hybrid_retrieve", "SELECT sub_query_index, source, id, cast(rank AS INTEGER) AS rank, round(score, 6) AS score FROM rl", search=True)
+@query("hybrid_retrieve", "SELECT question_id, rl.sub_query_index, source, id, cast(rank AS INTEGER) AS rank, round(score, 6) AS score FROM rl JOIN qs ON qs.sub_query_index = rl.sub_query_index", search=True)
 def hybrid_retrieve(spark, d):
-    x = inputs(spark, d)
-    return retrieval.ranked_lists(x["units"], x["subjects"], x["contents"], x["queries"], N_QUERIES).withColumn("score", F.round("score", 6))
+    return lists(spark, d).withColumn("score", F.round("score", 6))
 
 
-@query("retrieve_end_to_end", f"WITH {SCORES}, cap AS (SELECT * FROM fs ORDER BY round(vector_score, 9) DESC, id LIMIT 50) SELECT id, round(final, 6) AS final_score FROM cap WHERE rerank >= 0.4 ORDER BY round(final, 9) DESC, id LIMIT 12", search=True)
+@query("retrieve_end_to_end", "SELECT question_id, id, role, round(final, 6) AS final_score FROM ps", pool=True)
 def retrieve_end_to_end(spark, d):
-    x = inputs(spark, d)
-    return retrieval.passing(retrieval.retrieve(x["units"], x["subjects"], x["contents"], x["mentions"], x["queries"], N_QUERIES)).select("id", F.round("final_score", 6).alias("final_score"))
+    return retrieval.passing(pool(spark, d)).select("question_id", "id", "role", F.round("final_score", 6).alias("final_score"))
 
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
@@ -258,11 +247,16 @@ def late_data(spark, d):
     return spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{at}/out")
 
 
+ASKED = ["that and this; with from are; zzzz qqqq", "tion thre", "hello", "list ther thin", "zzzz"]
+
+
+def answered(spark: SparkSession, d: str) -> list[dict]:
+    some = {r.query: list(r.query_vec) for r in fx.questions(spark, d).collect()}  # the fixed sub-queries
+    first = next(iter(dict(sorted(some.items())).values()))
+    return retrieval.run_queries(spark, ASKED, fx.library(spark, d), lambda qs: [some.get(q, first) for q in qs])
+
+
 @query("loop_iterations")
 def loop_iterations(spark, d):
-    x = inputs(spark, d)
-    vectors = {r.query: list(r.query_vec) for r in x["queries"].collect()}  # the five fixed questions
-    some = next(iter(vectors.values()))
-    out = retrieval.run_query(spark, "that and this; with from are; zzzz qqqq", x["units"], x["subjects"], x["contents"], x["mentions"], lambda qs: [vectors.get(q, some) for q in qs])
-    rows = [(t["iteration"], " | ".join(t["sub_queries"]), t["found"], len(t["follow_ups"])) for t in out["trail"]]
-    return spark.createDataFrame(rows, "iteration int, sub_queries string, found int, n_follow_ups int")
+    rows = [(i, t["iteration"], " | ".join(t["sub_queries"]), t["found"], len(t["follow_ups"])) for i, x in enumerate(answered(spark, d)) for t in x["trail"]]
+    return spark.createDataFrame(rows, "question_id int, iteration int, sub_queries string, found int, n_follow_ups int")

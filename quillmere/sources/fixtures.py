@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.functions import text as X
+from quillmere.operators import search
+from quillmere.plans.retrieval import Library
 from quillmere.schemas import STATUSES, UNIT_TYPES
-from quillmere.session import table
+from quillmere.session import exists, scratch_path, table
 
 VOCABULARY = ["tion", "thre", "thth", "anea", "ther", "thin", "thor", "thed", "ble", "ing"]
 SUB_QUERIES = ["that and this", "with from are", "tion thre", "ther thin", "ble anea"]
@@ -67,7 +69,46 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), "label")
 
 
+#: question: its sub-queries, as places in SUB_QUERIES
+QUESTIONS = {0: [0, 1, 2, 3, 4], 1: [0], 2: [2], 3: [4], 4: [1, 3]}
+
+
 def sub_queries(spark: SparkSession) -> DataFrame:
-    """(sub_query_index, query, query_doc): questions, and the document whose vector stands for each."""
-    rows = [(k, q, 7 * k + 3) for k, q in enumerate(SUB_QUERIES)]
-    return spark.createDataFrame(rows, "sub_query_index int, query string, query_doc long")
+    """(question_id, sub_query_index, query, query_doc): the sub-queries of all questions, and the document whose vector stands for each."""
+    rows = [(i, k, SUB_QUERIES[k], 7 * k + 3) for i, asked in QUESTIONS.items() for k in asked]
+    return spark.createDataFrame(rows, "question_id long, sub_query_index int, query string, query_doc long")
+
+
+N_QUERIES = sum(map(len, QUESTIONS.values()))
+_libraries: dict[tuple[str, str], tuple[str, Library]] = {}
+
+
+def ingest(spark: SparkSession, sf_dir: str) -> tuple[str, Library]:
+    """Ingest the documents of ``sf_dir`` below a folder of their own: units, text index, vectors, mentions."""
+    at = scratch_path(spark, "library")
+    units(spark, sf_dir).write.parquet(f"{at}/units")
+    u = spark.read.parquet(f"{at}/units")
+    v = vectors(spark, sf_dir)
+    ids = u.select("id", "doc_id")
+    n = v.agg(F.count("*").alias("n"))
+    shifted = v.crossJoin(F.broadcast(n)).select(((F.col("doc_id") + F.col("n") - 1) % F.col("n")).alias("doc_id"), "vec")  # one row of n
+    ids.join(v, "doc_id").select("id", "vec").write.parquet(f"{at}/subjects")
+    ids.join(shifted, "doc_id").select("id", "vec").write.parquet(f"{at}/contents")
+    mentions(u).write.parquet(f"{at}/mentions")
+    index = search.build_index(u, f"{at}/index")
+    read = lambda name: spark.read.parquet(f"{at}/{name}")
+    return at, Library(u, index, read("subjects"), read("contents"), read("mentions"))
+
+
+def library(spark: SparkSession, sf_dir: str) -> Library:
+    """The ingested documents of ``sf_dir``: ingested once for a session, as long as what was written is there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _libraries or not exists(spark, _libraries[key][0]):
+        _libraries[key] = ingest(spark, sf_dir)
+    return _libraries[key][1]
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(question_id, sub_query_index, query, query_vec)."""
+    q = sub_queries(spark)
+    return vectors(spark, sf_dir).select(F.col("doc_id").alias("query_doc"), F.col("vec").alias("query_vec")).join(F.broadcast(q), "query_doc").select("question_id", "sub_query_index", "query", "query_vec")  # a fixed number of rows

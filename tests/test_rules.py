@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,15 +68,19 @@ def test_table_types_are_repaired_in_unit_order(spark):
     assert found == {"h": "DataTableHeader", "r": "DataTableRow", "p": "DataTableHeader", "c": "DataTableRow", "t": "DataTableRow", "x": "Rule", "z": "Rule"}
 
 
-def test_parent_chain_survives_a_cycle(spark):
-    u = spark.createDataFrame([("a", "b", "A"), ("b", "a", "B"), ("c", None, "C"), ("d", "missing", "D")], "id string, parent_unit_id string, name string")
+def test_parent_chain_survives_a_cycle_and_any_depth(spark):
+    deep = [(f"n{k}", f"n{k - 1}" if k else None, f"N{k}") for k in range(12)]
+    u = spark.createDataFrame([("a", "b", "A"), ("b", "a", "B"), ("c", None, "C"), ("d", "missing", "D"), *deep], "id string, parent_unit_id string, name string")
     found = {r.id: r.parents for r in hierarchy.parent_chains(u).collect()}
+    assert found["n11"] == [f"N{k}" for k in range(11)]
+    u.createOrReplaceTempView("cycles")
+    assert {r.id: r.path for r in spark.sql(hierarchy.parent_chains_sql("cycles")).collect()} == found
     assert found["c"] == [] and found["d"] == [] and found["a"] == ["B"] and found["b"] == ["A"]
 
 
 def test_rrf_adds_reciprocal_ranks(spark):
     lists = [("s", "a", 1), ("s", "b", 2), ("c", "b", 1), ("c", "c", 2), ("l", "b", 1)]
-    df = spark.createDataFrame([(0, s, i, r, 1.0) for s, i, r in lists], "sub_query_index int, source string, id string, rank int, score double")
+    df = spark.createDataFrame([(0, 0, s, i, r, 1.0) for s, i, r in lists], "question_id long, sub_query_index int, source string, id string, rank int, score double")
     found = {r.id: r.fused for r in search.rrf(df).collect()}
     assert found["b"] == pytest.approx(1 / 62 + 2 / 61) and found["a"] == pytest.approx(1 / 61) and found["c"] == pytest.approx(1 / 62)
     again = {r.id: r.fused for r in search.rrf(df.orderBy(F.desc("rank"))).collect()}
@@ -84,8 +89,10 @@ def test_rrf_adds_reciprocal_ranks(spark):
 
 def test_threshold_is_inclusive_and_falls_back(spark):
     def best(*scores):
-        rows = [(chr(97 + k), s, s) for k, s in enumerate(scores)]
-        return [r.id for r in retrieval.passing(spark.createDataFrame(rows, "id string, rerank_score double, final_score double")).collect()]
+        rows = [(q, chr(97 + k), s, s) for q in (0, 1) for k, s in enumerate(scores)]
+        found = retrieval.passing(spark.createDataFrame(rows, "question_id long, id string, rerank_score double, final_score double")).orderBy("question_id", "position").collect()
+        assert [r.id for r in found if r.question_id == 0] == [r.id for r in found if r.question_id == 1]
+        return [r.id for r in found if r.question_id == 0]
 
     assert best(0.4, 0.39, 0.1) == ["a"]
     assert best(0.1, 0.3, 0.2, 0.05) == ["b", "c", "a"]
@@ -174,18 +181,63 @@ def test_config_files(tmp_path):
 
 
 def test_top_k_is_limited_before_the_shuffle_and_questions_are_broadcast(spark, small):
-    from quillmere.plans import search_queries
-
-    x = search_queries.inputs(spark, small)
-    plan = search.vector_top_k(x["subjects"], x["queries"], 15)._jdf.queryExecution().executedPlan().toString()
+    lib, queries = fx.library(spark, small), fx.questions(spark, small)
+    plan = search.vector_top_k(lib.subjects, queries, fx.N_QUERIES, 15)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "BroadcastNestedLoopJoin" in plan and "CartesianProduct" not in plan
 
 
+def test_vector_search_in_blocks_gives_the_same(spark, small, monkeypatch):
+    lib, queries = fx.library(spark, small), fx.questions(spark, small)
+    found = lambda: sorted(map(tuple, search.vector_top_k(lib.subjects, queries, fx.N_QUERIES, 5).select("question_id", "sub_query_index", "id", "rank").collect()))
+    whole = found()
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 3)
+    assert found() == whole and len(whole) == 5 * fx.N_QUERIES
+
+
+def test_only_buckets_of_asked_terms_are_read_and_texts_are_not(spark, small):
+    lib = fx.library(spark, small)
+    plan = search.bm25(lib.index, fx.sub_queries(spark), fx.N_QUERIES)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and "documents.parquet" not in plan
+
+
+def test_terms_are_resolved_alike_in_blocks_of_any_size(spark):
+    import random
+
+    random.seed(4)
+    rows = [(f"term{k % 40}" + "s" * (k // 40), k, [random.random() + 0.1 for _ in range(4)]) for k in range(120)]
+    t = spark.createDataFrame(rows, "term string, first int, vec array<double>")
+    none = spark.createDataFrame([], "normalized_alias string, concept_term string")
+    found = [{x.term: x.concept_term for x in concepts.resolve(t.select("term", "first"), none, t.select("term", "vec"), block=b).collect()} for b in (7, 1024)]
+    assert found[0] == found[1] and len(set(found[0].values())) < 120
+    assert "CartesianProduct" not in concepts.earlier_neighbours(t, 7)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_expanded_units_may_inherit_the_sub_queries_of_their_seeds(spark, small):
+    lib, queries = fx.library(spark, small), fx.questions(spark, small).where("question_id = 1")
+    plain = {r.id: r for r in retrieval.retrieve(lib, queries, 1).collect()}
+    inherited = {r.id: r for r in retrieval.retrieve(lib, queries, 1, cfg=dataclasses.replace(DEFAULT, expansion_inherits_subquery=True)).collect()}
+    more = [i for i, r in plain.items() if r.via]
+    assert set(plain) == set(inherited) and more
+    assert all(list(plain[i].source_sub_queries) == [] and plain[i].rerank_score is None for i in more)
+    assert all(list(inherited[i].source_sub_queries) == [0] and inherited[i].rerank_score is not None for i in more)
+
+
+def test_a_question_gets_the_same_answer_alone_and_among_others(spark, small):
+    lib = fx.library(spark, small)
+    vec = [list(fx.questions(spark, small).first().query_vec)]
+    asked = ["that and this; zzzz", "hello", "list tion thre"]
+    together = retrieval.run_queries(spark, asked, lib, lambda qs: vec * len(qs))
+    for q, x in zip(asked, together, strict=True):
+        alone = retrieval.run_query(spark, q, lib, lambda qs: vec * len(qs))
+        assert (alone["answer"], alone["evidence"], alone["trail"]) == (x["answer"], x["evidence"], x["trail"])
+    assert together[1]["iterations"] == 0 and len(together[2]["evidence"]) > 0
+
+
 def test_scans_read_only_what_they_need(spark, small):
     from quillmere.plans import store_queries
 
     plan = store_queries.union_ranked(spark, small)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<doc_id:bigint>" in plan and "PushedFilters" in plan
+    assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan and "ReadSchema: struct<doc_id:bigint,n_chars:bigint>" in plan and "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
 
 
 def test_cascade_delete_leaves_nothing_behind(spark):
