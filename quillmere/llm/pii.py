@@ -152,9 +152,15 @@ def disclosing_terms(keyed: DataFrame, support: int, share: float, bits: float,
     beside = mentions.select("entity", "k", "k2", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("near")).where(F.col("near") >= support)
     beside = store(beside.join(of_entity, "entity").select("entity", "term", "c_e"), "beside")
     terms = beside.select("term").distinct()
-    texts = store(words_of(keyed).join(F.broadcast(terms) if beside.count() <= BROADCAST_ROWS else terms, "term", "left_semi").distinct(), "texts")
-    of_term = texts.groupBy("term").agg(F.count("*").alias("c_t"))
-    both = held.join(beside.select("entity", "term"), "entity").join(texts, ["k", "k2", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("c_te"))
+    hashes = terms.agg(F.count("*").alias("n"), F.count_distinct(F.hash("term")).alias("different")).first()
+    number = F.hash("term") if hashes.n == hashes.different else F.xxhash64("term")  # four bytes for a term where they tell all apart
+    terms = terms.select("term", number.alias("t"))
+    # a row for each different text with the candidates in it: small beside the text, however many candidates there come to be
+    met = words_of(keyed).join(F.broadcast(terms) if hashes.n <= BROADCAST_ROWS else terms, "term")
+    texts = store(met.groupBy("k", "k2").agg(F.collect_set("t").alias("ts")), "texts")
+    of_term = texts.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("c_t")).join(terms, "t").select("term", "c_t")
+    asked = held.join(beside.select("entity", "term"), "entity").withColumn("t", number)
+    both = asked.join(texts, ["k", "k2"]).where(F.array_contains("ts", F.col("t"))).groupBy("entity", "term").agg(F.count("*").alias("c_te"))
     total = keyed.select("k", "k2").distinct().agg(F.count("*").alias("n"))
     told = F.log2(F.col("c_te") * F.col("n") / (F.col("c_t") * F.col("c_e")))
     weighed = beside.join(both, ["entity", "term"]).join(of_term, "term").join(F.broadcast(total))  # one row
