@@ -157,3 +157,88 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def hashed_vector(text: Column, dimensions: int = 64) -> Column:
+    """The offline embedding: counts of words by their first and last letter and length, scaled to length one; null without words."""
+    slot = lambda w: F.pmod(F.ascii(w) * 31 + F.ascii(F.substring(w, -1, 1)) * 7 + F.length(w), F.lit(dimensions))
+    slots = F.transform(tokens(text), slot)
+    counts = F.transform(F.array(slots), lambda s: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.size(F.filter(s, lambda x: x == k)).cast("double")))[0]
+    size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda n, x: n + x * x))
+    return F.transform(F.array(counts), lambda c: F.transform(F.array(size(c)), lambda n: F.when(n > 0, F.transform(c, lambda x: x / n)))[0])[0]
+
+
+def only_strings(json: Column) -> Column:
+    """The strings among the elements of a JSON array; what is no array has none."""
+    parts = F.from_json(json, "array<variant>")
+    kept = F.filter(parts, lambda v: F.schema_of_variant(v) == "STRING")
+    return F.coalesce(F.transform(kept, lambda v: F.variant_get(v, "$", "string")), F.array().cast("array<string>"))
+
+
+def strict_true(value: Column) -> Column:
+    """True only for the word true, as a JSON true gives it."""
+    return F.coalesce(value == "true", F.lit(False))
+
+
+def one_of(value: Column, allowed: list[str], default: str) -> Column:
+    return F.when(value.isin(allowed), value).otherwise(default)
+
+
+def json_repaired(text: Column) -> Column:
+    """The JSON block of a text if it parses, else with trailing commas and unclosed ends mended, else null."""
+    block = json_block(text)
+    mended = F.regexp_replace(F.regexp_replace(block, r",\s*([}\]])", "$1"), r",\s*$", "")
+    missing = F.repeat(F.lit("}"), F.greatest(F.lit(0), F.length(F.regexp_replace(mended, r"[^{]", "")) - F.length(F.regexp_replace(mended, r"[^}]", ""))))
+    fixed = F.concat(mended, missing)
+    return F.when(F.try_parse_json(block).isNotNull(), block).when(F.try_parse_json(fixed).isNotNull(), fixed)
+
+
+def integer_or(text: Column, default: int) -> Column:
+    """The leading digits of a text as a number, else ``default``."""
+    return F.coalesce(F.regexp_extract(text, r"^\s*(-?[0-9]{1,9})", 1).try_cast("int"), F.lit(default))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, F.concat(F.format_number(100 * part / whole, 1), F.lit("%"))).otherwise("0.0%")
+
+
+def html_escaped(text: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def iso_time(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def filled_template(template: str, values: dict[str, Column]) -> Column:
+    """A template with each ${name} replaced."""
+    out: Column = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("${" + name + "}"), value)
+    return out
+
+
+def retry_delay_ms(attempt: Column) -> Column:
+    """Delay before a task tries again: a second, doubled each time."""
+    return (F.lit(1000) * F.pow(F.lit(2), attempt)).cast("long")
+
+
+def random_id(prefix: str) -> Column:
+    return F.concat(F.lit(prefix + "-"), F.uuid())
+
+
+def sub_queries(question: Column, most: int = DEFAULT.max_sub_queries) -> Column:
+    """A question cut at its ends and conjunctions, at most ``most`` parts: the offline decomposition, for a table of questions."""
+    parts = F.transform(F.split(question, r"[?;]|\band\b|\bor\b", -1), lambda p: F.trim(p))
+    return F.slice(F.filter(parts, lambda p: p != ""), 1, most)
+
+
+def needs_documents(question: Column) -> Column:
+    """Whether a question is more than a greeting."""
+    return ~F.lower(question).rlike(r"^\s*(hi|hello|thanks|thank you)[.!\s]*$")
+
+
+def entities(question: Column, most: int = 5) -> Column:
+    return F.slice(F.regexp_extract_all(question, F.lit(r"\b[A-Z][A-Za-z0-9_]+"), F.lit(0)), 1, most)

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from quillmere.config import DEFAULT, Config
 from quillmere.functions import text as X
 from quillmere.operators.search import few, top_k
+from quillmere.operators.store import insert_ignore, upsert
 from quillmere.session import discard, store
 
 
@@ -79,15 +80,16 @@ def earlier_neighbours(terms: DataFrame, block: int) -> DataFrame:
     return met.select("term", "id", X.cosine(F.col("vec"), F.col("vec2")).alias("score"))
 
 
-def contexts(mentions: DataFrame, units: DataFrame, most: int = 3, chars: int = 500, total: int = 2000) -> DataFrame:
+def contexts(mentions: DataFrame, units: DataFrame, most: int = 3, chars: int = 500, total: int = 2000, with_units: bool = False) -> DataFrame:
     """(term, context): contents of the first units that define a term (or else mention it), joined and cut."""
     kind = F.when(F.col("mention_type") == "defines", 0).otherwise(1)
     met = mentions.join(units.select(F.col("id").alias("unit_id"), "page", "source_order", F.substring("content", 1, chars).alias("part")), "unit_id").withColumn("kind", kind)
     best = met.withColumn("least", F.min("kind").over(Window.partitionBy("term"))).where("kind = least")
     n = F.row_number().over(Window.partitionBy("term").orderBy("page", "source_order"))
-    few = best.withColumn("n", n).where(F.col("n") <= most)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"])
-    return few.groupBy("term").agg(F.substring(F.array_join(parts, "\n---\n"), 1, total).alias("context"))
+    first = best.withColumn("n", n).where(F.col("n") <= most)
+    sorted_ = F.array_sort(F.collect_list(F.struct("n", "part", "unit_id")))
+    out = first.groupBy("term").agg(F.substring(F.array_join(F.transform(sorted_, lambda x: x["part"]), "\n---\n"), 1, total).alias("context"), F.transform(sorted_, lambda x: x["unit_id"]).alias("source_unit_ids"))
+    return out if with_units else out.drop("source_unit_ids")
 
 
 def cooccurring(seeds: DataFrame, n_seeds: int, mentions: DataFrame, concepts: int = DEFAULT.concepts_expanded, per_concept: int = DEFAULT.units_per_concept) -> tuple[DataFrame, DataFrame]:
@@ -107,3 +109,48 @@ def cooccurring(seeds: DataFrame, n_seeds: int, mentions: DataFrame, concepts: i
     other = head.join(chosen.select("question_id", "term"), "term").join(s.select("question_id", "unit_id"), ["question_id", "unit_id"], "left_anti")
     n = F.row_number().over(Window.partitionBy("question_id", "term").orderBy("unit_id"))
     return chosen, other.withColumn("n", n).where(F.col("n") <= per_concept).select("question_id", "term", "unit_id")
+
+
+def concept_id(term: Column) -> Column:
+    return F.concat(F.lit("CONCEPT-"), F.substring(F.sha2(term, 256), 1, 32))
+
+
+def tables(mentions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Concepts, aliases and mentions of a batch (unit_id, term, mention_type): a concept for each term, known by its own name."""
+    named = mentions.select(concept_id(F.col("term")).alias("concept_id"), "unit_id", "term", "mention_type")
+    concepts = named.select(F.col("concept_id").alias("id"), F.col("term").alias("canonical_name")).distinct()
+    aliases = concepts.select(F.col("id").alias("concept_id"), F.col("canonical_name").alias("alias"), X.normalize_term(F.col("canonical_name"), unicode=False).alias("normalized_alias"), F.lit(0.8).alias("confidence"))
+    rows = named.select("concept_id", "unit_id", F.col("term").alias("raw_term"), "mention_type", F.lit(1.0).alias("confidence"))
+    return concepts, aliases, rows
+
+
+def stored_batch(state: tuple[DataFrame, DataFrame, DataFrame], batch: tuple[DataFrame, DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Concept tables after a batch: concepts replaced or added, aliases added where they are new, mentions appended."""
+    return upsert(state[0], batch[0], ["id"]), insert_ignore(state[1], batch[1], ["concept_id", "normalized_alias"]), state[2].unionByName(batch[2])
+
+
+def by_alias(rows: DataFrame, raw: str, aliases: DataFrame, unicode: bool = False) -> DataFrame:
+    """``rows`` with the concept that is known by the normalised text in ``raw``, the smallest id if there are several."""
+    one = aliases.groupBy("normalized_alias").agg(F.min("concept_id").alias("concept_id"))
+    return rows.withColumn("normalized_alias", X.normalize_term(F.col(raw), unicode)).join(one, "normalized_alias")
+
+
+def overview(concepts: DataFrame, aliases: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Concepts with how many aliases and mentions they have, none included."""
+    a = aliases.groupBy(F.col("concept_id").alias("id")).agg(F.count("*").alias("alias_count"))
+    m = mentions.groupBy(F.col("concept_id").alias("id")).agg(F.count("*").alias("mention_count"))
+    return concepts.join(a, "id", "left").join(m, "id", "left").fillna(0, ["alias_count", "mention_count"])
+
+
+def described(mentions: DataFrame, units: DataFrame, describe=lambda context: F.substring(context, 1, 240)) -> DataFrame:
+    """(term, description, source_unit_ids): ``describe`` turns the context of a concept's first units into its description."""
+    ctx = contexts(mentions, units, with_units=True)
+    return ctx.select("term", describe(F.col("context")).alias("description"), "source_unit_ids")
+
+
+def affected(mentions: DataFrame, units: DataFrame, pages: list[int]) -> DataFrame:
+    """New descriptions of the concepts that the given pages mention, from all other pages; those left without a unit have none."""
+    on = mentions.join(units.select(F.col("id").alias("unit_id"), "page"), "unit_id")
+    touched = on.where(F.col("page").isin(pages)).select("term").distinct()
+    left = on.where(~F.col("page").isin(pages)).drop("page").join(touched, "term", "left_semi")
+    return described(left, units)

@@ -91,3 +91,18 @@ def inherit_sections(units: DataFrame) -> DataFrame:
         discard(now)
         now = after
     return units.drop("section").join(now.select("id", "section"), "id")
+
+
+def containers(units: DataFrame, scope: str) -> DataFrame:
+    """(scope, name, n_children): names that other units of the scope give as their parent's."""
+    asked = units.where("parent_name IS NOT NULL").groupBy(scope, F.col("parent_name").alias("name")).agg(F.count("*").alias("n_children"))
+    return asked.join(units.select(scope, "name"), [scope, "name"], "left_semi")
+
+
+def tree(units: DataFrame) -> DataFrame:
+    """(id, depth, children, n_below): each unit with its children in order; a unit that names itself, or a missing one, as parent is a root."""
+    up = F.when(F.col("parent_unit_id") != F.col("id"), F.col("parent_unit_id"))
+    u = units.withColumn("parent_unit_id", up)
+    kids = u.where("parent_unit_id IS NOT NULL").groupBy(F.col("parent_unit_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("source_order", "id"))).alias("x"))
+    named = u.select("id").join(kids, "id", "left").select("id", F.coalesce(F.transform("x", lambda r: r["id"]), F.array().cast("array<string>")).alias("children"))
+    return named.join(parent_chains(u).select("id", "depth"), "id").withColumn("n_below", F.size("children").cast("long"))

@@ -44,6 +44,11 @@ def delete(current: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return current.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
+def delete_vectors(vectors: DataFrame, gone: DataFrame, longest: int = 64) -> DataFrame:
+    """``vectors`` without the ids of ``gone``; ids that no index can hold are passed over."""
+    return vectors.join(gone.where(F.length("id") <= longest).select("id").distinct(), "id", "left_anti")
+
+
 def cascade_delete(tables: dict[str, DataFrame], document_id: str) -> dict[str, DataFrame]:
     """All tables without a document: mentions, aliases, concepts, vectors, units, jobs, document; logs stay."""
     out = dict(tables)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.plans import registry, retrieval, search_queries, store_queries, text_queries  # noqa: F401  they register their queries
+from quillmere.plans import engine_queries, registry, retrieval, search_queries, store_queries, text_queries  # noqa: F401  they register their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,8 @@ def run_phase(units: DataFrame, phase: str, pages: list[int] | None = None, prov
     out = units
     if phase == "summary":
         out = out.withColumn("summary", F.when(due, provider.summarise(F.col("content"))).otherwise(F.col("summary")))
+    if phase == "metadata":
+        out = out.withColumn("metadata", F.when(due, provider.extract(F.col("content"))).otherwise(F.col("metadata")))
     if phase == "embedding":
         for c in ("subject_embedding_id", "content_embedding_id"):
             out = out.withColumn(c, F.when(due, F.col("id")).otherwise(F.col(c) if c in out.columns else F.lit(None).cast("string")))
@@ -94,3 +96,67 @@ def known_types(kinds: list[str]) -> list[str]:
 def progress(units: DataFrame) -> DataFrame:
     """Units of each status, and how many are left for each phase."""
     return units.groupBy("document_id", "status").agg(F.count("*").alias("n"))
+
+
+def edit_units(units: DataFrame, changes: DataFrame, fields: list[str]) -> DataFrame:
+    """Units with non-null ``fields`` of ``changes`` (id, fields) put in, and what follows from them refreshed.
+
+    Hash and text columns are computed again; the vectors of a changed unit are no longer its own, so their ids go.
+    """
+    from quillmere.operators import store
+
+    changed = F.col("id").isNotNull() & F.col("__changed").isNotNull()
+    out = store.partial_update(units, changes, "id", fields).join(changes.select("id").distinct().withColumn("__changed", F.lit(True)), "id", "left")
+    m = F.col("metadata")
+    out = out.withColumns({"content_hash": F.when(changed, F.sha2("content", 256)).otherwise(F.col("content_hash")), "metadata_terms_text": X.metadata_terms(m["defines"], m["mentions"]), "section_path_text": X.section_path(F.col("section")), "aliases_text": X.aliases_text(m["aliases"])})
+    return out.withColumns({c: F.when(~changed, F.col(c)) for c in ("subject_embedding_id", "content_embedding_id") if c in units.columns}).drop("__changed")
+
+
+def unit_vectors(units: DataFrame, document_name: str, embed=X.hashed_vector) -> DataFrame:
+    """(index, id, vec): a subject and a content vector of each unit, left out where there is no text to embed."""
+    docs = embedding_documents(units, document_name)
+    both = docs.select(F.lit("subjects").alias("index"), "id", embed(F.col("subject")).alias("vec")).unionByName(docs.select(F.lit("content").alias("index"), "id", embed(F.col("content")).alias("vec")))
+    return both.where("vec IS NOT NULL")
+
+
+def vector_metadata(units: DataFrame) -> DataFrame:
+    """(id, meta): what a vector index keeps beside a unit's vector, as JSON."""
+    return units.select("id", F.to_json(F.struct("id", "document_id", "type", "name", "page", X.section_path(F.col("section")).alias("section"), "parent_unit_id", "source_order", F.substring("summary", 1, 200).alias("summary"))).alias("meta"))
+
+
+#: Elements that become units, and what may stand inside one.
+BLOCK = r"<(?:h1|p|li)(?:\s[^>]*)?>[^<]*(?:</?(?:b|i|em|strong|a|br)(?:\s[^>]*)?>[^<]*)*"
+
+
+def extract_pages(pages: DataFrame) -> DataFrame:
+    """(page, source_order, type, name, content) from ``pages`` (page, html): headings, paragraphs and list items as units.
+
+    The offline stand-in for reading a page's picture; everything stays in the JVM. Null html has no units.
+    """
+    raw = pages.select("page", F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(BLOCK), F.lit(0))).alias("k", "raw"))
+    content = F.trim(F.regexp_replace(F.regexp_replace("raw", "<[^>]*>", ""), r"\s+", " "))
+    kind = F.when(F.regexp_extract("raw", "^<([a-z0-9]+)", 1) == "li", "ColumnListItem").otherwise("Rule")
+    held = raw.select("page", "k", kind.alias("type"), content.alias("content")).where("content <> ''")
+    from pyspark.sql.window import Window
+
+    order = (F.row_number().over(Window.partitionBy("page").orderBy("k")) - 1).cast("int")
+    return held.select("page", order.alias("source_order"), "type", F.array_join(F.slice(F.split("content", " "), 1, 5), " ").alias("name"), "content")
+
+
+def processed_pages(pages: DataFrame) -> DataFrame:
+    """Unit rows of ``pages`` (document_id, page, html), with ids that stay the same when a page comes again; all are pending."""
+    named = pages.select(F.struct("document_id", "page").alias("page"), "html")
+    units = extract_pages(named).select("page.document_id", "page.page", "source_order", "type", "name", "content")
+    return units.select(X.unit_id(F.col("type"), F.col("document_id"), F.col("page"), F.col("source_order")).alias("id"), "*", F.sha2("content", 256).alias("content_hash"), F.lit(STATUSES[0]).alias("status"))
+
+
+def replaced_pages(units: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``units`` with all units of the pages in ``fresh`` replaced, so that a page that shrank leaves none behind."""
+    pages = fresh.select("document_id", "page").distinct()
+    return units.join(pages, ["document_id", "page"], "left_anti").select(*units.columns).unionByName(fresh.select(*units.columns))
+
+
+def remaining(units: DataFrame) -> DataFrame:
+    """For each document how many units each phase still has to do, and whether all are done."""
+    due = [F.count_if(F.col("status") == before).alias(phase) for phase, (before, _) in STEPS.items()]
+    return units.groupBy("document_id").agg(F.count("*").alias("total"), *due, F.bool_and(F.col("status") == STATUSES[-1]).alias("done"))

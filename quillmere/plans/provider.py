@@ -37,6 +37,12 @@ class Offline:
     def summarise(self, content: Column) -> Column:
         return F.substring(content, 1, DEFAULT.summary_chars)
 
+    def extract(self, content: Column) -> Column:
+        """Metadata: capitalised words of the beginning are defined, long words of the whole mentioned."""
+        caps = F.filter(F.regexp_extract_all(F.substring(content, 1, DEFAULT.summary_chars), F.lit("[A-Z][a-z]+"), F.lit(0)), lambda t: F.length(t) >= 3)
+        long = F.filter(F.regexp_extract_all(F.lower(content), F.lit("[a-z]+"), F.lit(0)), lambda t: F.length(t) >= 9)
+        return F.struct(F.slice(F.array_distinct(caps), 1, 5).alias("defines"), F.slice(F.array_distinct(long), 1, 10).alias("mentions"), F.array().cast("array<string>").alias("aliases"))
+
     def same_concept(self, a: Column, b: Column) -> Column:
         return similar_text(a, b)
 

@@ -147,6 +147,57 @@ def retrieve(lib: Library, queries: DataFrame, n_queries: int, seen: DataFrame |
     return final_score(full.join(reranked, [Q, "id"], "left").join(few(n_sub, n_queries), Q), cfg)
 
 
+def sufficiency(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """(question_id, sufficient, follow_ups): a question suffices if each of its sub-queries found something; the others are asked again."""
+    met = found.select(Q, F.explode("source_sub_queries").alias("sub_query_index")).distinct().withColumn("met", F.lit(True))
+    each = queries.select(*search.KEY, "query").join(met, search.KEY, "left")
+    gaps = F.array_sort(F.collect_set(F.when(F.col("met").isNull(), F.col("query"))))
+    return each.groupBy(Q).agg(gaps.alias("follow_ups")).withColumn("sufficient", F.size("follow_ups") == 0)
+
+
+def answers(found: DataFrame) -> DataFrame:
+    """(question_id, answer, citations): the offline answer to each question from its results in order, and the ids that it cites."""
+    rows = F.array_sort(F.collect_list(F.struct("position", "id", F.substring("summary", 1, 80).alias("part"))))
+    held = found.groupBy(Q).agg(rows.alias("rows"))
+    ids = F.transform("rows", lambda r: r["id"])
+    text = F.concat(F.lit("Based on "), F.array_join(ids, ", "), F.lit(": "), F.array_join(F.transform("rows", lambda r: r["part"]), " "))
+    known = held.select(Q, text.alias("answer"), ids.alias("ids"))
+    return known.select(Q, "answer", F.array_intersect(X.citations(F.col("answer")), "ids").alias("citations"))
+
+
+def projected(found: DataFrame, units: DataFrame) -> DataFrame:
+    """Results as a caller sees them, without nulls in name and section."""
+    page = units.select("id", "page")
+    name, section = F.coalesce("name", F.lit("")), F.coalesce(X.section_path(F.col("section")), F.lit(""))
+    rows = found.select(Q, "position", "id", "type", name.alias("name"), section.alias("section"), F.coalesce("rerank_score", F.lit(0.0)).alias("score"), F.size("source_sub_queries").cast("long").alias("n_sub_queries"), "role")
+    return rows.join(page, "id")
+
+
+def merged_rounds(rounds: list[DataFrame]) -> DataFrame:
+    """Candidates (question_id, id, rerank_score, sources) of several rounds as one: the best score, all sources."""
+    every = rounds[0]
+    for x in rounds[1:]:
+        every = every.unionByName(x)
+    return every.groupBy(Q, "id").agg(F.max("rerank_score").alias("rerank_score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+
+
+def enriched(chosen: DataFrame, units: DataFrame) -> DataFrame:
+    """``chosen`` (query_id, id, rank) with the units' text, the names of all ancestors, and of those that are chosen too up to the first that is not."""
+    chains = hierarchy.parent_chains(units).select("id", F.col("parents").alias("parent_chain"))
+    among = chosen.select("query_id", "id").join(units.select("id", "name", "parent_unit_id"), "id")
+    keyed = among.select(F.struct("query_id", "id").alias("id"), F.struct("query_id", F.col("parent_unit_id").alias("id")).alias("parent_unit_id"), "name")
+    known = hierarchy.parent_chains(keyed).select("id.query_id", "id.id", F.col("parents").alias("known_chain"))
+    return chosen.join(units.select("id", "type", "section", "name", "summary", "content"), "id").join(chains, "id").join(known, ["query_id", "id"])
+
+
+def evidence_context(evidence_: DataFrame) -> DataFrame:
+    """(query_id, context): the evidence of a question as one text, in order: type, path, summary, content."""
+    path = F.array_join(F.filter(F.array(X.section_path(F.col("section")), F.array_join("parent_chain", " > "), F.col("name")), lambda x: x != ""), " > ")
+    part = F.concat(F.lit("["), "type", F.lit("] "), path, F.lit("\n"), F.coalesce("summary", F.lit("")), F.lit("\n"), "content")
+    rows = F.array_sort(F.collect_list(F.struct("rank", part.alias("part"))))
+    return evidence_.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda r: r["part"]), "\n\n").alias("context"))
+
+
 def run_queries(spark: SparkSession, questions: list[str], lib: Library, embed, provider: Offline | None = None, cfg: Config = DEFAULT, max_iterations: int | None = None, is_list: bool | None = None) -> list[dict]:
     """Route, decompose, retrieve until the sub-queries are covered, select evidence, answer; for all ``questions`` together.
 
