@@ -59,17 +59,21 @@ def item_words(items: DataFrame, item_col: str, text_col: str, window: int) -> D
     )
 
 
-def rarest_pairs(words: DataFrame, counts: DataFrame, whole: bool = True) -> DataFrame:
+def windowed(words: DataFrame) -> DataFrame:
+    """``words`` once for each window that a word lies in, with the window's start s."""
+    start = F.explode(F.sequence(F.greatest(F.lit(0), F.col("o") - F.col("w") + 1), F.least("o", F.col("n") - F.col("w"))))
+    return words.withColumn("s", start)
+
+
+def rarest_pairs(words: DataFrame, counts: DataFrame) -> DataFrame:
     """(ik, o1, t1, o2, t2): for each window its rarest term and the second rarest, with their offsets in the item.
 
-    A window with a term that the corpus lacks cannot occur and is left out, unless ``whole`` is false; a window of
-    one word has no second term.
+    A window with a term that the corpus lacks cannot occur and is left out; a window of one word has no second term.
     """
-    start = F.explode(F.sequence(F.greatest(F.lit(0), F.col("o") - F.col("w") + 1), F.least("o", F.col("n") - F.col("w"))))
-    each = words.join(counts, "term").select("ik", "o", "term", "w", "cf", start.alias("s"))
+    each = windowed(words.join(counts, "term")).select("ik", "o", "term", "w", "cf", "s")
     rank = F.row_number().over(Window.partitionBy("ik", "s").orderBy("cf", "o"))
     found = F.count("*").over(Window.partitionBy("ik", "s"))
-    best = each.withColumn("found", found).withColumn("rank", rank).where("(found = w OR NOT " + str(whole).lower() + ") AND rank <= 2")
+    best = each.withColumn("found", found).withColumn("rank", rank).where("found = w AND rank <= 2")
     pick = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
     return best.groupBy("ik", "s").agg(pick(1, "o").alias("o1"), pick(1, "term").alias("t1"), pick(2, "o").alias("o2"), pick(2, "term").alias("t2")).drop("s").distinct()
 
@@ -120,16 +124,20 @@ def decontaminate(
 
 
 def proximity(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, slack: int = 2) -> DataFrame:
-    """(k, k2, item_id, at, n_near): alignments of an item at which at least ``window - slack`` of its terms lie in place.
+    """(k, k2, item_id, at, n_near): alignments of an item in which some window has all but ``slack`` of its words in place, and the most that one has.
 
-    Where phrases differ in a few words, exact windows miss them; postings of the rarest terms still find them, as long as
-    one of the two rarest terms of some window is in place.
+    Exact windows miss phrases that differ in a few words. Of the ``slack + 1`` rarest terms of such a window at least
+    one is in place, so their postings give all alignments; positions of the item's other words are then intersected,
+    and counted window by window. A window needs one word in place at least. Null and empty texts have no alignments.
     """
     keyed = _keyed(docs, id_col, text_col)
     words = store(item_words(items, item_col, item_text_col, window), "items")
     counts = store(_postings(keyed).select("term").join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("cf")), "terms")
-    pairs = rarest_pairs(words, counts, whole=False)
-    anchors = store(pairs.select("ik", F.explode(F.array(F.struct(F.col("o1").alias("o"), F.col("t1").alias("term")), F.struct(F.col("o2").alias("o"), F.col("t2").alias("term")))).alias("a")).select("ik", "a.o", "a.term").where("term IS NOT NULL").distinct(), "anchors")
-    first = _postings(keyed).join(anchors, "term").select("k", "k2", "ik", (F.col("pos") - F.col("o")).alias("at")).distinct()
-    near = first.join(words, "ik").withColumn("pos", F.col("at") + F.col("o")).join(_postings(keyed), ["k", "k2", "pos", "term"], "left_semi")
-    return near.groupBy("k", "k2", "item_id", "at").agg(F.count("*").alias("n_near"), F.max("w").alias("w")).where(f"n_near >= greatest(1, w - {slack})").drop("w")
+    each = windowed(words.join(counts, "term", "left")).withColumn("cf", F.coalesce("cf", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("ik", "s").orderBy("cf", "o"))
+    anchors = store(each.withColumn("rank", rank).where((F.col("rank") <= slack + 1) & (F.col("cf") > 0)).select("ik", "o", "term").distinct(), "anchors")
+    index = store(_postings(keyed).join(words.select("term").distinct(), "term", "left_semi"), "index")
+    first = index.join(anchors, "term").select("k", "k2", "ik", (F.col("pos") - F.col("o")).alias("at")).distinct()
+    met = first.join(words, "ik").withColumn("pos", F.col("at") + F.col("o")).join(index, ["k", "k2", "pos", "term"], "left_semi")
+    near = windowed(met).groupBy("k", "k2", "item_id", "ik", "at", "s").agg(F.count("*").alias("n_near"), F.max("w").alias("w")).where(f"n_near >= greatest(1, w - {slack})")
+    return near.groupBy("k", "k2", "item_id", "at").agg(F.max("n_near").alias("n_near"))

@@ -552,6 +552,36 @@ def test_proximity_finds_a_phrase_with_a_changed_word(spark):
     assert [(r.at, r.n_near) for r in decontamination.proximity(docs, items).collect()] == [(1, 9)]
 
 
+def test_proximity_equals_a_comparison_of_all_windows(spark):
+    rng = np.random.default_rng(8)
+    say = lambda n: [f"w{min(rng.geometric(0.05), 90)}" for _ in range(n)]
+    items = [(i, say(n)) for i, n in enumerate([10, 14, 25, 6, 1, 12])]
+    docs = []
+    for k in range(40):
+        body = say(60)
+        part = list(items[k % 6][1])
+        for x in rng.integers(0, len(part), k % 4):
+            part[x] = "changed"
+        docs.append((k, body[:20] + part + body[20:]))
+    want = set()
+    for d, text in docs:
+        at_of = {}
+        for i, words in items:
+            w = min(10, len(words))
+            for s in range(len(words) - w + 1):
+                for p in range(-w + 1, len(text)):
+                    n = sum(0 <= p + j < len(text) and text[p + j] == words[s + j] for j in range(w))
+                    if n >= max(1, w - 2):
+                        at_of[i, p - s] = max(n, at_of.get((i, p - s), 0))
+        want |= {(d, str(i), at, n) for (i, at), n in at_of.items()}
+    table_ = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string")
+    d = table_(docs, "doc_id")
+    key = d.select("doc_id", F.xxhash64("doc_id", "text").alias("k"))
+    lead = {r.k: r.doc_id for r in key.collect()}
+    got = {(lead[r.k], r.item_id, r.at, r.n_near) for r in decontamination.proximity(d, table_(items, "item_id")).collect()}
+    assert got == want and len(want) > 30
+
+
 RULES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
