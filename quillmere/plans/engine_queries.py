@@ -444,3 +444,29 @@ def html_escape(spark, d):
 def random_ids(spark, d):
     ids = table(spark, d, "documents").select(X.random_id("LOG").alias("id"))
     return ids.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.bool_and(F.col("id").rlike("^LOG-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("well_formed"))
+
+
+# ---- the engine over a folder
+
+
+def _ingested(spark, d):
+    from quillmere.api import Engine
+
+    engine = Engine(spark, scratch_path(spark, "engine"))
+    p = table(spark, d, "pages")
+    engine.start(p.select(F.concat(L("d"), (F.col("page_id") % 3).cast("string")).alias("document_id"), F.col("page_id").cast("int").alias("page"), "html"))
+    return engine
+
+
+@query("engine_ingest", f"WITH {EXTRACTED} SELECT 'd' || (page_id % 3) AS document_id, 'done' AS phase, count(DISTINCT page_id) AS pages_processed, count(*) AS units_processed FROM x GROUP BY 1")
+def engine_ingest(spark, d):
+    engine = _ingested(spark, d)
+    engine.run()
+    return engine.status().select("document_id", "phase", "pages_processed", "units_processed")
+
+
+@query("engine_cleanup", f"WITH {EXTRACTED} SELECT 'd' || (page_id % 3) AS document_id, count(*) AS n_units, count(DISTINCT page_id) AS n_pages FROM x WHERE page_id % 3 <> 1 GROUP BY 1")
+def engine_cleanup(spark, d):
+    engine = _ingested(spark, d)
+    engine.cleanup("d1")
+    return engine.sources()
