@@ -255,6 +255,16 @@ def concept_vectors(spark, d):
     return v.select("id", n, F.round(moment, 6).alias("moment"))
 
 
+@query("library_ingest", "SELECT (SELECT count(*) FROM u) AS n_units, (SELECT count(*) FROM po) AS n_postings, (SELECT cast(sum(len) AS BIGINT) FROM dl) AS n_tokens, (SELECT count(*) FROM m) AS n_mentions", search=True)
+def library_ingest(spark, d):
+    lib = fx.library(spark, d)
+    one = lambda df, c: df.agg(c)
+    u = one(lib.units, F.count("*").alias("n_units"))
+    for x in (one(lib.index.postings, F.count("*").alias("n_postings")), one(lib.index.lengths, F.sum("len").alias("n_tokens")), one(lib.mentions, F.count("*").alias("n_mentions"))):
+        u = u.crossJoin(F.broadcast(x))  # one row each
+    return u
+
+
 # ---- extraction and phases
 
 BLOCK = r"<(?:h1|p|li)(?:\s[^>]*)?>[^<]*(?:</?(?:b|i|em|strong|a|br)(?:\s[^>]*)?>[^<]*)*"

@@ -95,7 +95,10 @@ def query(name: str, sql: str | None = None, units: bool = False, search: bool =
             text = sql.strip()
             if parts:
                 head = ",".join(p.strip() for p in parts)
-                text = f"WITH {head}, {text[5:]}" if text.startswith("WITH ") else f"WITH {head} {text}"
+                if text.startswith("WITH RECURSIVE "):
+                    text = f"WITH RECURSIVE {head}, {text[15:]}"
+                else:
+                    text = f"WITH {head}, {text[5:]}" if text.startswith("WITH ") else f"WITH {head} {text}"
             SQL[name] = text
         return f
 

@@ -136,7 +136,28 @@ def _pool(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("evidence_select")
+#: The rules one after another: greedy removal and the swap pass as recursions along the ranks of a question's candidates.
+EVIDENCE_SQL = """WITH RECURSIVE p AS (SELECT page % 20 AS q, id, parent_unit_id AS parent, content_hash AS h, name, doc_id % 89 / 89.0::DOUBLE AS s, doc_id % 3 <> 0 AS direct, doc_id % 3 AS sub, mentions, aliases,
+    row_number() OVER (PARTITION BY page % 20 ORDER BY doc_id % 89 DESC, id) AS n FROM u),
+d(q, n, ids, hs, ps) AS (SELECT DISTINCT q, 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[] FROM p UNION ALL
+  SELECT q, n, CASE WHEN gone THEN ids ELSE list_append(ids, id) END, CASE WHEN gone THEN hs ELSE list_append(hs, h) END, CASE WHEN gone OR parent IS NULL THEN ps ELSE list_append(ps, parent) END
+  FROM (SELECT d.q, p.n, ids, hs, ps, p.id, p.h, p.parent, list_contains(ids, p.id) OR list_contains(hs, p.h) OR list_contains(ps, p.id) OR coalesce(list_contains(ids, p.parent), false) AS gone FROM d JOIN p ON p.q = d.q AND p.n = d.n + 1)),
+k AS (SELECT q, unnest(ids) AS id, generate_subscripts(ids, 1) AS k FROM (SELECT q, arg_max(ids, n) AS ids FROM d GROUP BY q)),
+c AS (SELECT k.q, k.id, k.k, p.sub, p.s, p.direct, row_number() OVER (PARTITION BY k.q, p.sub ORDER BY k.k) = 1 AS pick FROM k JOIN p ON p.q = k.q AND p.id = k.id),
+o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY pick DESC, CASE WHEN pick THEN sub ELSE k END) AS m FROM c),
+w(q, m, id, s, direct, done) AS (SELECT q, m, id, s, direct, []::VARCHAR[] FROM o WHERE m = 1 UNION ALL
+  SELECT q, m, CASE WHEN swap THEN id ELSE b_id END, CASE WHEN swap THEN s ELSE b_s END, CASE WHEN swap THEN direct ELSE b_direct END, list_append(done, CASE WHEN swap THEN b_id ELSE id END)
+  FROM (SELECT w.q, o.m, w.id, w.s, w.direct, w.done, o.id AS b_id, o.s AS b_s, o.direct AS b_direct, o.direct AND NOT w.direct AND abs(w.s - o.s) <= 0.05 AS swap FROM w JOIN o ON o.q = w.q AND o.m = w.m + 1)),
+sel AS (SELECT q, unnest(x) AS id, generate_subscripts(x, 1) AS pos FROM (SELECT q, list_append(arg_max(done, m), arg_max(id, m)) AS x FROM w GROUP BY q)),
+t AS (SELECT sel.q, sel.pos, lower(trim(unnest(p.mentions))) AS term FROM sel JOIN p ON p.q = sel.q AND p.id = sel.id),
+nm AS (SELECT q, id, n, lower(trim(unnest(list_concat([coalesce(name, '')], aliases)))) AS nm FROM p),
+cm AS (SELECT nm.q, nm.id, min(t.pos * 1000000 + nm.n) AS place FROM t JOIN nm ON nm.q = t.q AND nm.nm <> '' AND (contains(t.term, nm.nm) OR contains(nm.nm, t.term)) LEFT JOIN sel ON sel.q = nm.q AND sel.id = nm.id WHERE sel.id IS NULL GROUP BY 1, 2),
+al AS (SELECT q, id, pos AS place FROM sel UNION ALL SELECT q, id, 1000000000 + place FROM cm),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY place) AS position FROM al)
+SELECT r.q AS query_id, cast(position AS INTEGER) AS position, r.id, p.s AS score, p.direct FROM r JOIN p ON p.q = r.q AND p.id = r.id WHERE position <= 8"""
+
+
+@query("evidence_select", EVIDENCE_SQL, units=True)
 def evidence_select(spark, d):
     prepare(spark)
     return evidence.select_all(_pool(spark, d).drop("doc_id"), 3)
@@ -219,7 +240,14 @@ def stream_vs_batch_units(spark, d):
     return pg.page_batch(page_results(spark, d)).select("document_id", F.col("page").cast("int").alias("page"), F.col("n_units").cast("long").alias("n_units"))
 
 
-@query("stream_page_state")
+@query("stream_page_state", """WITH r AS (SELECT 'doc' || (page % 3) AS document_id, page // 3 AS page, source_order, 'n' || (source_order % 3) AS name, CASE WHEN source_order > 0 THEN 'n' || (source_order % 3) END AS parent_name, array_to_string(section, ' > ') AS section FROM u),
+pg AS (SELECT document_id, page, count(*) AS n_units, arg_max(section, source_order) AS last_section FROM r GROUP BY 1, 2),
+oc AS (SELECT a.document_id, a.page, a.name, max(a.source_order) AS so FROM r a JOIN (SELECT DISTINCT document_id, page, parent_name FROM r) b ON b.document_id = a.document_id AND b.page = a.page AND b.parent_name = a.name GROUP BY 1, 2, 3),
+la AS (SELECT pg.document_id, pg.page, oc.name, max(oc.page * 100 + oc.so) AS last_at FROM pg JOIN oc ON oc.document_id = pg.document_id AND oc.page < pg.page GROUP BY 1, 2, 3),
+co AS (SELECT document_id, page, string_agg(name, '|' ORDER BY last_at DESC) AS c FROM la GROUP BY 1, 2)
+SELECT pg.document_id, cast(pg.page AS INTEGER) AS page, coalesce(lag(pg.page) OVER w = pg.page - 1, false) AS carried, coalesce(lag(last_section) OVER w, '') AS section_before, coalesce(c, '') AS containers_before, cast(n_units AS INTEGER) AS n_units,
+  cast(row_number() OVER w AS INTEGER) AS pages_processed, cast(sum(n_units) OVER w AS INTEGER) AS units_processed, CASE WHEN row_number() OVER w >= 1000 THEN 'summary' ELSE 'vision' END AS phase
+FROM pg LEFT JOIN co ON co.document_id = pg.document_id AND co.page = pg.page WINDOW w AS (PARTITION BY pg.document_id ORDER BY pg.page)""", units=True)
 def stream_page_state(spark, d):
     prepare(spark)
     at = scratch_path(spark, "pages")

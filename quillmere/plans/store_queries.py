@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmere.operators import store, windows
-from quillmere.plans.registry import TABLES_SQL, query
+from quillmere.plans.registry import TABLES_SQL, VOCAB_SQL, query
 from quillmere.schemas import STATUSES, TABLE_TYPES
 from quillmere.session import table
 from quillmere.sources import fixtures as fx
@@ -112,7 +112,7 @@ def partial_update(spark, d):
 
 
 @query("cascade_delete", "SELECT 'units' AS name, count(*) AS n FROM u WHERE section[2] = 'en' UNION ALL SELECT 'concept_mentions', count(*) FROM m JOIN u ON u.id = m.unit_id WHERE section[2] = 'en' AND term NOT IN ('tion', 'thre')"
-       " UNION ALL SELECT 'concepts', cast(8 AS BIGINT) UNION ALL SELECT 'concept_aliases', cast(8 AS BIGINT)", units=True)
+       f" UNION ALL SELECT unnest(['concepts', 'concept_aliases']), n FROM (SELECT count(*) AS n FROM (SELECT unnest({VOCAB_SQL}) AS term) WHERE term NOT IN ('tion', 'thre'))", units=True)
 def cascade_delete(spark, d):
     u = fx.units(spark, d).withColumn("document_id", F.when(F.element_at("section", 2) == "en", "a").otherwise("b"))
     names = spark.createDataFrame([(v, "b" if v in ("tion", "thre") else "a") for v in fx.VOCABULARY], "id string, document_id string")

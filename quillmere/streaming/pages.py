@@ -78,11 +78,16 @@ def page_batch(pages: DataFrame) -> DataFrame:
 
 
 def run_stream(spark: SparkSession, source: str, checkpoint: str, sink: str, files_per_trigger: int = 1) -> None:
-    """Read PAGE files from ``source`` until none is left; restarting goes on from the checkpoint."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    pages = spark.readStream.schema(PAGE).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    query = page_stream(pages).writeStream.outputMode("append").option("checkpointLocation", checkpoint).format("parquet").option("path", sink).trigger(availableNow=True).start()
-    query.awaitTermination()
+    """Read PAGE files from ``source`` until none is left; restarting goes on from the checkpoint. The caller's settings stay."""
+    key, store_ = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, store_)
+    try:
+        pages = spark.readStream.schema(PAGE).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+        query = page_stream(pages).writeStream.outputMode("append").option("checkpointLocation", checkpoint).format("parquet").option("path", sink).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 def page_units(pages: DataFrame) -> DataFrame:
