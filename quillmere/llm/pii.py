@@ -150,7 +150,9 @@ def disclosing_terms(keyed: DataFrame, support: int, share: float, bits: float,
     held = mentions.select("entity", "k", "k2").distinct()
     of_entity = held.groupBy("entity").agg(F.count("*").alias("c_e"))
     beside = mentions.select("entity", "k", "k2", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("near")).where(F.col("near") >= support)
-    beside = store(beside.join(of_entity, "entity").select("entity", "term", "c_e"), "beside")
+    # a term is in at least as many texts as it is near mentions in, whosesoever; common words go here, before texts are searched for them
+    at_least = mentions.select("k", "k2", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("least_t"))
+    beside = store(beside.join(of_entity, "entity").join(at_least, "term").where(share * F.col("least_t") <= F.col("c_e")).select("entity", "term", "c_e"), "beside")
     terms = beside.select("term").distinct()
     hashes = terms.agg(F.count("*").alias("n"), F.count_distinct(F.hash("term")).alias("different")).first()
     number = F.hash("term") if hashes.n == hashes.different else F.xxhash64("term")  # four bytes for a term where they tell all apart
