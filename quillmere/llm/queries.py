@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import decontamination, html_wrappers, licenses, mixing, pii, quality_model, quality_rules, simhash, token_counts, warc
+from quillmere.llm import collocations, decontamination, hard_negatives, html_wrappers, licenses, mixing, pii, quality_model, quality_rules, simhash, substring_dedup, token_counts, warc
 from quillmere.session import scratch_path, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -70,6 +70,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in pii.KINDS), F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("pii_spans")).alias("spans"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.drop_repeats(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_simhash, op2_quality_classifier, op3_warc, op4_licenses, op5_mixing, op6_html_text, op7_quality_rules, op8_token_counts, op9_decontamination, op10_pii, pipeline]
+    own = [op1_simhash, op2_quality_classifier, op3_warc, op4_licenses, op5_mixing, op6_html_text, op7_quality_rules, op8_token_counts, op9_decontamination, op10_pii, op11_collocations, op12_substring_dedup, op13_hard_negatives, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -164,6 +178,45 @@ SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0)
 """
 
 
+OP11_SQL = r"""
+WITH p AS (SELECT row_number() OVER () AS i, lang, piece FROM (
+       SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, cast(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, w, i FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k >= 2),
+s AS (SELECT c.lang, c.phrase, c.k, c.a, cut, l.f AS l, r.f AS r, n.n, cast(1000 * cast(c.a AS HUGEINT) * n.n // (cast(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+      FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1 : c.k], ' ') JOIN n ON n.lang = c.lang),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+x AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = m.lang AND f.k > m.k AND contains(' ' || f.phrase || ' ', ' ' || m.phrase || ' ') AND 100 * f.f >= 100 * m.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, cast(n AS BIGINT) AS n, score, cast(cut AS INTEGER) AS cut FROM x
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(w[i : i + 12], ' ') AS gram FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+e AS (SELECT gram, min(doc_id) AS first_id FROM g GROUP BY gram HAVING count(*) > 1),
+h AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM g JOIN e ON g.gram = e.gram WHERE e.first_id < coalesce(g.doc_id, 9223372036854775807)),
+o AS (SELECT r, list(p) AS ps, count(*) AS n FROM h GROUP BY r)
+SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(o.n, 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN o.n IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(o.ps, i)), ' ') END) AS kept_sha256
+FROM d LEFT JOIN o ON o.r = d.r
+"""
+
+OP13_SQL = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, cast(coalesce(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])), 0) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, cast(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others have brute-force tests in tests/llm."""
-    return {"op3_warc": OP3_SQL, "op5_mixing": OP5_SQL, "op9_decontamination": OP9_SQL, "op10_pii": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op5_mixing": OP5_SQL, "op9_decontamination": OP9_SQL, "op10_pii": OP10_SQL, "op11_collocations": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_hard_negatives": OP13_SQL}
