@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +20,14 @@ CELL_BITS, DEPTH = 24, 2
 SLICES = 256
 LONGEST = 5
 #: Characters whose words are counted together in one pass, and words after which a task forgets its numbering.
-PART_CHARS, FORGET_WORDS = 10_000_000, 1_000_000
+PART_CHARS, FORGET_WORDS = 8_000_000, 1_000_000
+#: Phrases that a task adds up before it passes them on.
+HELD_PHRASES = 400_000
 #: Bytes that end a piece become a full stop, the only bytes that may stand for one afterwards.
 PIECES = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b".........")
 FOLD = 16
+#: Languages whose sizes are broadcast; more are joined by shuffling.
+BROADCAST_LANGS = 100_000
 
 
 def _pieces(rows: list[tuple[str, str]], words: Words, langs: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,13 +137,14 @@ def phrase_counts(docs: DataFrame, least: int = 100, lang_col: str = "lang", tex
     shared = spark.sparkContext.broadcast(frequent_cells(texts, least, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
         full = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool).reshape(DEPTH, -1)
         for rows in _parts(batches):
             words, langs = Words(), {}
             ids, piece, lang = _pieces(rows, words, langs)
             named, of_lang, vocabulary = words.names()[:, 0][ids], _lang_names(langs)[lang], list(words)
             spoken, n_words = list(langs), np.bincount(lang, minlength=len(langs))
-            yield _counted([(spoken[g], 0, "", int(n)) for g, n in enumerate(n_words)])
+            held.update({(spoken[g], 0, b""): int(n) for g, n in enumerate(n_words)})
             group, left = lang * len(vocabulary) + ids, None
             for k, x in enumerate(rolled(named, LONGEST), 1):
                 if not len(x):
@@ -158,18 +164,23 @@ def phrase_counts(docs: DataFrame, least: int = 100, lang_col: str = "lang", tex
                 group = np.zeros(len(x), np.int64)
                 group[left] = number
                 start = left[first]
-                for a in range(0, len(start), 8192):
-                    some = start[a : a + 8192]
-                    phrases = [b" ".join([vocabulary[w] for w in ids[i : i + k]]).decode() for i in some]
-                    yield _counted([(spoken[g], k, p, c) for g, p, c in zip(lang[some], phrases, n[a : a + 8192].tolist(), strict=True)])
+                for i, c in zip(start.tolist(), n.tolist(), strict=True):
+                    held[(spoken[lang[i]], k, b" ".join([vocabulary[w] for w in ids[i : i + k]]))] += c
+                if len(held) > HELD_PHRASES:
+                    yield from _counted(held)
+                    held.clear()
+        yield from _counted(held)
 
     counted = texts.mapInArrow(run, "lang string, k int, phrase string, f long")
     return store(counted.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("k") == 0)), "phrases")
 
 
-def _counted(rows: list[tuple]) -> pa.RecordBatch:
-    lang, k, phrase, f = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(k, pa.int32()), pa.array(phrase, pa.string()), pa.array(f, pa.int64())], ["lang", "k", "phrase", "f"])
+def _counted(held: Counter) -> Iterator[pa.RecordBatch]:
+    rows = list(held.items())
+    for a in range(0, len(rows), 16_384):
+        some = rows[a : a + 16_384]
+        cols = [[x[0][0] for x in some], [x[0][1] for x in some], [x[0][2].decode() for x in some], [x[1] for x in some]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "k", "phrase", "f"])
 
 
 def part(phrase: Column, start: Column, n: Column) -> Column:
@@ -196,7 +207,8 @@ def collocations(docs: DataFrame, least: int = 100, best: int | None = 2000, sub
     known = f.where("k > 0")
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"])
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
-    cuts = cuts.join(f.where("k = 0").select("lang", F.col("f").alias("n")), "lang")
+    sizes = f.where("k = 0").select("lang", F.col("f").alias("n"))
+    cuts = cuts.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGS else sizes, "lang")
     exact = {c: F.col(c).cast("decimal(16,0)") for c in ("a", "l", "r", "n")}
     score = F.expr("cast(1000 as decimal(4,0)) * xa * xn div (xl * xr)")
     scored = cuts.withColumns({f"x{c}": x for c, x in exact.items()}).withColumn("score", score)
