@@ -68,6 +68,15 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, str]]]
     return in_parts(rows, lambda r: len(r[1] or ""), PART_CHARS)
 
 
+def in_large_tasks(texts: DataFrame, splits: int = 4) -> DataFrame:
+    """``texts`` in tasks of several input splits each, where that leaves two tasks for every core.
+
+    Each task passes on a sketch, or a row for every frequent phrase, however little it has read: so fewer and larger tasks pass on less.
+    """
+    n = texts.rdd.getNumPartitions()
+    return texts.coalesce(max(1, min(n, max(2 * texts.sparkSession.sparkContext.defaultParallelism, -(-n // splits)))))
+
+
 def sketched(texts: DataFrame, bits: int = CELL_BITS) -> DataFrame:
     """(slice, counts): each task's sketch of the phrases of 1 to 5 words in ``texts`` (lang, text), in slices; a counter stops at 255."""
     n_slices = min(SLICES, (1 << bits) // 8)
@@ -133,7 +142,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, lang_col: str = "lang", tex
     small for a corpus (its counters fill up) lets more phrases through and changes no result.
     """
     spark = prepare(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
+    texts = in_large_tasks(docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")))
     shared = spark.sparkContext.broadcast(frequent_cells(texts, least, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
