@@ -325,14 +325,18 @@ def infer(skeletons: list[str]) -> tuple[str, list[list[int]]]:
 
 
 @lru_cache(1 << 14)
-def role(label: str) -> str:
-    """aside, main, or nothing: what an element's tag, classes, id and role say of its content."""
+def role(label: str, within: bool = False) -> str:
+    """aside, main, or nothing: what an element's tag, classes, id and role say of its content.
+
+    ``within`` an article only a class, id or role that is such a word as a whole counts, not one that has it as a part
+    (share-price, login-guide): an article's own blocks may be called anything.
+    """
     name, *words = label.split(".")
     if name in ("html", "body", ""):
         return ""
     if name in ASIDE_TAGS:
         return "aside"
-    parts = {p for w in words for p in re.split(r"[-_=:0]+", w)}
+    parts = {w.strip("0") for w in words} if within else {p for w in words for p in re.split(r"[-_=:0]+", w)}
     if parts & ASIDE_WORDS:
         return "aside"
     if name in MAIN_TAGS or "role=main" in words:
@@ -340,39 +344,40 @@ def role(label: str) -> str:
     return "aside" if name == "header" else ""
 
 
-def places(wrapper: Node) -> list[tuple[bool, bool]]:
-    """For each text slot in order: whether it lies beside the article (below an aside), and whether in an article or main element.
+def places(wrapper: Node) -> list[tuple[bool, bool, bool]]:
+    """For each text slot in order: whether it lies beside the article (below an aside), whether in an article or main element, whether in a heading.
 
     A heading in a header within an article is no aside.
     """
-    out: list[tuple[bool, bool]] = []
-    todo = [(wrapper, False, False, False)]  # node, below an aside, below a header of an article, below an article
+    out: list[tuple[bool, bool, bool]] = []
+    todo = [(wrapper, False, False, False, False)]  # node, below an aside, below a header of an article, below an article, below a heading
     while todo:
-        node, aside, header, main = todo.pop()
+        node, aside, header, main, heading = todo.pop()
         if node.label == "#":
-            out.append((aside or header, main))
+            out.append((aside or header, main, heading))
             continue
-        name, kind = node.label.split(".")[0], role(node.label)
+        name, kind = node.label.split(".")[0], role(node.label, main)
         if kind == "aside" and name == "header" and main:
             header = True
         elif kind == "aside":
             aside = True
-        todo += [(x, aside, header and not (x.label == "#" and name in HEADINGS), main or kind == "main") for x in reversed(node.children)]
+        todo += [(x, aside, header and not (x.label == "#" and name in HEADINGS), main or kind == "main", name in HEADINGS) for x in reversed(node.children)]
     return out
 
 
 def article(slots: list[dict], evidence: int) -> list[bool]:
-    """Which of a page's slots hold the article, from what the wrapper knows of each: aside, main, links and chars, n and same.
+    """Which of a page's slots hold the article, from what the wrapper knows of each: aside, main, heading, links and chars, n and same.
 
-    Slots beside the article are out. If any slot lies in an article or main element, only such slots are in, whatever
-    they hold. Else slots mostly made of links are out, and template text (the same on all of ``evidence`` or more
-    differing pages) is out if some other slot remains.
+    Slots beside the article are out. If any slot lies in an article or main element, only such slots are in; else slots mostly
+    made of links are out. Of what is left, template text (the same on all of ``evidence`` or more differing pages) is
+    out if some other slot remains; but a heading in an article stays, as articles of a kind have headings in common.
     """
     keep = [not x["aside"] for x in slots]
     if any(k and x["main"] for k, x in zip(keep, slots, strict=True)):
-        return [k and x["main"] for k, x in zip(keep, slots, strict=True)]
-    keep = [k and x["links"] <= 0.6 * max(1, x["chars"]) for k, x in zip(keep, slots, strict=True)]
-    own = [k and not (x["same"] and x["n"] >= evidence) for k, x in zip(keep, slots, strict=True)]
+        keep = [k and x["main"] for k, x in zip(keep, slots, strict=True)]
+    else:
+        keep = [k and x["links"] <= 0.6 * max(1, x["chars"]) for k, x in zip(keep, slots, strict=True)]
+    own = [k and not (x["same"] and x["n"] >= evidence and not (x["main"] and x["heading"])) for k, x in zip(keep, slots, strict=True)]
     return own if any(own) else keep
 
 
@@ -442,7 +447,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     All pages of a host are evidence for its wrapper. A slot of the wrapper counts as template text if it held the same
     text on all of its pages, ``evidence`` or more that differ in their texts or their structure. Null or empty html gives
-    an empty text. Pages without a host in their url form a host of their own. Equal rows get equal texts; an empty table
+    an empty text. Pages without a host in their url form a host of their own. Equal rows get equal texts, and blocks that tie stay in page order; an empty table
     gives an empty table. Other columns are not read. Each page is parsed once; what it holds is stored by slot.
     """
     prepare(pages.sparkSession)
@@ -467,14 +472,14 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(64)
-        def of(host: str, tree: str) -> list[tuple[bool, bool]]:
+        def of(host: str, tree: str) -> list[tuple[bool, bool, bool]]:
             return places(read(tree)[0])
 
         for b in batches:
             masks = []
             for host, tree, indexes, known in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
                 where, found = of(host, tree), {x["slot"]: x for x in known or []}
-                masks.append(article([found[i] | {"aside": where[i][0], "main": where[i][1]} for i in indexes], evidence))
+                masks.append(article([found[i] | dict(zip(("aside", "main", "heading"), where[i], strict=True)) for i in indexes], evidence))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(masks, pa.list_(pa.bool_()))], ["host", "mark", "keep"])
 
     known = maps.join(wrapper, "host").join(facts, "host", "left").select("host", "mark", "wrapper", "map", "slots")

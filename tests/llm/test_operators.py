@@ -381,6 +381,19 @@ def test_wrappers_drop_what_surrounds_an_article(spark):
         assert got[k].split("\n\n") == [f"Title {k}", f"First bold{k}", f"Second {k}", f"a{k}", "b", *quote, f"1{k}", "2"]
 
 
+def test_blocks_of_an_article_stay_whatever_they_are_called_and_templates_in_it_go(spark):
+    def page(k, notice):
+        return f"""<body><div class="login-box"><p>Log in</p></div><article><div class="article-header"><h1>Title {k}</h1></div><p>Body {k}.</p><p class="share-price">Shares rose {k}</p>
+        <section class="login-guide"><p>How to log in {k}</p></section>{'<div><p>Sign our petition.</p></div>' if notice else ''}<h2>Sources</h2><div class="ad">Buy {k}</div><p id="comment-policy">Policy {k}</p></article>"""
+
+    rows = [(k, f"https://n.example/{k}", page(k, True)) for k in range(8)] + [(20 + k, f"https://few.example/{k}", page(k, True)) for k in range(3)] + [(30, "https://one.example/", page(0, False))]
+    got = {r.page_id: r.text.split("\n\n") for r in html_wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    blocks = lambda k, more: [f"Title {k}", f"Body {k}.", f"Shares rose {k}", f"How to log in {k}", *more, "Sources", f"Policy {k}"]
+    assert all(got[k] == blocks(k, []) for k in range(8)) and all(got[20 + k] == blocks(k, ["Sign our petition."]) for k in range(3)) and got[30] == blocks(0, [])
+    off = {r.page_id: r.text for r in html_wrappers.extract_main_text(spark.createDataFrame(rows[:8], "page_id long, url string, html string"), evidence=10**9).collect()}
+    assert all("petition" in off[k] for k in range(8))
+
+
 def test_copies_and_headings_within_an_article_are_no_template(spark):
     own = "<div><p>Long story</p><p>of one page</p><blockquote>Only here</blockquote></div>"
     rows = [(k, "https://a.example/same", own) for k in range(6)] + [(10 + k, f"https://a.example/{k}", f"<div><p>Story {k}</p><p>part {k}</p></div>") for k in range(6)]
