@@ -8,11 +8,12 @@ symbol goes the range of words that fixes it: wherever the same words stand, the
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm.wordnames import MIX, ROLL, Words, in_parts, mixed, rolled
@@ -22,6 +23,8 @@ ROUNDS = 6
 #: log2 of the bits that say which symbols are shared: 16 MB for each task, whatever the corpus.
 FILTER_BITS = 27
 PART_CHARS = 4_000_000
+#: A passage is cut before one window in so many.
+CUT = 8
 #: A null id is larger than any other.
 NO_ID = 2**63 - 1
 
@@ -83,13 +86,16 @@ class _Part:
 
 
 def symbols(part: _Part, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(low, high, name) of the symbols that lie within windows of ``words`` words, named by the words that fix them: about half a window each."""
+    """(low, high, name) of the symbols that lie within windows of ``words`` words, about half a window each, named by the words that fix them.
+
+    48 bits are enough, as equal names of different words only leave more windows open.
+    """
     names, most = part.names[:, 0], words // 2 + 1
-    low, high = rounds(names, part.doc, max(1, most - 1), most)
+    low, high = rounds(names, part.doc, max(1, most - 2), most)
     name = np.empty(len(low), np.uint64)
     for k, x in enumerate(rolled(names, most), 1):
         own = high - low == k
-        name[own] = mixed(x[low[own]] + np.uint64(k))
+        name[own] = mixed(x[low[own]] + np.uint64(k)) >> np.uint64(16)
     return low, high, name
 
 
@@ -101,27 +107,30 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], _Pa
 
 
 def _probes(names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return tuple((x >> np.uint64(64 - bits)).astype(np.int64) for x in (names, mixed(names + MIX)))
+    return tuple((x >> np.uint64(64 - bits)).astype(np.int64) for x in (mixed(names), mixed(names + MIX)))
 
 
 def shared_symbols(docs: DataFrame, words: int, bits: int = FILTER_BITS) -> bytes:
     """The symbols that stand in more than one document (id, text), as a filter of 2**bits bits with two bits for each.
 
-    Symbols and their documents are aggregated over the whole corpus; the filter can only let too many through.
+    How many documents hold a symbol is added up over the whole corpus (rows that share an id count each); the filter can
+    only let too many through.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, part in _parts(batches):
+        for _, part in _parts(batches):
             low, _, name = symbols(part, words)
-            of = np.array([r[0] for r in rows], np.int64)[part.doc[low]]
-            order = np.argsort(name, kind="stable")
-            name, of = name[order], of[order]
-            first = np.nonzero(np.concatenate([[True], name[1:] != name[:-1]]))[0] if len(name) else np.empty(0, np.int64)
+            doc = part.doc[low]
+            order = np.lexsort((doc, name))
+            name, doc = name[order], doc[order]
+            new = np.concatenate([[True], name[1:] != name[:-1]]) if len(name) else np.empty(0, bool)
+            first = np.nonzero(new)[0]
             if len(first):
-                yield pa.RecordBatch.from_arrays([pa.array(name[first].view(np.int64)), pa.array(np.minimum.reduceat(of, first)), pa.array(np.maximum.reduceat(of, first))], ["name", "a", "b"])
+                more = np.maximum.reduceat(np.concatenate([[False], (doc[1:] != doc[:-1]) & ~new[1:]]), first)
+                yield pa.RecordBatch.from_arrays([pa.array(name[first].view(np.int64)), pa.array(1 + more.astype(np.int64))], ["name", "n"])
 
-    each = docs.mapInArrow(run, "name long, a long, b long")
-    names = each.groupBy("name").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a < b").select("name")
+    each = docs.mapInArrow(run, "name long, n long")
+    names = each.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,14 +146,49 @@ def shared_symbols(docs: DataFrame, words: int, bits: int = FILTER_BITS) -> byte
     return out.tobytes()
 
 
-FACTS = "id long, mark long, doc_id long, n_words long, whole string, text string, h1 array<long>, h2 array<long>, at array<int>"
+def window_names(part: _Part, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two names of each window that starts at ``at``: 128 bits of its words."""
+    out = []
+    for n in (part.names[:, 0], part.names[:, 1]):
+        x = np.zeros(len(at), np.uint64)
+        for k in range(words):
+            x = x * ROLL + n[at + k]
+        out.append(mixed(x))
+    return tuple(out)
+
+
+def open_windows(part: _Part, words: int, has) -> np.ndarray:
+    """Where the windows start that may stand in another document: all symbols that they fix are shared."""
+    n = len(part.names)
+    low, high, name = symbols(part, words)
+    alone = ~has(name)
+    low, high = low[alone], high[alone]
+    gone = np.zeros(n + 1, np.int64)  # a symbol of one document rules out the windows from high - words to low
+    np.add.at(gone, np.maximum(high - words, part.begins[part.doc[low]]), 1)
+    np.add.at(gone, low + 1, -1)
+    return np.nonzero((np.cumsum(gone[:-1]) == 0) & (np.arange(n) + words <= part.begins[part.doc + 1]))[0]
 
 
-def window_facts(docs: DataFrame, words: int, filter_: bytes, texts: bool, bits: int = FILTER_BITS) -> DataFrame:
-    """A row for each of ``docs`` (id, text, doc_id): its windows that may stand in another document, with two names each.
+def passages(part: _Part, at: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """(start, windows, name, name): windows in a row as the symbols of the last round, cut where a window's own name says so."""
+    x1, x2 = window_names(part, at, words)
+    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (part.doc[at[1:]] != part.doc[at[:-1]]) | (x1[1:] % np.uint64(CUT) == 0)]) if len(at) else np.empty(0, bool)
+    first = np.nonzero(new)[0]
+    if not len(first):
+        return at, at, x1, x2
+    n = np.diff(np.append(first, len(at)))
+    place = np.arange(len(at)) - np.repeat(first, n)
+    power = np.multiply.accumulate(np.full(int(n.max()), ROLL, np.uint64))[place]
+    return at[first], n, *(mixed(np.add.reduceat(x * power, first) + n.astype(np.uint64)) for x in (x1, x2))
 
-    A window goes if a symbol that it fixes stands in one document only. ``whole``: the text's words joined by spaces, or their SHA-256.
-    Texts without such windows are not carried on.
+
+FACTS = "id long, mark long, doc_id long, n_words long, whole string, text string, p1 array<long>, p2 array<long>, at array<int>, n array<int>"
+
+
+def passage_facts(docs: DataFrame, words: int, filter_: bytes, texts: bool, bits: int = FILTER_BITS) -> DataFrame:
+    """A row for each of ``docs`` (id, text, doc_id) with its passages of open windows, by two names, start and number of windows.
+
+    ``whole``: the text's words joined by spaces, or their SHA-256; ``mark``: 64 bits of it. Texts without open windows are not carried on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
@@ -152,44 +196,56 @@ def window_facts(docs: DataFrame, words: int, filter_: bytes, texts: bool, bits:
         from hashlib import sha256
 
         held = np.frombuffer(shared.value, np.uint64)
-        has = lambda at: (held[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        bit = lambda at: (held[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        has = lambda names: np.logical_and(*(bit(at) for at in _probes(names, bits)))
         for rows, part in _parts(batches):
             ids, given, doc_ids = zip(*rows, strict=True)
-            n1, n2 = part.names[:, 0], part.names[:, 1]
-            low, high, name = symbols(part, words)
-            a, b = _probes(name, bits)
-            alone = ~(has(a) & has(b))
-            low, high = low[alone], high[alone]
-            doc = part.doc[low]
-            # windows from high - words to low, within the document, go
-            frm = np.maximum(high - words, part.begins[doc])
-            gone = np.zeros(len(n1) + 1, np.int64)
-            np.add.at(gone, frm, 1)
-            np.add.at(gone, low + 1, -1)
-            at = np.nonzero((np.cumsum(gone[:-1]) == 0) & (np.arange(len(n1)) + words <= part.begins[part.doc + 1]))[0] if len(n1) else np.empty(0, np.int64)
-            names = []
-            for n in (n1, n2):
-                x = np.zeros(len(at), np.uint64)
-                for k in range(words):
-                    x = x * ROLL + n[at + k]
-                names.append(mixed(x).view(np.int64))
-            cut = np.searchsorted(at, part.begins)
+            start, n, p1, p2 = passages(part, open_windows(part, words, has), words)
+            cut = np.searchsorted(start, part.begins)
             lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, kind))
-            some = np.diff(cut) > 0
             joined = [b" ".join(part.flat[part.begins[d] : part.begins[d + 1]]) for d in range(len(ids))]
-            whole = [x.decode() if texts else sha256(x).hexdigest() for x in joined]
-            mark = np.array([int.from_bytes(sha256(x).digest()[:8], "big", signed=True) for x in joined], np.int64)
+            sums = [sha256(x) for x in joined]
+            whole = [x.decode() if texts else h.hexdigest() for x, h in zip(joined, sums, strict=True)]
+            mark = np.array([int.from_bytes(h.digest()[:8], "big", signed=True) for h in sums], np.int64)
+            kept = [t if some else None for t, some in zip(given, np.diff(cut) > 0, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()), pa.array(mark), pa.array(doc_ids, pa.int64()), pa.array(part.sizes, pa.int64()), pa.array(whole, pa.string()), pa.array([t if s else None for t, s in zip(given, some, strict=True)], pa.string()),
-                    lists(names[0], pa.int64()), lists(names[1], pa.int64()), lists(at - part.begins[part.doc[at]], pa.int32()),
+                    pa.array(ids, pa.int64()), pa.array(mark), pa.array(doc_ids, pa.int64()), pa.array(part.sizes, pa.int64()), pa.array(whole, pa.string()), pa.array(kept, pa.string()),
+                    lists(p1.view(np.int64), pa.int64()), lists(p2.view(np.int64), pa.int64()), lists(start - part.begins[part.doc[start]], pa.int32()), lists(n, pa.int32()),
                 ],
-                ["id", "mark", "doc_id", "n_words", "whole", "text", "h1", "h2", "at"],
+                ["id", "mark", "doc_id", "n_words", "whole", "text", "p1", "p2", "at", "n"],
             )
 
     return docs.mapInArrow(run, FACTS)
 
 
+def windows_of(docs: DataFrame, words: int) -> DataFrame:
+    """(id, mark, h1, h2, at) of the windows within the ``parts`` (at, n) of ``docs`` (id, text, mark, parts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, part in _parts(batches):
+            spans = [(d, p["at"], p["n"]) for d, r in enumerate(rows) for p in r[3]]
+            doc, first, n = np.array(spans, np.int64).reshape(-1, 3).T
+            at = np.repeat(part.begins[doc] + first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            h1, h2 = window_names(part, at, words)
+            of = np.repeat(doc, n)
+            ids, marks = (np.array([r[k] for r in rows], np.int64)[of] for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array((at - part.begins[of]).astype(np.int32))], ["id", "mark", "h1", "h2", "at"])
+
+    return docs.mapInArrow(run, "id long, mark long, h1 long, h2 long, at int")
+
+
+def earlier(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` (id, names) with ``least``, the smallest id that has the same names."""
+    return rows.join(rows.groupBy(*names).agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").drop("last"), names, "left")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: its cleaner waits for the driver to collect its garbage, which may be long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_repeats(docs: DataFrame, words: int = 13, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, n_words, n_removed, removed, kept_text or kept_sha256): each document without the passages that an earlier one holds.
 
@@ -197,21 +253,32 @@ def drop_repeats(docs: DataFrame, words: int = 13, id_col: str = "doc_id", text_
     both judged on the input. ``removed``: ranges [start, end) of word numbers. ``texts``: the kept words joined by single spaces,
     else their SHA-256 as hex.
 
-    1. Rounds name symbols; those that stand in two documents or more are found by one aggregation. 2. A window all of
-    whose symbols are shared is named by its words with 128 bits; equal names are equal words but for a chance below
-    10**-12 with 10**13 windows. 3. Names that a smaller id has too are joined back, and their words go.
+    1. Rounds name symbols; one aggregation finds those that two documents hold. 2. Windows all of whose symbols are
+    shared stay open, and open windows in a row form passages. A passage that a smaller id holds too is settled whole.
+    3. The windows of the others (each passage where it first stands) are compared one by one; a window that stands in a
+    settled passage also stands where that passage stands first, so none is missed. Names have 128 bits: equal
+    names are equal words but for a chance below 10**-12 with 10**13 windows.
 
     A null text is empty; texts of fewer than ``words`` words keep all; a null id counts as larger than all others, rows of one id
     take nothing from each other and repeated rows share their result. Texts are whole, however long: what is held for one
     document at a time is its own words. An empty table gives an empty table; other columns are not read.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
-    facts = store(window_facts(rows, words, shared_symbols(rows.select("id", "text"), words, bits), texts, bits), "windows")
-    each = facts.where(F.size("at") > 0).select("id", "mark", F.explode(F.arrays_zip("h1", "h2", "at")).alias("w")).select("id", "mark", "w.h1", "w.h2", "w.at")
-    earliest = each.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    hit = each.join(earliest, ["h1", "h2"]).where("id > least").select("id", "mark", "at").distinct()
-    places = store(hit.groupBy("id", "mark").agg(F.array_sort(F.collect_list("at")).alias("hits")), "repeats")
+    shared = shared_symbols(rows.select("id", "text"), words, bits)
+    release(spark)
+    facts = store(passage_facts(rows, words, shared, texts, bits), "passages")
+    each = facts.where(F.size("at") > 0).select("id", "mark", F.explode(F.arrays_zip("p1", "p2", "at", "n")).alias("p")).select("id", "mark", "p.*")
+    judged = store(earlier(each, ["p1", "p2"]).select("id", "mark", "at", "n", F.coalesce(F.col("least") < F.col("id"), F.lit(False)).alias("settled")), "judged")
+    release(spark)
+    span = F.struct("at", "n")
+    parts = judged.where("NOT settled").groupBy("id", "mark").agg(F.collect_set(span).alias("parts"))  # sets, as rows may repeat
+    single = store(windows_of(facts.where("text IS NOT NULL").join(parts, ["id", "mark"]).select("id", "text", "mark", "parts"), words), "windows")
+    release(spark)
+    late = earlier(single, ["h1", "h2"]).where("least < id").select("id", "mark", "at", F.lit(1).alias("n"))
+    hits = judged.where("settled").select("id", "mark", "at", "n").unionByName(late)
+    places = store(hits.groupBy("id", "mark").agg(F.array_sort(F.collect_set(span)).alias("hits")), "repeats")
+    release(spark)
     out_schema = f"doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, {'kept_text' if texts else 'kept_sha256'} string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,21 +290,23 @@ def drop_repeats(docs: DataFrame, words: int = 13, id_col: str = "doc_id", text_
                 if not hits:
                     rows.append((doc_id, n, 0, [], whole))
                     continue
-                own = text.encode().split()
-                starts = np.array(hits, np.int64)
-                begin = np.concatenate([[True], np.diff(starts) > words])
-                first = starts[begin]
-                last = starts[np.append(np.nonzero(begin)[0][1:] - 1, len(starts) - 1)] + words
-                left, at = [], 0
-                for s, e in zip(first.tolist(), last.tolist(), strict=True):
-                    left += own[at:s]
-                    at = e
+                gone: list[dict] = []
+                for h in hits:
+                    end = h["at"] + h["n"] - 1 + words
+                    if gone and h["at"] <= gone[-1]["end"]:
+                        gone[-1]["end"] = max(gone[-1]["end"], end)
+                    else:
+                        gone.append({"start": h["at"], "end": end})
+                own, left, at = text.encode().split(), [], 0
+                for g in gone:
+                    left += own[at : g["start"]]
+                    at = g["end"]
                 left += own[at:]
                 joined = b" ".join(left)
-                rows.append((doc_id, n, n - len(left), [{"start": s, "end": e} for s, e in zip(first.tolist(), last.tolist(), strict=True)], joined.decode() if texts else sha256(joined).hexdigest()))
+                rows.append((doc_id, n, n - len(left), gone, joined.decode() if texts else sha256(joined).hexdigest()))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "removed", "kept_text" if texts else "kept_sha256"])
 
-    met = facts.drop("h1", "h2", "at").join(places, ["id", "mark"], "left").select("doc_id", "n_words", "whole", "text", "hits")
+    met = facts.select("id", "mark", "doc_id", "n_words", "whole", "text").join(places, ["id", "mark"], "left").select("doc_id", "n_words", "whole", "text", "hits")
     return met.mapInArrow(run, out_schema)
