@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,12 +122,11 @@ def shared_symbols(docs: DataFrame, words: int, bits: int = FILTER_BITS) -> byte
         for _, part in _parts(batches):
             low, _, name = symbols(part, words)
             doc = part.doc[low]
-            order = np.lexsort((doc, name))
+            order = np.argsort(name)
             name, doc = name[order], doc[order]
-            new = np.concatenate([[True], name[1:] != name[:-1]]) if len(name) else np.empty(0, bool)
-            first = np.nonzero(new)[0]
+            first = np.nonzero(np.concatenate([[True], name[1:] != name[:-1]]))[0] if len(name) else np.empty(0, np.int64)
             if len(first):
-                more = np.maximum.reduceat(np.concatenate([[False], (doc[1:] != doc[:-1]) & ~new[1:]]), first)
+                more = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
                 yield pa.RecordBatch.from_arrays([pa.array(name[first].view(np.int64)), pa.array(1 + more.astype(np.int64))], ["name", "n"])
 
     each = docs.mapInArrow(run, "name long, n long")
@@ -182,24 +182,26 @@ def passages(part: _Part, at: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
     return at[first], n, *(mixed(np.add.reduceat(x * power, first) + n.astype(np.uint64)) for x in (x1, x2))
 
 
-FACTS = "id long, mark long, doc_id long, n_words long, whole string, text string, p1 array<long>, p2 array<long>, at array<int>, n array<int>"
+FACTS = "id long, mark long, doc_id long, n_words long, whole string, packed binary, p1 array<long>, p2 array<long>, at array<int>, n array<int>"
 
 
 def passage_facts(docs: DataFrame, words: int, filter_: bytes, texts: bool, bits: int = FILTER_BITS) -> DataFrame:
     """A row for each of ``docs`` (id, text, doc_id) with its passages of open windows, by two names, start and number of windows.
 
-    ``whole``: the text's words joined by spaces, or their SHA-256; ``mark``: 64 bits of it. Texts without open windows are not carried on.
+    ``whole``: the text's words joined by spaces, or their SHA-256; ``mark``: 64 bits of it; ``packed``: the words, compressed, as
+    they are shuffled twice. Texts without open windows are not carried on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
+        pack = zstandard.ZstdCompressor(3).compress
         held = np.frombuffer(shared.value, np.uint64)
         bit = lambda at: (held[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
         has = lambda names: np.logical_and(*(bit(at) for at in _probes(names, bits)))
         for rows, part in _parts(batches):
-            ids, given, doc_ids = zip(*rows, strict=True)
+            ids, _, doc_ids = zip(*rows, strict=True)
             start, n, p1, p2 = passages(part, open_windows(part, words, has), words)
             cut = np.searchsorted(start, part.begins)
             lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, kind))
@@ -207,23 +209,26 @@ def passage_facts(docs: DataFrame, words: int, filter_: bytes, texts: bool, bits
             sums = [sha256(x) for x in joined]
             whole = [x.decode() if texts else h.hexdigest() for x, h in zip(joined, sums, strict=True)]
             mark = np.array([int.from_bytes(h.digest()[:8], "big", signed=True) for h in sums], np.int64)
-            kept = [t if some else None for t, some in zip(given, np.diff(cut) > 0, strict=True)]
+            kept = [pack(x) if some else None for x, some in zip(joined, np.diff(cut) > 0, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()), pa.array(mark), pa.array(doc_ids, pa.int64()), pa.array(part.sizes, pa.int64()), pa.array(whole, pa.string()), pa.array(kept, pa.string()),
+                    pa.array(ids, pa.int64()), pa.array(mark), pa.array(doc_ids, pa.int64()), pa.array(part.sizes, pa.int64()), pa.array(whole, pa.string()), pa.array(kept, pa.binary()),
                     lists(p1.view(np.int64), pa.int64()), lists(p2.view(np.int64), pa.int64()), lists(start - part.begins[part.doc[start]], pa.int32()), lists(n, pa.int32()),
                 ],
-                ["id", "mark", "doc_id", "n_words", "whole", "text", "p1", "p2", "at", "n"],
+                ["id", "mark", "doc_id", "n_words", "whole", "packed", "p1", "p2", "at", "n"],
             )
 
     return docs.mapInArrow(run, FACTS)
 
 
 def windows_of(docs: DataFrame, words: int) -> DataFrame:
-    """(id, mark, h1, h2, at) of the windows within the ``parts`` (at, n) of ``docs`` (id, text, mark, parts)."""
+    """(id, mark, h1, h2, at) of the windows within the ``parts`` (at, n) of ``docs`` (id, packed, mark, parts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, part in _parts(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        every = ((i, unpack(t).decode(), mark, parts) for b in batches for i, t, mark, parts in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for rows in in_parts(every, lambda r: len(r[1]), PART_CHARS):
+            part = _Part([r[1] for r in rows])
             spans = [(d, p["at"], p["n"]) for d, r in enumerate(rows) for p in r[3]]
             doc, first, n = np.array(spans, np.int64).reshape(-1, 3).T
             at = np.repeat(part.begins[doc] + first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -273,7 +278,7 @@ def drop_repeats(docs: DataFrame, words: int = 13, id_col: str = "doc_id", text_
     release(spark)
     span = F.struct("at", "n")
     parts = judged.where("NOT settled").groupBy("id", "mark").agg(F.collect_set(span).alias("parts"))  # sets, as rows may repeat
-    single = store(windows_of(facts.where("text IS NOT NULL").join(parts, ["id", "mark"]).select("id", "text", "mark", "parts"), words), "windows")
+    single = store(windows_of(facts.where("packed IS NOT NULL").join(parts, ["id", "mark"]).select("id", "packed", "mark", "parts"), words), "windows")
     release(spark)
     late = earlier(single, ["h1", "h2"]).where("least < id").select("id", "mark", "at", F.lit(1).alias("n"))
     hits = judged.where("settled").select("id", "mark", "at", "n").unionByName(late)
@@ -284,9 +289,10 @@ def drop_repeats(docs: DataFrame, words: int = 13, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows = []
-            for doc_id, n, whole, text, hits in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for doc_id, n, whole, packed, hits in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if not hits:
                     rows.append((doc_id, n, 0, [], whole))
                     continue
@@ -297,7 +303,7 @@ def drop_repeats(docs: DataFrame, words: int = 13, id_col: str = "doc_id", text_
                         gone[-1]["end"] = max(gone[-1]["end"], end)
                     else:
                         gone.append({"start": h["at"], "end": end})
-                own, left, at = text.encode().split(), [], 0
+                own, left, at = unpack(packed).split(), [], 0
                 for g in gone:
                     left += own[at : g["start"]]
                     at = g["end"]
@@ -308,5 +314,5 @@ def drop_repeats(docs: DataFrame, words: int = 13, id_col: str = "doc_id", text_
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "removed", "kept_text" if texts else "kept_sha256"])
 
-    met = facts.select("id", "mark", "doc_id", "n_words", "whole", "text").join(places, ["id", "mark"], "left").select("doc_id", "n_words", "whole", "text", "hits")
+    met = facts.select("id", "mark", "doc_id", "n_words", "whole", "packed").join(places, ["id", "mark"], "left").select("doc_id", "n_words", "whole", "packed", "hits")
     return met.mapInArrow(run, out_schema)
