@@ -41,6 +41,7 @@ class Config:
     children_chars: int = 3000
     summary_chars: int = 240
     containers_carried: int = 4
+    carry_pages: int = 20
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
     bm25_least_idf: float = 1e-6

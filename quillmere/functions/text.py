@@ -168,6 +168,15 @@ def hashed_vector(text: Column, dimensions: int = 64) -> Column:
     return F.transform(F.array(counts), lambda c: F.transform(F.array(size(c)), lambda n: F.when(n > 0, F.transform(c, lambda x: x / n)))[0])[0]
 
 
+def term_vector(term: Column, dimensions: int = 256) -> Column:
+    """The embedding of a short term: counts of its runs of three characters (with marks at both ends) by hash, scaled to length one; null for an empty one."""
+    marked = F.concat(F.lit("^"), F.lower(term), F.lit("$"))
+    slots = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - 2)), lambda i: F.pmod(F.crc32(F.substring(marked, i, F.lit(3)).cast("binary")), F.lit(dimensions)).cast("int"))
+    counts = F.transform(F.array(slots), lambda s: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.size(F.filter(s, lambda x: x == k)).cast("double")))[0]
+    scaled = F.transform(F.array(counts), lambda c: F.transform(F.array(F.sqrt(F.aggregate(c, F.lit(0.0), lambda n, x: n + x * x))), lambda n: F.transform(c, lambda x: x / n))[0])[0]
+    return F.when(F.length(term) > 0, scaled)
+
+
 def only_strings(json: Column) -> Column:
     """The strings among the elements of a JSON array; what is no array has none."""
     parts = F.from_json(json, "array<variant>")

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from quillmere.config import DEFAULT, Config
 from quillmere.functions import text as X
+from quillmere.operators import vector_index
 from quillmere.operators.search import few, top_k
 from quillmere.operators.store import insert_ignore, upsert
 from quillmere.session import discard, store
@@ -40,21 +41,23 @@ def similar_text(a: Column, b: Column, least: float = 0.8) -> Column:
     return (1 - F.levenshtein(a, b) / most) >= least
 
 
-def resolve(terms: DataFrame, aliases: DataFrame, vectors: DataFrame, cfg: Config = DEFAULT, block: int = 1024) -> DataFrame:
+def resolve(terms: DataFrame, aliases: DataFrame, vectors: DataFrame, cfg: Config = DEFAULT, known_vectors: DataFrame | None = None, probes: int | None = vector_index.PROBES) -> DataFrame:
     """(term, concept_term, method, confidence) for each distinct term.
 
     ``terms``: term, first (a sortable place). ``aliases``: normalized_alias, concept_term. ``vectors``: term, vec.
     Known aliases resolve by join. Of the others, a term joins the best of its ``concept_top_k`` nearest earlier
     terms above the threshold that the validator accepts; else it founds a concept. Chains are followed to their end.
-    The vocabulary of unresolved terms is compared with the earlier terms' vectors in blocks.
+    ``known_vectors`` (term, vec): concepts of earlier batches, earlier than every term. Candidates come from
+    inverted lists, ``probes`` of them for each term, and are compared exactly; None compares with all earlier terms.
     """
     every = terms.groupBy("term").agg(F.min("first").alias("first"))
-    known = every.join(aliases.select(F.col("normalized_alias").alias("term"), "concept_term").distinct(), "term").select("term", "concept_term", F.lit("exact_alias").alias("method"), F.lit(1.0).alias("confidence"))
-    open_ = store(every.join(known.select("term"), "term", "left_anti").join(vectors, "term"), "terms")
-    near = earlier_neighbours(open_, block).where(F.col("score") > cfg.concept_threshold)
+    known = every.join(aliases.groupBy(F.col("normalized_alias").alias("term")).agg(F.min("concept_term").alias("concept_term")), "term").select("term", "concept_term", F.lit("exact_alias").alias("method"), F.lit(1.0).alias("confidence"))
+    open_ = store(every.join(known.select("term"), "term", "left_anti"), "terms")
+    held = store(open_.join(vectors, "term"), "term-vectors")
+    near = earlier_neighbours(held, known_vectors, probes).where(F.col("score") > cfg.concept_threshold)
     best = top_k(near, cfg.concept_top_k, key="term").where(similar_text(F.col("term"), F.col("id")))
     link = store(best.groupBy("term").agg(F.min_by("id", "rank").alias("up"), F.max_by("score", -F.col("rank")).alias("confidence")), "links")
-    now = store(every.join(known.select("term"), "term", "left_anti").join(link, "term", "left").select("term", F.col("up").alias("concept_term"), "up", "confidence"), "chains")
+    now = store(open_.join(link, "term", "left").select("term", F.col("up").alias("concept_term"), "up", "confidence"), "chains")
     edges = link.select(F.col("term").alias("e_term"), F.col("up").alias("e_up"))
     while now.where("up IS NOT NULL").limit(1).count():  # a term's concept is earlier than the term, so chains end
         step = now.join(edges, now["up"] == edges["e_term"], "left")
@@ -65,19 +68,16 @@ def resolve(terms: DataFrame, aliases: DataFrame, vectors: DataFrame, cfg: Confi
     return known.unionByName(fresh)
 
 
-def earlier_neighbours(terms: DataFrame, block: int) -> DataFrame:
-    """(term, id, score): each term with every earlier one, block against block, an equi-join on block numbers.
+def earlier_neighbours(terms: DataFrame, known: DataFrame | None = None, probes: int | None = vector_index.PROBES) -> DataFrame:
+    """(term, id, score): each of ``terms`` (term, first, vec) with earlier ones, and with all of ``known`` (term, vec), that its lists hold.
 
-    ``terms``: term, first, vec. A block holds about ``block`` terms; a task compares one pair of blocks. A vocabulary
-    that has to be resolved is compared whole, as every term is a query against all earlier ones.
+    ``probes`` None looks through all lists: the exact answer, for comparison.
     """
-    n = max(1, -(-terms.count() // block))
-    of = terms.select("term", "first", "vec", F.pmod(F.xxhash64("term"), F.lit(n)).cast("int").alias("a"))
-    other = of.select(F.col("term").alias("id"), F.col("first").alias("first2"), F.col("vec").alias("vec2"), F.col("a").alias("b"))
-    left = of.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    right = other.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    met = left.join(right, ["a", "b"]).where("first2 < first")
-    return met.select("term", "id", X.cosine(F.col("vec"), F.col("vec2")).alias("score"))
+    base = terms.select(F.col("term").alias("id"), F.col("first").alias("first2"), F.col("vec").alias("vec2"), F.lit(False).alias("old"))
+    if known is not None:
+        base = base.unionByName(known.select(F.col("term").alias("id"), F.lit(None).cast(terms.schema["first"].dataType).alias("first2"), F.col("vec").alias("vec2"), F.lit(True).alias("old")))
+    met = vector_index.neighbours(terms, base, vector_index.MOST_LISTS if probes is None else probes)
+    return met.where(F.col("old") | (F.col("first2") < F.col("first"))).select("term", "id", "score")
 
 
 def contexts(mentions: DataFrame, units: DataFrame, most: int = 3, chars: int = 500, total: int = 2000, with_units: bool = False) -> DataFrame:

@@ -2,29 +2,117 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.schemas import TABLE_TYPES
-from quillmere.session import discard, store
+from quillmere.session import discard, scratch_path, store
+
+#: Rows that are broadcast where their number is known.
+BROADCAST_ROWS = 200_000
 
 
 def parent_chains(units: DataFrame) -> DataFrame:
     """(id, depth, parents): names from the root to the parent, with a guard against cycles.
 
-    One self-join per level of the deepest tree, however deep; each level is stored, so that none is computed twice. A
-    missing parent ends a chain, and so does one that is in it already.
+    Pointer doubling: each round puts behind a unit's known ancestors those of the last one, so a tree of depth d takes about log2(d)
+    rounds, each stored, so that none is computed twice. A missing parent ends a chain, and so does one that is in
+    it already.
     """
-    edges = units.select(F.col("id").alias("p_id"), F.col("name").alias("p_name"), F.col("parent_unit_id").alias("p_up"))
-    now = store(units.select("id", F.col("parent_unit_id").alias("up"), F.array().cast("array<string>").alias("parents"), F.array("id").alias("seen"), F.lit(0).alias("depth")), "chains")
-    while now.where("up IS NOT NULL").limit(1).count():
-        met = now.join(edges, (now["up"] == edges["p_id"]) & ~F.array_contains("seen", F.col("p_id")), "left")
-        named = F.when(F.col("p_name").isNotNull() & (F.col("p_name") != ""), F.concat(F.array("p_name"), F.col("parents"))).otherwise(F.col("parents"))
-        on = F.col("p_id").isNotNull()
-        after = store(met.select("id", F.when(on, F.col("p_up")).alias("up"), named.alias("parents"), F.when(on, F.array_append("seen", F.col("p_id"))).otherwise(F.col("seen")).alias("seen"), (F.col("depth") + on.cast("int")).alias("depth")), "chains")
+    named = units.select("id", "name", F.col("parent_unit_id").alias("up"))
+    above = named.select(F.col("id").alias("up"), F.col("name").alias("up_name"))
+    first = named.where(F.col("up") != F.col("id")).join(above, "up").select("id", F.array(F.struct(F.col("up").alias("id"), F.col("up_name").alias("name"))).alias("path"), F.col("up").alias("last"))
+    now = store(units.select("id").join(first, "id", "left").select("id", F.coalesce("path", F.array().cast(first.schema["path"].dataType)).alias("path"), "last"), "chains")
+    while now.where("last IS NOT NULL").limit(1).count():
+        other = now.where(F.size("path") > 0).select(F.col("id").alias("last"), F.col("path").alias("more"), F.col("last").alias("next"))
+        met = now.join(other, "last", "left")
+        seen = F.concat(F.array("id"), F.transform("path", lambda x: x["id"]))
+        # what comes after the first ancestor that is known already would go round
+        again = F.transform(F.col("more"), lambda x: F.array_contains(seen, x["id"]))
+        met = met.withColumn("place", F.coalesce(F.array_position(again, True), F.lit(0)))
+        new = F.when(F.col("more").isNull(), F.slice("path", 1, 0)).when(F.col("place") > 0, F.slice("more", F.lit(1), F.col("place").cast("int") - 1)).otherwise(F.col("more"))
+        goes_on = F.col("more").isNotNull() & (F.col("place") == 0)
+        after = store(met.select("id", F.concat("path", new).alias("path"), F.when(goes_on, F.col("next")).alias("last")), "chains")
         discard(now)
         now = after
-    return now.select("id", "depth", "parents")
+    names = F.reverse(F.filter(F.transform("path", lambda x: x["name"]), lambda x: x.isNotNull() & (x != "")))
+    return now.select("id", F.size("path").alias("depth"), names.alias("parents"))
+
+
+@dataclass
+class Jumps:
+    """Stored pointers to the parent, the parent's parent, the fourth, the eighth ... ancestor of every unit, in folders by step and bucket of the id."""
+
+    spark: SparkSession
+    path: str
+    steps: int
+    buckets: int = 16
+
+    def step(self, k: int, buckets: list[int] | None = None) -> DataFrame:
+        rows = self.spark.read.schema("id string, up string, step int, bucket int").parquet(f"{self.path}/jumps").where(F.col("step") == k)
+        return (rows.where(F.col("bucket").isin(buckets)) if buckets is not None else rows).select("id", "up")
+
+    def bucket(self, id_: str = "id"):
+        return F.pmod(F.xxhash64(id_), F.lit(self.buckets)).cast("int")
+
+
+def build_jumps(units: DataFrame, path: str | None = None, buckets: int = 16) -> Jumps:
+    """Store the jumps of all ``units`` (id, parent_unit_id): as many rounds as the logarithm of the greatest depth.
+
+    Missing parents and units that name themselves end a chain; rounds end with the logarithm of the number of units too, which ends cycles.
+    """
+    spark = units.sparkSession
+    jumps = Jumps(spark, path or scratch_path(spark, "jumps"), 0, buckets)
+    ids = units.select("id")
+    edges = units.where(F.col("parent_unit_id") != F.col("id")).select("id", F.col("parent_unit_id").alias("up")).join(ids.withColumnRenamed("id", "up"), "up", "left_semi")
+    most = max(1, math.ceil(math.log2(max(2, ids.count()))) + 1)
+
+    def put(rows: DataFrame, k: int) -> None:
+        rows.select("id", "up", jumps.bucket().alias("bucket")).repartition(buckets, "bucket").write.partitionBy("bucket").parquet(f"{jumps.path}/jumps/step={k}")
+
+    put(edges, 0)
+    while jumps.steps < most:
+        now = jumps.step(jumps.steps)
+        if not now.limit(1).count():
+            break
+        jumps.steps += 1
+        put(now.join(now.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up")), jumps.steps)
+    return jumps
+
+
+def ancestors_of(chosen: DataFrame, jumps: Jumps, n_chosen: int) -> DataFrame:
+    """(id, up, distance): all ancestors of the ``chosen`` ids, a counted set, each once and by its shortest way.
+
+    A round takes every ancestor that is known by another jump, twice as far as the round before: so depth d takes log2(d) rounds, and
+    a round reads the buckets of the known ancestors only.
+    """
+    known = store(chosen.select("id").distinct().select("id", F.col("id").alias("up"), F.lit(0).alias("distance")), "ancestors")
+    for k in range(jumps.steps + 1):
+        from_ = known.withColumn("bucket", jumps.bucket("up"))
+        read = [r.bucket for r in from_.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        small = n_chosen << k <= BROADCAST_ROWS
+        start = from_.select("id", F.col("up").alias("at"), "distance")
+        far = jumps.step(k, read).withColumnRenamed("id", "at").join(F.broadcast(start) if small else start, "at").select("id", "up", (F.col("distance") + (1 << k)).alias("distance"))
+        both = known.unionByName(far).groupBy("id", "up").agg(F.min("distance").alias("distance"))
+        after = store(both, "ancestors")
+        grown = after.count() > known.count()
+        discard(known)
+        known = after
+        if not grown:
+            break
+    return known.where("distance > 0")
+
+
+def chains_of(chosen: DataFrame, units: DataFrame, jumps: Jumps, n_chosen: int) -> DataFrame:
+    """(id, depth, parents) as :func:`parent_chains`, but of the ``chosen`` ids (a counted set) only, over stored jumps."""
+    found = ancestors_of(chosen, jumps, n_chosen)
+    named = units.select(F.col("id").alias("up"), "name").join(found, "up")
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), F.coalesce("name", F.lit("")).alias("name"))))
+    one = named.groupBy("id").agg(F.count("*").cast("int").alias("depth"), F.filter(F.transform(rows, lambda r: r["name"]), lambda x: x != "").alias("parents"))
+    return chosen.select("id").distinct().join(one, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("parents", F.array().cast("array<string>")).alias("parents"))
 
 
 def parent_chains_sql(view: str) -> str:

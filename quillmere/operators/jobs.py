@@ -57,6 +57,16 @@ def appended(conversations: DataFrame, new: DataFrame, key: str = "conv_id") ->
     return joined.select(key, F.to_json(F.when(F.col("role").isNull(), old).otherwise(F.concat(old, fresh))).alias("messages"))
 
 
+def appended_all(conversations: DataFrame, new: DataFrame, key: str = "conv_id") -> DataFrame:
+    """``conversations`` with all messages of ``new`` (key, n, role, text) put at their ends in order of n: one join, however many."""
+    old = F.coalesce(F.from_json("messages", MESSAGES), F.array().cast(MESSAGES))
+    last = F.coalesce(F.array_max(F.transform(old, lambda m: m["turn"])), F.lit(-1))
+    rows = new.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "role", "text"))).alias("fresh"))
+    joined = conversations.join(rows, key, "full_outer").withColumn("last", last)
+    fresh = F.transform("fresh", lambda m, i: F.struct((F.col("last") + 1 + i).cast("long").alias("turn"), m["role"].alias("role"), m["text"].alias("text")))
+    return joined.select(key, F.to_json(F.concat(old, F.coalesce(fresh, F.array().cast(MESSAGES)))).alias("messages"))
+
+
 def turns_of(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
     return conversations.select(key, F.explode(F.from_json("messages", MESSAGES)).alias("m")).select(key, "m.turn", "m.role", "m.text")
 
@@ -78,6 +88,12 @@ def cursor_page(rows: DataFrame, cursor: int, batch: int, order: str = "id") ->
     return rows.orderBy(order).offset(cursor).limit(batch).withColumn("next_cursor", F.lit(after).cast("long")).withColumn("done", F.lit(after >= total))
 
 
+def page_after(rows: DataFrame, last: str | None, n: int, key: str = "id") -> DataFrame:
+    """The next ``n`` rows by a unique ``key`` after ``last`` (None: from the start): a top-n of what is left, no offset and no global sort, so any page costs the same."""
+    left = rows if last is None else rows.where(F.col(key) > last)
+    return left.orderBy(key).limit(n)
+
+
 def parent_first(units: DataFrame, status: str, n: int, scope: str = "page") -> DataFrame:
     """Of each scope up to ``n`` units of ``status`` whose parent is missing or past it; where there are none, any units of the status."""
     from pyspark.sql.window import Window

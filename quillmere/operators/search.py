@@ -5,6 +5,8 @@ Questions are rows: every list, rank and score is keyed by (question_id, sub_que
 
 from __future__ import annotations
 
+import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +15,8 @@ from pyspark.sql.window import Window
 
 from quillmere.config import DEFAULT, Config
 from quillmere.functions import text as X
-from quillmere.session import scratch_path
+from quillmere.operators.versions import Versions
+from quillmere.session import scratch_path, store
 
 #: Sub-queries that are broadcast at once; more are taken in blocks of this number.
 BROADCAST_QUERIES = 10_000
@@ -37,26 +40,71 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+#: Segments of like size that are merged into one, and the factor between sizes.
+MERGE_AT = 4
+
+
 @dataclass
 class TextIndex:
-    """A stored index: (id, len), and postings (term, id, tf) in a folder per bucket of terms."""
+    """A version of a stored index: segments that never change, each with lengths (id, len) and postings (term, id, tf) in a folder per bucket of terms.
+
+    A segment's marks are the ids whose rows in earlier segments no longer count: of units that are gone or that it has anew.
+    """
 
     spark: SparkSession
     path: str
+    version: int
+
+    @property
+    def segments(self) -> list[dict]:
+        return Versions(self.spark, self.path).manifest(self.version)["segments"]
+
+    def at(self, segment: dict) -> str:
+        """A segment's folder: below the index, or elsewhere if it was forked."""
+        return segment["dir"] if "/" in segment["dir"].removeprefix("segments/") else f"{self.path}/{segment['dir']}"
+
+    def rows(self, name: str, schema: str, segments: list[dict] | None = None, marked: bool = True) -> DataFrame:
+        """Rows of all segments, or of some neighbouring ones, but (``marked``) those that a later one of them marks."""
+        segments, out = self.segments if segments is None else segments, None
+        for k, s in enumerate(segments):
+            rows = self.spark.read.schema(schema).parquet(f"{self.at(s)}/{name}")
+            later = [x for x in segments[k + 1 :] if x["marks"]]
+            if later and marked:
+                marks = self.spark.read.schema("id string").parquet(*(f"{self.at(x)}/marks" for x in later))
+                rows = rows.join(few(marks, sum(x["marks"] for x in later)), "id", "left_anti").select(*rows.columns)
+            out = rows if out is None else out.unionByName(rows)
+        return self.spark.createDataFrame([], schema) if out is None else out
 
     @property
     def lengths(self) -> DataFrame:
-        return self.spark.read.schema("id string, len long").parquet(f"{self.path}/lengths")
+        return self.rows("lengths", "id string, len long")
 
     @property
     def postings(self) -> DataFrame:
-        return self.spark.read.schema("term string, id string, tf long, bucket int").parquet(f"{self.path}/postings")
+        return self.rows("postings", "term string, id string, tf long, bucket int")
+
+    @property
+    def frequencies(self) -> DataFrame:
+        """(term, df): in how many units a term is, added up from what each segment keeps; units that are gone count until their segment is merged."""
+        return self.rows("terms", "term string, df long, bucket int", marked=False).groupBy("term").agg(F.sum("df").alias("df"))
+
+    @property
+    def n_units(self) -> int:
+        return sum(s["units"] for s in self.segments)
 
 
-def written(lengths: DataFrame, postings: DataFrame, path: str) -> TextIndex:
-    lengths.write.parquet(f"{path}/lengths")
-    postings.select("term", "id", "tf", bucket(F.col("term")).alias("bucket")).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).write.partitionBy("bucket").parquet(f"{path}/postings")
-    return TextIndex(lengths.sparkSession, path)
+def _segment(spark: SparkSession, path: str, lengths: DataFrame, postings: DataFrame, marks: DataFrame | None) -> dict:
+    """Write a segment; gives its entry in the manifest."""
+    at = f"segments/{uuid.uuid4().hex}"
+    lengths.write.parquet(f"{path}/{at}/lengths")
+    postings.select("term", "id", "tf", bucket(F.col("term")).alias("bucket")).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).write.partitionBy("bucket").parquet(f"{path}/{at}/postings")
+    held = spark.read.schema("term string, id string, tf long, bucket int").parquet(f"{path}/{at}/postings")
+    held.groupBy("bucket", "term").agg(F.count("*").alias("df")).write.parquet(f"{path}/{at}/terms")
+    n_marks = 0
+    if marks is not None:
+        marks.write.parquet(f"{path}/{at}/marks")
+        n_marks = spark.read.schema("id string").parquet(f"{path}/{at}/marks").count()
+    return {"dir": at, "units": spark.read.schema("id string").parquet(f"{path}/{at}/lengths").count(), "marks": n_marks}
 
 
 def index_rows(units: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,16 +114,55 @@ def index_rows(units: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def build_index(units: DataFrame, path: str | None = None) -> TextIndex:
-    """Index all ``units`` below ``path``."""
-    return written(*index_rows(units), path or scratch_path(units.sparkSession, "index"))
+    """Index all ``units`` below ``path``, anew and in one segment."""
+    spark, at = units.sparkSession, path or scratch_path(units.sparkSession, "index")
+    versions = Versions(spark, at)
+    before = versions.last()
+    first = _segment(spark, at, *index_rows(units), None)
+    return TextIndex(spark, at, versions.commit({"segments": [first]}, before))
+
+
+def open_index(spark: SparkSession, path: str) -> TextIndex | None:
+    """The last version of a stored index, None if there is none; nothing is built."""
+    last = Versions(spark, path).last()
+    return TextIndex(spark, path, last) if last >= 0 else None
 
 
-def update_index(index: TextIndex, gone: DataFrame, fresh: DataFrame, path: str | None = None) -> TextIndex:
-    """The index with the units of ``gone`` (id) and the old rows of ``fresh`` left out, and the units of ``fresh`` put in."""
+def fork(index: TextIndex, path: str | None = None) -> TextIndex:
+    """An index of its own below ``path`` that begins with the segments of ``index``, which are not copied."""
+    at = path or scratch_path(index.spark, "index")
+    return TextIndex(index.spark, at, Versions(index.spark, at).commit({"segments": [s | {"dir": index.at(s)} for s in index.segments]}, -1))
+
+
+def update_index(index: TextIndex, gone: DataFrame, fresh: DataFrame) -> TextIndex:
+    """The index with the units of ``gone`` (id) and the old rows of ``fresh`` marked as gone, and the units of ``fresh`` put in.
+
+    Writes the postings of ``fresh`` and the marks only, as a new segment and a new version; ``index`` itself stays what it is.
+    Segments of like size are merged when there are :data:`MERGE_AT` of them, so a posting is written again a number of times
+    that grows with the logarithm of the index. Another writer's version in between raises :class:`Conflict`.
+    """
+    spark, versions = index.spark, Versions(index.spark, index.path)
+    fresh = store(fresh, "fresh-units")
     old = gone.select("id").unionByName(fresh.select("id")).distinct()
-    lengths, postings = index_rows(fresh)
-    kept = index.postings.select("term", "id", "tf").join(old, "id", "left_anti")
-    return written(index.lengths.join(old, "id", "left_anti").unionByName(lengths), kept.unionByName(postings), path or scratch_path(fresh.sparkSession, "index"))
+    segments = [*index.segments, _segment(spark, index.path, *index_rows(fresh), old)]
+    now = TextIndex(spark, index.path, versions.commit({"segments": segments}, index.version))
+    return merged_segments(now)
+
+
+def merged_segments(index: TextIndex, at: int = MERGE_AT) -> TextIndex:
+    """Merge runs of ``at`` neighbouring segments of one order of size, the smallest first, as long as there are any."""
+    while True:
+        segments = index.segments
+        order = [int(math.log(max(1, s["units"]), at)) for s in segments]
+        runs = [k for k in range(len(segments) - at + 1) if max(order[k : k + at]) == order[k]]
+        if not runs:
+            return index
+        k = min(runs, key=lambda x: order[x])
+        part = segments[k : k + at]
+        marks = [f"{index.at(s)}/marks" for s in part if s["marks"]]
+        held = index.spark.read.schema("id string").parquet(*marks).distinct() if marks and k else None  # nothing is before the first segment
+        one = _segment(index.spark, index.path, index.rows("lengths", "id string, len long", part), index.rows("postings", "term string, id string, tf long, bucket int", part), held)
+        index = TextIndex(index.spark, index.path, Versions(index.spark, index.path).commit({"segments": [*segments[:k], one, *segments[k + at :]]}, index.version))
 
 
 def bm25(index: TextIndex, queries: DataFrame, n_queries: int, k: int = DEFAULT.lexical_top_k, cfg: Config = DEFAULT) -> DataFrame:

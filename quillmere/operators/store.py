@@ -12,9 +12,9 @@ from quillmere.schemas import STATUSES
 
 
 def keep_latest(log: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """The row of each key with the largest ``seq``: one aggregation with map-side combine, no sort."""
+    """The row of each key with the largest ``seq``, of several the one with the largest hash: one aggregation with map-side combine, no sort."""
     rest = [c for c in log.columns if c not in keys]
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("__row")).select(*keys, *(F.col(f"__row.{c}").alias(c) for c in rest))
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(seq, F.xxhash64(*rest))).alias("__row")).select(*keys, *(F.col(f"__row.{c}").alias(c) for c in rest))
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:

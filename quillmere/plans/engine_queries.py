@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from quillmere.config import DEFAULT
+from quillmere.functions import prompts as P
 from quillmere.functions import text as X
-from quillmere.operators import concepts, hierarchy, jobs, search, store
+from quillmere.operators import concepts, hierarchy, jobs, search, store, vector_index
 from quillmere.plans import ingest, retrieval
 from quillmere.plans.registry import TABLES_SQL, query
 from quillmere.plans.search_queries import pool
 from quillmere.plans.text_queries import CHAIN
-from quillmere.session import scratch_path, table
+from quillmere.session import exists, scratch_path, stamp, table
+from quillmere.session import store as store_rows
 from quillmere.sources import fixtures as fx
 from quillmere.sources import readers
 
@@ -367,16 +371,22 @@ def iteration_merge(spark, d):
     return merged.select("id", "rerank_score", F.array_join("sources", ",").alias("sources"))
 
 
-EVIDENCE = f"""WITH {CHAIN}, ev AS (SELECT page % 20 AS query_id, id, row_number() OVER (PARTITION BY page % 20 ORDER BY doc_id % 89 DESC, id) AS n FROM u QUALIFY n <= 8),
+EVIDENCE = f"""WITH {CHAIN}, ev AS (SELECT page // 5 AS query_id, id, row_number() OVER (PARTITION BY page // 5 ORDER BY doc_id % 89 DESC, id) AS n FROM u QUALIFY n <= 8),
 en AS (SELECT ev.query_id, ev.n, u.*, array_to_string(ch.parents, ' > ') AS chain, CASE WHEN pe.id IS NULL THEN '' ELSE p.name END AS near FROM ev JOIN u ON u.id = ev.id JOIN ch ON ch.id = u.id LEFT JOIN u p ON p.id = u.parent_unit_id LEFT JOIN ev pe ON pe.id = u.parent_unit_id AND pe.query_id = ev.query_id)"""
 
 
+def chosen_with_jumps(spark, d, best):
+    """The arguments of ``enriched`` for a few chosen units over the stored library."""
+    lib, best = fx.library(spark, d), store_rows(best, "best")
+    return best, lib.units, lib.jumps, best.count()
+
+
 @query("evidence_enriched", EVIDENCE + " SELECT query_id, id, chain, near FROM en", units=True)
 def evidence_enriched(spark, d):
     from quillmere.plans.search_queries import _pool
 
     best = search.top_k(_pool(spark, d).withColumn("score", (F.col("doc_id") % 89).cast("double")), 8, key="query_id").select("query_id", "id", "rank")
-    e = retrieval.enriched(best, fx.units(spark, d))
+    e = retrieval.enriched(*chosen_with_jumps(spark, d, best))
     return e.select("query_id", "id", F.array_join("parent_chain", " > ").alias("chain"), F.coalesce(F.try_element_at("known_chain", L(-1)), L("")).alias("near"))
 
 
@@ -385,7 +395,7 @@ def evidence_context(spark, d):
     from quillmere.plans.search_queries import _pool
 
     best = search.top_k(_pool(spark, d).withColumn("score", (F.col("doc_id") % 89).cast("double")), 8, key="query_id").select("query_id", "id", "rank")
-    return retrieval.evidence_context(retrieval.enriched(best, fx.units(spark, d))).select("query_id", F.sha2("context", 256).alias("context"))
+    return retrieval.evidence_context(retrieval.enriched(*chosen_with_jumps(spark, d, best))).select("query_id", F.sha2("context", 256).alias("context"))
 
 
 # ---- functions
@@ -433,6 +443,45 @@ def prompts(spark, d):
     return u.select("id", F.sha2(text, 256).alias("prompt"))
 
 
+#: What each kind of prompt is filled with, for units and for turns of conversations.
+UNIT_PROMPTS = {
+    "summary": {"document": "document_id", "parent": "parent_unit_id", "children": "source_order", "type": "type", "name": "name", "content": "content"},
+    "metadata": {"type": "type", "name": "name", "content": "content"},
+    "describe": {"name": "name", "context": "summary"},
+    "same": {"term": "source_node_id", "name": "name", "description": "summary"},
+    "extract": {"page": "page", "section": "source_node_id", "containers": "parent_unit_id", "last": "name"},
+}
+TURN_PROMPTS = {
+    "route": {"history": "role", "question": "text"},
+    "decompose": {"most": "turn", "question": "text"},
+    "sufficiency": {"question": "text", "gaps": "role", "evidence": "turn"},
+    "answer": {"language": "role", "evidence": "turn", "question": "text"},
+}
+PROMPTS_SQL = " UNION ALL ".join(
+    [f"SELECT '{k}' AS kind, id AS key, sha256({P.prompt_sql(k, **v)}) AS prompt FROM u" for k, v in UNIT_PROMPTS.items()]
+    + [f"SELECT '{k}' AS kind, conv_id || ':' || turn AS key, sha256({P.prompt_sql(k, **v)}) AS prompt FROM conversations" for k, v in TURN_PROMPTS.items()]
+)
+
+
+@query("prompt_builders", PROMPTS_SQL, units=True)
+def prompt_builders(spark, d):
+    u, c = fx.units(spark, d), table(spark, d, "conversations")
+    each = [u.select(L(k).alias("kind"), F.col("id").alias("key"), F.sha2(P.prompt(k, **{n: F.col(x) for n, x in v.items()}), 256).alias("prompt")) for k, v in UNIT_PROMPTS.items()]
+    each += [c.select(L(k).alias("kind"), F.concat_ws(":", "conv_id", "turn").alias("key"), F.sha2(P.prompt(k, **{n: F.col(x) for n, x in v.items()}), 256).alias("prompt")) for k, v in TURN_PROMPTS.items()]
+    out = each[0]
+    for x in each[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@query("evidence_by_sub_query", """WITH g AS (SELECT ps.question_id, qs.sub_query_index AS k, any_value(q.query) AS query, string_agg('[' || u.id || '] (' || u.type || ', ' || array_to_string(u.section, ' > ') || ', page ' || u.page || ')' || chr(10) || u.content, chr(10) || chr(10) ORDER BY round(final, 9) DESC, ps.id) AS t
+FROM ps JOIN qs ON qs.question_id = ps.question_id AND list_contains(ps.sq, qs.sub_query_index) JOIN q ON q.sub_query_index = qs.sub_query_index JOIN u ON u.id = ps.id GROUP BY 1, 2)
+SELECT question_id, sha256(string_agg('--- Search ' || (k + 1) || ': ' || query || ' ---' || chr(10) || t, chr(10) || chr(10) ORDER BY k)) AS evidence FROM g GROUP BY 1""", pool=True)
+def evidence_by_sub_query(spark, d):
+    grouped = retrieval.grouped_evidence(retrieval.passing(pool(spark, d)), fx.sub_queries(spark), fx.library(spark, d).units)
+    return grouped.select("question_id", F.sha2("evidence", 256).alias("evidence"))
+
+
 @query("map_lookup", "SELECT page, max(CASE WHEN source_order = 3 THEN id END) AS third, count(*) AS n FROM u GROUP BY page", units=True)
 def map_lookup(spark, d):
     by_place = fx.units(spark, d).groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("source_order", "id"))).alias("m"))
@@ -458,25 +507,154 @@ def random_ids(spark, d):
 
 # ---- the engine over a folder
 
+ELEMENT = BLOCK.replace("h1|p|li", "h1|p|li|ul")
+#: Units of the pages by structure: lists with their items, headings with what stands below them, sections carried from page to page.
+PLACED = rf"""e AS (SELECT page_id, unnest(g) AS raw, unnest(range(1, len(g) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{ELEMENT}') AS g FROM pages)),
+f AS (SELECT page_id, k, regexp_extract(raw, '^<([a-z0-9]+)', 1) AS tag, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(raw, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM e),
+l AS (SELECT *, count(*) FILTER (WHERE tag = 'ul') OVER w AS ul_n, count(*) FILTER (WHERE tag = 'h1') OVER w AS h_n FROM f WINDOW w AS (PARTITION BY page_id ORDER BY k)),
+t AS (SELECT page_id, ul_n, string_agg(text, chr(10) ORDER BY k) AS items FROM l WHERE tag = 'li' AND text <> '' GROUP BY 1, 2),
+y AS (SELECT *, cast(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS so FROM (SELECT l.page_id, k, tag, l.ul_n, h_n, CASE tag WHEN 'ul' THEN coalesce(items, '') ELSE text END AS content FROM l LEFT JOIN t ON t.page_id = l.page_id AND t.ul_n = l.ul_n) WHERE content <> ''),
+z AS (SELECT y.*, 'd' || (y.page_id % 3) AS document_id, cast(y.page_id // 3 AS INTEGER) AS page, h.content AS heading, CASE y.tag WHEN 'ul' THEN 'ColumnListTable' WHEN 'li' THEN 'ColumnListItem' ELSE 'Rule' END AS type,
+      CASE WHEN y.tag = 'h1' THEN y.content ELSE array_to_string(string_split(replace(y.content, chr(10), ' '), ' ')[1:5], ' ') END AS name FROM y LEFT JOIN y h ON h.page_id = y.page_id AND h.h_n = y.h_n AND h.tag = 'h1'),
+i AS (SELECT *, CASE WHEN type = 'Rule' THEN 'RULE' ELSE 'TABLE' END || '-' || substr(sha256(document_id || ':' || page || ':' || so), 1, 32) AS id FROM z),
+ls AS (SELECT document_id, page, arg_max(coalesce(heading, ''), so) AS sec FROM i GROUP BY 1, 2),
+pp AS (SELECT DISTINCT 'd' || (page_id % 3) AS document_id, cast(page_id // 3 AS INTEGER) AS page FROM pages),
+ca AS (SELECT pp.document_id, pp.page, last_value(nullif(sec, '') IGNORE NULLS) OVER (PARTITION BY pp.document_id ORDER BY pp.page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM pp LEFT JOIN ls ON ls.document_id = pp.document_id AND ls.page = pp.page),
+pl AS (SELECT i.*, coalesce(i.heading, ca.carried, '') AS section,
+      CASE WHEN tag = 'li' THEN (SELECT arg_max(b.id, b.so) FROM i b WHERE b.page_id = i.page_id AND b.tag = 'ul' AND b.so < i.so)
+           WHEN tag <> 'h1' AND heading <> name THEN (SELECT arg_max(b.id, b.so) FROM i b WHERE b.page_id = i.page_id AND b.name = i.heading AND b.so < i.so) END AS parent
+      FROM i JOIN ca ON ca.document_id = i.document_id AND ca.page = i.page)"""
+
+
+def site_pages(spark, d):
+    """The pages as those of three documents, without gaps in their numbers."""
+    return table(spark, d, "pages").select(F.concat(L("d"), (F.col("page_id") % 3).cast("string")).alias("document_id"), F.floor(F.col("page_id") / 3).cast("int").alias("page"), "html")
+
 
 def _ingested(spark, d):
     from quillmere.api import Engine
 
     engine = Engine(spark, scratch_path(spark, "engine"))
-    p = table(spark, d, "pages")
-    engine.start(p.select(F.concat(L("d"), (F.col("page_id") % 3).cast("string")).alias("document_id"), F.col("page_id").cast("int").alias("page"), "html"))
+    engine.start(site_pages(spark, d))
     return engine
 
 
-@query("engine_ingest", f"WITH {EXTRACTED} SELECT 'd' || (page_id % 3) AS document_id, 'done' AS phase, count(DISTINCT page_id) AS pages_processed, count(*) AS units_processed FROM x GROUP BY 1")
+@query("page_structure", f"WITH {PLACED} SELECT document_id, page, so AS source_order, type, name, content, CASE WHEN tag IN ('p', 'ul') THEN coalesce(heading, '') ELSE '' END AS parent_name, coalesce(heading, '') AS own_section FROM pl")
+def page_structure(spark, d):
+    from quillmere.sources import page_tree
+
+    u = page_tree.extracted(site_pages(spark, d)).select("document_id", "page", F.inline("units"))
+    return u.select("document_id", "page", "source_order", "type", "name", "content", F.coalesce("parent_name", L("")).alias("parent_name"), F.array_join("section", " > ").alias("own_section"))
+
+
+@query("engine_ingest", f"""WITH {PLACED}, tm AS (SELECT id, count(DISTINCT lower(v)) AS n FROM (SELECT id, unnest(list_concat((SELECT coalesce(list(v ORDER BY k), []) FROM (SELECT v, min(k) AS k FROM (SELECT unnest(caps) AS v, generate_subscripts(caps, 1) AS k) GROUP BY v))[1:5],
+  (SELECT coalesce(list(v ORDER BY k), []) FROM (SELECT v, min(k) AS k FROM (SELECT unnest(long) AS v, generate_subscripts(long, 1) AS k) GROUP BY v))[1:10])) AS v
+  FROM (SELECT id, list_filter(regexp_extract_all(substr(content, 1, 240), '[A-Z][a-z]+'), lambda t: length(t) >= 3) AS caps, list_filter(regexp_extract_all(lower(content), '[a-z]+'), lambda t: length(t) >= 9) AS long FROM pl)) GROUP BY id)
+SELECT pl.id, document_id, page, so AS source_order, type, name, coalesce(parent, '') AS parent, section, 'done' AS status, coalesce(tm.n, 0) AS n_terms FROM pl LEFT JOIN tm ON tm.id = pl.id""")
 def engine_ingest(spark, d):
-    engine = _ingested(spark, d)
-    engine.run()
-    return engine.status().select("document_id", "phase", "pages_processed", "units_processed")
+    engine = whole_engine(spark, d)
+    m = engine.read("concept_mentions").groupBy(F.col("unit_id").alias("id")).agg(F.count_distinct(X.normalize_term(F.col("raw_term"), False)).alias("n_terms"))
+    u = engine.read("units").join(m, "id", "left")
+    return u.select("id", "document_id", "page", "source_order", "type", "name", F.coalesce("parent_unit_id", L("")).alias("parent"), F.array_join("section", " > ").alias("section"), "status", F.coalesce("n_terms", L(0)).alias("n_terms"))
+
+
+_engines: dict[tuple, object] = {}
+
+
+def whole_engine(spark, d):
+    """The engine over all pages, with all phases done: once for a session, as long as its tables are there and the pages are the same."""
+    key = (spark.sparkContext.applicationId, d, stamp(spark, f"{d}/pages.parquet"))
+    if key not in _engines or not exists(spark, _engines[key].root):
+        engine = _ingested(spark, d)
+        engine.run()
+        _engines[key] = engine
+    return _engines[key]
+
+
+@query("engine_status", f"WITH {PLACED} SELECT document_id, 'done' AS phase, count(DISTINCT page) AS pages_processed, count(*) AS units_processed, true AS all_done FROM pl GROUP BY 1")
+def engine_status(spark, d):
+    return whole_engine(spark, d).status().select("document_id", "phase", "pages_processed", "units_processed", "all_done")
+
+
+@query("engine_tree", f"WITH RECURSIVE {PLACED}, up AS (SELECT id, parent, 0 AS depth FROM pl WHERE document_id = 'd0' UNION ALL SELECT up.id, p.parent, depth + 1 FROM up JOIN pl p ON p.id = up.parent) SELECT id, cast(max(depth) AS INTEGER) AS depth, coalesce(any_value(k.children), '') AS children FROM up LEFT JOIN (SELECT parent, string_agg(id, ',' ORDER BY so) AS children FROM pl WHERE parent IS NOT NULL GROUP BY 1) k ON k.parent = up.id GROUP BY id")
+def engine_tree(spark, d):
+    return whole_engine(spark, d).tree("d0").select("id", "depth", F.array_join("children", ",").alias("children"))
 
 
-@query("engine_cleanup", f"WITH {EXTRACTED} SELECT 'd' || (page_id % 3) AS document_id, count(*) AS n_units, count(DISTINCT page_id) AS n_pages FROM x WHERE page_id % 3 <> 1 GROUP BY 1")
+@query("engine_vectors", f"WITH {PLACED} SELECT 'content' AS index, count(*) AS n, 64 AS dimensions FROM pl UNION ALL SELECT 'subjects', count(*), 64 FROM pl")
+def engine_vectors(spark, d):
+    v = whole_engine(spark, d).read("vectors").where("index <> 'concepts'")
+    return v.groupBy("index").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dimensions"))
+
+
+@query("engine_redelivery", f"WITH {PLACED} SELECT document_id, count(*) AS n_units, count(parent) AS n_parents, sum(length(section)) AS section_chars FROM pl GROUP BY 1")
+def engine_redelivery(spark, d):
+    """Half of the pages first, then all of them, then some again: as if all had come at once."""
+    from quillmere.api import Engine
+
+    engine, p = Engine(spark, scratch_path(spark, "engine")), site_pages(spark, d)
+    half = p.agg(F.floor(F.max("page") / 2)).first()[0]
+    for some in (p.where(F.col("page") <= half), p, p.where(F.col("page") % 7 == 0)):
+        engine.start(some)
+    u = engine.read("units")
+    return u.groupBy("document_id").agg(F.count("*").alias("n_units"), F.count("parent_unit_id").alias("n_parents"), F.sum(F.length(F.array_join("section", " > "))).alias("section_chars"))
+
+
+@query("engine_cleanup", f"WITH {PLACED} SELECT document_id, count(*) AS n_units, count(DISTINCT page) AS n_pages FROM pl WHERE document_id <> 'd1' GROUP BY 1")
 def engine_cleanup(spark, d):
     engine = _ingested(spark, d)
     engine.cleanup("d1")
     return engine.sources()
+
+
+@query("place_stream", f"WITH {PLACED} SELECT id, document_id, page, so AS source_order, type, coalesce(parent, '') AS parent, section FROM pl")
+def place_stream(spark, d):
+    from quillmere.streaming import pages as pg
+
+    at = scratch_path(spark, "pages")
+    site_pages(spark, d).repartitionByRange(3, "page").sortWithinPartitions("page").write.parquet(f"{at}/in")
+    files = spark.read.parquet(f"{at}/in").withColumn("third", F.ntile(3).over(Window.partitionBy("document_id").orderBy("page")))
+    for k in (1, 2, 3):  # three deliveries, each read from where the last one ended
+        files.where(F.col("third") == k).drop("third").coalesce(1).write.mode("append").parquet(f"{at}/queue")
+        pg.run_stream(spark, f"{at}/queue", f"{at}/checkpoint", f"{at}/out", schema=pg.HTML, plan=pg.unit_stream)
+    u = spark.read.schema(pg.PLACED).parquet(f"{at}/out")
+    return u.select("id", "document_id", "page", "source_order", "type", F.coalesce("parent_unit_id", L("")).alias("parent"), F.array_join("section", " > ").alias("section"))
+
+
+TERMS_OF = r"SELECT min(doc_id) AS id, w AS term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) WHERE length(w) >= 12 GROUP BY w"
+
+
+@query("concept_candidates", f"""WITH t AS ({TERMS_OF}) SELECT count(DISTINCT term) AS n_queries, true AS enough FROM t WHERE id % 20 = 0""")
+def concept_candidates(spark, d):
+    """Of the terms with id divisible by 20, how many there are and whether inverted lists find nine tenths of their five nearest earlier terms."""
+    words = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), L("[a-z]+"), L(0))).alias("term")).where("length(term) >= 12")
+    t = store_rows(words.groupBy("term").agg(F.min("doc_id").alias("first")).select("term", "first", X.term_vector(F.col("term")).alias("vec")), "terms")
+    near, exact = (best_earlier(t, probes) for probes in (vector_index.PROBES, None))
+    met = exact.join(near.withColumn("found", L(1)), ["term", "id"], "left").agg((F.count("found") >= 0.9 * F.count("*")).alias("enough"))
+    return t.where("first % 20 = 0").agg(F.count("*").alias("n_queries")).crossJoin(met)  # one row each
+
+
+def best_earlier(terms, probes: int | None):
+    """(term, id, rank, score): the five nearest earlier terms of those with an id divisible by 20, above the threshold."""
+    asked = terms.where("first % 20 = 0")
+    base = terms.select(F.col("term").alias("id"), F.col("first").alias("first2"), F.col("vec").alias("vec2"))
+    met = vector_index.neighbours(asked, base, vector_index.MOST_LISTS if probes is None else probes).where((F.col("first2") < F.col("first")) & (F.col("score") > DEFAULT.concept_threshold))
+    return search.top_k(met.select("term", "id", "score"), DEFAULT.concept_top_k, key="term")
+
+
+@query("keyset_pages", "SELECT id FROM u ORDER BY id LIMIT 20 OFFSET 40", units=True)
+def keyset_pages(spark, d):
+    u, last = fx.units(spark, d).select("id"), None
+    for _ in range(2):
+        last = jobs.page_after(u, last, 20).agg(F.max("id")).first()[0]
+    return jobs.page_after(u, last, 20)
+
+
+@query("topk_vector_lists", "SELECT count(DISTINCT question_id || ':' || sub_query_index) AS n_queries, true AS enough FROM qs", search=True)
+def topk_vector_lists(spark, d):
+    """Whether the inverted lists of the stored vectors give nine tenths of the exact fifteen nearest for the fixed questions."""
+    lib, asked = fx.library(spark, d), fx.questions(spark, d)
+    index = vector_index.built(lib.subjects)
+    exact, near = search.vector_top_k(lib.subjects, asked, fx.N_QUERIES, 15), index.search(asked, fx.N_QUERIES, 15)
+    met = exact.join(near.select(*search.KEY, "id", L(1).alias("found")), [*search.KEY, "id"], "left").agg((F.count("found") >= 0.9 * F.count("*")).alias("enough"))
+    return asked.agg(F.count("*").alias("n_queries")).crossJoin(met)  # one row each

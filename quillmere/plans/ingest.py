@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmere.config import DEFAULT, Config
 from quillmere.functions import text as X
-from quillmere.operators import hierarchy
+from quillmere.operators import embedding, hierarchy
 from quillmere.plans.provider import Offline
 from quillmere.schemas import STATUSES, TABLE_TYPES
 
@@ -62,31 +62,33 @@ def repair_table_types(units: DataFrame, scope: tuple[str, ...] = ("document_id"
     """
     import pandas as pd
 
-    table_types = set(TABLE_TYPES)
-    below = {"DataTableHeader": "DataTableRow", "ColumnListTable": "ColumnListItem"}
-    above = {v: k for k, v in below.items()}
-
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
-        ids, kinds, parents = list(rows["id"]), list(known_types(rows["type"])), list(rows["parent_unit_id"])
-        place = {i: k for k, i in enumerate(ids)}
-        children: dict[int, list[int]] = {}
-        for k, p in enumerate(parents):
-            if isinstance(p, str) and p in place:
-                children.setdefault(place[p], []).append(k)
-        for k in range(len(ids)):
-            if kinds[k] in below:
-                for c in children.get(k, ()):
-                    kinds[c] = below[kinds[k]]
-        for k in range(len(ids)):
-            p = place.get(parents[k]) if isinstance(parents[k], str) else None
-            if p is not None and kinds[p] not in table_types and kinds[k] in above:
-                kinds[p] = above[kinds[k]]
-        return pd.DataFrame({"id": ids, "type": kinds})
+        place = {i: k for k, i in enumerate(rows["id"])}
+        parents = [place.get(p) if isinstance(p, str) else None for p in rows["parent_unit_id"]]
+        return pd.DataFrame({"id": list(rows["id"]), "type": repaired_types(known_types(rows["type"]), parents)})
 
     return units.select("id", "type", "parent_unit_id", order, *scope).groupBy(*scope).applyInPandas(run, "id string, type string")
 
 
+def repaired_types(kinds: list[str], parents: list[int | None]) -> list[str]:
+    """The types of one page's units, ``parents`` being places in the page: what holds for a unit's children, then for its parent."""
+    kinds, below = list(kinds), {"DataTableHeader": "DataTableRow", "ColumnListTable": "ColumnListItem"}
+    above = {v: k for k, v in below.items()}
+    children: dict[int, list[int]] = {}
+    for k, p in enumerate(parents):
+        if p is not None:
+            children.setdefault(p, []).append(k)
+    for k in range(len(kinds)):
+        if kinds[k] in below:
+            for c in children.get(k, ()):
+                kinds[c] = below[kinds[k]]
+    for k, p in enumerate(parents):
+        if p is not None and kinds[p] not in TABLE_TYPES and kinds[k] in above:
+            kinds[p] = above[kinds[k]]
+    return kinds
+
+
 def known_types(kinds: list[str]) -> list[str]:
     from quillmere.schemas import UNIT_TYPES
 
@@ -119,6 +121,13 @@ def unit_vectors(units: DataFrame, document_name: str, embed=X.hashed_vector) ->
     return both.where("vec IS NOT NULL")
 
 
+def learned_vectors(units: DataFrame, due: DataFrame, document_name: str, index) -> DataFrame:
+    """(index, id, vec): :func:`unit_vectors` of the ``due`` units (id) by the embedding that the text ``index`` has learnt."""
+    docs = embedding_documents(units, document_name).join(due, "id", "left_semi")
+    both = docs.select(F.struct(F.lit("subjects").alias("index"), "id").alias("id"), F.col("subject").alias("text")).unionByName(docs.select(F.struct(F.lit("content").alias("index"), "id").alias("id"), F.col("content").alias("text")))
+    return embedding.vectors(both, index.frequencies, index.n_units).select("id.index", "id.id", "vec")
+
+
 def vector_metadata(units: DataFrame) -> DataFrame:
     """(id, meta): what a vector index keeps beside a unit's vector, as JSON."""
     return units.select("id", F.to_json(F.struct("id", "document_id", "type", "name", "page", X.section_path(F.col("section")).alias("section"), "parent_unit_id", "source_order", F.substring("summary", 1, 200).alias("summary"))).alias("meta"))

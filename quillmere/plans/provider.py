@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from typing import Protocol
 
 from pyspark.sql import Column
@@ -11,25 +9,22 @@ from pyspark.sql import functions as F
 
 from quillmere.config import DEFAULT
 from quillmere.functions import text as X
-from quillmere.operators.concepts import similar_text
 
 
 class Provider(Protocol):
+    """Models as column expressions; the steps of a query, which are plans, are in :mod:`quillmere.plans.retrieval`."""
+
     def score(self, query: Column, document: Column) -> Column: ...
 
     def summarise(self, content: Column) -> Column: ...
 
-    def same_concept(self, a: Column, b: Column) -> Column: ...
-
-    def route(self, question: str) -> dict: ...
+    def extract(self, content: Column) -> Column: ...
 
-    def decompose(self, question: str) -> list[str]: ...
-
-    def answer(self, question: str, evidence: list[dict]) -> str: ...
+    def chat(self, question: str, language: str) -> str: ...
 
 
 class Offline:
-    """Token overlap for relevance, leading characters for summaries, splitting at conjunctions for sub-queries."""
+    """Token overlap for relevance, leading characters for summaries, word shapes for terms."""
 
     def score(self, query: Column, document: Column) -> Column:
         return X.overlap_score(X.tokens(query), X.tokens(document))
@@ -43,46 +38,6 @@ class Offline:
         long = F.filter(F.regexp_extract_all(F.lower(content), F.lit("[a-z]+"), F.lit(0)), lambda t: F.length(t) >= 9)
         return F.struct(F.slice(F.array_distinct(caps), 1, 5).alias("defines"), F.slice(F.array_distinct(long), 1, 10).alias("mentions"), F.array().cast("array<string>").alias("aliases"))
 
-    def same_concept(self, a: Column, b: Column) -> Column:
-        return similar_text(a, b)
-
-    def embed(self, texts: list[str], dimensions: int = 64) -> list[list[float]]:
-        """A bag of hashed words on the unit sphere."""
-        return [hashed_vector(t, dimensions) for t in texts]
-
-    def route(self, question: str) -> dict:
-        greeting = re.fullmatch(r"\s*(hi|hello|thanks|thank you)[.!\s]*", question, re.I)
-        return {"rag": not greeting, "language": "en", "query": question.strip(), "entities": re.findall(r"\b[A-Z]\w+", question)[:5]}
-
     def chat(self, question: str, language: str) -> str:
         """An answer to a question that needs no documents; the same for all where no model is there."""
         return f"Hello. Ask me about the documents. ({language})"
-
-    def decompose(self, question: str) -> list[str]:
-        parts = [p.strip() for p in re.split(r"[?;]|\band\b|\bor\b", question) if p.strip()]
-        if not parts:
-            raise ValueError("a question without words has no sub-queries")
-        return parts[: DEFAULT.max_sub_queries]
-
-    def plan(self, question: str) -> dict:
-        """Sub-queries, whether a list is wanted, and whether the question is complex; only a plain true or "complex" counts."""
-        asked = self.decompose(question)
-        return {"sub_queries": asked, "is_list": bool(re.match(r"\s*(list|all|which|name)\b", question, re.I)), "complex": len(asked) > 2}
-
-    def sufficient(self, found: dict[int, int], sub_queries: list[str]) -> list[str]:
-        """Follow-up queries: the sub-queries that found nothing."""
-        return [q for k, q in enumerate(sub_queries) if not found.get(k)]
-
-    def answer(self, question: str, evidence: list[dict]) -> str:
-        if not evidence:
-            return "Nothing in the documents answers this question."
-        return "Based on " + ", ".join(e["id"] for e in evidence) + ": " + " ".join((e.get("summary") or "")[:80] for e in evidence)
-
-
-def hashed_vector(text: str | None, dimensions: int = 64) -> list[float]:
-    """Counts of words by hash, scaled to length one; a text without words points along the first axis."""
-    out = [0.0] * dimensions
-    for w in re.findall(r"[^\W_]+", (text or "").lower()):
-        out[zlib.crc32(w.encode()) % dimensions] += 1.0
-    size = sum(x * x for x in out) ** 0.5
-    return [x / size for x in out] if size else [1.0] + [0.0] * (dimensions - 1)

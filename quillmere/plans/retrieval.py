@@ -6,7 +6,7 @@ questions that are still open.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +17,7 @@ from quillmere.config import DEFAULT, Config
 from quillmere.functions import text as X
 from quillmere.operators import concepts, evidence, hierarchy, search
 from quillmere.operators.search import few
-from quillmere.plans.provider import Offline
+from quillmere.plans.provider import Offline as Models
 from quillmere.session import store
 
 Q = "question_id"
@@ -26,13 +26,14 @@ QUERIES = "question_id long, sub_query_index int, query string, query_vec array<
 
 @dataclass
 class Library:
-    """What ingestion leaves behind, as stored tables: units, their text index, two vector indexes, concept mentions."""
+    """What ingestion leaves behind, as stored tables: units, their text index, two vector indexes, concept mentions, and jumps to ancestors if they are kept."""
 
     units: DataFrame
     index: search.TextIndex
     subjects: DataFrame
     contents: DataFrame
     mentions: DataFrame
+    jumps: hierarchy.Jumps | None = None
 
 
 def ranked_lists(lib: Library, queries: DataFrame, n_queries: int, seen: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
@@ -165,6 +166,34 @@ def answers(found: DataFrame) -> DataFrame:
     return known.select(Q, "answer", F.array_intersect(X.citations(F.col("answer")), "ids").alias("citations"))
 
 
+def planned(asked: DataFrame) -> DataFrame:
+    """``asked`` (question_id, question) with what routing and decomposing say: rag, language, entities, sub_queries, is_list, complex.
+
+    The steps of the offline provider as columns, for any number of questions; a question without words needs no documents.
+    """
+    q = F.trim("question")
+    parts = X.sub_queries(q)
+    return asked.withColumns({
+        "rag": X.needs_documents(F.col("question")) & (F.size(parts) > 0), "language": F.lit("en"), "entities": X.entities(q), "sub_queries": parts,
+        "is_list": q.rlike(r"(?i)^\s*(list|all|which|name)\b"), "complex": F.size(parts) > 2,
+    })
+
+
+def grouped_evidence(found: DataFrame, queries: DataFrame, units: DataFrame) -> DataFrame:
+    """(question_id, evidence): results by the sub-query that found them, as one text for a prompt; sub-queries without results are left out.
+
+    A result of several sub-queries stands under each. Of a question there are at most ``max_results`` results.
+    """
+    text = units.select("id", "page", F.col("content").alias("whole"))
+    each = found.select(Q, "id", "type", "section", "position", F.explode("source_sub_queries").alias("sub_query_index")).join(text, "id")
+    head = F.concat(F.lit("["), "id", F.lit("] ("), "type", F.lit(", "), X.section_path(F.col("section")), F.lit(", page "), F.col("page").cast("string"), F.lit(")\n"), "whole")
+    rows = F.array_sort(F.collect_list(F.struct("position", head.alias("part"))))
+    group = each.groupBy(*search.KEY).agg(F.array_join(F.transform(rows, lambda r: r["part"]), "\n\n").alias("part")).join(queries.select(*search.KEY, "query"), search.KEY)
+    titled = F.concat(F.lit("--- Search "), (F.col("sub_query_index") + 1).cast("string"), F.lit(": "), "query", F.lit(" ---\n"), "part")
+    parts = F.array_sort(F.collect_list(F.struct("sub_query_index", titled.alias("part"))))
+    return group.groupBy(Q).agg(F.array_join(F.transform(parts, lambda r: r["part"]), "\n\n").alias("evidence"))
+
+
 def projected(found: DataFrame, units: DataFrame) -> DataFrame:
     """Results as a caller sees them, without nulls in name and section."""
     page = units.select("id", "page")
@@ -181,13 +210,18 @@ def merged_rounds(rounds: list[DataFrame]) -> DataFrame:
     return every.groupBy(Q, "id").agg(F.max("rerank_score").alias("rerank_score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
 
 
-def enriched(chosen: DataFrame, units: DataFrame) -> DataFrame:
-    """``chosen`` (query_id, id, rank) with the units' text, the names of all ancestors, and of those that are chosen too up to the first that is not."""
-    chains = hierarchy.parent_chains(units).select("id", F.col("parents").alias("parent_chain"))
-    among = chosen.select("query_id", "id").join(units.select("id", "name", "parent_unit_id"), "id")
+def enriched(chosen: DataFrame, units: DataFrame, jumps: hierarchy.Jumps, n_chosen: int) -> DataFrame:
+    """``chosen`` (query_id, id, rank; ``n_chosen`` rows) with the units' text, the names of all ancestors, and of those that are chosen too up to the first that is not.
+
+    Ancestors are followed from the chosen units over stored jumps, so other units' chains are not read.
+    """
+    ids = chosen.select("id").distinct()
+    chains = hierarchy.chains_of(ids, units, jumps, n_chosen).select("id", F.col("parents").alias("parent_chain"))
+    among = store(units.select("id", "name", "parent_unit_id").join(few(chosen.select("query_id", "id"), n_chosen), "id"), "chosen")
     keyed = among.select(F.struct("query_id", "id").alias("id"), F.struct("query_id", F.col("parent_unit_id").alias("id")).alias("parent_unit_id"), "name")
     known = hierarchy.parent_chains(keyed).select("id.query_id", "id.id", F.col("parents").alias("known_chain"))
-    return chosen.join(units.select("id", "type", "section", "name", "summary", "content"), "id").join(chains, "id").join(known, ["query_id", "id"])
+    text = units.select("id", "type", "section", "name", "summary", "content").join(few(chosen, n_chosen), "id")
+    return text.join(chains, "id").join(known, ["query_id", "id"])
 
 
 def evidence_context(evidence_: DataFrame) -> DataFrame:
@@ -198,58 +232,68 @@ def evidence_context(evidence_: DataFrame) -> DataFrame:
     return evidence_.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda r: r["part"]), "\n\n").alias("context"))
 
 
-def run_queries(spark: SparkSession, questions: list[str], lib: Library, embed, provider: Offline | None = None, cfg: Config = DEFAULT, max_iterations: int | None = None, is_list: bool | None = None) -> list[dict]:
+class Offline(Models):
+    """The offline models, with the steps of a query as plans over all questions."""
+
+    planned = staticmethod(planned)
+    sufficient = staticmethod(sufficiency)
+    answers = staticmethod(answers)
+    nothing = "Nothing in the documents answers this question."
+
+
+def run_queries(spark: SparkSession, questions: list[str], lib: Library | Callable[[], Library], embed, provider: Offline | None = None, cfg: Config = DEFAULT, max_iterations: int | None = None, is_list: bool | None = None) -> list[dict]:
     """Route, decompose, retrieve until the sub-queries are covered, select evidence, answer; for all ``questions`` together.
 
-    ``embed`` maps a list of texts to vectors. A round is one plan for all questions that are still open; at most
+    ``lib`` is what ingestion stored, or opens it. ``embed`` maps a list of texts to vectors. A round is one plan for all questions that are still open; at most
     ``max_results`` results of each question and round come to the driver, and rounds are bounded by the configuration.
     """
     provider = provider or Offline()
     out: list[dict] = []
     open_: dict[int, list[str]] = {}
-    for i, question in enumerate(questions):
-        route = provider.route(question)
-        plan = provider.plan(route["query"]) if route["rag"] else None
-        out.append({"question": question, "found": {}, "trail": [], "plan": plan, "answer": None if plan else provider.chat(question, route["language"]), "citations": [], "evidence": [], "iterations": 0})
+    asked_ = spark.createDataFrame(list(enumerate(questions)), "question_id long, question string")
+    for r in sorted(provider.planned(asked_).collect(), key=lambda r: r[Q]):
+        plan = {"sub_queries": list(r.sub_queries), "is_list": r.is_list, "complex": r.complex} if r.rag else None
+        out.append({"question": r.question, "found": {}, "trail": [], "plan": plan, "answer": None if plan else provider.chat(r.question, r.language), "citations": [], "evidence": [], "iterations": 0})
         if plan:
-            open_[i] = plan["sub_queries"]
+            open_[r[Q]] = plan["sub_queries"]
     limit = {i: max_iterations or (cfg.max_iterations_complex if out[i]["plan"]["complex"] else cfg.max_iterations) for i in open_}
     k = 0
+    if open_ and callable(lib):  # a batch of greetings opens nothing
+        lib = lib()
     while open_:
         flat = [(i, s, q) for i, asked in open_.items() for s, q in enumerate(asked)]
         vectors = embed([q for _, _, q in flat])
         queries = spark.createDataFrame([(i, s, q, v) for (i, s, q), v in zip(flat, vectors, strict=True)], QUERIES)
         known = [(i, x) for i in open_ for x in out[i]["found"]]
         seen = spark.createDataFrame(known, "question_id long, id string") if known else None
-        counts: dict[int, dict[int, int]] = {i: {} for i in open_}
+        best = store(passing(retrieve(lib, queries, len(flat), seen, cfg), cfg).drop("content"), "round")
         n_best = dict.fromkeys(open_, 0)
-        for r in (r.asDict(recursive=True) for r in passing(retrieve(lib, queries, len(flat), seen, cfg), cfg).drop("content").collect()):
-            i = r[Q]
-            n_best[i] += 1
-            out[i]["found"].setdefault(r["id"], r | {"iteration": k})
-            for s in r["source_sub_queries"]:
-                counts[i][s] = counts[i].get(s, 0) + 1
+        for r in (r.asDict(recursive=True) for r in best.collect()):
+            n_best[r[Q]] += 1
+            out[r[Q]]["found"].setdefault(r["id"], r | {"iteration": k})
+        gaps = {r[Q]: list(r.follow_ups) for r in provider.sufficient(best, queries).collect()}
         left: dict[int, list[str]] = {}
         for i, asked in open_.items():
-            last = k == limit[i] - 1
-            follow = [] if last else provider.sufficient(counts[i], asked)
+            follow = [] if k == limit[i] - 1 else gaps.get(i, [])
             out[i]["trail"].append({"iteration": k, "sub_queries": asked, "found": n_best[i], "follow_ups": follow})
             if follow:
                 left[i] = follow[: cfg.max_sub_queries]
         open_, k = left, k + 1
-    for x in out:
+    told = []
+    for i, x in enumerate(out):
         if not x["plan"]:
             continue
-        found = x["found"]
         pool = [
             evidence.Candidate(r["id"], r["parent_unit_id"], r["content_hash"], r["name"], r["final_score"], r["direct"], frozenset(r["source_sub_queries"] if r["iteration"] == 0 else ()), r["metadata"]["mentions"], r["metadata"]["aliases"])
-            for r in sorted(found.values(), key=lambda r: (-r["final_score"], r["id"]))
+            for r in sorted(x["found"].values(), key=lambda r: (-r["final_score"], r["id"]))
         ]
         wants_all = x["plan"]["is_list"] if is_list is None else is_list
         chosen = evidence.select_evidence(pool, len(x["trail"][0]["sub_queries"]), wants_all, cfg)
-        text = provider.answer(x["question"], [found[c.id] for c in chosen])
-        cited = list(dict.fromkeys(c for c in re.findall(cfg.citation_pattern, text) if c in found))
-        x.update(answer=text, citations=cited, evidence=[c.id for c in chosen], iterations=len(x["trail"]))
+        x.update(answer=provider.nothing, evidence=[c.id for c in chosen], iterations=len(x["trail"]))
+        told += [(i, n, c.id, x["found"][c.id]["summary"] or "") for n, c in enumerate(chosen)]
+    if told:
+        for r in provider.answers(spark.createDataFrame(told, "question_id long, position int, id string, summary string")).collect():
+            out[r[Q]].update(answer=r.answer, citations=list(r.citations))
     return out
 
 

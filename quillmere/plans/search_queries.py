@@ -34,7 +34,7 @@ UNION ALL SELECT id, unnest(string_split('new words words', ' ')) FROM u WHERE t
 def index_update(spark, d):
     lib = fx.library(spark, d)
     rules = lib.units.where("type = 'Rule'").select("id", *(L(x).alias(c) for c, x in (("name", "new"), ("summary", "words"), ("content", "words"))), F.array().cast("array<string>").alias("section"), L(None).cast(lib.units.schema["metadata"].dataType).alias("metadata"))
-    after = search.update_index(lib.index, lib.units.where("type = 'Image'"), rules)
+    after = search.update_index(search.fork(lib.index), lib.units.where("type = 'Image'"), rules)
     return after.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -95,10 +95,11 @@ def threshold_or_fallback(spark, d):
     return retrieval.passing(weak).select("question_id", "id", F.round("final_score", 6).alias("final"))
 
 
-@query("fallback_only", "SELECT id, cast(rerank_score AS DOUBLE) AS rerank_score FROM (VALUES ('b', 0.39), ('a', 0.3), ('d', 0.2)) t(id, rerank_score)")
+@query("fallback_only", "SELECT page AS question_id, id, score AS rerank_score FROM (SELECT page, id, (doc_id * 7 % 39) / 100.0::DOUBLE AS score FROM u) QUALIFY row_number() OVER (PARTITION BY page ORDER BY round(score, 9) DESC, id) <= 3", units=True)
 def fallback_only(spark, d):
-    rows = [(0, i, s, s) for i, s in (("a", 0.3), ("b", 0.39), ("c", 0.1), ("d", 0.2))]
-    return retrieval.passing(spark.createDataFrame(rows, "question_id long, id string, rerank_score double, final_score double")).select("id", "rerank_score")
+    score = (F.col("doc_id") * 7 % 39) / 100.0  # all below the threshold
+    rows = fx.units(spark, d).select(F.col("page").cast("long").alias("question_id"), "id", score.alias("rerank_score"), score.alias("final_score"))
+    return retrieval.passing(rows).select("question_id", "id", "rerank_score")
 
 
 @query("cap_seed_first", "SELECT page AS question_id, id FROM (SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY parent_unit_id IS NULL DESC, length(content) / 7.0::DOUBLE DESC, id) AS n FROM u) WHERE n <= 5", units=True)
@@ -129,16 +130,17 @@ def retrieve_end_to_end(spark, d):
 
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of a question for every five pages: fifty each, the most that a question has."""
     u = fx.units(spark, d)
     return u.select(
-        (F.col("page") % 20).alias("query_id"), "id", "parent_unit_id", "content_hash", "name", (F.col("doc_id") % 89 / 89.0).alias("final_score"), (F.col("doc_id") % 3 != 0).alias("direct"),
+        F.floor(F.col("page") / 5).cast("int").alias("query_id"), "id", "parent_unit_id", "content_hash", "name", (F.col("doc_id") % 89 / 89.0).alias("final_score"), (F.col("doc_id") % 3 != 0).alias("direct"),
         F.array((F.col("doc_id") % 3).cast("int")).alias("source_sub_queries"), F.col("metadata.mentions").alias("mentions"), F.col("metadata.aliases").alias("aliases"), "doc_id",
     )
 
 
 #: The rules one after another: greedy removal and the swap pass as recursions along the ranks of a question's candidates.
-EVIDENCE_SQL = """WITH RECURSIVE p AS (SELECT page % 20 AS q, id, parent_unit_id AS parent, content_hash AS h, name, doc_id % 89 / 89.0::DOUBLE AS s, doc_id % 3 <> 0 AS direct, doc_id % 3 AS sub, mentions, aliases,
-    row_number() OVER (PARTITION BY page % 20 ORDER BY doc_id % 89 DESC, id) AS n FROM u),
+EVIDENCE_SQL = """WITH RECURSIVE p AS (SELECT page // 5 AS q, id, parent_unit_id AS parent, content_hash AS h, name, doc_id % 89 / 89.0::DOUBLE AS s, doc_id % 3 <> 0 AS direct, doc_id % 3 AS sub, mentions, aliases,
+    row_number() OVER (PARTITION BY page // 5 ORDER BY doc_id % 89 DESC, id) AS n FROM u),
 d(q, n, ids, hs, ps) AS (SELECT DISTINCT q, 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[] FROM p UNION ALL
   SELECT q, n, CASE WHEN gone THEN ids ELSE list_append(ids, id) END, CASE WHEN gone THEN hs ELSE list_append(hs, h) END, CASE WHEN gone OR parent IS NULL THEN ps ELSE list_append(ps, parent) END
   FROM (SELECT d.q, p.n, ids, hs, ps, p.id, p.h, p.parent, list_contains(ids, p.id) OR list_contains(hs, p.h) OR list_contains(ps, p.id) OR coalesce(list_contains(ids, p.parent), false) AS gone FROM d JOIN p ON p.q = d.q AND p.n = d.n + 1)),
@@ -163,13 +165,13 @@ def evidence_select(spark, d):
     return evidence.select_all(_pool(spark, d).drop("doc_id"), 3)
 
 
-@query("evidence_hash_dedupe", "SELECT page % 20 AS query_id, id FROM u QUALIFY row_number() OVER (PARTITION BY page % 20, content_hash ORDER BY doc_id % 89 DESC, id) = 1", units=True)
+@query("evidence_hash_dedupe", "SELECT page // 5 AS query_id, id FROM u QUALIFY row_number() OVER (PARTITION BY page // 5, content_hash ORDER BY doc_id % 89 DESC, id) = 1", units=True)
 def evidence_hash_dedupe(spark, d):
     p = _pool(spark, d)
     return windows.first_occurrence(p, ["query_id", "content_hash"], [F.desc(F.col("doc_id") % 89), "id"]).select("query_id", "id")
 
 
-@query("evidence_budget", "SELECT page % 20 AS query_id, id, cast(row_number() OVER (PARTITION BY page % 20 ORDER BY doc_id % 89 DESC, id) AS INTEGER) AS rank FROM u QUALIFY rank <= 8", units=True)
+@query("evidence_budget", "SELECT page // 5 AS query_id, id, cast(row_number() OVER (PARTITION BY page // 5 ORDER BY doc_id % 89 DESC, id) AS INTEGER) AS rank FROM u QUALIFY rank <= 8", units=True)
 def evidence_budget(spark, d):
     p = _pool(spark, d).withColumn("score", (F.col("doc_id") % 89).cast("double"))
     return search.top_k(p, 8, key="query_id").select("query_id", "id", "rank")
@@ -199,12 +201,15 @@ def concept_grouping(spark, d):
 CENTRES = [("tion", "tions", 1), ("thre", "three", 2), ("anea", "aneas", 3)]
 
 
-@query("concept_resolution", """SELECT * FROM (VALUES ('tion', 'tion', 'exact_alias'), ('thre', 'thre', 'manual'), ('three', 'thre', 'embedding'), ('anea', 'anea', 'manual'), ('aneas', 'anea', 'embedding'), ('zzzz', 'zzzz', 'manual')) t(term, concept_term, method)""")
+@query("concept_resolution", """WITH v AS (SELECT term, min(doc_id) AS first FROM m GROUP BY term), e AS (SELECT v.term, v.first, x.embedding::DOUBLE[] AS vec FROM v JOIN (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings) x ON x.k = v.first % 500 WHERE v.term NOT IN ('tion', 'ble', 'ing')),
+p AS (SELECT a.term, b.term AS up, round(list_cosine_similarity(a.vec, b.vec), 9) AS s FROM e a JOIN e b ON b.first < a.first), n AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY s DESC, up) AS r FROM p WHERE s > 0.55),
+g AS (SELECT term, arg_min(up, r) AS up FROM n WHERE r <= 5 AND 1 - levenshtein(term, up) / greatest(length(term), length(up))::DOUBLE >= 0.8 GROUP BY term)
+SELECT v.term, CASE WHEN v.term IN ('tion', 'ble', 'ing') THEN 'known ' || v.term ELSE coalesce(g2.up, g.up, v.term) END AS concept_term, CASE WHEN v.term IN ('tion', 'ble', 'ing') THEN 'exact_alias' WHEN g.up IS NULL THEN 'manual' ELSE 'embedding' END AS method FROM v LEFT JOIN g ON g.term = v.term LEFT JOIN g g2 ON g2.term = g.up""", units=True)
 def concept_resolution(spark, d):
-    rows = [("tion", 0, [1.0, 0.0]), ("thre", 1, [0.0, 1.0]), ("three", 2, [0.1, 0.9]), ("anea", 3, [1.0, 1.0]), ("aneas", 4, [0.9, 1.0]), ("zzzz", 5, [1.0, 0.9])]
-    t = spark.createDataFrame(rows, "term string, first int, vec array<double>")
-    known = spark.createDataFrame([("tion", "tion")], "normalized_alias string, concept_term string")
-    return concepts.resolve(t.select("term", "first"), known, t.select("term", "vec")).select("term", "concept_term", "method")
+    first = fx.mentions(fx.units(spark, d)).groupBy("term").agg(F.min("doc_id").alias("first"))
+    known = first.where(F.col("term").isin("tion", "ble", "ing")).select(F.col("term").alias("normalized_alias"), F.concat(L("known "), "term").alias("concept_term"))
+    v = fx.vectors(spark, d).select(F.col("doc_id").alias("k"), "vec")
+    return concepts.resolve(first, known, first.join(v, F.col("first") % 500 == v["k"]).select("term", "vec")).select("term", "concept_term", "method")
 
 
 @query("concept_descriptions", """WITH k AS (SELECT *, CASE mention_type WHEN 'defines' THEN 0 ELSE 1 END AS kind FROM m), l AS (SELECT *, min(kind) OVER (PARTITION BY term) AS least FROM k),
@@ -251,7 +256,7 @@ FROM pg LEFT JOIN co ON co.document_id = pg.document_id AND co.page = pg.page WI
 def stream_page_state(spark, d):
     prepare(spark)
     at = scratch_path(spark, "pages")
-    page_results(spark, d).repartition(1).write.parquet(f"{at}/in")
+    page_results(spark, d).repartition("document_id").sortWithinPartitions("page").write.parquet(f"{at}/in")
     pg.run_stream(spark, f"{at}/in", f"{at}/checkpoint", f"{at}/out")
     return spark.read.schema(pg.OUT).parquet(f"{at}/out")
 
@@ -267,7 +272,7 @@ def redelivery_idempotent(spark, d):
     return out.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
 
 
-@query("late_data")
+@query("late_data", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def late_data(spark, d):
     at = scratch_path(spark, "events")
     table(spark, d, "events").repartitionByRange(4, "ts").write.parquet(f"{at}/in")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmere.functions import text as X
 from quillmere.operators import store, windows
 from quillmere.plans.registry import TABLES_SQL, VOCAB_SQL, query
 from quillmere.schemas import STATUSES, TABLE_TYPES
@@ -63,9 +64,11 @@ def candidate_log_order(spark, d):
     return rows.select("event_id", F.row_number().over(Window.orderBy("o")).cast("long").alias("place"))  # a hundred rows
 
 
-@query("page_range_parse", "SELECT cast(p AS INTEGER) AS page FROM (SELECT unnest([1, 3, 5, 6, 7, 8, 9, 10, 12]) AS p)")
+@query("page_range_parse", """SELECT o_orderkey, coalesce(array_to_string(list_sort(list_distinct(list_concat([c], CASE WHEN hi >= lo THEN range(lo, hi + 1) ELSE [] END))), ','), '') AS pages
+FROM (SELECT o_orderkey, o_custkey % 9 + 1 AS c, o_orderkey % 5 + 1 AS lo, o_orderkey % 11 + 1 AS hi FROM orders)""")
 def page_range_parse(spark, d):
-    return readers.pages_wanted(spark, "3, 1,5-10,7 - 8,x,9-2,0,12")
+    o = table(spark, d, "orders").selectExpr("o_orderkey", "concat(o_custkey % 9 + 1, ', ', o_orderkey % 5 + 1, ' - ', o_orderkey % 11 + 1, ',x,0,', o_custkey % 9 + 1) AS spec")
+    return o.select("o_orderkey", F.array_join(X.page_range(F.col("spec")), ",").alias("pages"))
 
 
 @query("skip_unchanged_upload", "SELECT 'pages/doc/' || page_id || '.png' AS path FROM pages WHERE url NOT LIKE 'https%'")

@@ -94,10 +94,11 @@ def citation_extract(spark, d):
     return answer.select("page", F.array_join(F.array_sort(X.citations(F.col("answer"))), ",").alias("cited"))
 
 
-@query("json_block", """SELECT cast(k AS INTEGER) AS k, v FROM (VALUES (0, '{"a": 1}'), (1, '[1, 2]'), (2, '{"b": {"c": 2}}'), (3, 'plain')) t(k, v)""")
+@query("json_block", "SELECT event_id, CASE event_id % 4 WHEN 3 THEN event_type WHEN 2 THEN '[' || event_id || ', 2]' ELSE props END AS v FROM events")
 def json_block(spark, d):
-    rows = [(0, 'x ```json\n{"a": 1}\n``` y'), (1, "so: [1, 2] done"), (2, 'well {"b": {"c": 2}} ok'), (3, "  plain ")]
-    return spark.createDataFrame(rows, "k int, t string").select("k", X.json_block(F.col("t")).alias("v"))
+    e, k = table(spark, d, "events"), F.col("event_id") % 4
+    said = F.when(k == 0, F.concat(F.lit("x ```json\n"), "props", F.lit("\n``` y"))).when(k == 1, F.concat(F.lit("well "), "props", F.lit(" ok"))).when(k == 2, F.concat(F.lit("so: ["), F.col("event_id").cast("string"), F.lit(", 2] done"))).otherwise(F.concat(F.lit("  "), "event_type", F.lit(" ")))
+    return e.select("event_id", X.json_block(said).alias("v"))
 
 
 @query("clamp_threshold", "SELECT event_id, least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN event_id % 4 = 0 THEN 0.3::DOUBLE ELSE value / 50 END)) AS threshold FROM events")
@@ -110,9 +111,9 @@ def answer_chunks(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(X.chunks(F.col("text"))).alias("i", "chunk"))
 
 
-@query("backoff_table", "SELECT i AS attempt, cast(least(30000, 500 * pow(2, i)) AS BIGINT) AS ms FROM range(0, 10) t(i)")
+@query("backoff_table", "SELECT event_id, cast(least(30000, 500 * pow(2, user_id % 10)) AS BIGINT) AS ms FROM events")
 def backoff_table(spark, d):
-    return spark.range(10).select(F.col("id").alias("attempt"), X.backoff_ms(F.col("id")).alias("ms"))
+    return table(spark, d, "events").select("event_id", X.backoff_ms(F.col("user_id") % 10).alias("ms"))
 
 
 @query("vector_metadata_json", "SELECT doc_id, type, page, 'pages/doc/' || page || '.png' AS key FROM u", units=True)

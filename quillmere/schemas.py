@@ -1,4 +1,4 @@
-"""Schemas of the engine's tables."""
+"""Names that the engine's tables share. Column, type, status and phase names are those that callers know."""
 
 from __future__ import annotations
 
@@ -8,15 +8,6 @@ UNITS = (
     f"content string, content_hash string, summary string, metadata {METADATA}, metadata_terms_text string, section_path_text string, aliases_text string, "
     "subject_embedding_id string, content_embedding_id string, status string, updated_at timestamp"
 )
-CONCEPTS = "id string, document_id string, canonical_name string, description string, embedding_id string, source_unit_ids array<string>, created_at timestamp, updated_at timestamp"
-CONCEPT_ALIASES = "concept_id string, alias string, normalized_alias string, language string, source string, confidence double"
-CONCEPT_MENTIONS = "id string, concept_id string, unit_id string, raw_term string, normalized_term string, mention_type string, confidence double, resolution_method string, created_at timestamp"
-VECTORS = "index string, id string, vec array<float>, meta string"
-CONTINUATION = "struct<section_path:array<string>,last_name:string,last_tail:string,containers:array<struct<name:string,content:string>>>"
-JOBS = f"id string, document_id string, phase string, status string, pages_processed int, units_processed int, total_pages int, continuation {CONTINUATION}, created_at timestamp, updated_at timestamp"
-CONVERSATIONS = "id string, messages array<struct<role:string,content:string>>, created_at timestamp, updated_at timestamp"
-PAGE_RESULT = "page int, units array<struct<type:string,name:string,content:string,parent_name:string,section:array<string>>>"
-PROVENANCE = "array<struct<type:string,rank:int,score:double,sub_query_index:int>>"
 
 UNIT_TYPES = ["Rule", "Image", "DataTableHeader", "DataTableRow", "ColumnListTable", "ColumnListItem"]
 TABLE_TYPES = UNIT_TYPES[2:]

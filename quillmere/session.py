@@ -71,5 +71,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and time of last change of a file or folder: what tells whether it is the same as before."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.functions import text as X
-from quillmere.operators import search
+from quillmere.operators import hierarchy, search
 from quillmere.plans.retrieval import Library
 from quillmere.schemas import STATUSES, UNIT_TYPES
-from quillmere.session import exists, scratch_path, table
+from quillmere.session import exists, scratch_path, stamp, table
 
 VOCABULARY = ["tion", "thre", "thth", "anea", "ther", "thin", "thor", "thed", "ble", "ing"]
 SUB_QUERIES = ["that and this", "with from are", "tion thre", "ther thin", "ble anea"]
@@ -80,7 +80,7 @@ def sub_queries(spark: SparkSession) -> DataFrame:
 
 
 N_QUERIES = sum(map(len, QUESTIONS.values()))
-_libraries: dict[tuple[str, str], tuple[str, Library]] = {}
+_libraries: dict[tuple, tuple[str, Library]] = {}
 
 
 def ingest(spark: SparkSession, sf_dir: str) -> tuple[str, Library]:
@@ -97,12 +97,12 @@ def ingest(spark: SparkSession, sf_dir: str) -> tuple[str, Library]:
     mentions(u).write.parquet(f"{at}/mentions")
     index = search.build_index(u, f"{at}/index")
     read = lambda name: spark.read.parquet(f"{at}/{name}")
-    return at, Library(u, index, read("subjects"), read("contents"), read("mentions"))
+    return at, Library(u, index, read("subjects"), read("contents"), read("mentions"), hierarchy.build_jumps(u, f"{at}/jumps"))
 
 
 def library(spark: SparkSession, sf_dir: str) -> Library:
-    """The ingested documents of ``sf_dir``: ingested once for a session, as long as what was written is there."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The ingested documents of ``sf_dir``: ingested once for a session, as long as what was written is there and the files are the same."""
+    key = (spark.sparkContext.applicationId, sf_dir, *(stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "embeddings")))
     if key not in _libraries or not exists(spark, _libraries[key][0]):
         _libraries[key] = ingest(spark, sf_dir)
     return _libraries[key][1]

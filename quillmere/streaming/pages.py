@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, MutableMapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,12 @@ from quillmere.functions import text as X
 
 PAGE = "document_id string, page int, total_pages int, units array<struct<type:string,name:string,content:string,parent_name:string,section:array<string>>>"
 OUT = "document_id string, page int, carried boolean, section_before string, containers_before string, n_units int, pages_processed int, units_processed int, phase string"
-STATE = "last_page int, section string, last_name string, last_tail string, containers string, pages string, units int"
+#: What a document's state holds as one value; the pages that were counted are a map beside it, read and written one by one.
+STATE = "last_page int, section string, last_name string, last_tail string, containers string, pages int, units int"
 
 
-def advance(state: dict, page: int, total: int, units: list[dict], keep: int = DEFAULT.containers_carried) -> dict:
-    """One page's row, changing ``state``: the batch and the streaming run share this.
+def advance(state: dict, page: int, total: int, units: list[dict], done: MutableMapping, keep: int = DEFAULT.containers_carried) -> dict:
+    """One page's row, changing ``state`` and ``done`` (page: counted): the batch and the streaming run share this.
 
     State is used only on the page after the last one. The last unit's section is carried on, or the one before if
     it has none. Containers are the units that others on the page name as parent; the last ``keep`` stay, newest
@@ -33,14 +35,38 @@ def advance(state: dict, page: int, total: int, units: list[dict], keep: int = D
             names = [u["name"], *(n for n in names if n != u["name"])]
     last = units[-1] if units else None
     section = " > ".join(last["section"]) if last is not None and len(last["section"]) else (state.get("section", "") if carried else "")
-    done = {x for x in state.get("pages", "").split(",") if x}
-    fresh = str(page) not in done
-    done.add(str(page))
+    fresh = page not in done
+    if fresh:
+        done[page] = True
+    n_pages = state.get("pages", 0) + fresh
     state.update(
         last_page=page, section=section, last_name=(last["name"] if last is not None else state.get("last_name")) or "", last_tail=((last["content"] or "")[-100:] if last is not None else state.get("last_tail")) or "",
-        containers="|".join(names[:keep]), pages=",".join(sorted(done, key=int)), units=state.get("units", 0) + len(units) * fresh,
+        containers="|".join(names[:keep]), pages=n_pages, units=state.get("units", 0) + len(units) * fresh,
     )
-    return row | {"pages_processed": len(done), "units_processed": state["units"], "phase": "summary" if len(done) >= total else "vision"}
+    return row | {"pages_processed": n_pages, "units_processed": state["units"], "phase": "summary" if n_pages >= total else "vision"}
+
+
+class _Held:
+    """A map state of single values, used like a dict."""
+
+    def __init__(self, state) -> None:
+        self.state = state
+
+    def __contains__(self, key) -> bool:
+        return self.state.containsKey((key,))
+
+    def __getitem__(self, key):
+        found = self.state.getValue((key,))
+        return found[0] if len(found) == 1 else tuple(found)
+
+    def __setitem__(self, key, value) -> None:
+        self.state.updateValue((key,), value if isinstance(value, tuple) else (value,))
+
+    def __delitem__(self, key) -> None:
+        self.state.removeKey((key,))
+
+    def items(self) -> list[tuple]:
+        return [(k[0], v[0] if len(v) == 1 else tuple(v)) for k, v in self.state.iterator()]
 
 
 class PageProcessor(StatefulProcessor):
@@ -48,12 +74,13 @@ class PageProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("continuation", STATE)
+        self.done = _Held(handle.getMapState("pages", "page int", "counted boolean"))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         fields = [x.split()[0] for x in STATE.split(", ")]
         state = dict(zip(fields, self.state.get(), strict=True)) if self.state.exists() else {}
         pages = pd.concat(list(rows)).sort_values("page", kind="stable")
-        out = [advance(state, int(r.page), int(r.total_pages), [dict(u.asDict() if hasattr(u, "asDict") else u) for u in r.units]) for r in pages.itertuples()]
+        out = [advance(state, int(r.page), int(r.total_pages), [dict(u.asDict() if hasattr(u, "asDict") else u) for u in r.units], self.done) for r in pages.itertuples()]
         self.state.update(tuple(state[f] for f in fields))
         yield pd.DataFrame([{"document_id": key[0], **r} for r in out])
 
@@ -71,20 +98,115 @@ def page_batch(pages: DataFrame) -> DataFrame:
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         state: dict = {}
-        out = [advance(state, int(r.page), int(r.total_pages), [dict(u) for u in r.units]) for r in rows.sort_values("page", kind="stable").itertuples()]
+        done: dict = {}
+        out = [advance(state, int(r.page), int(r.total_pages), [dict(u) for u in r.units], done) for r in rows.sort_values("page", kind="stable").itertuples()]
         return pd.DataFrame([{"document_id": key[0], **r} for r in out])
 
     return pages.groupBy("document_id").applyInPandas(run, OUT)
 
 
-def run_stream(spark: SparkSession, source: str, checkpoint: str, sink: str, files_per_trigger: int = 1) -> None:
-    """Read PAGE files from ``source`` until none is left; restarting goes on from the checkpoint. The caller's settings stay."""
+HTML = "document_id string, page int, html string"
+PLACED = "document_id string, page int, source_order int, id string, type string, name string, content string, parent_unit_id string, section array<string>"
+
+
+def placed_page(document: str, page: int, units: list[dict], section: list[str], containers: MutableMapping, e: int) -> list[dict]:
+    """One page's units (as extracted) with ids, parents, types and sections; ``containers`` (name: page, id) is read and gains the page's names.
+
+    The rules are those of :mod:`quillmere.plans.placing`: a named parent is the latest unit of that name before, on
+    this page or at most ``e`` pages back.
+    """
+    from quillmere.plans.ingest import known_types, repaired_types
+
+    here: dict[str, int] = {}
+    local, older = [], []
+    for u in units:
+        k, far = u["parent_order"], None
+        if k is None and u["parent_name"] is not None and u["parent_name"] != u["name"]:
+            k = here.get(u["parent_name"])
+            if k is None and u["parent_name"] in containers:
+                at, found = containers[u["parent_name"]]
+                far = found if page - at <= e else None
+        local.append(k)
+        older.append(far)
+        if u["name"]:
+            here[u["name"]] = u["source_order"]
+    kinds = repaired_types(known_types([u["type"] for u in units]), local)
+    prefix = {"Image": "IMG", "Rule": "RULE"}
+    ids = [f"{prefix.get(t, 'TABLE')}-{hashlib.sha256(f'{document}:{page}:{k}'.encode()).hexdigest()[:32]}" for k, t in enumerate(kinds)]
+    own: list[list[str]] = []
+    for u, k in zip(units, local, strict=True):
+        own.append(list(u["section"]) or (own[k] if k is not None else []))
+    for name, k in here.items():
+        containers[name] = (page, ids[k])
+    last = own[-1] if own else []
+    out = [
+        {"page": page, "source_order": k, "id": ids[k], "type": kinds[k], "name": u["name"], "content": u["content"], "parent_unit_id": ids[local[k]] if local[k] is not None else older[k], "section": own[k] or list(section)}
+        for k, u in enumerate(units)
+    ]
+    section[:] = last or section
+    return out
+
+
+class UnitProcessor(StatefulProcessor):
+    """Pages' html to placed units. State of a document: the last page and its section, containers of the last pages by name, a hash of every page.
+
+    A page that comes again with the same content gives nothing, as its units are out already. A page before the
+    last one stands alone: it takes nothing from the state and leaves nothing there.
+    """
+
+    def __init__(self, carry_pages: int = DEFAULT.carry_pages) -> None:
+        self.carry = carry_pages
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "page int, section array<string>")
+        self.containers = _Held(handle.getMapState("containers", "name string", "page int, id string"))
+        self.seen = _Held(handle.getMapState("seen", "page int", "hash string"))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        from quillmere.sources.page_tree import page_units
+
+        pages = pd.concat(list(rows)).sort_values(["page"], kind="stable")
+        last, section = self.last.get() if self.last.exists() else (None, [])
+        section, out = list(section), []
+        for page, html in zip(pages["page"].astype(int), pages["html"], strict=True):
+            html = html if isinstance(html, str) else ""
+            mark = hashlib.sha256(html.encode()).hexdigest()
+            if page in self.seen and self.seen[page] == mark:
+                continue
+            self.seen[page] = mark
+            units = page_units(html)
+            if last is not None and page <= last:
+                out += placed_page(key[0], page, units, [], {}, self.carry)
+                continue
+            gap = last is not None and page != last + 1
+            for name, (at, _) in self.containers.items():
+                if gap or page - at > self.carry:
+                    del self.containers[name]
+            section = [] if gap else section
+            out += placed_page(key[0], page, units, section, self.containers, self.carry)
+            last = page
+        if last is not None:
+            self.last.update((last, section))
+        cols = [c.split()[0] for c in PLACED.split(", ")]
+        yield pd.DataFrame([{"document_id": key[0], **r} for r in out], columns=cols)
+
+    def close(self) -> None:
+        pass
+
+
+def unit_stream(pages: DataFrame, carry_pages: int = DEFAULT.carry_pages) -> DataFrame:
+    """``pages`` (a stream of HTML rows) to PLACED rows: what :func:`quillmere.plans.placing.placed` gives for all pages at once."""
+    return pages.groupBy("document_id").transformWithStateInPandas(UnitProcessor(carry_pages), PLACED, "Append", "None")
+
+
+def run_stream(spark: SparkSession, source: str, checkpoint: str, sink: str, files_per_trigger: int = 1, schema: str = PAGE, plan=page_stream) -> None:
+    """Read files of ``schema`` from ``source`` until none is left, through ``plan``; restarting goes on from the checkpoint. The caller's settings stay."""
     key, store_ = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(key, None)
     spark.conf.set(key, store_)
     try:
-        pages = spark.readStream.schema(PAGE).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-        query = page_stream(pages).writeStream.outputMode("append").option("checkpointLocation", checkpoint).format("parquet").option("path", sink).trigger(availableNow=True).start()
+        pages = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+        query = plan(pages).writeStream.outputMode("append").option("checkpointLocation", checkpoint).format("parquet").option("path", sink).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)

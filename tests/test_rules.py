@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmere.config import DEFAULT, load_config
 from quillmere.functions import text as X
-from quillmere.operators import concepts, evidence, hierarchy, search, store
+from quillmere.operators import concepts, evidence, hierarchy, search, store, vector_index
 from quillmere.plans import ingest, retrieval
 from quillmere.sources import fixtures as fx
 from quillmere.streaming import pages
@@ -147,10 +147,11 @@ def test_state_is_carried_to_the_next_page_only(spark):
 def test_only_the_last_containers_stay():
     units = [dict(name=n, parent_name=None, content="", section=[]) for n in "abcdef"] + [dict(name="z", parent_name=n, content="", section=[]) for n in "abcdef"]
     state: dict = {}
-    pages.advance(state, 1, 2, units)
+    done: dict = {}
+    pages.advance(state, 1, 2, units, done)
     assert state["containers"] == "f|e|d|c"
-    pages.advance(state, 1, 2, units)
-    assert state["units"] == 12 and state["pages"] == "1"
+    pages.advance(state, 1, 2, units, done)
+    assert state["units"] == 12 and state["pages"] == 1
 
 
 def test_stream_equals_batch_over_restarts_and_repeats(spark, tmp_path):
@@ -200,16 +201,19 @@ def test_only_buckets_of_asked_terms_are_read_and_texts_are_not(spark, small):
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and "documents.parquet" not in plan
 
 
-def test_terms_are_resolved_alike_in_blocks_of_any_size(spark):
+def test_terms_are_resolved_alike_in_parts_of_any_size(spark, monkeypatch):
     import random
 
     random.seed(4)
     rows = [(f"term{k % 40}" + "s" * (k // 40), k, [random.random() + 0.1 for _ in range(4)]) for k in range(120)]
     t = spark.createDataFrame(rows, "term string, first int, vec array<double>")
     none = spark.createDataFrame([], "normalized_alias string, concept_term string")
-    found = [{x.term: x.concept_term for x in concepts.resolve(t.select("term", "first"), none, t.select("term", "vec"), block=b).collect()} for b in (7, 1024)]
+    found = []
+    for b in (7, 1024):
+        monkeypatch.setattr(vector_index, "LIST_ROWS", b)
+        found.append({x.term: x.concept_term for x in concepts.resolve(t.select("term", "first"), none, t.select("term", "vec"), probes=None).collect()})
     assert found[0] == found[1] and len(set(found[0].values())) < 120
-    assert "CartesianProduct" not in concepts.earlier_neighbours(t, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in concepts.earlier_neighbours(t)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_expanded_units_may_inherit_the_sub_queries_of_their_seeds(spark, small):
