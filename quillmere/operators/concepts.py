@@ -6,8 +6,11 @@ does not depend on how the work is cut up.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillmere.config import DEFAULT, Config
@@ -41,20 +44,20 @@ def similar_text(a: Column, b: Column, least: float = 0.8) -> Column:
     return (1 - F.levenshtein(a, b) / most) >= least
 
 
-def resolve(terms: DataFrame, aliases: DataFrame, vectors: DataFrame, cfg: Config = DEFAULT, known_vectors: DataFrame | None = None, probes: int | None = vector_index.PROBES) -> DataFrame:
+def resolve(terms: DataFrame, aliases: DataFrame, vectors: DataFrame, cfg: Config = DEFAULT, known_vectors: DataFrame | None = None, probes: int | None = 0) -> DataFrame:
     """(term, concept_term, method, confidence) for each distinct term.
 
     ``terms``: term, first (a sortable place). ``aliases``: normalized_alias, concept_term. ``vectors``: term, vec.
     Known aliases resolve by join. Of the others, a term joins the best of its ``concept_top_k`` nearest earlier
     terms above the threshold that the validator accepts; else it founds a concept. Chains are followed to their end.
     ``known_vectors`` (term, vec): concepts of earlier batches, earlier than every term. Candidates come from
-    inverted lists, ``probes`` of them for each term, and are compared exactly; None compares with all earlier terms.
+    inverted lists, ``probes`` of them for each term (0: as many as a sample needs), and are compared exactly; None compares with all.
     """
     every = terms.groupBy("term").agg(F.min("first").alias("first"))
     known = every.join(aliases.groupBy(F.col("normalized_alias").alias("term")).agg(F.min("concept_term").alias("concept_term")), "term").select("term", "concept_term", F.lit("exact_alias").alias("method"), F.lit(1.0).alias("confidence"))
     open_ = store(every.join(known.select("term"), "term", "left_anti"), "terms")
     held = store(open_.join(vectors, "term"), "term-vectors")
-    near = earlier_neighbours(held, known_vectors, probes).where(F.col("score") > cfg.concept_threshold)
+    near = earlier_neighbours(held, known_vectors, probes, cfg.concept_threshold)
     best = top_k(near, cfg.concept_top_k, key="term").where(similar_text(F.col("term"), F.col("id")))
     link = store(best.groupBy("term").agg(F.min_by("id", "rank").alias("up"), F.max_by("score", -F.col("rank")).alias("confidence")), "links")
     now = store(open_.join(link, "term", "left").select("term", F.col("up").alias("concept_term"), "up", "confidence"), "chains")
@@ -68,7 +71,7 @@ def resolve(terms: DataFrame, aliases: DataFrame, vectors: DataFrame, cfg: Confi
     return known.unionByName(fresh)
 
 
-def earlier_neighbours(terms: DataFrame, known: DataFrame | None = None, probes: int | None = vector_index.PROBES) -> DataFrame:
+def earlier_neighbours(terms: DataFrame, known: DataFrame | None = None, probes: int | None = 0, least: float = -2.0) -> DataFrame:
     """(term, id, score): each of ``terms`` (term, first, vec) with earlier ones, and with all of ``known`` (term, vec), that its lists hold.
 
     ``probes`` None looks through all lists: the exact answer, for comparison.
@@ -76,7 +79,12 @@ def earlier_neighbours(terms: DataFrame, known: DataFrame | None = None, probes:
     base = terms.select(F.col("term").alias("id"), F.col("first").alias("first2"), F.col("vec").alias("vec2"), F.lit(False).alias("old"))
     if known is not None:
         base = base.unionByName(known.select(F.col("term").alias("id"), F.lit(None).cast(terms.schema["first"].dataType).alias("first2"), F.col("vec").alias("vec2"), F.lit(True).alias("old")))
-    met = vector_index.neighbours(terms, base, vector_index.MOST_LISTS if probes is None else probes)
+    place = T.StructType([T.StructField("first", terms.schema["first"].dataType)]).json()
+    flat = terms.select("term", F.to_json(F.struct("first")).alias("first"), "vec")
+    base = base.select("id", F.to_json(F.struct(F.col("first2").alias("first"))).alias("first2"), "vec2", "old")
+    met = vector_index.neighbours(flat, base, vector_index.MOST_LISTS if probes is None else probes, least)
+    back = lambda c: F.from_json(c, T.StructType.fromJson(json.loads(place)))["first"]
+    met = met.withColumns({"first": back(F.col("first")), "first2": back(F.col("first2"))})
     return met.where(F.col("old") | (F.col("first2") < F.col("first"))).select("term", "id", "score")
 
 

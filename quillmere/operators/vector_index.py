@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmere.functions import text as X
 from quillmere.operators.search import BROADCAST_QUERIES, KEY, top_k
@@ -37,9 +38,17 @@ def fitted_centroids(vectors: DataFrame, n_rows: int, sample: int = SAMPLE_ROWS,
 
     There are about as many as the square root of the rows, at most :data:`MOST_LISTS`; the first are spread out over the sample.
     """
+    return fitted(sampled(vectors, n_rows, sample), n_rows, lists, rounds)
+
+
+def sampled(vectors: DataFrame, n_rows: int, sample: int = SAMPLE_ROWS) -> np.ndarray:
+    """About ``sample`` of the vectors (vec) of length one, in a fixed order."""
     step = max(1, n_rows // sample)
     rows = vectors.select("vec").where(F.pmod(F.xxhash64("vec"), F.lit(step)) == 0).limit(2 * sample).toPandas()
-    x = unit_rows(sorted(rows["vec"].tolist(), key=lambda v: tuple(v)))
+    return unit_rows(sorted(rows["vec"].tolist(), key=lambda v: tuple(v)))
+
+
+def fitted(x: np.ndarray, n_rows: int, lists: int | None = None, rounds: int = 12) -> np.ndarray:
     if not len(x):
         return np.zeros((1, 1))
     k = min(lists or max(1, round(n_rows**0.5)), MOST_LISTS, len(x))
@@ -57,6 +66,21 @@ def fitted_centroids(vectors: DataFrame, n_rows: int, sample: int = SAMPLE_ROWS,
     return c
 
 
+def chosen_probes(x: np.ndarray, c: np.ndarray, k: int = 15, enough: float = 0.97, queries: int = 300) -> int:
+    """The fewest lists in which ``queries`` of the sample ``x`` find ``enough`` of their ``k`` nearest others of the sample."""
+    if len(c) < 2 or len(x) < 2:
+        return len(c)
+    asked = np.random.default_rng(11).choice(len(x), min(queries, len(x)), replace=False)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    k = min(k, len(x) - 1)
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    at = np.argmax(x @ c.T, 1)
+    place = np.argsort(np.argsort(-(x[asked] @ c.T), axis=1, kind="stable"), axis=1)  # the rank of each list for each query
+    needed = np.sort(np.take_along_axis(place, at[near], 1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(enough * len(needed))) - 1)]) + 1
+
+
 def near_lists(rows: DataFrame, centroids: np.ndarray, n: int, column: str = "vec") -> DataFrame:
     """``rows`` with ``lists``, the numbers of the ``n`` nearest centroids of their vectors, the nearest first."""
     shared = rows.sparkSession.sparkContext.broadcast(centroids)
@@ -77,21 +101,23 @@ def near_lists(rows: DataFrame, centroids: np.ndarray, n: int, column: str = "ve
 
 @dataclass
 class VectorIndex:
-    """A stored index: vectors (id, vec) in a folder per list, and the centroids of the lists."""
+    """A stored index: vectors (id, vec) in a folder per list, the centroids of the lists, and in how many lists to look by default."""
 
     spark: SparkSession
     path: str
     centroids: np.ndarray
+    probes: int
 
     @property
     def vectors(self) -> DataFrame:
         return self.spark.read.schema("id string, vec array<double>, list int").parquet(f"{self.path}/lists")
 
-    def search(self, queries: DataFrame, n_queries: int, k: int, probes: int = PROBES, key: list[str] = KEY) -> DataFrame:
+    def search(self, queries: DataFrame, n_queries: int, k: int, probes: int | None = None, key: list[str] = KEY) -> DataFrame:
         """(key, id, rank, score): the ``k`` best of the lists nearest to each of ``queries`` (key, query_vec); only these lists are read.
 
         Queries are broadcast in blocks; the best of each task go on.
         """
+        probes = probes or self.probes
         asked = near_lists(queries.select(*key, "query_vec"), self.centroids, probes, "query_vec").withColumn("list", F.explode("lists")).drop("lists").persist()
         out = None
         blocks = -(-max(1, n_queries) * probes // BROADCAST_QUERIES)
@@ -108,33 +134,52 @@ def built(vectors: DataFrame, path: str | None = None, sample: int = SAMPLE_ROWS
     """Index all of ``vectors`` (id, vec) below ``path``."""
     spark = prepare(vectors.sparkSession)
     at = path or scratch_path(spark, "vectors")
-    c = fitted_centroids(vectors, vectors.count(), sample, lists)
+    n = vectors.count()
+    x = sampled(vectors, n, sample)
+    c = fitted(x, n, lists)
+    probes = chosen_probes(x, c)
     rows = near_lists(vectors.select(F.col("id").cast("string").alias("id"), F.col("vec").cast("array<double>").alias("vec")), c, 1)
     rows.select("id", "vec", F.element_at("lists", 1).alias("list")).repartition("list").write.partitionBy("list").parquet(f"{at}/lists")
-    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(c)], "list int, vec array<double>").coalesce(1).write.parquet(f"{at}/centroids")
-    return VectorIndex(spark, at, c)
+    spark.createDataFrame([(k, v.tolist(), probes) for k, v in enumerate(c)], "list int, vec array<double>, probes int").coalesce(1).write.parquet(f"{at}/centroids")
+    return VectorIndex(spark, at, c, probes)
 
 
 def opened(spark: SparkSession, path: str) -> VectorIndex:
     """An index that was built before."""
-    rows = spark.read.schema("list int, vec array<double>").parquet(f"{path}/centroids").orderBy("list").collect()
-    return VectorIndex(spark, path, np.array([r.vec for r in rows]))
+    rows = spark.read.schema("list int, vec array<double>, probes int").parquet(f"{path}/centroids").orderBy("list").collect()
+    return VectorIndex(spark, path, np.array([r.vec for r in rows]), rows[0].probes)
 
 
-def neighbours(queries: DataFrame, base: DataFrame, probes: int = PROBES, sample: int = SAMPLE_ROWS, lists: int | None = None) -> DataFrame:
-    """(queries' columns, base's columns, score) of pairs whose lists meet: each of ``queries`` with the rows of ``base`` in its nearest lists.
+def neighbours(queries: DataFrame, base: DataFrame, probes: int | None = None, least: float = -2.0, sample: int = SAMPLE_ROWS, lists: int | None = None) -> DataFrame:
+    """(queries' columns, base's columns, score) of pairs whose lists meet and whose cosine is above ``least``.
 
-    ``queries``: vec and others, ``base``: vec2, id and others, no names in common. Lists of more than
-    :data:`LIST_ROWS` rows are cut by a hash of the id, and a query meets each part, so no task gets a whole large list. All
-    pairs that meet are compared exactly.
+    ``queries``: vec and others, ``base``: vec2, id and others, no names in common. Each query looks into its ``probes`` nearest
+    lists (by default as many as :func:`chosen_probes` says for five neighbours). Lists, and the queries of a list, are cut by
+    a hash into parts of about :data:`LIST_ROWS`, and each part of the one meets each of the other as a matrix product, so no
+    task gets a whole large list.
     """
     n = base.count()
-    c = fitted_centroids(base.select(F.col("vec2").alias("vec")), n, sample, lists)
+    x = sampled(base.select(F.col("vec2").alias("vec")), n, sample)
+    c = fitted(x, n, lists)
+    probes = probes or max(PROBES, chosen_probes(x, c, 5))
     held = near_lists(base, c, 1, "vec2").withColumn("list", F.element_at("lists", 1)).drop("lists")
-    sizes = held.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts"))
-    sized = F.broadcast(sizes)  # a row for each list
-    held = held.join(sized, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    asked = near_lists(queries, c, probes).withColumn("list", F.explode("lists")).drop("lists").join(sized, "list")
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    met = asked.join(held, ["list", "part"]).drop("list", "part")
-    return met.withColumn("score", X.cosine(F.col("vec"), F.col("vec2"))).drop("vec", "vec2")
+    asked = near_lists(queries, c, probes).withColumn("list", F.explode("lists")).drop("lists")
+    parts = lambda rows, name: F.broadcast(rows.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias(name)))  # noqa: E731  a row for each list
+    n_held, n_asked = parts(held, "n_held"), parts(asked, "n_asked")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda rows, n: F.pmod(F.xxhash64(*rows.columns), F.col(n)).cast("int")
+    held = held.join(n_held, "list").join(n_asked, "list").withColumns({"h": own(held.drop("list"), "n_held")}).withColumn("a", others("n_asked")).drop("n_held", "n_asked")
+    asked = asked.join(n_held, "list").join(n_asked, "list").withColumns({"a": own(asked.drop("list"), "n_asked")}).withColumn("h", others("n_held")).drop("n_held", "n_asked")
+    left, right = [f for f in queries.schema if f.name != "vec"], [f for f in base.schema if f.name != "vec2"]
+    schema = T.StructType([*left, *right, T.StructField("score", T.DoubleType())])
+
+    def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(b):
+            return pd.DataFrame({f.name: [] for f in schema})
+        s = unit_rows(q["vec"].tolist()) @ unit_rows(b["vec2"].tolist()).T
+        i, j = np.nonzero(s > least)
+        out = {f.name: q[f.name].iloc[i].reset_index(drop=True) for f in left} | {f.name: b[f.name].iloc[j].reset_index(drop=True) for f in right}
+        return pd.DataFrame(out | {"score": s[i, j]})
+
+    at = ["list", "h", "a"]
+    return asked.groupBy(*at).cogroup(held.groupBy(*at)).applyInPandas(meet, schema)

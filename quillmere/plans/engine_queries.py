@@ -629,7 +629,7 @@ def concept_candidates(spark, d):
     """Of the terms with id divisible by 20, how many there are and whether inverted lists find nine tenths of their five nearest earlier terms."""
     words = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), L("[a-z]+"), L(0))).alias("term")).where("length(term) >= 12")
     t = store_rows(words.groupBy("term").agg(F.min("doc_id").alias("first")).select("term", "first", X.term_vector(F.col("term")).alias("vec")), "terms")
-    near, exact = (best_earlier(t, probes) for probes in (vector_index.PROBES, None))
+    near, exact = (best_earlier(t, probes) for probes in (0, None))
     met = exact.join(near.withColumn("found", L(1)), ["term", "id"], "left").agg((F.count("found") >= 0.9 * F.count("*")).alias("enough"))
     return t.where("first % 20 = 0").agg(F.count("*").alias("n_queries")).crossJoin(met)  # one row each
 
@@ -638,7 +638,7 @@ def best_earlier(terms, probes: int | None):
     """(term, id, rank, score): the five nearest earlier terms of those with an id divisible by 20, above the threshold."""
     asked = terms.where("first % 20 = 0")
     base = terms.select(F.col("term").alias("id"), F.col("first").alias("first2"), F.col("vec").alias("vec2"))
-    met = vector_index.neighbours(asked, base, vector_index.MOST_LISTS if probes is None else probes).where((F.col("first2") < F.col("first")) & (F.col("score") > DEFAULT.concept_threshold))
+    met = vector_index.neighbours(asked, base, vector_index.MOST_LISTS if probes is None else probes, DEFAULT.concept_threshold).where("first2 < first")
     return search.top_k(met.select("term", "id", "score"), DEFAULT.concept_top_k, key="term")
 
 
