@@ -199,6 +199,13 @@ def test_a_page_gives_nested_units_of_all_six_types():
         page_tree.page_units(odd)
 
 
+def test_only_references_with_a_semicolon_are_decoded():
+    u = page_tree.page_units("<h1>cut &amp;&amp;&amp</h1><p>&lt;x&gt; &copy 1 &unknown; &#65; A&B &ampfoo; <img alt='a&amp' src='/x?a=1&copy=2'></p>")
+    assert [x["content"] for x in u] == ["cut &&&amp", "<x> &copy 1 &unknown; A A&B &ampfoo;", "a&amp"]
+    assert u[1]["parent_name"] == "cut &&&amp"  # as page_structure, place_stream and engine_redelivery take it from their SQL
+
+
+
 def site(seed: int, n: int = 60):
     """Pages of three documents, with gaps, names that repeat, and tables and lists that go on from page to page."""
     rng, out = random.Random(seed), []
