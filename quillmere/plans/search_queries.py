@@ -11,7 +11,7 @@ from quillmere.config import DEFAULT
 from quillmere.operators import concepts, evidence, search, windows
 from quillmere.plans import retrieval
 from quillmere.plans.registry import query
-from quillmere.session import prepare, scratch_path, table
+from quillmere.session import prepare, scratch_path, store, table
 from quillmere.sources import fixtures as fx
 from quillmere.streaming import events as ev
 from quillmere.streaming import pages as pg
@@ -206,7 +206,7 @@ p AS (SELECT a.term, b.term AS up, round(list_cosine_similarity(a.vec, b.vec), 9
 g AS (SELECT term, arg_min(up, r) AS up FROM n WHERE r <= 5 AND 1 - levenshtein(term, up) / greatest(length(term), length(up))::DOUBLE >= 0.8 GROUP BY term)
 SELECT v.term, CASE WHEN v.term IN ('tion', 'ble', 'ing') THEN 'known ' || v.term ELSE coalesce(g2.up, g.up, v.term) END AS concept_term, CASE WHEN v.term IN ('tion', 'ble', 'ing') THEN 'exact_alias' WHEN g.up IS NULL THEN 'manual' ELSE 'embedding' END AS method FROM v LEFT JOIN g ON g.term = v.term LEFT JOIN g g2 ON g2.term = g.up""", units=True)
 def concept_resolution(spark, d):
-    first = fx.mentions(fx.units(spark, d)).groupBy("term").agg(F.min("doc_id").alias("first"))
+    first = store(fx.mentions(fx.units(spark, d)).groupBy("term").agg(F.min("doc_id").alias("first")), "first")  # texts are read once
     known = first.where(F.col("term").isin("tion", "ble", "ing")).select(F.col("term").alias("normalized_alias"), F.concat(L("known "), "term").alias("concept_term"))
     v = fx.vectors(spark, d).select(F.col("doc_id").alias("k"), "vec")
     return concepts.resolve(first, known, first.join(v, F.col("first") % 500 == v["k"]).select("term", "vec")).select("term", "concept_term", "method")

@@ -216,6 +216,31 @@ def test_terms_are_resolved_alike_in_parts_of_any_size(spark, monkeypatch):
     assert "CartesianProduct" not in concepts.earlier_neighbours(t)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_parts_pass_on_only_what_a_top_k_needs(spark, monkeypatch):
+    import random
+
+    from quillmere.operators import search
+
+    random.seed(5)
+    rows = [(f"t{k:03d}", (k * 7) % 50, [float(random.choice([0, 0, 1, 2])) for _ in range(24)]) for k in range(300)]  # many equal vectors and places
+    t = spark.createDataFrame([r for r in rows if any(r[2])], "term string, first int, vec array<double>")
+    monkeypatch.setattr(vector_index, "LIST_ROWS", 64)
+    best = lambda met: sorted(map(tuple, search.top_k(met, 5, key="term").select("term", "id", "rank").collect()))
+    every, few = concepts.earlier_neighbours(t, probes=None), concepts.earlier_neighbours(t, probes=None, most=5)
+    place = dict((r[0], r[1]) for r in rows)
+    assert all(place[r.id] < place[r.term] for r in few.collect()) and few.count() < every.count() / 2
+    assert best(few) == best(every)
+
+
+def test_vectors_are_packed_without_loss(spark):
+    import numpy as np
+
+    rows = [[0.0] * 9 + [0.1], [0.5, -1.5] * 5, [0.0] * 10]
+    sent = spark.createDataFrame([(v,) for v in rows], "vec array<double>").select(vector_index.packed("vec").alias("b")).collect()
+    assert [list(v) for v in vector_index.unpacked([bytes(r.b) for r in sent])] == rows
+    assert len(set(vector_index.list_groups(np.eye(6), np.array([5.0, 5, 5, 5, 5, 50]), 10))) == 4
+
+
 def test_expanded_units_may_inherit_the_sub_queries_of_their_seeds(spark, small):
     lib, queries = fx.library(spark, small), fx.questions(spark, small).where("question_id = 1")
     plain = {r.id: r for r in retrieval.retrieve(lib, queries, 1).collect()}
