@@ -345,3 +345,14 @@ def test_queue_tries_three_times_and_keeps_dead_letters(spark, tmp_path):
     queue.send(messages.where("page = 1"), path)
     queue.consume(spark, path, store, engine.start, check, attempt=fails)
     assert Counter(r.page for r in engine.read("units").collect()) == {1: 2, 2: 2}
+
+
+def test_postings_are_counted_where_units_are_read(spark, tmp_path):
+    u = spark.createDataFrame([("a", "x y x", "é x"), ("b", "", None)], "id string, name string, content string")
+    u = u.select("id", "name", F.lit("").alias("summary"), "content", F.array().cast("array<string>").alias("section"), F.lit(None).cast("struct<defines:array<string>,mentions:array<string>,aliases:array<string>>").alias("metadata"))
+    lengths, lists = search.index_rows(u)
+    assert "Exchange" not in lists._jdf.queryExecution().executedPlan().toString()
+    index = search.build_index(u, str(tmp_path / "i"))
+    assert sorted((r.term, r.id, r.tf) for r in index.postings.collect()) == [("x", "a", 3), ("y", "a", 1), ("é", "a", 1)]
+    assert {(r.term, r.bucket) for r in index.postings.collect()} == {(r.term, r.b) for r in index.postings.select("term", search.bucket(F.col("term")).alias("b")).collect()}
+    assert sorted((r.id, r.len) for r in index.lengths.collect()) == [("a", 5), ("b", 0)]
