@@ -232,6 +232,17 @@ def test_parts_pass_on_only_what_a_top_k_needs(spark, monkeypatch):
     assert best(few) == best(every)
 
 
+def test_recursive_chains_have_no_limit_of_rows(spark):
+    rows = spark.createDataFrame([(str(k), str(k - 1) if k else None, f"n{k}") for k in range(130)], "id string, parent_unit_id string, name string")
+    key = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(key, "200")
+    try:
+        found = {r.id: r.depth for r in hierarchy.recursive_chains(rows).collect()}
+        assert found == {str(k): k for k in range(130)} and spark.conf.get(key) == "200"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_vectors_are_packed_without_loss(spark):
     import numpy as np
 
