@@ -26,22 +26,51 @@ def advance(state: dict, page: int, total: int, units: list[dict], done: Mutable
     it has none. Containers are the units that others on the page name as parent; the last ``keep`` stay, newest
     first. A page that comes again does not count twice.
     """
-    carried = state.get("last_page") is not None and page == state["last_page"] + 1
-    row = {"page": page, "carried": carried, "section_before": state.get("section", "") if carried else "", "containers_before": state.get("containers", "") if carried else "", "n_units": len(units)}
     parents = {u["parent_name"] for u in units if u["parent_name"]}
-    names = [x for x in state.get("containers", "").split("|") if x] if carried else []
-    for u in units:
-        if u["name"] in parents:
-            names = [u["name"], *(n for n in names if n != u["name"])]
     last = units[-1] if units else None
-    section = " > ".join(last["section"]) if last is not None and len(last["section"]) else (state.get("section", "") if carried else "")
+    told = {"n_units": len(units), "names": [u["name"] for u in units if u["name"] in parents]}
+    if last is not None:
+        told |= {"section": " > ".join(last["section"]) if len(last["section"]) else None, "last_name": last["name"], "last_tail": (last["content"] or "")[-100:]}
+    return advance_digest(state, page, total, told, done, keep)
+
+
+#: What :func:`advance_digest` needs of a page: however long its texts are, a row of this is short.
+DIGEST = ["n_units", "names", "section", "last_name", "last_tail"]
+
+
+def page_digests(pages: DataFrame) -> DataFrame:
+    """``pages`` (PAGE rows) to document_id, page, total_pages and :data:`DIGEST`, so that pages' texts do not go where a document's pages meet."""
+    parents = F.filter(F.transform("units", lambda u: u["parent_name"]), lambda n: n.isNotNull() & (n != ""))
+    pages = pages.select("document_id", "page", "total_pages", "units", parents.alias("parents"), F.try_element_at("units", F.lit(-1)).alias("last"))
+    names = F.transform(F.filter("units", lambda u: F.coalesce(F.array_contains("parents", u["name"]), F.lit(False))), lambda u: u["name"])
+    tail = F.when(F.length("last.content") > 100, F.substring("last.content", -100, 100)).otherwise(F.col("last.content"))
+    return pages.select("document_id", "page", "total_pages", F.size("units").alias("n_units"), names.alias("names"), F.when(F.size("last.section") > 0, F.array_join("last.section", " > ")).alias("section"), F.col("last.name").alias("last_name"), F.when(F.col("last").isNotNull(), F.coalesce(tail, F.lit(""))).alias("last_tail"))
+
+
+def digest_of(row) -> dict:
+    """The digest in a row of pandas; absent texts as None."""
+    text = lambda x: x if isinstance(x, str) else None
+    return {"n_units": int(row.n_units), "names": list(row.names), "section": text(row.section), "last_name": text(row.last_name), "last_tail": text(row.last_tail)}
+
+
+def advance_digest(state: dict, page: int, total: int, told: dict, done: MutableMapping, keep: int = DEFAULT.containers_carried) -> dict:
+    """:func:`advance` from a page's digest."""
+    carried = state.get("last_page") is not None and page == state["last_page"] + 1
+    row = {"page": page, "carried": carried, "section_before": state.get("section", "") if carried else "", "containers_before": state.get("containers", "") if carried else "", "n_units": told["n_units"]}
+    names = [x for x in state.get("containers", "").split("|") if x] if carried else []
+    for x in told["names"]:
+        names = [x, *(n for n in names if n != x)]
+    some = told["n_units"] > 0
+    section = told.get("section")
+    if section is None:
+        section = state.get("section", "") if carried else ""
     fresh = page not in done
     if fresh:
         done[page] = True
     n_pages = state.get("pages", 0) + fresh
     state.update(
-        last_page=page, section=section, last_name=(last["name"] if last is not None else state.get("last_name")) or "", last_tail=((last["content"] or "")[-100:] if last is not None else state.get("last_tail")) or "",
-        containers="|".join(names[:keep]), pages=n_pages, units=state.get("units", 0) + len(units) * fresh,
+        last_page=page, section=section, last_name=(told["last_name"] if some else state.get("last_name")) or "", last_tail=(told["last_tail"] if some else state.get("last_tail")) or "",
+        containers="|".join(names[:keep]), pages=n_pages, units=state.get("units", 0) + told["n_units"] * fresh,
     )
     return row | {"pages_processed": n_pages, "units_processed": state["units"], "phase": "summary" if n_pages >= total else "vision"}
 
@@ -80,7 +109,7 @@ class PageProcessor(StatefulProcessor):
         fields = [x.split()[0] for x in STATE.split(", ")]
         state = dict(zip(fields, self.state.get(), strict=True)) if self.state.exists() else {}
         pages = pd.concat(list(rows)).sort_values("page", kind="stable")
-        out = [advance(state, int(r.page), int(r.total_pages), [dict(u.asDict() if hasattr(u, "asDict") else u) for u in r.units], self.done) for r in pages.itertuples()]
+        out = [advance_digest(state, int(r.page), int(r.total_pages), digest_of(r), self.done) for r in pages.itertuples()]
         self.state.update(tuple(state[f] for f in fields))
         yield pd.DataFrame([{"document_id": key[0], **r} for r in out])
 
@@ -90,7 +119,7 @@ class PageProcessor(StatefulProcessor):
 
 def page_stream(pages: DataFrame) -> DataFrame:
     """``pages`` (a stream of PAGE rows) to OUT rows."""
-    return pages.groupBy("document_id").transformWithStateInPandas(PageProcessor(), OUT, "Append", "None")
+    return page_digests(pages).groupBy("document_id").transformWithStateInPandas(PageProcessor(), OUT, "Append", "None")
 
 
 def page_batch(pages: DataFrame) -> DataFrame:
@@ -99,10 +128,10 @@ def page_batch(pages: DataFrame) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         state: dict = {}
         done: dict = {}
-        out = [advance(state, int(r.page), int(r.total_pages), [dict(u) for u in r.units], done) for r in rows.sort_values("page", kind="stable").itertuples()]
+        out = [advance_digest(state, int(r.page), int(r.total_pages), digest_of(r), done) for r in rows.sort_values("page", kind="stable").itertuples()]
         return pd.DataFrame([{"document_id": key[0], **r} for r in out])
 
-    return pages.groupBy("document_id").applyInPandas(run, OUT)
+    return page_digests(pages).groupBy("document_id").applyInPandas(run, OUT)
 
 
 HTML = "document_id string, page int, html string"
@@ -199,6 +228,10 @@ def unit_stream(pages: DataFrame, carry_pages: int = DEFAULT.carry_pages) -> Dat
     return pages.groupBy("document_id").transformWithStateInPandas(UnitProcessor(carry_pages), PLACED, "Append", "None")
 
 
+#: More files than a delivery has: pages that meet in one micro-batch are put in order, those of several must come in order.
+ALL_FILES = 2**31 - 1
+
+
 def run_stream(spark: SparkSession, source: str, checkpoint: str, sink: str, files_per_trigger: int = 1, schema: str = PAGE, plan=page_stream) -> None:
     """Read files of ``schema`` from ``source`` until none is left, through ``plan``; restarting goes on from the checkpoint. The caller's settings stay."""
     key, store_ = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -243,6 +243,17 @@ def test_recursive_chains_have_no_limit_of_rows(spark):
         spark.conf.unset(key)
 
 
+def test_digests_of_pages_are_short_and_say_what_pages_do(spark):
+    unit = lambda name, content, up, section: {"name": name, "type": "Rule", "content": content, "parent_name": up, "section": section}
+    made = [[], [unit("a", "x" * 5000, None, ["s"]), unit("b", "y" * 9000, "a", [])], [unit("c", None, "c", [""]), unit("a", "short", "", ["t", "u"])], [unit("d", "z", None, [""])]]
+    rows = [("d", k, 9, [{f: u[f] for f in ("type", "name", "content", "parent_name", "section")} for u in units]) for k, units in enumerate(made)]
+    frame = spark.createDataFrame(rows, pages.PAGE)
+    state, done = {}, {}
+    want = [pages.advance(state, k, 9, units, done) for k, units in enumerate(made)]
+    assert [r.asDict() for r in pages.page_batch(frame).drop("document_id").orderBy("page").collect()] == want
+    assert max(len(str(r)) for r in pages.page_digests(frame).collect()) < 400
+
+
 def test_vectors_are_packed_without_loss(spark):
     import numpy as np
 
