@@ -182,10 +182,13 @@ def planned(asked: DataFrame) -> DataFrame:
 def grouped_evidence(found: DataFrame, queries: DataFrame, units: DataFrame) -> DataFrame:
     """(question_id, evidence): results by the sub-query that found them, as one text for a prompt; sub-queries without results are left out.
 
-    A result of several sub-queries stands under each. Of a question there are at most ``max_results`` results.
+    A result of several sub-queries stands under each. Of a question there are at most ``max_results`` results; they are stored
+    and counted, so that the units' texts are not shuffled to meet them.
     """
+    found = store(found.select(Q, "id", "type", "section", "position", "source_sub_queries"), "found")
+    n_found = found.count()
     text = units.select("id", "page", F.col("content").alias("whole"))
-    each = found.select(Q, "id", "type", "section", "position", F.explode("source_sub_queries").alias("sub_query_index")).join(text, "id")
+    each = text.join(few(found, n_found), "id").withColumn("sub_query_index", F.explode("source_sub_queries"))
     head = F.concat(F.lit("["), "id", F.lit("] ("), "type", F.lit(", "), X.section_path(F.col("section")), F.lit(", page "), F.col("page").cast("string"), F.lit(")\n"), "whole")
     rows = F.array_sort(F.collect_list(F.struct("position", head.alias("part"))))
     group = each.groupBy(*search.KEY).agg(F.array_join(F.transform(rows, lambda r: r["part"]), "\n\n").alias("part")).join(queries.select(*search.KEY, "query"), search.KEY)
@@ -199,7 +202,8 @@ def projected(found: DataFrame, units: DataFrame) -> DataFrame:
     page = units.select("id", "page")
     name, section = F.coalesce("name", F.lit("")), F.coalesce(X.section_path(F.col("section")), F.lit(""))
     rows = found.select(Q, "position", "id", "type", name.alias("name"), section.alias("section"), F.coalesce("rerank_score", F.lit(0.0)).alias("score"), F.size("source_sub_queries").cast("long").alias("n_sub_queries"), "role")
-    return rows.join(page, "id")
+    rows = store(rows, "results")
+    return page.join(few(rows, rows.count()), "id").select(*rows.columns, "page")
 
 
 def merged_rounds(rounds: list[DataFrame]) -> DataFrame:
