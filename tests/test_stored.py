@@ -356,3 +356,11 @@ def test_postings_are_counted_where_units_are_read(spark, tmp_path):
     assert sorted((r.term, r.id, r.tf) for r in index.postings.collect()) == [("x", "a", 3), ("y", "a", 1), ("é", "a", 1)]
     assert {(r.term, r.bucket) for r in index.postings.collect()} == {(r.term, r.b) for r in index.postings.select("term", search.bucket(F.col("term")).alias("b")).collect()}
     assert sorted((r.id, r.len) for r in index.lengths.collect()) == [("a", 5), ("b", 0)]
+
+
+def test_no_task_writes_a_whole_bucket(spark, tmp_path):
+    t = KeyedTable(spark, str(tmp_path / "t"), "id string, n long", ("id",), 2)
+    t.merge(spark.range(0, 4000, 1, 4).select(F.col("id").cast("string").alias("id"), F.col("id").alias("n")))
+    files = Counter(p.parent.name for p in tmp_path.rglob("*.parquet"))
+    assert len(files) == 2 and min(files.values()) == 4
+    assert t.read().agg(F.sum("n")).first()[0] == 3999 * 2000
