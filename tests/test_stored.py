@@ -358,6 +358,23 @@ def test_postings_are_counted_where_units_are_read(spark, tmp_path):
     assert sorted((r.id, r.len) for r in index.lengths.collect()) == [("a", 5), ("b", 0)]
 
 
+def test_postings_are_written_without_a_sort_and_read_by_bucket(spark, tmp_path):
+    texts = {"a": " ".join(f"w{k} w{k % 7}" for k in range(300)), "b": "w1 é", "c": "?!", "d": None}
+    index = search.build_index(unit_rows(spark, texts).coalesce(1), str(tmp_path / "i"))
+    files = [p for p in (tmp_path / "i").rglob("*.parquet") if p.parent.name not in ("lengths", "terms", "marks")]
+    assert len(files) == 1  # a task that put postings into folders by bucket would sort all of its postings first
+    want = Counter((w, i) for i, t in texts.items() for w in ["n", *(t or "").replace("?!", "").split()])
+    every = {(r.term, r.id): (r.tf, r.bucket) for r in index.postings.collect()}
+    assert {k: v[0] for k, v in every.items()} == want
+    some = index.postings_of([3, 40])
+    assert {(r.term, r.id) for r in some.collect()} == {k for k, v in every.items() if v[1] in (3, 40)} != set()
+    scan = [x for x in some._jdf.queryExecution().executedPlan().toString().splitlines() if "ReadSchema" in x]
+    assert scan and all("b3:" in x and "b40:" in x and "b4:" not in x for x in scan)
+    q = spark.createDataFrame([(0, 0, "?"), (1, 0, "w1 w2"), (2, 0, "é")], "question_id long, sub_query_index int, query string")
+    assert {(r.question_id, r.id) for r in search.bm25(index, q, 3).collect()} == {(1, "a"), (2, "b")}
+    assert search.bm25(index, q.where("query = '?'"), 1).count() == 0
+
+
 def test_no_task_writes_a_whole_bucket(spark, tmp_path):
     t = KeyedTable(spark, str(tmp_path / "t"), "id string, n long", ("id",), 2)
     t.merge(spark.range(0, 4000, 1, 4).select(F.col("id").cast("string").alias("id"), F.col("id").alias("n")))
