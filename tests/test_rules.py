@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from quillmere.config import DEFAULT, load_config
 from quillmere.functions import text as X
 from quillmere.operators import concepts, evidence, hierarchy, search, store, vector_index
-from quillmere.plans import ingest, retrieval
+from quillmere.plans import catalogue, ingest, retrieval
 from quillmere.sources import fixtures as fx
 from quillmere.streaming import pages
+from tests.conftest import rows_of
 
 
 def candidate(name, score, direct=False, parent=None, subs=(0,), h=None, mentions=(), aliases=()):
@@ -303,3 +304,14 @@ def test_cascade_delete_leaves_nothing_behind(spark):
     assert {k: sorted(map(tuple, v.collect())) for k, v in out.items()} == {
         "units": [("u1", "a")], "concepts": [("c1", "a")], "concept_aliases": [("c1",)], "concept_mentions": [("c1", "u1")], "vectors": [("c1",), ("u1",)],
     }
+
+
+def test_units_of_any_length_are_embedded_whole(spark, duck, tmp_path):
+    texts = ["short words", "a " * 9000 + "first", "a " * 9000 + "seventeen", "ж" * 5001, "?! " * 3000]
+    spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalogue.queries()["embed_units"](spark, str(tmp_path)).toPandas()
+    own = duck.cursor()
+    own.execute(f"CREATE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows_of(found) == rows_of(own.execute(catalogue.oracle_sql()["embed_units"]).df())
+    v = {r.id: list(r.vec) for r in ingest.unit_vectors(fx.units(spark, str(tmp_path)), "book").where("index = 'content'").collect()}
+    assert len(v) == 5 and len({tuple(x) for x in v.values()}) == 5  # also two texts that differ in their last word only
