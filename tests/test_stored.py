@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmere.api import Engine
 from quillmere.functions import text as X
-from quillmere.operators import embedding, hierarchy, jobs, search, vector_index
+from quillmere.operators import concepts, embedding, hierarchy, jobs, search, vector_index
 from quillmere.operators.keyed import KeyedTable
 from quillmere.operators.versions import Conflict, Versions
 from quillmere.plans import placing
@@ -381,3 +381,30 @@ def test_no_task_writes_a_whole_bucket(spark, tmp_path):
     files = Counter(p.parent.name for p in tmp_path.rglob("*.parquet"))
     assert len(files) == 2 and min(files.values()) == 4
     assert t.read().agg(F.sum("n")).first()[0] == 3999 * 2000
+
+
+def test_sparse_vectors_meet_by_the_keys_of_their_places_and_hot_keys_are_split(spark, monkeypatch):
+    rng = random.Random(6)
+    stems = ["".join(rng.choice("aeiolnrst") for _ in range(rng.randrange(7, 12))) for _ in range(60)]
+    cut = lambda w, k: w[:k] + rng.choice("xyz") + w[k + 1 :]
+    words = sorted({cut(w, rng.randrange(len(w))) + end for w in stems for end in ("", "ation", "ing") for _ in range(4)})
+    t = spark.createDataFrame([(w, k % 900) for k, w in enumerate(words)], "term string, first long").select("term", "first", X.term_vector(F.col("term")).alias("vec")).repartition(4).cache()
+    best = lambda met: {(r.term, r.id, r.rank) for r in search.top_k(met, 5, key="term").collect()}
+    exact = best(concepts.earlier_neighbours(t, None, None, 0.55, 5))
+    for few, rows in ((0, 10**9), (0, 60)):  # no key is too common, many are
+        monkeypatch.setattr(vector_index, "FEW_VECTORS", few)
+        monkeypatch.setattr(vector_index, "LIST_ROWS", rows)
+        found = best(concepts.earlier_neighbours(t, None, 0, 0.55, 5))
+        assert len({x[:2] for x in found} & {x[:2] for x in exact}) >= 0.9 * len(exact) and len(exact) > 500
+    monkeypatch.setattr(vector_index, "FEW_VECTORS", 10**6)
+    assert best(concepts.earlier_neighbours(t, None, 0, 0.55, 5)) == exact  # few vectors are all compared
+
+
+def test_steps_over_all_units_leave_nothing_to_merge(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.start(spark.createDataFrame([("d", k, f"<h1>T{k}</h1><p>some invisibility words</p>") for k in range(3)], "document_id string, page int, html string"))
+    e.run()
+    assert all(not e.tables[x].manifest()["deltas"] for x in ("units", "pages", "concept_mentions", "concepts")) and e.read("units").where("status = 'done'").count() == 6
+    e.start(spark.createDataFrame([("d", 3, "<p>more</p>")], "document_id string, page int, html string"))
+    e.step("summary")
+    assert e.tables["units"].manifest()["deltas"] and e.read("units").count() == 7
