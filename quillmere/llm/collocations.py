@@ -1,4 +1,4 @@
-"""Phrase collocations: merged count-min sketches find what may be frequent, a second pass counts just that exactly."""
+"""Phrase collocations: counts of phrases' cells find what may be frequent, a second pass counts just that exactly."""
 
 from __future__ import annotations
 
@@ -14,10 +14,12 @@ from pyspark.sql.window import Window
 from quillmere.llm.wordnames import MIX, Words, in_parts, mixed, rolled
 from quillmere.session import prepare, store
 
-#: A sketch: two rows of 2**CELL_BITS counters, 128 MB while a task counts, a byte each when it is done.
+#: A phrase's cell is one of 2**WIDE_BITS, so many that cells do not fill up as a corpus grows: with 10**11 phrases a cell has 1.5 on average.
+WIDE_BITS = 36
+#: Phrases whose cells a task adds up before it passes them on, and slices of cells at least: a task adds up one slice of all tasks at a time.
+HELD_CELLS, SLICES = 8_000_000, 256
+#: Of the cells that are frequent two bits each are kept, in rows of 2**CELL_BITS bits, more if there are many.
 CELL_BITS, DEPTH = 24, 2
-#: Slices of a sketch row: what one merging task holds of all sketches at a time.
-SLICES = 256
 LONGEST = 5
 #: Characters whose words are counted together in one pass, and words after which a task forgets its numbering.
 PART_CHARS, FORGET_WORDS = 8_000_000, 1_000_000
@@ -25,7 +27,6 @@ PART_CHARS, FORGET_WORDS = 8_000_000, 1_000_000
 HELD_PHRASES = 400_000
 #: Bytes that end a piece become a full stop, the only bytes that may stand for one afterwards.
 PIECES = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b".........")
-FOLD = 16
 #: Languages whose sizes are broadcast; more are joined by shuffling.
 BROADCAST_LANGS = 100_000
 
@@ -55,9 +56,14 @@ def _lang_names(langs: dict[str, int]) -> np.ndarray:
     return w.names()[:, 0]
 
 
-def _cells(names: np.ndarray, of_lang: np.ndarray, k: int, bits: int) -> Iterator[np.ndarray]:
-    """The cell of each phrase in each row of the sketch."""
-    x = mixed(names ^ of_lang * np.uint64(2 * k + 1))
+def _wide(names: np.ndarray, of_lang: np.ndarray, k: int) -> np.ndarray:
+    """The cell of each phrase of ``k`` words."""
+    return mixed(names ^ of_lang * np.uint64(2 * k + 1)) >> np.uint64(64 - WIDE_BITS)
+
+
+def _bits(cells: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The bit of each cell in each row of what is kept of the frequent cells."""
+    x = mixed(cells + MIX)
     for _ in range(DEPTH):
         yield (x >> np.uint64(64 - bits)).astype(np.int64)
         x = mixed(x + MIX)
@@ -71,83 +77,109 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, str]]]
 def in_large_tasks(texts: DataFrame, splits: int = 4) -> DataFrame:
     """``texts`` in tasks of several input splits each, where that leaves two tasks for every core.
 
-    Each task passes on a sketch, or a row for every frequent phrase, however little it has read: so fewer and larger tasks pass on less.
+    Each task passes on a row for every frequent phrase, however little it has read: so fewer and larger tasks pass on less.
     """
     n = texts.rdd.getNumPartitions()
     return texts.coalesce(max(1, min(n, max(2 * texts.sparkSession.sparkContext.defaultParallelism, -(-n // splits)))))
 
 
-def sketched(texts: DataFrame, bits: int = CELL_BITS) -> DataFrame:
-    """(slice, counts): each task's sketch of the phrases of 1 to 5 words in ``texts`` (lang, text), in slices; a counter stops at 255."""
-    n_slices = min(SLICES, (1 << bits) // 8)
+def cell_counts(texts: DataFrame, slices: int) -> DataFrame:
+    """(slice, cells): how often each cell of the phrases of 1 to 5 words in ``texts`` (lang, text) occurs, packed, for each slice and some 8 million phrases of a task.
+
+    What is written grows with the text, however many tasks there are: about two bytes for each different phrase of those that are added up together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, words, langs, one = None, Words(), {}, np.uint32(1)
+        words, langs, held, n = Words(), {}, [], 0
         for rows in _parts(batches):
             ids, piece, lang = _pieces(rows, words, langs)
             names, of_lang = words.names()[:, 0][ids], _lang_names(langs)[lang]
-            if sketch is None:
-                sketch = np.zeros((DEPTH, 1 << bits), np.uint32)
             for k, x in enumerate(rolled(names, LONGEST), 1):
                 if not len(x):
                     break
                 whole = piece[: len(x)] == piece[k - 1 :]
-                for row, cells in enumerate(_cells(x[whole], of_lang[: len(x)][whole], k, bits)):
-                    np.add.at(sketch[row], cells, one)
-            np.minimum(sketch, 1 << 30, out=sketch)
+                held.append(_wide(x[whole], of_lang[: len(x)][whole], k))
+                n += len(held[-1])
+            if n >= HELD_CELLS:
+                yield _packed(held, slices)
+                held, n = [], 0
             if len(words) > FORGET_WORDS:
                 words = Words()
-        if sketch is not None:
-            for row in range(DEPTH):
-                for s, own in enumerate(np.minimum(sketch[row], 255).astype(np.uint8).reshape(n_slices, -1)):
-                    packed = pa.compress(own.tobytes(), "zstd", asbytes=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([row * n_slices + s], pa.int32()), pa.array([packed], pa.binary())], ["slice", "counts"])
-
-    return texts.mapInArrow(run, "slice int, counts binary")
-
-
-def frequent_cells(texts: DataFrame, least: int, bits: int = CELL_BITS) -> bytes:
-    """One bit for each counter of all tasks' sketches together: is it ``least`` or more (at most 255). 4 MB at 24 bits, whatever the corpus.
-
-    Sums are taken by slices, first within groups of tasks, so that no task gets all sketches of a large job.
+        if n:
+            yield _packed(held, slices)
+
+    return texts.mapInArrow(run, "slice int, cells binary")
+
+
+def _packed(held: list[np.ndarray], slices: int) -> pa.RecordBatch:
+    """Cells added up, by slice: distances and counts (at most 255), byte by byte, compressed."""
+    cells = np.concatenate(held)
+    cells.sort()
+    first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+    counts, cells = np.minimum(np.diff(np.r_[first, len(cells)]), 255).astype(np.uint8), cells[first]
+    width = np.uint64(WIDE_BITS - (slices.bit_length() - 1))
+    of = (cells >> width).astype(np.int64)
+    ends, numbers, packed = np.searchsorted(of, np.arange(slices + 1)), [], []
+    for k in range(slices):
+        a, b = ends[k], ends[k + 1]
+        if a < b:
+            far = np.diff(cells[a:b] & ((np.uint64(1) << width) - np.uint64(1)), prepend=np.uint64(0)).astype("<u4")
+            numbers.append(k)
+            packed.append(np.int32(b - a).tobytes() + pa.compress(far.view(np.uint8).reshape(-1, 4).T.tobytes() + counts[a:b].tobytes(), "zstd", asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(packed, pa.binary())], ["slice", "cells"])
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(packed, np.int32, 1)[0])
+    raw = np.frombuffer(pa.decompress(packed[4:], 5 * n, "zstd", asbytes=True), np.uint8)
+    far = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(far, dtype=np.uint64), raw[4 * n :]
+
+
+def frequent_cells(texts: DataFrame, least: int, bits: int | None = None, slices: int = SLICES) -> tuple[bytes, int]:
+    """Two bits for each cell that occurs ``least`` times or more (at most 255), in rows of 2**bits; and ``bits``.
+
+    Cells are added up slice by slice where the counts of a slice meet, and only the frequent ones go to the driver, eight bytes each.
+    By default rows have 16 bits or more for each, so that of all other phrases few in a thousand get through.
     """
     import pandas as pd
 
-    size = (1 << bits) // min(SLICES, (1 << bits) // 8)
-    cut = min(least, 255)
-
-    def total(rows: pd.DataFrame) -> np.ndarray:
-        out = np.zeros(size, np.uint32)
-        for c in rows["counts"]:
-            out += np.frombuffer(pa.decompress(c, size, "zstd", asbytes=True), np.uint8)
-        return np.minimum(out, 255).astype(np.uint8)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "counts": [pa.compress(total(rows).tobytes(), "zstd", asbytes=True)]})
+    cut, width = min(least, 255), np.uint64(WIDE_BITS - (slices.bit_length() - 1))
 
-    def last(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "bits": [np.packbits(total(rows) >= cut).tobytes()]})
+    def add_up(rows: pd.DataFrame) -> pd.DataFrame:
+        each = [_unpacked(x) for x in rows["cells"]]
+        cells, counts = np.concatenate([x[0] for x in each]), np.concatenate([x[1] for x in each])
+        order = np.argsort(cells, kind="stable")
+        cells, counts = cells[order], counts[order]
+        first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+        found = cells[first][np.add.reduceat(counts, first, dtype=np.int64) >= cut]
+        return pd.DataFrame({"cells": [(found + (np.uint64(rows["slice"].iloc[0]) << width)).astype("<u8").tobytes()]})
 
-    each = store(sketched(texts, bits), "sketches")
-    folded = each.withColumn("fold", F.pmod(F.xxhash64("counts"), F.lit(FOLD))).groupBy("slice", "fold").applyInPandas(fold, "slice int, counts binary")
-    rows = folded.groupBy("slice").applyInPandas(last, "slice int, bits binary").toArrow().sort_by("slice")
-    return b"".join(rows.column("bits").to_pylist()) or bytes(DEPTH * (1 << bits) // 8)
+    rows = cell_counts(texts, slices).groupBy("slice").applyInPandas(add_up, "cells binary").toArrow()
+    found = np.frombuffer(b"".join(rows.column("cells").to_pylist()), "<u8")
+    bits = bits or max(CELL_BITS, (16 * len(found)).bit_length())
+    full = np.zeros((DEPTH, (1 << bits) // 8 or 1), np.uint8)
+    for row, at in enumerate(_bits(found, bits)):
+        np.bitwise_or.at(full[row], at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return full.tobytes(), bits
 
 
-def phrase_counts(docs: DataFrame, least: int = 100, lang_col: str = "lang", text_col: str = "text", bits: int = CELL_BITS) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = 100, lang_col: str = "lang", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """(lang, k, phrase, f) of all phrases of 1 to 5 words that occur ``least`` times or more in a language, counted exactly; k 0 holds all its words.
 
-    The first pass adds up count-min sketches, which never count too little: a phrase whose counters stay below
-    ``least`` is not frequent. The second pass counts what is left, where its parts are left too. A sketch that is too
-    small for a corpus (its counters fill up) lets more phrases through and changes no result.
+    The first pass adds up cells of phrases, which never count too little: a phrase whose cell stays below ``least`` is
+    not frequent. The second pass counts what is left, where its parts are left too. Phrases that share a cell or its
+    bits (``bits``: fixed rows of 2**bits for these) let more through and change no result.
     """
     spark = prepare(docs.sparkSession)
-    texts = in_large_tasks(docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")))
-    shared = spark.sparkContext.broadcast(frequent_cells(texts, least, bits))
+    read = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
+    texts, slices = in_large_tasks(read), max(SLICES, 1 << (4 * read.rdd.getNumPartitions()).bit_length())
+    kept, bits = frequent_cells(texts, least, bits, min(slices, 1 << (WIDE_BITS - 8)))
+    shared = spark.sparkContext.broadcast(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        full = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool).reshape(DEPTH, -1)
+        full = np.frombuffer(shared.value, np.uint8).reshape(DEPTH, -1)
         for rows in _parts(batches):
             words, langs = Words(), {}
             ids, piece, lang = _pieces(rows, words, langs)
@@ -160,11 +192,9 @@ def phrase_counts(docs: DataFrame, least: int = 100, lang_col: str = "lang", tex
                     break
                 at = np.arange(len(x)) if k == 1 else left[:-1][(left[1:] == left[:-1] + 1) & (piece[left[:-1]] == piece[np.minimum(left[:-1] + k - 1, len(piece) - 1)])]
                 at = at[at < len(x)]
-                for row, cells in enumerate(_cells(x[at], of_lang[at], k, bits)):
-                    if row == 0:
-                        kept = full[row][cells]
-                    else:
-                        kept &= full[row][cells]
+                kept = np.ones(len(at), bool)
+                for row, place in enumerate(_bits(_wide(x[at], of_lang[at], k), bits)):
+                    kept &= full[row][place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0
                 left = at[kept]
                 if not len(left):
                     break
@@ -197,7 +227,7 @@ def part(phrase: Column, start: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.split(phrase, " "), start, n), " ")
 
 
-def collocations(docs: DataFrame, least: int = 100, best: int | None = 2000, subsume: int = 100, lang_col: str = "lang", text_col: str = "text", bits: int = CELL_BITS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, best: int | None = 2000, subsume: int = 100, lang_col: str = "lang", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score, cut): phrases of 2 to 5 words that hold together, of each language the ``best`` (None: all).
 
     Words are what stands between spaces and tabs, A-Z in lower case, within pieces that end at ``.,;:!?`` and line

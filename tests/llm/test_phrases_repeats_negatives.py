@@ -176,3 +176,22 @@ def test_bounds_lose_no_pair_and_discard_most_of_a_skewed_table():
     i, j = hard_negatives.survivors(a, b, cuts, low, high, np.ones(true.shape, bool))
     assert set(zip(*np.nonzero((true >= low) & (true <= high)), strict=True)) <= set(zip(i, j, strict=True))
     assert len(i) < 0.03 * true.size
+
+
+def test_cells_do_not_fill_up_as_a_corpus_grows(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "HELD_CELLS", 5_000)
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 2000, 300)) + ". often said" * 2, "en") for k in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept, bits = collocations.frequent_cells(d.select("lang", "text"), 100)
+    assert np.unpackbits(np.frombuffer(kept, np.uint8)).sum() == 2 * 3 and bits == collocations.CELL_BITS  # some 100,000 different phrases, few of them frequent
+    got = {r.phrase for r in collocations.collocations(d).collect()}
+    assert got == {r[2] for r in brute_collocations(rows, 100, 2000)} and "often said" in got
+
+
+def test_packed_cells_come_back():
+    cells = np.random.default_rng(4).integers(0, 1 << collocations.WIDE_BITS, 5000).astype(np.uint64)
+    b = collocations._packed([cells, cells[:100]], 512)
+    back = [(int(c) + (int(k) << (collocations.WIDE_BITS - 9)), int(n)) for k, x in zip(*(c.to_pylist() for c in b.columns)) for c, n in zip(*collocations._unpacked(x))]
+    want, n = np.unique(np.concatenate([cells, cells[:100]]), return_counts=True)
+    assert back == list(zip(want.tolist(), n.tolist()))
