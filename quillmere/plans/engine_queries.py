@@ -610,11 +610,14 @@ def place_stream(spark, d):
     from quillmere.streaming import pages as pg
 
     at = scratch_path(spark, "pages")
-    site_pages(spark, d).repartitionByRange(3, "page").sortWithinPartitions("page").write.parquet(f"{at}/in")
-    files = spark.read.parquet(f"{at}/in").withColumn("third", F.ntile(3).over(Window.partitionBy("document_id").orderBy("page")))
-    for k in (1, 2, 3):  # three deliveries, each read from where the last one ended
-        files.where(F.col("third") == k).drop("third").coalesce(1).write.mode("append").parquet(f"{at}/queue")
-        pg.run_stream(spark, f"{at}/queue", f"{at}/checkpoint", f"{at}/out", schema=pg.HTML, plan=pg.unit_stream)
+    pages = site_pages(spark, d)
+    last = pages.groupBy("document_id").agg(F.min("page").alias("least"), F.max("page").alias("most"))  # pages have numbers without gaps, so thirds need no order of them
+    third = F.floor(3 * (F.col("page") - F.col("least")) / (F.col("most") - F.col("least") + 1))
+    parted = pages.join(last, "document_id").select("document_id", "page", "html", third.alias("third"))
+    parted.write.partitionBy("third").parquet(f"{at}/in")
+    for k in range(3):  # three deliveries of any number of files, each read from where the last one ended
+        spark.read.schema(pg.HTML).parquet(f"{at}/in/third={k}").write.mode("append").parquet(f"{at}/queue")
+        pg.run_stream(spark, f"{at}/queue", f"{at}/checkpoint", f"{at}/out", files_per_trigger=pg.ALL_FILES, schema=pg.HTML, plan=pg.unit_stream)
     u = spark.read.schema(pg.PLACED).parquet(f"{at}/out")
     return u.select("id", "document_id", "page", "source_order", "type", F.coalesce("parent_unit_id", L("")).alias("parent"), F.array_join("section", " > ").alias("section"))
 

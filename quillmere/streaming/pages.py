@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import zlib
 from collections.abc import Iterator, MutableMapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -192,28 +195,30 @@ class UnitProcessor(StatefulProcessor):
         self.seen = _Held(handle.getMapState("seen", "page int", "hash string"))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        from quillmere.sources.page_tree import page_units
-
         pages = pd.concat(list(rows)).sort_values(["page"], kind="stable")
         last, section = self.last.get() if self.last.exists() else (None, [])
         section, out = list(section), []
-        for page, html in zip(pages["page"].astype(int), pages["html"], strict=True):
-            html = html if isinstance(html, str) else ""
-            mark = hashlib.sha256(html.encode()).hexdigest()
+        # names of the last pages only: read once and written back once, as each look into a map state is a call to the JVM
+        before = dict(self.containers.items())
+        held = dict(before)
+        for page, mark, packed in zip(pages["page"].astype(int), pages["html_hash"], pages["packed"], strict=True):
             if page in self.seen and self.seen[page] == mark:
                 continue
             self.seen[page] = mark
-            units = page_units(html)
+            units = json.loads(zlib.decompress(packed))
             if last is not None and page <= last:
                 out += placed_page(key[0], page, units, [], {}, self.carry)
                 continue
             gap = last is not None and page != last + 1
-            for name, (at, _) in self.containers.items():
-                if gap or page - at > self.carry:
-                    del self.containers[name]
+            held = {} if gap else {name: x for name, x in held.items() if page - x[0] <= self.carry}
             section = [] if gap else section
-            out += placed_page(key[0], page, units, section, self.containers, self.carry)
+            out += placed_page(key[0], page, units, section, held, self.carry)
             last = page
+        for name in before.keys() - held.keys():
+            del self.containers[name]
+        for name, x in held.items():
+            if before.get(name) != x:
+                self.containers[name] = x
         if last is not None:
             self.last.update((last, section))
         cols = [c.split()[0] for c in PLACED.split(", ")]
@@ -225,7 +230,22 @@ class UnitProcessor(StatefulProcessor):
 
 def unit_stream(pages: DataFrame, carry_pages: int = DEFAULT.carry_pages) -> DataFrame:
     """``pages`` (a stream of HTML rows) to PLACED rows: what :func:`quillmere.plans.placing.placed` gives for all pages at once."""
-    return pages.groupBy("document_id").transformWithStateInPandas(UnitProcessor(carry_pages), PLACED, "Append", "None")
+    return read_pages(pages).groupBy("document_id").transformWithStateInPandas(UnitProcessor(carry_pages), PLACED, "Append", "None")
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """``pages`` (HTML rows) to document_id, page, html_hash and packed: their units as :func:`page_tree.page_units` gives them, read where pages are, not where a document's pages meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quillmere.sources.page_tree import page_units
+
+        for b in batches:
+            html = [h or "" for h in b.column(2).to_pylist()]
+            marks = [hashlib.sha256(h.encode()).hexdigest() for h in html]
+            units = [zlib.compress(json.dumps(page_units(h)).encode(), 1) for h in html]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(marks, pa.string()), pa.array(units, pa.binary())], ["document_id", "page", "html_hash", "packed"])
+
+    return pages.select("document_id", "page", "html").mapInArrow(run, "document_id string, page int, html_hash string, packed binary")
 
 
 #: More files than a delivery has: pages that meet in one micro-batch are put in order, those of several must come in order.

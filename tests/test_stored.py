@@ -408,3 +408,35 @@ def test_steps_over_all_units_leave_nothing_to_merge(spark, tmp_path):
     e.start(spark.createDataFrame([("d", 3, "<p>more</p>")], "document_id string, page int, html string"))
     e.step("summary")
     assert e.tables["units"].manifest()["deltas"] and e.read("units").count() == 7
+
+
+def test_the_stream_reads_pages_before_they_meet_and_containers_once(spark):
+    import pandas as pd
+
+    calls = Counter()
+
+    class Map(dict):
+        def containsKey(self, k): return k in self  # noqa: E704, N802
+        def getValue(self, k): return self[k]  # noqa: E704, N802
+        def updateValue(self, k, v): calls["put"] += 1; self[k] = v  # noqa: E702, E704, N802
+        def removeKey(self, k): del self[k]  # noqa: E704, N802
+        def iterator(self): calls["read"] += 1; return iter(list(self.items()))  # noqa: E702, E704
+
+    class Value:
+        x = None
+        def exists(self): return self.x is not None  # noqa: E704
+        def get(self): return self.x  # noqa: E704
+        def update(self, v): self.x = v  # noqa: E704
+
+    class Handle:
+        def getValueState(self, *_): return Value()  # noqa: E704, N802
+        def getMapState(self, *_): return Map()  # noqa: E704, N802
+
+    p = pages.UnitProcessor(3)
+    p.init(Handle())
+    rows = spark.createDataFrame([("d", k, f"<h1>T{k % 5}</h1><p>words of {k}</p>" + "<!-- long -->" * 100) for k in range(40)], pages.HTML)
+    read = pages.read_pages(rows).toPandas()
+    assert read["packed"].map(len).max() < 400
+    out = pd.concat(list(p.handleInputRows(("d",), iter([read]), None)))
+    assert len(out) == 80 and calls["read"] == 1 and calls["put"] < 40 + 20  # a hash of each page, and what is left of the names
+    assert len(pd.concat(list(p.handleInputRows(("d",), iter([read.tail(2)]), None)))) == 0
